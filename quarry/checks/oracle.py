@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from quarry import constants as K
 from quarry.checks import sqlparts as S
+from quarry.operators import scan as SC
 
 ORACLE: dict[str, str] = {}
 
@@ -65,3 +66,103 @@ ORACLE["retrieve"] = _with(S.FILES_BASE, _INDEX_CHUNKS) + _hits_sql() + """
 SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.file, h.chunk_index, i.text, h.distance,
        printf('%.4f', h.distance) AS score
 FROM hits h JOIN idx i USING (file, chunk_index)"""
+
+
+# ------------------------------------------------- scan family (batch 2) -----
+import re  # noqa: E402
+
+from quarry.plans.catalog import IGNORE_LINES  # noqa: E402
+
+
+def _glob_regex(p: str) -> str:
+    s = re.sub(r"([.\\+^$(){}|])", r"\\\1", p)
+    s = s.replace("*", ".*").replace("?", ".").replace("[!", "[^")
+    return "^(?s:" + s + ")$"
+
+
+_PATTERNS = sorted({_glob_regex(x.strip()) for x in IGNORE_LINES if x.strip() and not x.strip().startswith("#")})
+_PAT_CTE = "pats AS (SELECT unnest(" + S.str_list(_PATTERNS) + ") AS regex)"
+_NOT_IGNORED = (f"NOT EXISTS (SELECT 1 FROM pats WHERE regexp_matches(f.path, regex) OR "
+                f"regexp_matches({S.name('f.path')}, regex) OR regexp_matches(f.path || '/', regex))")
+_LANG = "lm(ext, language, framework, prefix, suffix) AS (VALUES " + ", ".join(
+    "(" + ", ".join(S.lit(v) for v in row) + ")" for row in K.LANGUAGE_MAP) + ")"
+
+ORACLE["scan_code_files"] = _with(S.FILES_BASE) + f"""
+SELECT path, mtime, source FROM files_base WHERE {S.code_scan_where()}"""
+
+ORACLE["scan_mapped_files"] = _with(S.FILES_BASE, _PAT_CTE, _LANG) + f"""
+SELECT path, source FROM files_base f
+WHERE NOT {S.has_part_in('path', K.CODE_IGNORE_DIRS)}
+  AND lower({S.suffix('path')}) IN (SELECT ext FROM lm) AND {_NOT_IGNORED}"""
+
+ORACLE["read_text"] = _with(S.FILES_BASE) + """
+SELECT path, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS content FROM files_base"""
+
+ORACLE["ignored_dirs"] = _with(S.FILES_BASE) + f"""
+SELECT path, {S.has_part_in('path', K.INDEX_IGNORE_DIRS)} AS ignored FROM files_base"""
+
+ORACLE["ignore_patterns"] = _with(S.FILES_BASE, _PAT_CTE) + f"""
+SELECT path FROM files_base f WHERE {_NOT_IGNORED}"""
+
+ORACLE["drop_blank"] = f"SELECT doc_id FROM documents WHERE NOT ({S.is_blank('text')})"
+
+ORACLE["oversized"] = f"SELECT doc_id, length(text) > {K.MAX_PAYLOAD_CHARS} AS oversized FROM documents"
+
+ORACLE["suppress_lines"] = f"""
+SELECT doc_id, length(array_to_string(list_filter(string_split(text, chr(10)),
+       lambda l: NOT regexp_matches(l, {S.lit(SC.SUPPRESS_RE)})), chr(10))) AS n_chars FROM documents"""
+
+ORACLE["path_facts"] = _with(S.FILES_BASE) + f"""
+SELECT path, {S.name('path')} AS name, {S.stem('path')} AS stem, lower({S.suffix('path')}) AS suffix,
+       substring(path, length(source) + 2) AS rel_path FROM files_base"""
+
+ORACLE["sort_paths"] = _with(S.FILES_BASE) + """
+SELECT source, path,
+  row_number() OVER (PARTITION BY source ORDER BY string_split(path, '/'), path) AS part_rank,
+  row_number() OVER (PARTITION BY source ORDER BY path) AS string_rank
+FROM files_base"""
+
+ORACLE["language_of"] = _with(S.FILES_BASE, _LANG) + f"""
+SELECT path, coalesce(language, 'Generic') AS language, coalesce(framework, 'generic') AS framework,
+       prefix AS test_prefix, suffix AS test_suffix
+FROM files_base f LEFT JOIN lm ON lower({S.suffix('f.path')}) = lm.ext"""
+
+_MOVED = "replace(f.path, 'src/', 'tests/')"
+ORACLE["test_path"] = _with(S.FILES_BASE, _LANG) + f"""
+SELECT f.path, regexp_extract({_MOVED}, '^(.*/)[^/]*$', 1) ||
+  CASE WHEN lm.suffix IS NOT NULL THEN lm.prefix || {S.stem(_MOVED)} || lm.suffix
+       ELSE {S.stem(_MOVED)} || 'Test' || {S.suffix(_MOVED)} END AS test_path
+FROM files_base f JOIN lm ON lower({S.suffix('f.path')}) = lm.ext
+WHERE NOT {S.has_part_in('f.path', K.CODE_IGNORE_DIRS)}"""
+
+ORACLE["dominant_language"] = _with(S.FILES_BASE, _LANG) + f"""
+, c AS (SELECT source, language, count(*) AS n_files FROM files_base f
+        JOIN lm ON lower({S.suffix('f.path')}) = lm.ext GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_files DESC, language) AS r FROM c)
+SELECT s.source, coalesce(t.language, 'Generic') AS language, CAST(coalesce(t.n_files, 0) AS BIGINT) AS n_files
+FROM (SELECT DISTINCT source FROM files_base) s LEFT JOIN (SELECT * FROM t WHERE r = 1) t USING (source)"""
+
+ORACLE["concat_corpus"] = _with(S.FILES_BASE) + f"""
+, g AS (SELECT source, count(*) AS n_files,
+               CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS total_chars,
+               string_agg(piece, chr(10) || chr(10) ORDER BY string_split(path, '/')) AS full_text
+        FROM (SELECT source, path, '### File: ' || path || chr(10) || content AS piece
+              FROM files_base WHERE {S.code_scan_where()})
+        GROUP BY source)
+SELECT source, n_files, total_chars, {S.truncate('full_text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE)} AS payload,
+       total_chars > {K.MAX_PAYLOAD_CHARS} AS truncated FROM g"""
+
+_TYPES = "dt(type_order, doc_type, label) AS (VALUES " + ", ".join(
+    f"({i}, {S.lit(t)}, {S.lit(l)})" for i, (t, l) in enumerate(K.DOC_TYPES)) + ")"
+ORACLE["doc_jobs"] = _with(S.FILES_BASE, _TYPES) + """
+SELECT s.source, CAST(dt.type_order AS INTEGER) AS type_order, dt.doc_type, dt.label,
+       'docs/' || dt.doc_type || '/' || s.source || '.md' AS dest_path
+FROM (SELECT DISTINCT source FROM files_base) s CROSS JOIN dt"""
+
+ORACLE["truncate_payload"] = f"""
+SELECT doc_id, {S.truncate('text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE)} AS payload,
+       length(text) > {K.MAX_PAYLOAD_CHARS} AS truncated FROM documents"""
+
+ORACLE["truncate_file"] = f"""
+SELECT doc_id, {S.truncate('text', K.MAX_FILE_CHARS, K.TRUNCATED_MARKER)} AS content,
+       length(text) > {K.MAX_FILE_CHARS} AS truncated FROM documents"""

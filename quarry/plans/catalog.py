@@ -82,3 +82,116 @@ def q_top_k(spark, sf_dir):
 def q_retrieve(spark, sf_dir):
     idx = build_index(V.files_base(spark, sf_dir))
     return retrieve(idx, benchmark_questions(spark, sf_dir), K.TOP_K)
+
+
+# ------------------------------------------------- scan family (batch 2) -----
+from quarry.functions import text as TX  # noqa: E402
+from quarry.operators import corpus as CO  # noqa: E402
+from quarry.operators import scan as SC  # noqa: E402
+
+# Ignore-file lines used by the pattern queries (a small inline table).
+IGNORE_LINES = ["# generated files", "", "  *.kt  ", "src1*", "*/f1?.ts", "docs/", "*/docs/f2*"]
+
+
+def ignore_lines_df(spark):
+    return spark.createDataFrame([(x,) for x in IGNORE_LINES], "line string")
+
+
+@register("scan_code_files")
+def q_scan_code_files(spark, sf_dir):
+    return SC.scan_code_files(V.files_base(spark, sf_dir)).select("path", "mtime", "source")
+
+
+@register("scan_mapped_files")
+def q_scan_mapped_files(spark, sf_dir):
+    pats = SC.ignore_patterns(spark, ignore_lines_df(spark))
+    return SC.scan_mapped_files(V.files_base(spark, sf_dir), pats).select("path", "source")
+
+
+@register("read_text")
+def q_read_text(spark, sf_dir):
+    return SC.read_text(V.files_base(spark, sf_dir)).select("path", "content")
+
+
+@register("ignored_dirs")
+def q_ignored_dirs(spark, sf_dir):
+    return SC.ignored_dirs(V.files_base(spark, sf_dir)).select("path", "ignored")
+
+
+@register("ignore_patterns")
+def q_ignore_patterns(spark, sf_dir):
+    pats = SC.ignore_patterns(spark, ignore_lines_df(spark))
+    return SC.drop_ignored(V.files_base(spark, sf_dir), pats).select("path")
+
+
+@register("drop_blank")
+def q_drop_blank(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return SC.drop_blank(d, "text").select("doc_id")
+
+
+@register("oversized")
+def q_oversized(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return SC.oversized(d, "text").select("doc_id", "oversized")
+
+
+@register("suppress_lines")
+def q_suppress_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return SC.suppress_lines(d, "text").select("doc_id", F.length("text").alias("n_chars"))
+
+
+@register("path_facts")
+def q_path_facts(spark, sf_dir):
+    return CO.path_facts(V.files_base(spark, sf_dir))
+
+
+@register("sort_paths")
+def q_sort_paths(spark, sf_dir):
+    return CO.sort_paths(V.files_base(spark, sf_dir))
+
+
+@register("language_of")
+def q_language_of(spark, sf_dir):
+    return CO.language_of(V.files_base(spark, sf_dir))
+
+
+@register("test_path")
+def q_test_path(spark, sf_dir):
+    return CO.test_path(SC.scan_mapped_files(V.files_base(spark, sf_dir)))
+
+
+@register("dominant_language")
+def q_dominant_language(spark, sf_dir):
+    return CO.dominant_language(V.files_base(spark, sf_dir))
+
+
+@register("concat_corpus")
+def q_concat_corpus(spark, sf_dir):
+    return CO.concat_corpus(SC.scan_code_files(V.files_base(spark, sf_dir)))
+
+
+def root_targets(spark, sf_dir):
+    """Each corpus root as a documentation target (directory mode: stem = root name)."""
+    return V.files_base(spark, sf_dir).select("source").distinct().withColumn("stem", F.col("source"))
+
+
+@register("doc_jobs")
+def q_doc_jobs(spark, sf_dir):
+    return CO.doc_jobs(root_targets(spark, sf_dir)).select(
+        "source", "type_order", "doc_type", "label", "dest_path")
+
+
+@register("truncate_payload")
+def q_truncate_payload(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    payload, cut = TX.truncate_payload(F.col("text"))
+    return d.select("doc_id", payload.alias("payload"), cut.alias("truncated"))
+
+
+@register("truncate_file")
+def q_truncate_file(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.truncate(F.col("text"), K.MAX_FILE_CHARS, K.TRUNCATED_MARKER).alias("content"),
+                    (F.length("text") > K.MAX_FILE_CHARS).alias("truncated"))
