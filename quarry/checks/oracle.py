@@ -166,3 +166,37 @@ SELECT doc_id, {S.truncate('text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOT
 ORACLE["truncate_file"] = f"""
 SELECT doc_id, {S.truncate('text', K.MAX_FILE_CHARS, K.TRUNCATED_MARKER)} AS content,
        length(text) > {K.MAX_FILE_CHARS} AS truncated FROM documents"""
+
+
+# ------------------------------------------------- index lifecycle (3) -----
+_UPD = _with(S.FILES_BASE, S.FILES_HEAD, _INDEX_CHUNKS) + f"""
+, lm AS (SELECT file, max(coalesce(mtime, 0.0)) AS mtime FROM idx GROUP BY file),
+cur AS (SELECT path AS file, mtime, content FROM files_head WHERE {S.index_scan_where()}),
+deleted AS (SELECT file FROM lm WHERE file NOT IN (SELECT file FROM cur)),
+changed AS (SELECT c.* FROM cur c LEFT JOIN lm l USING (file) WHERE l.file IS NULL OR c.mtime > l.mtime),
+unchanged AS (SELECT c.file FROM cur c JOIN lm l USING (file) WHERE c.mtime <= l.mtime),
+kept AS (SELECT * FROM idx WHERE file IN (SELECT file FROM unchanged)),
+new AS ({S.chunks_of('changed', 'file, mtime')}),
+merged AS (SELECT file, chunk_index, mtime, text FROM kept UNION ALL SELECT file, chunk_index, mtime, text FROM new)
+"""
+
+ORACLE["latest_mtime"] = _UPD + "SELECT file, mtime FROM lm"
+ORACLE["files_deleted"] = _UPD + "SELECT file FROM deleted"
+ORACLE["files_new_or_changed"] = _UPD + "SELECT file, mtime FROM changed"
+ORACLE["chunks_kept"] = _UPD + "SELECT file, chunk_index, mtime FROM kept"
+ORACLE["files_except"] = _UPD + "SELECT file FROM idx EXCEPT SELECT file FROM cur"
+ORACLE["merge_index"] = _UPD + "SELECT file, chunk_index, mtime, length(text) AS n_chars FROM merged"
+ORACLE["distinct_files"] = _UPD + "SELECT DISTINCT file FROM merged"
+ORACLE["index_stats"] = _UPD + """
+SELECT (SELECT count(*) FROM new) AS added,
+       (SELECT count(*) FROM idx) - (SELECT count(*) FROM kept) AS removed,
+       (SELECT count(*) FROM kept) AS unchanged"""
+ORACLE["embed_progress"] = _with(S.FILES_BASE, _INDEX_CHUNKS) + """
+SELECT file, chunk_index, row_number() OVER (PARTITION BY file ORDER BY chunk_index) AS current,
+       count(*) OVER (PARTITION BY file) AS total FROM idx"""
+ORACLE["build_index"] = _with(S.FILES_BASE, _INDEX_CHUNKS) + f"""
+SELECT file, chunk_index, mtime, text, {K.EMBED_DIM} AS dim FROM idx"""
+ORACLE["update_index"] = _UPD + f"SELECT file, chunk_index, mtime, text, {K.EMBED_DIM} AS dim FROM merged"
+ORACLE["save_index"] = _with(S.FILES_BASE, _INDEX_CHUNKS) + f"""
+SELECT file, chunk_index, mtime, {K.EMBED_DIM} AS dim FROM idx"""
+ORACLE["load_index"] = _UPD + "SELECT file, chunk_index, mtime FROM merged"

@@ -195,3 +195,100 @@ def q_truncate_file(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", TX.truncate(F.col("text"), K.MAX_FILE_CHARS, K.TRUNCATED_MARKER).alias("content"),
                     (F.length("text") > K.MAX_FILE_CHARS).alias("truncated"))
+
+
+# ------------------------------------------------- index lifecycle (3) -----
+from quarry.operators import index_ops as IX  # noqa: E402
+from quarry.plans.indexing import update_index  # noqa: E402
+from quarry.session import scratch_path  # noqa: E402
+from quarry.sinks.index_store import IndexStore  # noqa: E402
+
+
+def base_index(spark, sf_dir):
+    return build_index(V.files_base(spark, sf_dir))
+
+
+def head_current(spark, sf_dir):
+    return scan_index_files(V.files_head(spark, sf_dir)).select("path", "mtime", "content")
+
+
+@register("latest_mtime")
+def q_latest_mtime(spark, sf_dir):
+    return IX.latest_mtime(base_index(spark, sf_dir))
+
+
+@register("files_deleted")
+def q_files_deleted(spark, sf_dir):
+    return IX.files_deleted(base_index(spark, sf_dir), head_current(spark, sf_dir))
+
+
+@register("files_new_or_changed")
+def q_files_new_or_changed(spark, sf_dir):
+    return IX.files_new_or_changed(base_index(spark, sf_dir), head_current(spark, sf_dir)) \
+        .select("file", "mtime")
+
+
+@register("chunks_kept")
+def q_chunks_kept(spark, sf_dir):
+    return IX.chunks_kept(base_index(spark, sf_dir), head_current(spark, sf_dir)) \
+        .select("file", "chunk_index", "mtime")
+
+
+@register("files_except")
+def q_files_except(spark, sf_dir):
+    old = base_index(spark, sf_dir).select("file")
+    cur = head_current(spark, sf_dir).select(F.col("path").alias("file"))
+    return IX.files_except(old, cur)
+
+
+@register("merge_index")
+def q_merge_index(spark, sf_dir):
+    merged, _ = update_index(base_index(spark, sf_dir), V.files_head(spark, sf_dir))
+    return merged.select("file", "chunk_index", "mtime", F.length("text").alias("n_chars"))
+
+
+@register("distinct_files")
+def q_distinct_files(spark, sf_dir):
+    merged, _ = update_index(base_index(spark, sf_dir), V.files_head(spark, sf_dir))
+    return IX.distinct_files(merged)
+
+
+@register("index_stats")
+def q_index_stats(spark, sf_dir):
+    _, stats = update_index(base_index(spark, sf_dir), V.files_head(spark, sf_dir))
+    return stats
+
+
+@register("embed_progress")
+def q_embed_progress(spark, sf_dir):
+    return IX.embed_progress(base_index(spark, sf_dir))
+
+
+@register("build_index")
+def q_build_index(spark, sf_dir):
+    idx = base_index(spark, sf_dir)
+    return idx.select("file", "chunk_index", "mtime", "text", F.size("embedding").alias("dim"))
+
+
+@register("update_index")
+def q_update_index(spark, sf_dir):
+    merged, _ = update_index(base_index(spark, sf_dir), V.files_head(spark, sf_dir))
+    return merged.select("file", "chunk_index", "mtime", "text", F.size("embedding").alias("dim"))
+
+
+@register("save_index")
+def q_save_index(spark, sf_dir):
+    """K1: write the index as a new store version, then read it back."""
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    store.save(base_index(spark, sf_dir))
+    return store.load().select("file", "chunk_index", "mtime", F.size("embedding").alias("dim"))
+
+
+@register("load_index")
+def q_load_index(spark, sf_dir):
+    """Two saves; load returns the newest complete version only."""
+    store = IndexStore(spark, scratch_path(spark, "index"))
+    store.save(base_index(spark, sf_dir))
+    merged, _ = update_index(store.load(), V.files_head(spark, sf_dir))
+    store.save(merged)
+    return store.load().select("file", "chunk_index", "mtime")
