@@ -200,3 +200,48 @@ ORACLE["update_index"] = _UPD + f"SELECT file, chunk_index, mtime, text, {K.EMBE
 ORACLE["save_index"] = _with(S.FILES_BASE, _INDEX_CHUNKS) + f"""
 SELECT file, chunk_index, mtime, {K.EMBED_DIM} AS dim FROM idx"""
 ORACLE["load_index"] = _UPD + "SELECT file, chunk_index, mtime FROM merged"
+
+
+# ------------------------------------------------------- responses (5) -----
+from quarry.operators import responses as RS  # noqa: E402
+
+ORACLE["parse_response_lines"] = _with(S.TOKENS, S.RESPONSE_LINES) + """
+SELECT response_id, line_no, json_extract_string(line, '$.response') AS token FROM response_lines
+WHERE json_valid(line) AND line <> '' AND json_type(line) = 'OBJECT' AND json_exists(line, '$.response')"""
+
+ORACLE["split_reasoning"] = _with(S.TOKENS) + f"SELECT * FROM {S.split_reasoning()}"
+
+_FENCE_S = S.py_strip("final")
+_FENCE_L = S.splitlines(_FENCE_S)
+ORACLE["strip_fence"] = _with(S.FENCED_ANSWERS) + f"""
+SELECT response_id, CASE WHEN starts_with({_FENCE_S}, '```') AND len({_FENCE_L}) >= 2
+                          AND starts_with({_FENCE_L}[-1], '```')
+  THEN array_to_string({_FENCE_L}[2:len({_FENCE_L}) - 1], chr(10)) ELSE {_FENCE_S} END AS content
+FROM fenced_answers"""
+
+_OUT = S.py_strip("(coalesce(final, '') || coalesce(thinking, ''))")
+ORACLE["verdict"] = _with(S.AUDIT_ANSWERS) + f"""
+SELECT response_id, status, CASE WHEN status = 'clear' THEN 0 ELSE 1 END AS exit_code FROM (
+  SELECT response_id, CASE WHEN length({_OUT}) = 0 THEN 'error'
+    WHEN contains({_OUT}, {S.lit(K.ALL_CLEAR_SENTINEL)}) THEN 'clear' ELSE 'findings' END AS status
+  FROM audit_answers)"""
+
+ORACLE["findings"] = _with(S.AUDIT_ANSWERS) + f"""
+SELECT response_id, CAST(line_no AS INTEGER) AS line_no,
+  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 1) AS severity,
+  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 2) AS location,
+  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 3) AS description,
+  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 4) AS remediation
+FROM (SELECT response_id, unnest(string_split(final, chr(10))) AS line,
+             unnest(range(len(string_split(final, chr(10))))) AS line_no FROM audit_answers)
+WHERE regexp_matches(line, {S.lit(RS.FINDING_RE)})"""
+
+ORACLE["final_text"] = _with(S.AUDIT_ANSWERS) + f"""
+SELECT response_id, {S.py_strip("coalesce(final, '')")} AS answer,
+       coalesce(length(final), 0) = 0 AND coalesce(length(thinking), 0) = 0 AS failed FROM audit_answers"""
+
+ORACLE["visible_output"] = _with(S.TOKENS) + f"""
+SELECT response_id, CASE WHEN length(shown) > 0 THEN shown ELSE {S.lit(RS.WAITING)} END AS shown FROM (
+  SELECT response_id, concat_ws(chr(10) || chr(10), CASE WHEN length(thinking) > 0 THEN thinking END,
+                                CASE WHEN length(final) > 0 THEN final END) AS shown
+  FROM {S.split_reasoning()})"""

@@ -159,3 +159,61 @@ def sql_distance(a: str, b: str) -> str:
     return (f"list_reduce(list_transform(range(1, len({a}) + 1), lambda j: "
             f"(CAST({a}[j] AS DOUBLE) - CAST({b}[j] AS DOUBLE)) * (CAST({a}[j] AS DOUBLE) - CAST({b}[j] AS DOUBLE))), "
             f"lambda x, y: x + y)")
+
+
+RESPONSE_LINES = f"""response_lines AS (
+  SELECT response_id, seq * 2 AS line_no, to_json({{'response': chunk}})::VARCHAR AS line FROM tokens
+  UNION ALL SELECT response_id, seq * 2 + 1, {lit(V.MALFORMED_LINE)} FROM tokens WHERE seq % 7 = 3
+  UNION ALL SELECT response_id, seq * 2 + 1, '' FROM tokens WHERE seq % 11 = 5
+  UNION ALL SELECT DISTINCT response_id, CAST({V.DONE_LINE_NO} AS BIGINT), {lit(V.DONE_LINE)} FROM tokens)"""
+
+AUDIT_ANSWERS = f"""audit_answers AS (
+  SELECT conv_id * 1000 + turn AS response_id,
+    CASE conv_id % 4 WHEN 0 THEN text || chr(10) || 'NO_VULNERABILITIES_FOUND' WHEN 1 THEN ''
+      WHEN 2 THEN array_to_string(list_transform(string_split(text, chr(10)),
+                  lambda l: {lit(V.FINDING_PREFIX)} || l || {lit(V.FINDING_SUFFIX)}), chr(10))
+      ELSE text END AS final,
+    CASE WHEN conv_id % 4 = 1 THEN text ELSE '' END AS thinking
+  FROM conversations WHERE role = 'assistant')"""
+
+FENCED_ANSWERS = """fenced_answers AS (
+  SELECT conv_id * 1000 + turn AS response_id,
+    CASE conv_id % 3 WHEN 0 THEN '```python' || chr(10) || text || chr(10) || '```'
+      WHEN 1 THEN '  ```' || chr(10) || text ELSE text END AS final
+  FROM conversations WHERE role = 'assistant')"""
+
+
+def splitlines(c: str) -> str:
+    """Python str.splitlines() on DuckDB (no trailing empty element)."""
+    parts = f"string_split_regex({c}, {lit(TX.LINE_BREAK)})"
+    return (f"(CASE WHEN length({c}) = 0 THEN []::VARCHAR[] WHEN regexp_matches({c}, {lit('(?:' + TX.LINE_BREAK + ')' + chr(92) + 'z')}) "
+            f"THEN {parts}[1:len({parts}) - 1] ELSE {parts} END)")
+
+
+def reasoning_pieces(src: str = "tokens") -> str:
+    """W3 per-token pieces: ``response_id, seq, think_piece, final_piece, is_thinking``."""
+    return f"""(SELECT response_id, seq,
+    CASE WHEN cl THEN parts[1] WHEN op OR coalesce(bef, false) THEN c ELSE '' END AS think_piece,
+    CASE WHEN cl THEN coalesce(parts[2], '') WHEN NOT (op OR coalesce(bef, false)) THEN c ELSE '' END AS final_piece,
+    coalesce(cur, false) AS is_thinking
+  FROM (SELECT *,
+      last_value(aft IGNORE NULLS) OVER (PARTITION BY response_id ORDER BY seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bef,
+      last_value(aft IGNORE NULLS) OVER (PARTITION BY response_id ORDER BY seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur
+    FROM (SELECT response_id, seq, c, op, contains(c, '</think>') AS cl, string_split(c, '</think>') AS parts,
+                 CASE WHEN contains(c, '</think>') THEN false WHEN op THEN true END AS aft
+          FROM (SELECT response_id, seq, replace(chunk, '<think>', '') AS c, contains(chunk, '<think>') AS op
+                FROM {src}))))"""
+
+
+def split_reasoning(src: str = "tokens") -> str:
+    return f"""(SELECT response_id, string_agg(think_piece, '' ORDER BY seq) AS thinking,
+    string_agg(final_piece, '' ORDER BY seq) AS final, arg_max(is_thinking, seq) AS is_thinking
+  FROM {reasoning_pieces(src)} GROUP BY response_id)"""
+
+
+def default_answer(c: str) -> str:
+    """M1 offline default: first three non-blank lines, stripped."""
+    return py_strip(f"array_to_string(list_filter(string_split_regex({c}, {lit(TX.LINE_BREAK)}), "
+                    f"lambda l: regexp_matches(l, {lit(TX.NON_BLANK_RE)}))[1:3], chr(10))")

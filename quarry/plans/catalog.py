@@ -292,3 +292,43 @@ def q_load_index(spark, sf_dir):
     merged, _ = update_index(store.load(), V.files_head(spark, sf_dir))
     store.save(merged)
     return store.load().select("file", "chunk_index", "mtime")
+
+
+# ------------------------------------------------------- responses (5) -----
+from quarry.operators import responses as RS  # noqa: E402
+
+
+@register("parse_response_lines")
+def q_parse_response_lines(spark, sf_dir):
+    return RS.parse_response_lines(V.response_lines(spark, sf_dir)).select("response_id", "line_no", "token")
+
+
+@register("split_reasoning")
+def q_split_reasoning(spark, sf_dir):
+    return RS.split_reasoning(V.tokens(spark, sf_dir))
+
+
+@register("strip_fence")
+def q_strip_fence(spark, sf_dir):
+    a = V.fenced_answers(spark, sf_dir)
+    return a.select("response_id", RS.strip_fence(F.col("final")).alias("content"))
+
+
+@register("verdict")
+def q_verdict(spark, sf_dir):
+    return RS.verdict(V.audit_answers(spark, sf_dir)).select("response_id", "status", "exit_code")
+
+
+@register("findings")
+def q_findings(spark, sf_dir):
+    return RS.findings(V.audit_answers(spark, sf_dir))
+
+
+@register("final_text")
+def q_final_text(spark, sf_dir):
+    return RS.final_text(V.audit_answers(spark, sf_dir)).select("response_id", "answer", "failed")
+
+
+@register("visible_output")
+def q_visible_output(spark, sf_dir):
+    return RS.visible_output(RS.split_reasoning(V.tokens(spark, sf_dir))).select("response_id", "shown")

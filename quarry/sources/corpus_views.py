@@ -147,3 +147,54 @@ def patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src/f"), d.doc_id.cast("string"), F.lit(".py")).alias("path"),
         d.text.alias("content"),
     )
+
+
+MALFORMED_LINE = '{"response": "unterminated'
+DONE_LINE = '{"done": true}'
+DONE_LINE_NO = 1_000_000
+
+
+def response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token stream as raw JSON lines, with blank, malformed and
+    non-token lines mixed in: ``(response_id, line_no, line)``."""
+    t = tokens(spark, sf_dir)
+    good = t.select("response_id", (F.col("seq") * 2).alias("line_no"),
+                    F.to_json(F.struct(F.col("chunk").alias("response"))).alias("line"))
+    bad = t.where(F.col("seq") % 7 == 3).select(
+        "response_id", (F.col("seq") * 2 + 1).alias("line_no"), F.lit(MALFORMED_LINE).alias("line"))
+    blank = t.where(F.col("seq") % 11 == 5).select(
+        "response_id", (F.col("seq") * 2 + 1).alias("line_no"), F.lit("").alias("line"))
+    done = t.select("response_id").distinct().select(
+        "response_id", F.lit(DONE_LINE_NO).cast("bigint").alias("line_no"), F.lit(DONE_LINE).alias("line"))
+    return good.unionByName(bad).unionByName(blank).unionByName(done)
+
+
+FINDING_PREFIX = "HIGH | app.py | "
+FINDING_SUFFIX = " | sanitize input"
+
+
+def audit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit answers ``(response_id, final, thinking)`` from assistant turns:
+    all-clear, thinking only, one finding per line, or free text."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    m = c.conv_id % 4
+    lines = F.split(c.text, "\n", -1)
+    as_findings = F.array_join(
+        F.transform(lines, lambda l: F.concat(F.lit(FINDING_PREFIX), l, F.lit(FINDING_SUFFIX))), "\n")
+    return c.select(
+        (c.conv_id * 1000 + c.turn).alias("response_id"),
+        F.when(m == 0, F.concat(c.text, F.lit("\nNO_VULNERABILITIES_FOUND")))
+        .when(m == 1, F.lit("")).when(m == 2, as_findings).otherwise(c.text).alias("final"),
+        F.when(m == 1, c.text).otherwise(F.lit("")).alias("thinking"),
+    )
+
+
+def fenced_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated test files, some wrapped in a code fence: ``(response_id, final)``."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    m = c.conv_id % 3
+    return c.select(
+        (c.conv_id * 1000 + c.turn).alias("response_id"),
+        F.when(m == 0, F.concat(F.lit("```python\n"), c.text, F.lit("\n```")))
+        .when(m == 1, F.concat(F.lit("  ```\n"), c.text)).otherwise(c.text).alias("final"),
+    )
