@@ -245,3 +245,142 @@ SELECT response_id, CASE WHEN length(shown) > 0 THEN shown ELSE {S.lit(RS.WAITIN
   SELECT response_id, concat_ws(chr(10) || chr(10), CASE WHEN length(thinking) > 0 THEN thinking END,
                                 CASE WHEN length(final) > 0 THEN final END) AS shown
   FROM {S.split_reasoning()})"""
+
+
+# ------------------------------------------- context, prompts, jobs (4) -----
+from quarry.functions import prompts as PR  # noqa: E402
+from quarry.operators import context as CX  # noqa: E402
+
+
+def _hits(qsrc: str, k: int = K.TOP_K) -> str:
+    """CTEs ivec, qsrc, qvec, hits (query_id, file, chunk_index, distance, rank) + rhits with text/score."""
+    return f""",
+ivec AS {S.dense_embedding('idx', 'file, chunk_index')},
+qsrc AS ({qsrc}),
+qvec AS {S.dense_embedding('qsrc', 'query_id')},
+hits AS (
+  SELECT * FROM (
+    SELECT query_id, file, chunk_index, distance,
+           row_number() OVER (PARTITION BY query_id ORDER BY distance, file, chunk_index) AS rank
+    FROM (SELECT q.query_id, i.file, i.chunk_index, {S.sql_distance('q.embedding', 'i.embedding')} AS distance
+          FROM qvec q, ivec i))
+  WHERE rank <= {k}),
+rhits AS (SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.file, h.chunk_index, i.text, h.distance,
+                 printf('%.4f', h.distance) AS score FROM hits h JOIN idx i USING (file, chunk_index))
+"""
+
+
+_BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
+_PROBE_Q = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {S.lit(p)})" for i, p in enumerate(K.PROBES)) + \
+    ") t(query_id, text)"
+_RH = _with(S.FILES_BASE, _INDEX_CHUNKS) + _hits(_BENCH_Q)
+_PH = _with(S.FILES_BASE, _INDEX_CHUNKS) + _hits(_PROBE_Q)
+
+ORACLE["hit_metadata"] = ORACLE["knn"].replace(
+    "SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, distance FROM (",
+    "SELECT query_id, x.vec_id, CAST(rank AS INTEGER) AS rank, e2.label FROM (", 1).replace(
+    f"WHERE rank <= {K.TOP_K}", f"x JOIN embeddings e2 ON e2.vec_id = x.vec_id WHERE rank <= {K.TOP_K}")
+ORACLE["rank_hits"] = _RH + "SELECT query_id, file, chunk_index, rank FROM rhits"
+ORACLE["format_score"] = _RH + "SELECT query_id, rank, score FROM rhits"
+_BLK = "'--- Chunk ' || CAST(rank AS VARCHAR) || ' (file: ' || file"
+ORACLE["context_block"] = _RH + f"""
+SELECT query_id,
+  string_agg({_BLK} || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+  string_agg({_BLK} || ', score: ' || score || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)
+    AS scored_context
+FROM rhits GROUP BY query_id"""
+
+ORACLE["retrieval_query"] = _with(S.FILES_BASE) + f"""
+SELECT path, {S.lit(K.REVIEW_QUERY_PREFIX)} || substring(content, 1, {K.QUERY_PREFIX_CHARS}) AS review_query,
+  {S.lit(K.AUDIT_QUERY_PREFIX)} || {S.py_strip(f"replace(substring(content, 1, {K.QUERY_PREFIX_CHARS}), chr(10), ' ')")}
+    AS audit_query,
+  {S.lit(K.TESTS_QUERY_PREFIX)} || {S.name('path')} AS tests_query FROM files_base"""
+
+ORACLE["probe_queries"] = _PH + "SELECT query_id, rank, file, chunk_index, score FROM rhits"
+_DEDUP = f"""dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY substring(text, 1, {K.DEDUP_PREFIX_CHARS})
+                                  ORDER BY query_id, rank) AS r FROM rhits) WHERE r = 1)"""
+ORACLE["dedup_hits"] = _PH + "," + _DEDUP + " SELECT query_id, rank, file, chunk_index FROM dd"
+
+_BUDGET = CX.budget_chars()
+_MAP = _with(S.FILES_BASE, _PAT_CTE, _LANG) + f"""
+, mf AS (SELECT source, path, content, substring(path, length(source) + 2) AS rel_path FROM files_base f
+         WHERE NOT {S.has_part_in('path', K.CODE_IGNORE_DIRS)}
+           AND lower({S.suffix('path')}) IN (SELECT ext FROM lm) AND {_NOT_IGNORED}),
+mp AS (SELECT source, rel_path, {PR.system_sql('summary')} AS system, {PR.user_sql('summary')} AS user
+       FROM (SELECT source, rel_path, {S.truncate('content', K.MAX_FILE_CHARS, K.TRUNCATED_MARKER)} AS content
+             FROM mf WHERE NOT ({S.is_blank('content')}))),
+ms AS (SELECT source, rel_path, {S.default_answer('user')} AS summary FROM mp),
+tr AS (SELECT source, count(*) AS tree_files, CAST(sum(length(rel_path)) + count(*) - 1 AS BIGINT) AS tree_chars,
+              substring(string_agg(rel_path, chr(10) ORDER BY string_split(rel_path, '/')), 1, {_BUDGET}) AS tree
+       FROM mf GROUP BY source),
+sm AS (SELECT source, count(*) AS n_summaries, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
+              substring(string_agg(piece, chr(10) || chr(10) ORDER BY string_split(rel_path, '/')), 1, {_BUDGET}) AS summaries
+       FROM (SELECT source, rel_path, '### ' || rel_path || chr(10) ||
+                    CASE WHEN summary IS NOT NULL AND length(summary) > 0 THEN summary ELSE {S.lit(CX.FAILED_SUMMARY)} END AS piece
+             FROM ms) GROUP BY source)
+"""
+
+
+def _budget_sql(tr: str, sm: str) -> str:
+    cut = f"(tree_chars + summaries_chars > {_BUDGET})"
+    bt = f"least(tree_chars, {_BUDGET // 4})"
+    return f"""bp AS (SELECT source,
+    CASE WHEN {cut} THEN substring(tree, 1, {bt}) || {S.lit(K.TRUNCATED_MARKER)} ELSE tree END AS tree,
+    CASE WHEN {cut} THEN substring(summaries, 1, {_BUDGET} - {bt}) || {S.lit(K.TRUNCATED_MARKER)} ELSE summaries END
+      AS summaries,
+    {cut} AS cut
+  FROM {tr} JOIN {sm} USING (source))"""
+
+
+_BP = _MAP + "," + _budget_sql("tr", "sm")
+_REPORT = f"""rp AS (SELECT source, {S.py_strip("coalesce(" + S.default_answer(PR.user_sql('architect')) + ", '')")} AS report FROM bp)
+SELECT source, report, CASE WHEN length(report) = 0 THEN 'error' ELSE 'ok' END AS status FROM rp"""
+
+ORACLE["prompt_summary"] = _MAP + "SELECT source, rel_path, system, user FROM mp"
+ORACLE["generate_batch"] = _MAP + "SELECT source, rel_path, summary FROM ms"
+ORACLE["file_tree"] = _MAP + "SELECT source, tree_files, tree_chars, tree FROM tr"
+ORACLE["summaries_concat"] = _MAP + "SELECT source, n_summaries, summaries_chars, summaries FROM sm"
+ORACLE["budget_prompt"] = _BP + "SELECT source, tree, summaries, cut FROM bp"
+ORACLE["prompt_architect"] = _BP + f"""
+SELECT source, {PR.system_sql('architect')} AS system, {PR.user_sql('architect')} AS user FROM bp"""
+ORACLE["analyze_map_reduce"] = _BP + "," + _REPORT
+
+ORACLE["analyze_sampled"] = _PH + "," + _DEDUP + f"""
+, sm AS (SELECT 'index' AS source, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
+                substring(string_agg(piece, chr(10) || chr(10) ORDER BY query_id, rank), 1, {_BUDGET}) AS summaries
+         FROM (SELECT query_id, rank, '### ' || file || chr(10) || text AS piece FROM dd)),
+tr AS (SELECT 'index' AS source, CAST(sum(length(file)) + count(*) - 1 AS BIGINT) AS tree_chars,
+              substring(string_agg(file, chr(10) ORDER BY file), 1, {_BUDGET}) AS tree
+       FROM (SELECT DISTINCT file FROM idx)),
+{_budget_sql('tr', 'sm')},
+{_REPORT}"""
+
+_ASK = _RH + f"""
+, ctx AS (SELECT query_id, string_agg({_BLK} || ', score: ' || score || ') ---' || chr(10) || text,
+                                      chr(10) || chr(10) ORDER BY rank) AS context FROM rhits GROUP BY query_id),
+ap AS (SELECT query_id, {PR.system_sql('ask')} AS system, {PR.user_sql('ask')} AS user
+       FROM (SELECT b.item_id AS query_id, b.text AS question, c.context FROM benchmark b JOIN ctx c ON c.query_id = b.item_id))
+"""
+ORACLE["prompt_ask"] = _ASK + "SELECT query_id, system, user FROM ap"
+ORACLE["ask"] = _ASK + f""", aa AS (SELECT query_id, {S.default_answer('user')} AS resp FROM ap)
+SELECT query_id, {S.py_strip('resp')} AS answer, length(resp) = 0 AS failed FROM aa"""
+
+_SNAP = _with(S.FILES_BASE, S.FILES_HEAD) + """
+, sc AS (SELECT coalesce(b.path, h.path) AS path,
+           CASE WHEN b.path IS NULL THEN 'added' WHEN h.path IS NULL THEN 'removed'
+                WHEN sha256(b.content) <> sha256(h.content) THEN 'modified' ELSE 'same' END AS status
+         FROM files_base b FULL OUTER JOIN files_head h ON b.path = h.path)
+"""
+ORACLE["snapshot_changes"] = _SNAP + "SELECT path, status FROM sc"
+ORACLE["modified_files"] = _SNAP.replace("WITH ", "WITH " + _LANG + ",\n", 1) + f"""
+SELECT DISTINCT path FROM sc WHERE status IN ('added', 'modified') AND lower({S.suffix('path')}) IN (SELECT ext FROM lm)"""
+ORACLE["changed_lines"] = _SNAP + """
+, ch AS (SELECT path FROM sc WHERE status <> 'same'),
+bl AS (SELECT path, line, count(*) AS n_base FROM (SELECT path, unnest(string_split(content, chr(10))) AS line
+       FROM files_base WHERE path IN (SELECT path FROM ch)) GROUP BY ALL),
+hl AS (SELECT path, line, count(*) AS n_head FROM (SELECT path, unnest(string_split(content, chr(10))) AS line
+       FROM files_head WHERE path IN (SELECT path FROM ch)) GROUP BY ALL)
+SELECT coalesce(bl.path, hl.path) AS path, coalesce(bl.line, hl.line) AS line,
+       coalesce(n_base, 0) AS n_base, coalesce(n_head, 0) AS n_head, coalesce(n_head, 0) - coalesce(n_base, 0) AS delta
+FROM bl FULL OUTER JOIN hl ON bl.path = hl.path AND bl.line = hl.line
+WHERE coalesce(n_base, 0) <> coalesce(n_head, 0)"""

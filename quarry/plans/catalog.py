@@ -332,3 +332,183 @@ def q_final_text(spark, sf_dir):
 @register("visible_output")
 def q_visible_output(spark, sf_dir):
     return RS.visible_output(RS.split_reasoning(V.tokens(spark, sf_dir))).select("response_id", "shown")
+
+
+# ------------------------------------------- context, prompts, jobs (4) -----
+from quarry.functions import prompts as PR  # noqa: E402
+from quarry.operators import changes as CH  # noqa: E402
+from quarry.operators import context as CX  # noqa: E402
+from quarry.operators.generate import default_answer, generate_batch  # noqa: E402
+
+
+def base_hits(spark, sf_dir):
+    return retrieve(base_index(spark, sf_dir), benchmark_questions(spark, sf_dir), K.TOP_K)
+
+
+@register("hit_metadata")
+def q_hit_metadata(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    hits = knn(e, label_exemplars(spark, sf_dir), K.TOP_K, keys=["vec_id"])
+    return hits.join(e.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "rank", "label")
+
+
+@register("rank_hits")
+def q_rank_hits(spark, sf_dir):
+    return base_hits(spark, sf_dir).select("query_id", "file", "chunk_index", "rank")
+
+
+@register("format_score")
+def q_format_score(spark, sf_dir):
+    return base_hits(spark, sf_dir).select("query_id", "rank", "score")
+
+
+@register("context_block")
+def q_context_block(spark, sf_dir):
+    return CX.context_block(base_hits(spark, sf_dir))
+
+
+@register("retrieval_query")
+def q_retrieval_query(spark, sf_dir):
+    return CX.retrieval_queries(V.files_base(spark, sf_dir))
+
+
+def probe_hits(spark, sf_dir):
+    return retrieve(base_index(spark, sf_dir), CX.probe_queries(spark), K.TOP_K)
+
+
+@register("probe_queries")
+def q_probe_queries(spark, sf_dir):
+    return probe_hits(spark, sf_dir).select("query_id", "rank", "file", "chunk_index", "score")
+
+
+@register("dedup_hits")
+def q_dedup_hits(spark, sf_dir):
+    return CX.dedup_hits(probe_hits(spark, sf_dir)).select("query_id", "rank", "file", "chunk_index")
+
+
+def mapped_corpus(spark, sf_dir):
+    """S3 over the base snapshot with the inline ignore patterns, plus the
+    path relative to its root."""
+    pats = SC.ignore_patterns(spark, ignore_lines_df(spark))
+    f = SC.scan_mapped_files(V.files_base(spark, sf_dir), pats)
+    return f.withColumn("rel_path", F.expr("substring(path, length(source) + 2)"))
+
+
+def map_prompts(files):
+    """C9 map stage input: F3 -> T3 -> P6."""
+    nb = SC.drop_blank(files, "content")
+    t = nb.withColumn("content", TX.truncate(F.col("content"), K.MAX_FILE_CHARS, K.TRUNCATED_MARKER))
+    return t.select("source", "rel_path", F.lit("summary").alias("purpose"),
+                    PR.system("summary").alias("system"), PR.user("summary").alias("user"))
+
+
+def map_summaries(spark, sf_dir):
+    return generate_batch(map_prompts(mapped_corpus(spark, sf_dir))) \
+        .select("source", "rel_path", F.col("response").alias("summary"))
+
+
+@register("prompt_summary")
+def q_prompt_summary(spark, sf_dir):
+    return map_prompts(mapped_corpus(spark, sf_dir)).select("source", "rel_path", "system", "user")
+
+
+@register("generate_batch")
+def q_generate_batch(spark, sf_dir):
+    return map_summaries(spark, sf_dir)
+
+
+@register("file_tree")
+def q_file_tree(spark, sf_dir):
+    return CX.file_tree(mapped_corpus(spark, sf_dir))
+
+
+@register("summaries_concat")
+def q_summaries_concat(spark, sf_dir):
+    return CX.summaries_concat(map_summaries(spark, sf_dir))
+
+
+def budgeted(spark, sf_dir):
+    return CX.budget_prompt(CX.file_tree(mapped_corpus(spark, sf_dir)),
+                            CX.summaries_concat(map_summaries(spark, sf_dir)))
+
+
+@register("budget_prompt")
+def q_budget_prompt(spark, sf_dir):
+    return budgeted(spark, sf_dir)
+
+
+def architect_prompts(df):
+    return df.select("source", F.lit("architect").alias("purpose"),
+                     PR.system("architect").alias("system"), PR.user("architect").alias("user"))
+
+
+@register("prompt_architect")
+def q_prompt_architect(spark, sf_dir):
+    return architect_prompts(budgeted(spark, sf_dir)).select("source", "system", "user")
+
+
+def report_of(answers):
+    """K5 status: an empty report is an error."""
+    rep = TX.py_strip(F.coalesce(F.col("response"), F.lit("")))
+    return answers.select("source", rep.alias("report"),
+                          F.when(F.length(rep) == 0, F.lit("error")).otherwise(F.lit("ok")).alias("status"))
+
+
+@register("analyze_map_reduce")
+def q_analyze_map_reduce(spark, sf_dir):
+    return report_of(generate_batch(architect_prompts(budgeted(spark, sf_dir))))
+
+
+@register("analyze_sampled")
+def q_analyze_sampled(spark, sf_dir):
+    idx = base_index(spark, sf_dir)
+    hits = CX.dedup_hits(retrieve(idx, CX.probe_queries(spark), K.TOP_K))
+    one = F.lit("index")
+    summ = CX.ordered_prefix(hits.withColumn("source", one), ["source"], F.struct("query_id", "rank"),
+                             F.concat(F.lit("### "), F.col("file"), F.lit("\n"), F.col("text")), "\n\n",
+                             CX.budget_chars(), 5) \
+        .select("source", F.col("total_chars").alias("summaries_chars"),
+                F.substring("prefix", 1, CX.budget_chars()).alias("summaries"))
+    files = IX.distinct_files(idx).withColumn("source", one)
+    tree = CX.ordered_prefix(files, ["source"], F.col("file"), F.col("file"), "\n", CX.budget_chars(), 1) \
+        .select("source", F.col("total_chars").alias("tree_chars"),
+                F.substring("prefix", 1, CX.budget_chars()).alias("tree"))
+    return report_of(generate_batch(architect_prompts(CX.budget_prompt(tree, summ))))
+
+
+def ask_prompts(spark, sf_dir):
+    ctx = CX.context_block(base_hits(spark, sf_dir))
+    q = benchmark_questions(spark, sf_dir).withColumnRenamed("text", "question")
+    j = q.join(ctx.select("query_id", F.col("scored_context").alias("context")), "query_id")
+    return j.select("query_id", F.lit("default").alias("purpose"),
+                    PR.system("ask").alias("system"), PR.user("ask").alias("user"))
+
+
+@register("prompt_ask")
+def q_prompt_ask(spark, sf_dir):
+    return ask_prompts(spark, sf_dir).select("query_id", "system", "user")
+
+
+@register("ask")
+def q_ask(spark, sf_dir):
+    """C4: C3 -> A4 (scored) -> P8 -> M1 -> W3 on the answer -> T15."""
+    ans = generate_batch(ask_prompts(spark, sf_dir))
+    toks = ans.select(F.col("query_id").alias("response_id"), F.lit(0).cast("bigint").alias("seq"),
+                      F.coalesce("response", F.lit("")).alias("chunk"))
+    return RS.final_text(RS.split_reasoning(toks)).select(
+        F.col("response_id").alias("query_id"), "answer", "failed")
+
+
+@register("snapshot_changes")
+def q_snapshot_changes(spark, sf_dir):
+    return CH.snapshot_changes(V.files_base(spark, sf_dir), V.files_head(spark, sf_dir))
+
+
+@register("modified_files")
+def q_modified_files(spark, sf_dir):
+    return CH.modified_files(V.files_base(spark, sf_dir), V.files_head(spark, sf_dir))
+
+
+@register("changed_lines")
+def q_changed_lines(spark, sf_dir):
+    return CH.changed_lines(V.files_base(spark, sf_dir), V.files_head(spark, sf_dir))
