@@ -384,3 +384,60 @@ SELECT coalesce(bl.path, hl.path) AS path, coalesce(bl.line, hl.line) AS line,
        coalesce(n_base, 0) AS n_base, coalesce(n_head, 0) AS n_head, coalesce(n_head, 0) - coalesce(n_base, 0) AS delta
 FROM bl FULL OUTER JOIN hl ON bl.path = hl.path AND bl.line = hl.line
 WHERE coalesce(n_base, 0) <> coalesce(n_head, 0)"""
+
+
+# --------------------------------------------------------- patches (6) -----
+from quarry.operators import patches as PTC  # noqa: E402
+
+
+def _norm_sql(c: str) -> str:
+    return f"array_to_string(list_transform({S.splitlines(c)}, lambda l: regexp_replace(l, {S.lit(TX_RSTRIP)}, '', 'g')), chr(10))"
+
+
+from quarry.functions.text import RSTRIP_RE as TX_RSTRIP  # noqa: E402
+
+_RE = S.lit(PTC.BLOCK_RE)
+_PATCH_BASE = f"""WITH RECURSIVE {S.PATCH_RESPONSES},
+{S.PATCH_FILES},
+pl AS (SELECT response_id, regexp_extract_all(text, {_RE}, 1) AS fs, regexp_extract_all(text, {_RE}, 2) AS ss,
+              regexp_extract_all(text, {_RE}, 3) AS rs FROM patch_responses),
+pp AS (SELECT response_id, CAST(i AS INTEGER) AS patch_no, {S.py_strip('fs[i + 1]')} AS file, ss[i + 1] AS search,
+              rs[i + 1] AS replace FROM (SELECT *, unnest(range(len(fs))) AS i FROM pl)),
+tg AS (SELECT pp.*, f.content, f.content IS NOT NULL AS found,
+              CASE WHEN f.content IS NULL THEN {S.lit(PTC.NOT_FOUND_FILE)} || pp.file END AS error
+       FROM pp LEFT JOIN patch_files f ON f.path = pp.file),
+sq AS (SELECT *, row_number() OVER (PARTITION BY response_id, file ORDER BY patch_no) AS k FROM tg WHERE found),
+fold AS (
+  SELECT response_id, file, CAST(0 AS BIGINT) AS k, content, CAST(NULL AS INTEGER) AS patch_no,
+         CAST(NULL AS BOOLEAN) AS applied, CAST(NULL AS VARCHAR) AS error
+  FROM (SELECT DISTINCT response_id, file, content FROM sq)
+  UNION ALL
+  SELECT s.response_id, s.file, s.k,
+    CASE WHEN strpos(f.content, s.search) > 0
+           THEN substring(f.content, 1, strpos(f.content, s.search) - 1) || s.replace
+                || substring(f.content, strpos(f.content, s.search) + length(s.search))
+         WHEN strpos({_norm_sql('f.content')}, {_norm_sql('s.search')}) > 0
+           THEN substring({_norm_sql('f.content')}, 1, strpos({_norm_sql('f.content')}, {_norm_sql('s.search')}) - 1)
+                || s.replace || substring({_norm_sql('f.content')},
+                     strpos({_norm_sql('f.content')}, {_norm_sql('s.search')}) + length({_norm_sql('s.search')}))
+         ELSE f.content END,
+    s.patch_no,
+    strpos(f.content, s.search) > 0 OR strpos({_norm_sql('f.content')}, {_norm_sql('s.search')}) > 0,
+    CASE WHEN strpos(f.content, s.search) > 0 OR strpos({_norm_sql('f.content')}, {_norm_sql('s.search')}) > 0
+         THEN NULL ELSE {S.lit(PTC.NOT_FOUND_TEXT)} || s.file END
+  FROM fold f JOIN sq s ON s.response_id = f.response_id AND s.file = f.file AND s.k = f.k + 1),
+res AS (SELECT response_id, patch_no, applied, error FROM fold WHERE patch_no IS NOT NULL
+        UNION ALL SELECT response_id, patch_no, false, error FROM tg WHERE NOT found)
+"""
+
+ORACLE["parse_patches"] = _PATCH_BASE + "SELECT response_id, patch_no, file, search, replace FROM pp"
+ORACLE["preview_patch"] = _PATCH_BASE + f"""
+SELECT response_id, patch_no, file, substring(search, 1, {K.PREVIEW_CHARS}) AS search_preview,
+       substring(replace, 1, {K.PREVIEW_CHARS}) AS replace_preview FROM pp"""
+ORACLE["patch_targets"] = _PATCH_BASE + "SELECT response_id, patch_no, file, found, error FROM tg"
+ORACLE["apply_patches"] = _PATCH_BASE + "SELECT * FROM res"
+ORACLE["patch_summary"] = _PATCH_BASE + """
+SELECT response_id, count(*) AS total, count(*) FILTER (WHERE applied) AS applied FROM res GROUP BY response_id"""
+ORACLE["write_patched"] = _PATCH_BASE + """
+SELECT response_id, file, content FROM (
+  SELECT *, row_number() OVER (PARTITION BY response_id, file ORDER BY k DESC) AS r FROM fold) WHERE r = 1"""

@@ -512,3 +512,53 @@ def q_modified_files(spark, sf_dir):
 @register("changed_lines")
 def q_changed_lines(spark, sf_dir):
     return CH.changed_lines(V.files_base(spark, sf_dir), V.files_head(spark, sf_dir))
+
+
+# --------------------------------------------------------- patches (6) -----
+from quarry.operators import patches as PT  # noqa: E402
+from quarry.sinks.tables import write_snapshot  # noqa: E402
+
+
+def parsed_patches(spark, sf_dir):
+    return PT.parse_patches(V.patch_responses(spark, sf_dir))
+
+
+def patch_run(spark, sf_dir):
+    targets = PT.patch_targets(parsed_patches(spark, sf_dir), V.patch_files(spark, sf_dir))
+    applied = PT.apply_patches(targets)
+    return targets, applied
+
+
+@register("parse_patches")
+def q_parse_patches(spark, sf_dir):
+    return parsed_patches(spark, sf_dir)
+
+
+@register("preview_patch")
+def q_preview_patch(spark, sf_dir):
+    return PT.preview_patch(parsed_patches(spark, sf_dir))
+
+
+@register("patch_targets")
+def q_patch_targets(spark, sf_dir):
+    t = PT.patch_targets(parsed_patches(spark, sf_dir), V.patch_files(spark, sf_dir))
+    return t.select("response_id", "patch_no", "file", "found", "error")
+
+
+@register("apply_patches")
+def q_apply_patches(spark, sf_dir):
+    targets, applied = patch_run(spark, sf_dir)
+    return PT.patch_results(targets, applied)
+
+
+@register("patch_summary")
+def q_patch_summary(spark, sf_dir):
+    targets, applied = patch_run(spark, sf_dir)
+    return PT.patch_summary(PT.patch_results(targets, applied))
+
+
+@register("write_patched")
+def q_write_patched(spark, sf_dir):
+    """K4: patched files written as a new snapshot table, then read back."""
+    _, applied = patch_run(spark, sf_dir)
+    return write_snapshot(applied.select("response_id", "file", "content"), "patched")
