@@ -14,6 +14,7 @@ A real model plugs in through :func:`model_embedder`, an iterator
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -48,14 +49,35 @@ def bucket_list(text: Column, dim: int = K.EMBED_DIM) -> Column:
     )
 
 
+def _bucket_of(dim: int):
+    """md5-prefix bucket of one token (cached per worker; vocabularies repeat)."""
+    h = hex_digits(dim)
+    cache: dict[str, int] = {}
+
+    def bucket(tok: str) -> int:
+        b = cache.get(tok)
+        if b is None:
+            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:h], 16)
+            if len(cache) < 2_000_000:
+                cache[tok] = b
+        return b
+
+    return bucket
+
+
 def _densify(dim: int):
     @pandas_udf("array<float>")
-    def densify(buckets: pd.Series) -> pd.Series:
-        n = len(buckets)
-        lens = buckets.map(len).to_numpy()
-        flat = np.concatenate(buckets.to_numpy()) if n and lens.sum() else np.zeros(0, np.int64)
+    def densify(tokens: pd.Series) -> pd.Series:
+        bucket = _bucket_of(dim)
+        n = len(tokens)
+        lens = tokens.map(len).to_numpy()
+        if n == 0 or lens.sum() == 0:
+            return pd.Series([np.zeros(dim, np.float32) for _ in range(n)])
+        flat = np.concatenate([np.asarray(t, dtype=object) for t in tokens.to_numpy()])
+        codes, uniques = pd.factorize(flat)
+        ub = np.fromiter((bucket(t) for t in uniques), dtype=np.int64, count=len(uniques))
         rows = np.repeat(np.arange(n), lens)
-        counts = np.bincount(rows * dim + flat.astype(np.int64), minlength=n * dim)
+        counts = np.bincount(rows * dim + ub[codes], minlength=n * dim)
         counts = counts.reshape(n, dim).astype(np.float64)
         norm = np.sqrt((counts * counts).sum(axis=1))
         norm[norm == 0] = 1.0
@@ -69,10 +91,14 @@ _DENSIFY = {}
 
 
 def hashed_embedding(text: Column, dim: int = K.EMBED_DIM) -> Column:
-    """L2-normalised hashed bag-of-words vector of ``text``."""
+    """L2-normalised hashed bag-of-words vector of ``text``.
+
+    Tokens come from the JVM regex; buckets are computed once per distinct
+    token of an Arrow batch (``pd.factorize``) and counted with ``bincount``.
+    """
     if dim not in _DENSIFY:
         _DENSIFY[dim] = _densify(dim)
-    return _DENSIFY[dim](bucket_list(text, dim))
+    return _DENSIFY[dim](token_list(text))
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]):

@@ -46,13 +46,25 @@ class IndexStore:
         return bool(self.versions())
 
     def save(self, index: DataFrame) -> str:
-        """K1: write a new version; all vectors must share one dimension."""
-        dims = index.select(F.size("embedding").alias("d")).where("d >= 0").distinct().limit(2).collect()
-        if len(dims) > 1:
-            raise ValueError("index vectors differ in dimension")
+        """K1: write a new version; all vectors must share one dimension.
+
+        The data is written once to a pending folder; the dimension check
+        reads only the ``embedding`` sizes back from Parquet; then the folder
+        is renamed into place, so readers only ever see checked versions.
+        """
         v = (self.versions() or [0])[-1] + 1
         target = f"{self.path}/v={v:06d}"
-        index.write.mode("error").parquet(target)
+        pending = f"{self.path}/_pending-v={v:06d}"
+        index.write.mode("overwrite").parquet(pending)
+        dims = (self.spark.read.parquet(pending).select(F.size("embedding").alias("d"))
+                .where("d >= 0").distinct().limit(2).collect())
+        fs, _ = self._fs()
+        jp = self.spark._jvm.org.apache.hadoop.fs.Path
+        if len(dims) > 1:
+            fs.delete(jp(pending), True)
+            raise ValueError("index vectors differ in dimension")
+        if not fs.rename(jp(pending), jp(target)):
+            raise IOError(f"could not publish index version {target}")
         return target
 
     def load(self) -> DataFrame:
