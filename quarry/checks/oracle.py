@@ -441,3 +441,134 @@ SELECT response_id, count(*) AS total, count(*) FILTER (WHERE applied) AS applie
 ORACLE["write_patched"] = _PATCH_BASE + """
 SELECT response_id, file, content FROM (
   SELECT *, row_number() OVER (PARTITION BY response_id, file ORDER BY k DESC) AS r FROM fold) WHERE r = 1"""
+
+
+# ------------------------------------------------------------ jobs (7) -----
+_CS = _SNAP + f"""
+, cp AS (SELECT sc.path, sc.status, coalesce(h.source, b.source) AS source,
+    '--- ' || sc.status || ' ' || sc.path || chr(10) ||
+    CASE sc.status WHEN 'added' THEN '+' || h.content WHEN 'removed' THEN '-' || b.content
+         ELSE '-' || b.content || chr(10) || '+' || h.content END AS diff
+  FROM sc LEFT JOIN files_base b ON b.path = sc.path LEFT JOIN files_head h ON h.path = sc.path
+  WHERE sc.status <> 'same'),
+cs0 AS (SELECT source, count(*) AS n_files, sum(length(diff)) + count(*) - 1 AS total_chars,
+               string_agg(diff, chr(10) ORDER BY string_split(path, '/')) AS diff_text FROM cp GROUP BY source),
+css AS (SELECT source, n_files, {S.truncate('diff_text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE)} AS diff,
+               total_chars > {K.MAX_PAYLOAD_CHARS} AS truncated FROM cs0)
+"""
+
+
+def _answer_cols(src: str, key: str) -> str:
+    """CTEs: ans (key, resp), toks, sr (split reasoning)."""
+    return f""", ans AS (SELECT {key} AS response_id, {S.default_answer('user')} AS resp FROM {src}),
+toks AS (SELECT response_id, CAST(0 AS BIGINT) AS seq, coalesce(resp, '') AS chunk FROM ans),
+sr AS {S.split_reasoning('toks')}
+"""
+
+
+ORACLE["prompt_commit"] = _CS + f"""
+SELECT source, {PR.system_sql('commit')} AS system, {PR.user_sql('commit')} AS user FROM css"""
+ORACLE["commit_messages"] = _CS + f"""
+SELECT source, {S.py_strip("coalesce(" + S.default_answer(PR.user_sql('commit')) + ", '')")} AS message FROM css"""
+
+
+def _ctx_from(qsrc: str) -> str:
+    return _hits(qsrc) + f""", ctx AS (SELECT query_id, string_agg({_BLK} || ') ---' || chr(10) || text,
+                                         chr(10) || chr(10) ORDER BY rank) AS context FROM rhits GROUP BY query_id)
+"""
+
+
+_REVIEW = (_CS
+           + f", {_INDEX_CHUNKS}"
+           + _ctx_from(f"SELECT source AS query_id, {S.lit(K.REVIEW_QUERY_PREFIX)} || substring(diff, 1, {K.QUERY_PREFIX_CHARS}) AS text FROM css")
+           + f""", rp AS (SELECT source, fix, {PR.system_sql('review')} AS system, {PR.user_sql('review')} AS user
+  FROM (SELECT c.*, x.context, length(c.source) % 2 = 0 AS fix FROM css c LEFT JOIN ctx x ON x.query_id = c.source))
+""")
+ORACLE["prompt_review"] = _REVIEW + "SELECT source, fix, system, user FROM rp"
+ORACLE["review"] = _REVIEW + _answer_cols("rp", "source") + f"""
+SELECT response_id AS source, {S.py_strip("coalesce(final, '')")} AS review,
+       coalesce(length(final), 0) = 0 AND coalesce(length(thinking), 0) = 0 AS failed,
+       CAST(len(regexp_extract_all(final, {S.lit(PTC.BLOCK_RE)}, 1)) AS BIGINT) AS n_patches FROM sr"""
+
+_AUD_PAY = f"""pay AS (SELECT source, {S.truncate('full_text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE)} AS code
+  FROM (SELECT source, string_agg(piece, chr(10) || chr(10) ORDER BY string_split(path, '/')) AS full_text
+        FROM (SELECT source, path, '### File: ' || path || chr(10) || content AS piece
+              FROM files_base WHERE {S.code_scan_where()}) GROUP BY source))"""
+_AUQ = (f"{S.lit(K.AUDIT_QUERY_PREFIX)} || "
+        + S.py_strip(f"replace(substring(code, 1, {K.QUERY_PREFIX_CHARS}), chr(10), ' ')"))
+_AUDIT = (_with(S.FILES_BASE, _INDEX_CHUNKS, _AUD_PAY)
+          + _ctx_from(f"SELECT source AS query_id, {_AUQ} AS text FROM pay")
+          + f""", ap AS (SELECT source, fix, {PR.system_sql('audit')} AS system, {PR.user_sql('audit')} AS user
+  FROM (SELECT p.*, x.context, length(p.source) % 2 = 0 AS fix FROM pay p LEFT JOIN ctx x ON x.query_id = p.source))
+""")
+_VOUT = S.py_strip("(coalesce(final, '') || coalesce(thinking, ''))")
+ORACLE["prompt_audit"] = _AUDIT + "SELECT source, fix, system, user FROM ap"
+ORACLE["audit"] = _AUDIT + _answer_cols("ap", "source") + f"""
+, v AS (SELECT response_id, CASE WHEN length({_VOUT}) = 0 THEN 'error'
+         WHEN contains({_VOUT}, {S.lit(K.ALL_CLEAR_SENTINEL)}) THEN 'clear' ELSE 'findings' END AS status, final FROM sr)
+SELECT response_id AS source, status, CASE WHEN status = 'clear' THEN 0 ELSE 1 END AS exit_code,
+  CAST(len(list_filter(string_split(final, chr(10)), lambda l: regexp_matches(l, {S.lit(RS.FINDING_RE)}))) AS BIGINT)
+    AS n_findings FROM v"""
+
+_DOCS = _with(S.FILES_BASE, _LANG, _TYPES, S.EXISTING_DOCS, _AUD_PAY) + f"""
+, c AS (SELECT source, language, count(*) AS n FROM files_base f JOIN lm ON lower({S.suffix('f.path')}) = lm.ext GROUP BY ALL),
+dl AS (SELECT s.source, coalesce(t.language, 'Generic') AS language FROM (SELECT DISTINCT source FROM files_base) s
+       LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, language) AS r FROM c)
+                  WHERE r = 1) t USING (source)),
+jobs AS (SELECT p.source, p.code, dl.language, dt.doc_type, dt.label, dt.type_order,
+                'docs/' || dt.doc_type || '/' || p.source || '.md' AS dest_path, e.content AS existing,
+                e.content IS NOT NULL AS is_update, CAST(NULL AS VARCHAR) AS hint
+         FROM pay p JOIN dl USING (source) CROSS JOIN dt
+         LEFT JOIN existing_docs e ON e.path = 'docs/' || dt.doc_type || '/' || p.source || '.md'),
+dp AS (SELECT *, {PR.system_sql('doc')} AS system, {PR.user_sql('doc')} AS user FROM jobs),
+dr AS (SELECT source, doc_type, label, dest_path, is_update,
+              {S.py_strip("coalesce(" + S.default_answer('user') + ", '')")} AS doc FROM dp),
+dres AS (SELECT *, CASE WHEN length(doc) = 0 THEN 'empty' WHEN is_update THEN 'updated' ELSE 'created' END AS status FROM dr)
+"""
+ORACLE["docs_existing"] = _with(S.FILES_BASE, _TYPES, S.EXISTING_DOCS) + """
+SELECT s.source, dt.doc_type, 'docs/' || dt.doc_type || '/' || s.source || '.md' AS dest_path, e.path IS NOT NULL AS is_update
+FROM (SELECT DISTINCT source FROM files_base) s CROSS JOIN dt
+LEFT JOIN existing_docs e ON e.path = 'docs/' || dt.doc_type || '/' || s.source || '.md'"""
+ORACLE["prompt_doc"] = _DOCS + "SELECT source, doc_type, system, user FROM dp"
+ORACLE["generate_docs"] = _DOCS + "SELECT source, doc_type, dest_path, status, doc FROM dres"
+ORACLE["write_generated"] = _DOCS + "SELECT doc_type, dest_path, doc FROM dres WHERE status <> 'empty'"
+ORACLE["job_summary"] = _DOCS + "SELECT label, status, count(*) AS n_jobs FROM dres GROUP BY ALL"
+
+_TM = "replace(m.path, 'src/', 'tests/')"
+_TESTS = _SNAP.replace("WITH ", "WITH " + _LANG + ",\n", 1) + f"""
+, mod AS (SELECT DISTINCT path FROM sc WHERE status IN ('added', 'modified') AND lower({S.suffix('path')}) IN (SELECT ext FROM lm)),
+tp AS (SELECT m.path, regexp_extract({_TM}, '^(.*/)[^/]*$', 1) ||
+         CASE WHEN lm.suffix IS NOT NULL THEN lm.prefix || {S.stem(_TM)} || lm.suffix
+              ELSE {S.stem(_TM)} || 'Test' || {S.suffix(_TM)} END AS test_path,
+         lm.language, lm.framework
+       FROM mod m JOIN lm ON lower({S.suffix('m.path')}) = lm.ext),
+te AS (SELECT tp.*, e.content AS existing, e.content IS NOT NULL AS is_update, h.content AS code,
+              CASE WHEN e.content IS NOT NULL THEN 'update' ELSE 'new' END AS mode, CAST(NULL AS VARCHAR) AS context
+       FROM tp LEFT JOIN files_head e ON e.path = tp.test_path JOIN files_head h ON h.path = tp.path),
+tpr AS (SELECT path, test_path, is_update, {PR.system_sql('test')} AS system, {PR.user_sql('test')} AS user FROM te),
+tans AS (SELECT path, test_path, is_update, {S.default_answer('user')} AS resp FROM tpr)
+"""
+_FS = S.py_strip("coalesce(resp, '')")
+_FL = S.splitlines(_FS)
+_TPLAN = f"""SELECT path, test_path AS dest_path,
+  CASE WHEN starts_with({_FS}, '```') AND len({_FL}) >= 2 AND starts_with({_FL}[-1], '```')
+       THEN array_to_string({_FL}[2:len({_FL}) - 1], chr(10)) ELSE {_FS} END AS content,
+  CASE WHEN length(coalesce(resp, '')) = 0 THEN 'skip' WHEN is_update THEN 'update' ELSE 'create' END AS action
+FROM tans"""
+ORACLE["tests_existing"] = _TESTS + "SELECT path, test_path, language, framework, is_update FROM te"
+ORACLE["prompt_test"] = _TESTS + "SELECT path, test_path, system, user FROM tpr"
+ORACLE["generate_tests"] = _TESTS + _TPLAN
+ORACLE["write_tests"] = _TESTS + f", pl AS ({_TPLAN}) SELECT dest_path, content, action FROM pl WHERE action <> 'skip'"
+ORACLE["write_report"] = _BP + "," + _REPORT.replace(
+    "SELECT source, report, CASE WHEN length(report) = 0 THEN 'error' ELSE 'ok' END AS status FROM rp",
+    "SELECT source, report FROM rp WHERE length(report) > 0")
+
+_ROUTES = "rt(purpose, model, num_ctx, num_predict) AS (VALUES " + ", ".join(
+    f"({S.lit(p)}, {S.lit(m)}, {c}, {n})" for p, m, c, n in K.ROUTES) + ")"
+from quarry.plans.catalog import PURPOSES  # noqa: E402
+ORACLE["route_model"] = _with(_ROUTES) + f"""
+SELECT d.doc_id, d.purpose, coalesce(nullif(rt.model, ''), {S.lit(K.DEFAULT_MODEL)}) AS model,
+       CAST(coalesce(rt.num_ctx, {K.DEFAULT_NUM_CTX}) AS INTEGER) AS num_ctx,
+       CAST(coalesce(rt.num_predict, {K.DEFAULT_NUM_PREDICT}) AS INTEGER) AS num_predict
+FROM (SELECT doc_id, {S.str_list(PURPOSES)}[doc_id % {len(PURPOSES)} + 1] AS purpose FROM documents) d
+LEFT JOIN rt ON rt.purpose = d.purpose"""

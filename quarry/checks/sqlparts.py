@@ -217,3 +217,9 @@ def default_answer(c: str) -> str:
     """M1 offline default: first three non-blank lines, stripped."""
     return py_strip(f"array_to_string(list_filter(string_split_regex({c}, {lit(TX.LINE_BREAK)}), "
                     f"lambda l: regexp_matches(l, {lit(TX.NON_BLANK_RE)}))[1:3], chr(10))")
+
+
+EXISTING_DOCS = """existing_docs AS (
+  SELECT 'docs/tutorial/' || source || '.md' AS path, 'Earlier tutorial for ' || source AS content
+  FROM (SELECT DISTINCT source FROM files_base)
+  WHERE length(regexp_extract(source, '(\\d+)$', 1)) > 0 AND CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) < 5)"""

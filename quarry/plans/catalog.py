@@ -562,3 +562,125 @@ def q_write_patched(spark, sf_dir):
     """K4: patched files written as a new snapshot table, then read back."""
     _, applied = patch_run(spark, sf_dir)
     return write_snapshot(applied.select("response_id", "file", "content"), "patched")
+
+
+# ------------------------------------------------------------ jobs (7) -----
+from quarry.operators import routing as RT  # noqa: E402
+from quarry.plans import jobs as JB  # noqa: E402
+
+
+def base_changes(spark, sf_dir):
+    return JB.change_sets(V.files_base(spark, sf_dir), V.files_head(spark, sf_dir))
+
+
+@register("prompt_commit")
+def q_prompt_commit(spark, sf_dir):
+    return JB.commit_prompts(base_changes(spark, sf_dir)).select("source", "system", "user")
+
+
+@register("commit_messages")
+def q_commit_messages(spark, sf_dir):
+    return JB.commit_messages(base_changes(spark, sf_dir))
+
+
+@register("prompt_review")
+def q_prompt_review(spark, sf_dir):
+    return JB.review_prompts(base_changes(spark, sf_dir), base_index(spark, sf_dir)).select(
+        "source", "fix", "system", "user")
+
+
+@register("review")
+def q_review(spark, sf_dir):
+    return JB.review(base_changes(spark, sf_dir), base_index(spark, sf_dir))
+
+
+def audit_inputs(spark, sf_dir):
+    return JB.audit_payloads(SC.scan_code_files(V.files_base(spark, sf_dir)))
+
+
+@register("prompt_audit")
+def q_prompt_audit(spark, sf_dir):
+    return JB.audit_prompts(audit_inputs(spark, sf_dir), base_index(spark, sf_dir)).select(
+        "source", "fix", "system", "user")
+
+
+@register("audit")
+def q_audit(spark, sf_dir):
+    return JB.audit(audit_inputs(spark, sf_dir), base_index(spark, sf_dir))
+
+
+def doc_results(spark, sf_dir):
+    fb = V.files_base(spark, sf_dir)
+    return JB.generate_docs(SC.scan_code_files(fb), fb, V.existing_docs(spark, sf_dir))
+
+
+@register("docs_existing")
+def q_docs_existing(spark, sf_dir):
+    jobs = CO.doc_jobs(root_targets(spark, sf_dir))
+    return JB.docs_existing(jobs, V.existing_docs(spark, sf_dir)).select("source", "doc_type", "dest_path", "is_update")
+
+
+@register("prompt_doc")
+def q_prompt_doc(spark, sf_dir):
+    fb = V.files_base(spark, sf_dir)
+    return JB.doc_prompts(SC.scan_code_files(fb), fb, V.existing_docs(spark, sf_dir)).select(
+        "source", "doc_type", "system", "user")
+
+
+@register("generate_docs")
+def q_generate_docs(spark, sf_dir):
+    return doc_results(spark, sf_dir).select("source", "doc_type", "dest_path", "status", "doc")
+
+
+@register("write_generated")
+def q_write_generated(spark, sf_dir):
+    return JB.write_generated(doc_results(spark, sf_dir))
+
+
+@register("job_summary")
+def q_job_summary(spark, sf_dir):
+    return JB.job_summary(doc_results(spark, sf_dir))
+
+
+def test_targets(spark, sf_dir):
+    return CH.modified_files(V.files_base(spark, sf_dir), V.files_head(spark, sf_dir))
+
+
+@register("tests_existing")
+def q_tests_existing(spark, sf_dir):
+    t = JB.tests_existing(test_targets(spark, sf_dir), V.files_head(spark, sf_dir))
+    return t.select("path", "test_path", "language", "framework", "is_update")
+
+
+@register("prompt_test")
+def q_prompt_test(spark, sf_dir):
+    return JB.test_prompts(test_targets(spark, sf_dir), V.files_head(spark, sf_dir)).select(
+        "path", "test_path", "system", "user")
+
+
+@register("generate_tests")
+def q_generate_tests(spark, sf_dir):
+    return JB.generate_tests(test_targets(spark, sf_dir), V.files_head(spark, sf_dir))
+
+
+@register("write_tests")
+def q_write_tests(spark, sf_dir):
+    return JB.write_tests(JB.generate_tests(test_targets(spark, sf_dir), V.files_head(spark, sf_dir)))
+
+
+@register("write_report")
+def q_write_report(spark, sf_dir):
+    return JB.write_report(q_analyze_map_reduce(spark, sf_dir))
+
+
+PURPOSES = ["default", "fast", "coding", "review", "embedding", "summary"]
+
+
+@register("route_model")
+def q_route_model(spark, sf_dir):
+    """Every document's request routed by purpose (cycled over six,
+    one of them not configured)."""
+    d = table(spark, sf_dir, "documents")
+    req = d.select("doc_id", F.element_at(F.array(*[F.lit(p) for p in PURPOSES]),
+                                          (d.doc_id % len(PURPOSES) + 1).cast("int")).alias("purpose"))
+    return RT.route_model(req, RT.routes(spark)).select("doc_id", "purpose", "model", "num_ctx", "num_predict")

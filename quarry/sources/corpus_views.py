@@ -198,3 +198,12 @@ def fenced_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 0, F.concat(F.lit("```python\n"), c.text, F.lit("\n```")))
         .when(m == 1, F.concat(F.lit("  ```\n"), c.text)).otherwise(c.text).alias("final"),
     )
+
+
+def existing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents generated earlier: a tutorial for roots whose number is below 5."""
+    roots = files_base(spark, sf_dir).select("source").distinct()
+    n = F.regexp_extract("source", r"(\d+)$", 1)
+    return roots.where((F.length(n) > 0) & (n.cast("int") < 5)).select(
+        F.concat(F.lit("docs/tutorial/"), F.col("source"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("Earlier tutorial for "), F.col("source")).alias("content"))
