@@ -71,12 +71,13 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, keys: list[str],
     yield out.drop(columns=["_q"])
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
-        vec_col: str = "embedding", query_key: str = "query_id",
-        query_vec: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Top-k corpus rows per query: ``query_id, keys..., distance, rank``.
+def knn_with_count(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
+                   vec_col: str = "embedding", query_key: str = "query_id",
+                   query_vec: str = "embedding", query_block: int = QUERY_BLOCK):
+    """``(hits, n_queries)``; see :func:`knn`.
 
-    ``k <= 0`` gives no rows; fewer than k corpus rows gives all of them.
+    The query side is evaluated once when it fits one block (a bounded
+    ``limit(block + 1)`` collect); only a larger side is counted and split.
     """
     spark = corpus.sparkSession
     key_fields = [corpus.schema[c] for c in keys]
@@ -88,19 +89,22 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
     )
     final_schema = T.StructType(out_schema.fields + [T.StructField("rank", T.IntegerType())])
     if k <= 0:
-        return spark.createDataFrame([], final_schema)
+        return spark.createDataFrame([], final_schema), 0
 
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("_v"))
-    n_q = q.count()
+    first = q.limit(query_block + 1).collect()
+    if len(first) <= query_block:
+        blocks, n_q = [first], len(first)
+    else:
+        n_q = q.count()
+        n_blocks = -(-n_q // query_block)
+        blocks = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()
+                  for b in range(n_blocks)]  # each bounded by about query_block rows
     if n_q == 0:
-        return spark.createDataFrame([], final_schema)
-    n_blocks = -(-n_q // query_block)
+        return spark.createDataFrame([], final_schema), 0
     corpus_in = corpus.select(*keys, vec_col).where(F.col(vec_col).isNotNull())
     parts = []
-    for b in range(n_blocks):
-        block = q if n_blocks == 1 else q.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        rows = block.collect()  # bounded: at most ~query_block rows
+    for rows in blocks:
         if not rows:
             continue
         qids = np.array([r["query_id"] for r in rows], dtype=object)
@@ -116,7 +120,18 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy("query_id").orderBy("distance", *keys)
-    return cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    hits = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return hits, n_q
+
+
+def knn(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
+        vec_col: str = "embedding", query_key: str = "query_id",
+        query_vec: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Top-k corpus rows per query: ``query_id, keys..., distance, rank``.
+
+    ``k <= 0`` gives no rows; fewer than k corpus rows gives all of them.
+    """
+    return knn_with_count(corpus, queries, k, keys, vec_col, query_key, query_vec, query_block)[0]
 
 
 def sql_distance(a: str, b: str) -> str:

@@ -9,7 +9,7 @@ from quarry import constants as K
 from quarry.functions.embed import hashed_embedding
 from quarry.operators import index_ops as IX
 from quarry.operators.chunking import chunk_text
-from quarry.operators.knn import knn
+from quarry.operators.knn import knn_with_count
 from quarry.operators.scan import scan_index_files
 
 # Hits joined back to index metadata are broadcast below this many rows.
@@ -63,9 +63,8 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = K.TOP_K,
     ``hits(query_id, rank, file, chunk_index, text, distance, score)``.
     """
     qv = embed_queries(queries, text_col, dim, embed)
-    hits = knn(index, qv, k, keys=["file", "chunk_index"])
+    hits, n_q = knn_with_count(index, qv, k, keys=["file", "chunk_index"])
     meta = index.select("file", "chunk_index", "text")
-    n_q = queries.count()
     small = F.broadcast(hits) if n_q * max(k, 0) <= HIT_BROADCAST_ROWS else hits
     joined = meta.join(small, ["file", "chunk_index"], "inner")
     return joined.select(
