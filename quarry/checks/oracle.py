@@ -572,3 +572,14 @@ SELECT d.doc_id, d.purpose, coalesce(nullif(rt.model, ''), {S.lit(K.DEFAULT_MODE
        CAST(coalesce(rt.num_predict, {K.DEFAULT_NUM_PREDICT}) AS INTEGER) AS num_predict
 FROM (SELECT doc_id, {S.str_list(PURPOSES)}[doc_id % {len(PURPOSES)} + 1] AS purpose FROM documents) d
 LEFT JOIN rt ON rt.purpose = d.purpose"""
+
+
+# ------------------------------------------------------- streaming (X) -----
+ORACLE["split_reasoning_stream"] = _with(S.TOKENS) + f"""
+SELECT response_id, seq,
+  CAST(sum(length(think_piece)) OVER w AS BIGINT) AS thinking_len,
+  CAST(sum(length(final_piece)) OVER w AS BIGINT) AS final_len, is_thinking
+FROM {S.reasoning_pieces()}
+WINDOW w AS (PARTITION BY response_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+ORACLE["response_stream"] = ORACLE["parse_response_lines"]
+ORACLE["update_index_stream"] = ORACLE["load_index"]

@@ -684,3 +684,54 @@ def q_route_model(spark, sf_dir):
     req = d.select("doc_id", F.element_at(F.array(*[F.lit(p) for p in PURPOSES]),
                                           (d.doc_id % len(PURPOSES) + 1).cast("int")).alias("purpose"))
     return RT.route_model(req, RT.routes(spark)).select("doc_id", "purpose", "model", "num_ctx", "num_predict")
+
+
+# ------------------------------------------------------- streaming (X) -----
+from quarry.streaming import index_updates as XU  # noqa: E402
+from quarry.streaming import reasoning as XR  # noqa: E402
+
+ARRIVALS = [(0, 10), (10, 30), (30, None)]
+
+
+def _feed(df, input_dir, fmt="parquet"):
+    """Test harness: write token arrivals as separate file batches, in order."""
+    for lo, hi in ARRIVALS:
+        part = df.where(F.col("seq") >= lo)
+        if hi is not None:
+            part = part.where(F.col("seq") < hi)
+        part = part.repartition(4, "response_id")
+        (part.write.mode("append").parquet(input_dir) if fmt == "parquet"
+         else part.select("value").write.mode("append").text(input_dir))
+
+
+@register("split_reasoning_stream")
+def q_split_reasoning_stream(spark, sf_dir):
+    """Tokens arrive in three batches; state carries across micro-batches."""
+    inp, out, ck = (scratch_path(spark, n) for n in ("tok-in", "tok-out", "tok-ck"))
+    _feed(V.tokens(spark, sf_dir), inp)
+    stream = spark.readStream.schema(XR.TOKEN_SCHEMA).option("maxFilesPerTrigger", 4).parquet(inp)
+    XR.run_available(XR.split_reasoning_stream(stream), out, ck)
+    return spark.read.parquet(out)
+
+
+@register("response_stream")
+def q_response_stream(spark, sf_dir):
+    """Raw model lines arrive as text files; tokens come out."""
+    inp, out, ck = (scratch_path(spark, n) for n in ("lines-in", "lines-out", "lines-ck"))
+    lines = V.response_lines(spark, sf_dir).withColumn("seq", F.col("line_no") / 2) \
+        .withColumn("value", F.concat_ws("\t", F.col("response_id").cast("string"),
+                                         F.col("line_no").cast("string"), F.col("line")))
+    _feed(lines, inp, fmt="text")
+    XR.run_available(XR.response_stream(spark, inp), out, ck)
+    return spark.read.parquet(out)
+
+
+@register("update_index_stream")
+def q_update_index_stream(spark, sf_dir):
+    """The head snapshot arrives on a stream and updates the stored index."""
+    store = IndexStore(spark, scratch_path(spark, "stream-index"))
+    store.save(base_index(spark, sf_dir))
+    inp, ck = scratch_path(spark, "snap-in"), scratch_path(spark, "snap-ck")
+    V.files_head(spark, sf_dir).select("path", "mtime", "content").write.parquet(inp)
+    XU.update_from_stream(spark, store, inp, ck)
+    return store.load().select("file", "chunk_index", "mtime")

@@ -45,7 +45,13 @@ class IndexStore:
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def save(self, index: DataFrame) -> str:
+    def has_tag(self, tag: str) -> bool:
+        """Whether some published version carries ``tag`` (e.g. a stream batch id)."""
+        fs, _ = self._fs()
+        jp = self.spark._jvm.org.apache.hadoop.fs.Path
+        return any(fs.exists(jp(f"{self.path}/v={v:06d}/_TAG_{tag}")) for v in self.versions())
+
+    def save(self, index: DataFrame, tag: str | None = None) -> str:
         """K1: write a new version; all vectors must share one dimension.
 
         The data is written once to a pending folder; the dimension check
@@ -63,6 +69,8 @@ class IndexStore:
         if len(dims) > 1:
             fs.delete(jp(pending), True)
             raise ValueError("index vectors differ in dimension")
+        if tag:
+            fs.create(jp(f"{pending}/_TAG_{tag}"), True).close()
         if not fs.rename(jp(pending), jp(target)):
             raise IOError(f"could not publish index version {target}")
         return target
