@@ -29,9 +29,8 @@ def route_model(requests: DataFrame, route_table: DataFrame, default_model: str
 def model_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Installed models from a JSON document ``{"models": [{name, size,
     modified_at}, ...]}``; an empty list is an empty frame, not a failure."""
-    raw = spark.read.option("multiLine", True).json(path)
-    if "models" not in raw.columns:
-        return spark.createDataFrame([], "name string, size bigint, modified_at string")
+    schema = "models array<struct<name: string, size: bigint, modified_at: string>>"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
     m = raw.select(F.explode_outer("models").alias("m")).where(F.col("m").isNotNull())
     return m.select(F.col("m.name").cast("string").alias("name"),
                     F.col("m.size").cast("bigint").alias("size"),

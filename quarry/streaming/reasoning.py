@@ -1,5 +1,10 @@
 """Streaming reasoning split (X1) and the token line stream.
 
+Tokens of one response must arrive in ``seq`` order across micro-batches (a
+source partitioned by response id delivers that); within a micro-batch they
+are sorted. A token at or below the last applied ``seq`` is a replay and is
+skipped, which makes re-delivery after a failure harmless.
+
 X1 keeps per-response state ``(thinking, final, flag, last_seq)`` with
 ``applyInPandasWithState`` and emits the state after every token - as
 lengths plus the flag, so output stays linear in the input. A processing-time
