@@ -9,9 +9,12 @@ task is retried.
 ``ordered_prefix`` builds the first ``limit`` characters of a per-group
 ordered concatenation. Every consumer cuts the joined text to a bounded
 budget, so only the first ``N`` rows of each group are needed, where ``N``
-follows from the minimum piece length; ``row_number() <= N`` becomes a
-partial ``WindowGroupLimit`` before the shuffle, so a hot group never sends
-more than ``N`` rows per task. Totals come from plain partial aggregates.
+follows from the minimum piece length. The top-N runs in two levels - per
+(group, salt) slice, then per group - so a hot group is split over ``SALTS``
+tasks and the last window sees at most ``SALTS x N`` rows. With
+``spark.sql.optimizer.windowGroupLimitThreshold`` above ``N`` (set by
+``build_session``) Spark also applies each limit map-side before its
+shuffle. Totals come from plain partial aggregates.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from quarry.session import checkpoint_dir
 
 _POS_BITS = 33
+SALTS = 64
 GROUP_BROADCAST_ROWS = 1_000_000
 
 
@@ -61,8 +65,13 @@ def ordered_prefix(df: DataFrame, group_cols: list[str], order_col: Column, piec
     totals = pieces.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_rows"),
         (F.sum(F.length("_p")) + F.lit(len(sep)) * (F.count(F.lit(1)) - 1)).alias("total_chars"))
+    # Two-level top-N: first per (group, salt) slice, then per group over at
+    # most SALTS x N survivors, so a hot group is cut down in SALTS tasks.
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_o"), F.lit(SALTS)))
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy("_o")
+    first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= need)
     w = Window.partitionBy(*group_cols).orderBy("_o")
-    head = pieces.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need)
+    head = first.drop("_salt", "_r1").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need)
     joined = head.groupBy(*group_cols).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_p"))),
                                  lambda s: s["_p"]), sep).alias("prefix"))
