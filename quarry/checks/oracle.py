@@ -583,3 +583,7 @@ FROM {S.reasoning_pieces()}
 WINDOW w AS (PARTITION BY response_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 ORACLE["response_stream"] = ORACLE["parse_response_lines"]
 ORACLE["update_index_stream"] = ORACLE["load_index"]
+
+ORACLE["doc_path"] = _with(S.FILES_BASE, _TYPES) + """
+SELECT s.source, dt.doc_type, 'docs/' || dt.doc_type || '/' || s.source || '.md' AS dest_path
+FROM (SELECT DISTINCT source FROM files_base) s CROSS JOIN dt"""

@@ -735,3 +735,9 @@ def q_update_index_stream(spark, sf_dir):
     V.files_head(spark, sf_dir).select("path", "mtime", "content").write.parquet(inp)
     XU.update_from_stream(spark, store, inp, ck)
     return store.load().select("file", "chunk_index", "mtime")
+
+
+@register("doc_path")
+def q_doc_path(spark, sf_dir):
+    """Output path ``docs/<type>/<stem>.md`` of each documentation job."""
+    return CO.doc_jobs(root_targets(spark, sf_dir)).select("source", "doc_type", "dest_path")
