@@ -16,13 +16,21 @@ from quarry.operators.scan import scan_index_files
 HIT_BROADCAST_ROWS = 2_000_000
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a snapshot read from few splits over every core before the
+    CPU-heavy chunk/embed step. A no-op when the input already has at least
+    ``defaultParallelism`` partitions (the normal case on a cluster)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def index_rows(files: DataFrame, dim: int = K.EMBED_DIM, embed=None) -> DataFrame:
     """S1 -> G1 -> E1 over a file snapshot ``(path, mtime, content)``.
 
     Chunks are produced where their file was read (narrow explode); the scan
     already balances partitions by bytes, and chunk count follows bytes.
     """
-    f = scan_index_files(files).select("path", "mtime", "content")
+    f = widen(scan_index_files(files).select("path", "mtime", "content"))
     chunks = chunk_text(f, "content", keep=["path", "mtime"])
     vec = embed(F.col("text")) if embed is not None else hashed_embedding(F.col("text"), dim)
     return chunks.select(
