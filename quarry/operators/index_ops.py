@@ -32,6 +32,20 @@ def files_new_or_changed(index: DataFrame, current: DataFrame) -> DataFrame:
         .drop("indexed_mtime")
 
 
+def file_status(index: DataFrame, current: DataFrame) -> DataFrame:
+    """Every file of either side with ``status``: new, changed (strictly newer
+    mtime), unchanged, or deleted. One aggregate over the index's
+    ``(file, mtime)`` columns and one join on ``file``; content is not carried."""
+    old = latest_mtime(index).withColumnRenamed("mtime", "indexed_mtime")
+    cur = current.select(F.col("path").alias("file"), "mtime")
+    j = cur.join(old, "file", "full_outer")
+    status = (F.when(F.col("mtime").isNull(), F.lit("deleted"))
+              .when(F.col("indexed_mtime").isNull(), F.lit("new"))
+              .when(F.col("mtime") > F.col("indexed_mtime"), F.lit("changed"))
+              .otherwise(F.lit("unchanged")))
+    return j.select("file", "mtime", "indexed_mtime", status.alias("status"))
+
+
 def files_unchanged(index: DataFrame, current: DataFrame) -> DataFrame:
     """Current files that are indexed with an mtime at least as new (the
     complement of J4 within the snapshot)."""

@@ -51,8 +51,10 @@ def update_index(old: DataFrame, files: DataFrame, dim: int = K.EMBED_DIM, embed
     newer files are re-chunked and re-embedded; deleted files drop out.
     """
     current = scan_index_files(files).select("path", "mtime", "content")
-    kept = IX.chunks_kept(old, current)
-    changed = IX.files_new_or_changed(old, current).withColumnRenamed("file", "path")
+    status = IX.file_status(old, current)
+    kept = old.join(status.where(F.col("status") == "unchanged").select("file"), "file", "left_semi")
+    todo = status.where(F.col("status").isin("new", "changed")).select(F.col("file").alias("path"))
+    changed = current.join(todo, "path", "left_semi")
     new = index_rows(changed, dim, embed)
     merged = IX.merge_index(kept, new.select(*kept.columns))
     return merged, IX.index_stats(old, kept, new)
