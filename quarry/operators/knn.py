@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERY_BLOCK = 1024
+SLICE_ROWS = 4096  # corpus rows screened at once: the distance matrix stays <= 1024 x 4096
 _TOL = 1e-9
 
 
@@ -39,36 +40,44 @@ def _exact(qv: np.ndarray, cv: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _screen(qmat: np.ndarray, qn: np.ndarray, k: int, keys: list[str], vec_col: str,
+            pdf: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one corpus slice: BLAS screen, then exact distances."""
+    cmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+    if cmat.shape[1] != qmat.shape[1]:
+        raise ValueError("query and corpus vectors differ in dimension")
+    cn = (cmat * cmat).sum(axis=1)
+    approx = qn[:, None] + cn[None, :] - 2.0 * (qmat @ cmat.T)
+    kk = min(k, cmat.shape[0])
+    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+    tol = _TOL * (1.0 + qn.max() + cn.max())
+    qi, ci = np.nonzero(approx <= (kth + tol)[:, None])
+    cand = pd.DataFrame({"_q": qi, "distance": _exact(qmat[qi], cmat[ci])})
+    for key in keys:
+        cand[key] = pdf[key].to_numpy()[ci]
+    return cand
+
+
 def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, keys: list[str],
                     vec_col: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """This task's top-k per query; at most ``k`` (plus exact ties) rows kept
+    between slices, and each screening matrix is at most queries x SLICE_ROWS."""
     qn = (qmat * qmat).sum(axis=1)
-    best: dict = {}
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        cmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-        if cmat.shape[1] != qmat.shape[1]:
-            raise ValueError("query and corpus vectors differ in dimension")
-        cn = (cmat * cmat).sum(axis=1)
-        approx = qn[:, None] + cn[None, :] - 2.0 * (qmat @ cmat.T)
-        kk = min(k, cmat.shape[0])
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        tol = _TOL * (1.0 + qn.max() + cn.max())
-        qi, ci = np.nonzero(approx <= (kth + tol)[:, None])
-        exact = _exact(qmat[qi], cmat[ci])
-        cand = pd.DataFrame({"_q": qi, "distance": exact})
-        for key in keys:
-            cand[key] = pdf[key].to_numpy()[ci]
-        best.setdefault("parts", []).append(cand)
-        # keep memory bounded: reduce accumulated candidates every batch
-        merged = pd.concat(best["parts"], ignore_index=True)
-        merged = merged.sort_values(["_q", "distance", *keys], kind="mergesort")
-        best["parts"] = [merged.groupby("_q", sort=False).head(k)]
-    if not best:
+    best = None
+    for batch in batches:
+        for lo in range(0, len(batch), SLICE_ROWS):
+            pdf = batch.iloc[lo:lo + SLICE_ROWS]
+            if pdf.empty:
+                continue
+            cand = _screen(qmat, qn, k, keys, vec_col, pdf)
+            merged = cand if best is None else pd.concat([best, cand], ignore_index=True)
+            merged = merged.sort_values(["_q", "distance", *keys], kind="mergesort")
+            best = merged.groupby("_q", sort=False).head(k)
+    if best is None:
         return
-    out = best["parts"][0]
-    out.insert(0, "query_id", qids[out["_q"].to_numpy()])
-    yield out.drop(columns=["_q"])
+    best = best.copy()
+    best.insert(0, "query_id", qids[best["_q"].to_numpy()])
+    yield best.drop(columns=["_q"])
 
 
 def knn_with_count(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
