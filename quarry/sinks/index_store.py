@@ -85,3 +85,58 @@ class IndexStore:
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         from quarry.plans.indexing import retrieve
         return retrieve(self.load(), queries, k)
+
+
+class BucketedIndexStore(IndexStore):
+    """Index versions as catalog tables bucketed (and sorted) by ``file``.
+
+    Joins on ``file`` against a bucketed version - the keep/semi join and
+    the status join of an incremental update - read the index without a
+    shuffle; only the file-level side is hash-partitioned to match the
+    buckets. Needs a persistent catalog in production (a metastore); tables
+    are external, stored under ``path``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64):
+        super().__init__(spark, path)
+        self.name = name
+        self.buckets = buckets
+
+    def _table(self, v: int) -> str:
+        return f"{self.name}_v{v:06d}"
+
+    def versions(self) -> list[int]:
+        prefix = f"{self.name}_v".lower()
+        out = []
+        for t in self.spark.catalog.listTables():
+            n = t.name.lower()
+            if n.startswith(prefix) and n[len(prefix):].isdigit():
+                out.append(int(n[len(prefix):]))
+        return sorted(out)
+
+    def has_tag(self, tag: str) -> bool:
+        fs, _ = self._fs()
+        jp = self.spark._jvm.org.apache.hadoop.fs.Path
+        return fs.exists(jp(f"{self.path}/_TAG_{tag}"))
+
+    def save(self, index: DataFrame, tag: str | None = None) -> str:
+        dims = None
+        v = (self.versions() or [0])[-1] + 1
+        location = f"{self.path}/v={v:06d}"
+        (index.write.mode("error").bucketBy(self.buckets, "file").sortBy("file", "chunk_index")
+         .option("path", location).saveAsTable(self._table(v)))
+        dims = (self.spark.table(self._table(v)).select(F.size("embedding").alias("d"))
+                .where("d >= 0").distinct().limit(2).collect())
+        if len(dims) > 1:
+            self.spark.sql(f"DROP TABLE {self._table(v)}")
+            raise ValueError("index vectors differ in dimension")
+        if tag:
+            fs, _ = self._fs()
+            fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_TAG_{tag}"), True).close()
+        return self._table(v)
+
+    def load(self) -> DataFrame:
+        vs = self.versions()
+        if not vs:
+            raise IndexNotFound("no index found; build one first")
+        return self.spark.table(self._table(vs[-1]))
