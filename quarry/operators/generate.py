@@ -11,6 +11,7 @@
   factory runs once per task (model load); rows are sorted by model inside
   each partition, so a task switches models at most once per model and no
   shuffle is added. A failing call yields NULL, as a failed request does.
+  The answers are checkpointed, so downstream fan-out never repeats a call.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import text as TX
+from quarry.session import checkpoint_dir
 
 
 def default_answer(user: Column) -> Column:
@@ -55,4 +57,10 @@ def generate_batch(prompts: DataFrame, generator: GeneratorFactory | None = None
             yield pdf
 
     src = prompts.sortWithinPartitions(model_col) if model_col else prompts
-    return src.mapInPandas(run, schema)
+    answers = src.mapInPandas(run, schema)
+    # Model calls are the most expensive step and need not be deterministic:
+    # answers are checkpointed (reliably, under spark.checkpoint.dir) so every
+    # prompt is sent once even when later stages read the answers twice, and a
+    # lost executor does not re-run the model.
+    checkpoint_dir(prompts.sparkSession)
+    return answers.checkpoint(eager=True)

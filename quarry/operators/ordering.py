@@ -26,7 +26,6 @@ from quarry.session import checkpoint_dir
 
 _POS_BITS = 33
 SALTS = 64
-GROUP_BROADCAST_ROWS = 1_000_000
 
 
 def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
@@ -47,9 +46,8 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: s
     ranked = staged.join(F.broadcast(offsets), "_pid").withColumn("_g", F.col("_off") + pos + 1)
     if not group_cols:
         return ranked.withColumn(name, F.col("_g")).drop("_pid", "_mid", "_off", "_g")
+    # one row per group; AQE broadcasts it at run time when it is small
     starts = ranked.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
-    if starts.count() <= GROUP_BROADCAST_ROWS:
-        starts = F.broadcast(starts)
     return (ranked.join(starts, group_cols)
             .withColumn(name, F.col("_g") - F.col("_g0") + 1)
             .drop("_pid", "_mid", "_off", "_g", "_g0"))

@@ -150,3 +150,27 @@ def test_verdict_and_fence(spark):
     fences = spark.createDataFrame([("```py\ncode\n```",), ("```\nonly",), ("plain",)], "t string")
     out = [r.c for r in fences.select(RS.strip_fence(F.col("t")).alias("c")).collect()]
     assert out == ["code", "```\nonly", "plain"]
+
+
+def test_generator_called_once_per_prompt(spark, tmpdir_fresh):
+    """A plugged-in model is called once per prompt even when answers fan out."""
+    import os
+    from quarry.operators.generate import generate_batch
+    log = os.path.join(tmpdir_fresh, "calls")
+    os.makedirs(log)
+
+    def factory():
+        def call(user, system, purpose):
+            open(os.path.join(log, user), "w").close()
+            if user == "boom":
+                raise RuntimeError("model down")
+            return f"  answer to {user}  "
+        return call
+
+    prompts = spark.createDataFrame([(i, "p", "sys", u) for i, u in enumerate(["a", "b", "boom"])],
+                                    "request_id int, purpose string, system string, user string")
+    ans = generate_batch(prompts, factory)
+    got = {r.user: r.response for r in ans.collect()}
+    assert got == {"a": "answer to a", "b": "answer to b", "boom": None}
+    ans.groupBy("purpose").count().collect()
+    assert sorted(os.listdir(log)) == ["a", "b", "boom"]
