@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import constants as K
-from quarry.functions.embed import hashed_embedding
 from quarry.operators.chunking import chunk_text
 from quarry.operators.knn import knn
 from quarry.operators.scan import scan_index_files
@@ -338,7 +337,7 @@ def q_visible_output(spark, sf_dir):
 from quarry.functions import prompts as PR  # noqa: E402
 from quarry.operators import changes as CH  # noqa: E402
 from quarry.operators import context as CX  # noqa: E402
-from quarry.operators.generate import default_answer, generate_batch  # noqa: E402
+from quarry.operators.generate import generate_batch  # noqa: E402
 
 
 def base_hits(spark, sf_dir):

@@ -1,6 +1,5 @@
 """Physical-plan properties the scale design relies on."""
 
-from pyspark.sql import functions as F
 
 from quarry.operators import corpus as CO
 from quarry.operators import scan as SC
