@@ -47,24 +47,60 @@ def pattern_regex(pattern):
     return F.concat(F.lit("^(?s:"), c, F.lit(")$"))
 
 
-def ignore_patterns(spark: SparkSession, lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """pattern lines -> ``(pattern, regex)``; blank and ``#`` lines dropped."""
+def ignore_patterns(spark: SparkSession, lines: DataFrame, line_col: str = "line",
+                    keep: list[str] | None = None) -> DataFrame:
+    """pattern lines -> ``(keep..., pattern, regex)``; blank and ``#`` lines dropped."""
+    keep = list(keep or [])
     p = TX.py_strip(F.col(line_col))
-    return lines.select(p.alias("pattern")).where(
+    return lines.select(*keep, p.alias("pattern")).where(
         (F.length("pattern") > 0) & ~F.col("pattern").startswith("#")
-    ).select("pattern", pattern_regex(F.col("pattern")).alias("regex")).distinct()
+    ).select(*keep, "pattern", pattern_regex(F.col("pattern")).alias("regex")).distinct()
 
 
-def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path") -> DataFrame:
+def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
+                 root_col: str | None = None) -> DataFrame:
     """files no pattern matches (relative path, bare name, or path + '/').
 
-    A theta join: the pattern list is small and broadcast (it is one ignore
-    file per root); files stream through a ``left_anti`` nested-loop join.
+    With one ignore list for the whole corpus this is a theta join: the list is
+    small and broadcast, files stream through a ``left_anti`` nested-loop join.
+    With per-root lists (``root_col`` in both frames) it is an equi-join on the
+    root with the regex test as residual condition, so each file meets only
+    its own root's patterns and nothing large is broadcast.
     """
-    cond = F.expr(
-        f"`{path_col}` rlike regex or regexp_extract(`{path_col}`, '([^/]*)$', 1) rlike regex "
-        f"or concat(`{path_col}`, '/') rlike regex")
-    return files.alias("f").join(F.broadcast(patterns.select("regex")), cond, "left_anti")
+    test = (f"`{path_col}` rlike regex or regexp_extract(`{path_col}`, '([^/]*)$', 1) rlike regex "
+            f"or concat(`{path_col}`, '/') rlike regex")
+    if root_col is None:
+        return files.join(F.broadcast(patterns.select("regex")), F.expr(test), "left_anti")
+    p = patterns.select(F.col(root_col).alias("_root"), "regex")
+    cond = (F.col(root_col) == F.col("_root")) & F.expr(test)
+    return files.join(p, cond, "left_anti")
+
+
+def read_ignore_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Ignore-file lines as ``(root, line)``, ``root`` = the folder holding the file.
+
+    Spark's file sources skip hidden names such as ``.gitignore``, so the
+    files are read by the tasks themselves (paths on a locally mounted or
+    shared POSIX file system); a missing file contributes no lines.
+    """
+    listing = spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def read(batches):
+        import os
+
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                root = os.path.basename(os.path.dirname(p.rstrip("/")))
+                try:
+                    with open(p, encoding="utf-8", errors="replace") as fh:
+                        rows.extend((root, line) for line in fh.read().splitlines())
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["root", "line"])
+
+    return listing.mapInPandas(read, "root string, line string")
 
 
 def scan_mapped_files(files: DataFrame, patterns: DataFrame | None = None,

@@ -110,3 +110,16 @@ def test_empty_tree_has_no_chunks(spark, tmpdir_fresh):
 def test_suppress_lines(spark):
     df = spark.createDataFrame([("a = 1\nb = eval(x)  # tool-ignore-sec\nc",)], "content string")
     assert SC.suppress_lines(df).first().content == "a = 1\nc"
+
+
+def test_per_root_ignore_files(spark, tmpdir_fresh):
+    for root, pats in {"r1": "*.kt\n# c\n", "r2": "gen/*\n"}.items():
+        os.makedirs(os.path.join(tmpdir_fresh, root), exist_ok=True)
+        with open(os.path.join(tmpdir_fresh, root, ".gitignore"), "w") as fh:
+            fh.write(pats)
+    lines = SC.read_ignore_files(spark, [os.path.join(tmpdir_fresh, r, ".gitignore") for r in ("r1", "r2")])
+    pats = SC.ignore_patterns(spark, lines, keep=["root"])
+    files = spark.createDataFrame([("r1", "a.kt"), ("r1", "gen/x.py"), ("r2", "a.kt"), ("r2", "gen/x.py")],
+                                  "root string, path string")
+    kept = {(r.root, r.path) for r in SC.drop_ignored(files, pats, root_col="root").collect()}
+    assert kept == {("r1", "gen/x.py"), ("r2", "a.kt")}
