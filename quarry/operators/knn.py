@@ -3,9 +3,11 @@
 Squared L2 distance of every query to every corpus vector, lower is better,
 ties broken by the corpus key. Plan:
 
-1. The query side is counted and split into blocks of at most
-   ``query_block`` rows, so what is broadcast has a checked size bound. The
-   corpus is never broadcast or collected.
+1. The query side is broadcast as float32 in jobs of at most
+   ``BROADCAST_BYTES`` (checked: a bounded ``limit`` collect, or a count and a
+   hash split when larger), so one corpus scan serves ~16k queries of width
+   256. The corpus is never broadcast or collected. Inside a task the queries
+   are screened ``QUERY_BLOCK`` at a time.
 2. Per corpus partition (``mapInPandas``, Arrow batches), one BLAS product
    screens candidates: the usual ``|q|^2 + |c|^2 - 2 q.c`` form, with a
    tolerance that covers its rounding. Only the candidates get the exact
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERY_BLOCK = 1024
+BROADCAST_BYTES = 64 << 20  # query vectors broadcast per job
+QUERIES_PER_JOB = 16384
 SLICE_ROWS = 4096  # corpus rows screened at once: the distance matrix stays <= 1024 x 4096
 _TOL = 1e-9
 
@@ -59,34 +63,47 @@ def _screen(qmat: np.ndarray, qn: np.ndarray, k: int, keys: list[str], vec_col:
 
 
 def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, keys: list[str],
-                    vec_col: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """This task's top-k per query; at most ``k`` (plus exact ties) rows kept
-    between slices, and each screening matrix is at most queries x SLICE_ROWS."""
-    qn = (qmat * qmat).sum(axis=1)
-    best = None
+                    vec_col: str, batches: Iterator[pd.DataFrame],
+                    screen_block: int = QUERY_BLOCK) -> Iterator[pd.DataFrame]:
+    """This task's top-k per query; at most ``k`` rows per query kept between
+    slices, and each screening matrix is at most QUERY_BLOCK x SLICE_ROWS."""
+    blocks = [qmat[q0:q0 + screen_block].astype(np.float64) for q0 in range(0, len(qmat), screen_block)]
+    norms = [(qb * qb).sum(axis=1) for qb in blocks]
+    best: dict[int, pd.DataFrame] = {}  # running top-k per query block
     for batch in batches:
         for lo in range(0, len(batch), SLICE_ROWS):
             pdf = batch.iloc[lo:lo + SLICE_ROWS]
             if pdf.empty:
                 continue
-            cand = _screen(qmat, qn, k, keys, vec_col, pdf)
-            merged = cand if best is None else pd.concat([best, cand], ignore_index=True)
-            merged = merged.sort_values(["_q", "distance", *keys], kind="mergesort")
-            best = merged.groupby("_q", sort=False).head(k)
-    if best is None:
+            for b, (qb, qn) in enumerate(zip(blocks, norms)):
+                cand = _screen(qb, qn, k, keys, vec_col, pdf)
+                if b in best:
+                    cand = pd.concat([best[b], cand], ignore_index=True)
+                cand = cand.sort_values(["_q", "distance", *keys], kind="mergesort")
+                best[b] = cand.groupby("_q", sort=False).head(k)
+    if not best:
         return
-    best = best.copy()
+    parts = []
+    for b, df in best.items():
+        df = df.copy()
+        df["_q"] += b * screen_block
+        parts.append(df)
+    best = pd.concat(parts, ignore_index=True)
     best.insert(0, "query_id", qids[best["_q"].to_numpy()])
     yield best.drop(columns=["_q"])
 
 
 def knn_with_count(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
                    vec_col: str = "embedding", query_key: str = "query_id",
-                   query_vec: str = "embedding", query_block: int = QUERY_BLOCK):
+                   query_vec: str = "embedding", query_block: int | None = None,
+                   screen_block: int = QUERY_BLOCK):
     """``(hits, n_queries)``; see :func:`knn`.
 
-    The query side is evaluated once when it fits one block (a bounded
-    ``limit(block + 1)`` collect); only a larger side is counted and split.
+    ``query_block`` is the number of queries collected at a time (default
+    ``QUERIES_PER_JOB``); each collected block is broadcast in pieces of at
+    most ``BROADCAST_BYTES``. The query side is evaluated once when it fits
+    one block (a bounded ``limit(block + 1)`` collect); only a larger side is
+    counted and hash-split.
     """
     spark = corpus.sparkSession
     key_fields = [corpus.schema[c] for c in keys]
@@ -101,6 +118,7 @@ def knn_with_count(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str
         return spark.createDataFrame([], final_schema), 0
 
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("_v"))
+    query_block = query_block or QUERIES_PER_JOB
     first = q.limit(query_block + 1).collect()
     if len(first) <= query_block:
         blocks, n_q = [first], len(first)
@@ -116,15 +134,17 @@ def knn_with_count(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str
     for rows in blocks:
         if not rows:
             continue
-        qids = np.array([r["query_id"] for r in rows], dtype=object)
-        qmat = np.stack([np.asarray(r["_v"], dtype=np.float32) for r in rows]).astype(np.float64)
-        bc = spark.sparkContext.broadcast((qids, qmat))
+        qids_all = np.array([r["query_id"] for r in rows], dtype=object)
+        qmat_all = np.stack([np.asarray(r["_v"], dtype=np.float32) for r in rows])
+        per_job = max(1, BROADCAST_BYTES // max(1, qmat_all.shape[1] * 4))
+        for j0 in range(0, len(rows), per_job):
+            bc = spark.sparkContext.broadcast((qids_all[j0:j0 + per_job], qmat_all[j0:j0 + per_job]))
 
-        def run(batches, _bc=bc):
-            ids, mat = _bc.value
-            yield from _partition_topk(ids, mat, k, keys, vec_col, batches)
+            def run(batches, _bc=bc):
+                ids, mat = _bc.value
+                yield from _partition_topk(ids, mat, k, keys, vec_col, batches, screen_block)
 
-        parts.append(corpus_in.mapInPandas(run, out_schema))
+            parts.append(corpus_in.mapInPandas(run, out_schema))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -135,12 +155,14 @@ def knn_with_count(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
         vec_col: str = "embedding", query_key: str = "query_id",
-        query_vec: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+        query_vec: str = "embedding", query_block: int | None = None,
+        screen_block: int = QUERY_BLOCK) -> DataFrame:
     """Top-k corpus rows per query: ``query_id, keys..., distance, rank``.
 
     ``k <= 0`` gives no rows; fewer than k corpus rows gives all of them.
     """
-    return knn_with_count(corpus, queries, k, keys, vec_col, query_key, query_vec, query_block)[0]
+    return knn_with_count(corpus, queries, k, keys, vec_col, query_key, query_vec, query_block,
+                          screen_block)[0]
 
 
 def sql_distance(a: str, b: str) -> str:

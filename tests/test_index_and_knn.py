@@ -24,14 +24,14 @@ def _brute(q, c, k):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_knn_matches_brute_force(spark, block):
+@pytest.mark.parametrize("block,screen", [(None, 1024), (3, 1024), (None, 2)])
+def test_knn_matches_brute_force(spark, block, screen):
     rng = np.random.default_rng(7)
     c = rng.integers(0, 3, size=(60, 4)).astype(np.float32)  # many exact ties
     q = rng.integers(0, 3, size=(7, 4)).astype(np.float32)
     cdf = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(c)], "id long, embedding array<float>")
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<float>")
-    hits = knn(cdf.repartition(4), qdf, 5, keys=["id"], query_block=block).collect()
+    hits = knn(cdf.repartition(4), qdf, 5, keys=["id"], query_block=block, screen_block=screen).collect()
     got = {}
     for r in hits:
         got.setdefault(r.query_id, []).append((r.rank, r.distance, r.id))
