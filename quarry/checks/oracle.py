@@ -276,10 +276,12 @@ _PROBE_Q = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {S.lit(p)})" for i, p in
 _RH = _with(S.FILES_BASE, _INDEX_CHUNKS) + _hits(_BENCH_Q)
 _PH = _with(S.FILES_BASE, _INDEX_CHUNKS) + _hits(_PROBE_Q)
 
-ORACLE["hit_metadata"] = ORACLE["knn"].replace(
-    "SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, distance FROM (",
-    "SELECT query_id, x.vec_id, CAST(rank AS INTEGER) AS rank, e2.label FROM (", 1).replace(
-    f"WHERE rank <= {K.TOP_K}", f"x JOIN embeddings e2 ON e2.vec_id = x.vec_id WHERE rank <= {K.TOP_K}")
+ORACLE["hit_metadata"] = _with(_EXEMPLARS) + f"""
+SELECT x.query_id, x.vec_id, CAST(x.rank AS INTEGER) AS rank, e2.label FROM (
+  SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+  FROM (SELECT q.query_id, e.vec_id, {S.sql_distance('q.qe', 'e.embedding')} AS distance
+        FROM q, embeddings e)) x
+JOIN embeddings e2 ON e2.vec_id = x.vec_id WHERE x.rank <= {K.TOP_K}"""
 ORACLE["rank_hits"] = _RH + "SELECT query_id, file, chunk_index, rank FROM rhits"
 ORACLE["format_score"] = _RH + "SELECT query_id, rank, score FROM rhits"
 _BLK = "'--- Chunk ' || CAST(rank AS VARCHAR) || ' (file: ' || file"
@@ -333,7 +335,8 @@ def _budget_sql(tr: str, sm: str) -> str:
 
 
 _BP = _MAP + "," + _budget_sql("tr", "sm")
-_REPORT = f"""rp AS (SELECT source, {S.py_strip("coalesce(" + S.default_answer(PR.user_sql('architect')) + ", '')")} AS report FROM bp)
+_REPORT_ROWS = f"""rp AS (SELECT source, {S.py_strip("coalesce(" + S.default_answer(PR.user_sql('architect')) + ", '')")} AS report FROM bp)"""
+_REPORT = _REPORT_ROWS + """
 SELECT source, report, CASE WHEN length(report) = 0 THEN 'error' ELSE 'ok' END AS status FROM rp"""
 
 ORACLE["prompt_summary"] = _MAP + "SELECT source, rel_path, system, user FROM mp"
@@ -365,14 +368,20 @@ ORACLE["prompt_ask"] = _ASK + "SELECT query_id, system, user FROM ap"
 ORACLE["ask"] = _ASK + f""", aa AS (SELECT query_id, {S.default_answer('user')} AS resp FROM ap)
 SELECT query_id, {S.py_strip('resp')} AS answer, length(resp) = 0 AS failed FROM aa"""
 
-_SNAP = _with(S.FILES_BASE, S.FILES_HEAD) + """
-, sc AS (SELECT coalesce(b.path, h.path) AS path,
+_SC = """sc AS (SELECT coalesce(b.path, h.path) AS path,
            CASE WHEN b.path IS NULL THEN 'added' WHEN h.path IS NULL THEN 'removed'
                 WHEN sha256(b.content) <> sha256(h.content) THEN 'modified' ELSE 'same' END AS status
-         FROM files_base b FULL OUTER JOIN files_head h ON b.path = h.path)
-"""
+         FROM files_base b FULL OUTER JOIN files_head h ON b.path = h.path)"""
+
+
+def _snap(*extra: str) -> str:
+    """CTEs files_base, files_head, sc (snapshot status) plus ``extra``."""
+    return _with(S.FILES_BASE, S.FILES_HEAD, *extra, _SC)
+
+
+_SNAP = _snap()
 ORACLE["snapshot_changes"] = _SNAP + "SELECT path, status FROM sc"
-ORACLE["modified_files"] = _SNAP.replace("WITH ", "WITH " + _LANG + ",\n", 1) + f"""
+ORACLE["modified_files"] = _snap(_LANG) + f"""
 SELECT DISTINCT path FROM sc WHERE status IN ('added', 'modified') AND lower({S.suffix('path')}) IN (SELECT ext FROM lm)"""
 ORACLE["changed_lines"] = _SNAP + """
 , ch AS (SELECT path FROM sc WHERE status <> 'same'),
@@ -535,7 +544,7 @@ ORACLE["write_generated"] = _DOCS + "SELECT doc_type, dest_path, doc FROM dres W
 ORACLE["job_summary"] = _DOCS + "SELECT label, status, count(*) AS n_jobs FROM dres GROUP BY ALL"
 
 _TM = "replace(m.path, 'src/', 'tests/')"
-_TESTS = _SNAP.replace("WITH ", "WITH " + _LANG + ",\n", 1) + f"""
+_TESTS = _snap(_LANG) + f"""
 , mod AS (SELECT DISTINCT path FROM sc WHERE status IN ('added', 'modified') AND lower({S.suffix('path')}) IN (SELECT ext FROM lm)),
 tp AS (SELECT m.path, regexp_extract({_TM}, '^(.*/)[^/]*$', 1) ||
          CASE WHEN lm.suffix IS NOT NULL THEN lm.prefix || {S.stem(_TM)} || lm.suffix
@@ -559,9 +568,8 @@ ORACLE["tests_existing"] = _TESTS + "SELECT path, test_path, language, framework
 ORACLE["prompt_test"] = _TESTS + "SELECT path, test_path, system, user FROM tpr"
 ORACLE["generate_tests"] = _TESTS + _TPLAN
 ORACLE["write_tests"] = _TESTS + f", pl AS ({_TPLAN}) SELECT dest_path, content, action FROM pl WHERE action <> 'skip'"
-ORACLE["write_report"] = _BP + "," + _REPORT.replace(
-    "SELECT source, report, CASE WHEN length(report) = 0 THEN 'error' ELSE 'ok' END AS status FROM rp",
-    "SELECT source, report FROM rp WHERE length(report) > 0")
+ORACLE["write_report"] = _BP + "," + _REPORT_ROWS + """
+SELECT source, report FROM rp WHERE length(report) > 0"""
 
 _ROUTES = "rt(purpose, model, num_ctx, num_predict) AS (VALUES " + ", ".join(
     f"({S.lit(p)}, {S.lit(m)}, {c}, {n})" for p, m, c, n in K.ROUTES) + ")"
