@@ -14,7 +14,8 @@ follows from the minimum piece length. The top-N runs in two levels - per
 tasks and the last window sees at most ``SALTS x N`` rows. With
 ``spark.sql.optimizer.windowGroupLimitThreshold`` above ``N`` (set by
 ``build_session``) Spark also applies each limit map-side before its
-shuffle. Totals come from plain partial aggregates.
+shuffle. Pieces are cut to ``limit`` characters before any shuffle, so a
+shuffled row never exceeds the budget. Totals come from partial aggregates.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: s
     """1-based rank within ``group_cols`` by ``order_cols`` (a total order)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the input has splits (at least the shuffle default), so
+    # a range holds about one input split of rows whatever the data size
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     staged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
@@ -63,9 +66,12 @@ def ordered_prefix(df: DataFrame, group_cols: list[str], order_col: Column, piec
     totals = pieces.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_rows"),
         (F.sum(F.length("_p")) + F.lit(len(sep)) * (F.count(F.lit(1)) - 1)).alias("total_chars"))
+    # No piece can contribute more than `limit` characters to the prefix, so
+    # pieces are cut before any shuffle (totals above use full lengths).
     # Two-level top-N: first per (group, salt) slice, then per group over at
     # most SALTS x N survivors, so a hot group is cut down in SALTS tasks.
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_o"), F.lit(SALTS)))
+    salted = pieces.withColumn("_p", F.substring("_p", 1, limit)) \
+        .withColumn("_salt", F.pmod(F.xxhash64("_o"), F.lit(SALTS)))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy("_o")
     first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= need)
     w = Window.partitionBy(*group_cols).orderBy("_o")

@@ -14,6 +14,7 @@ def _rows():
     rnd = random.Random(3)
     rows = [("hot", f"d{rnd.randint(0, 50)}/f{i}.py", "x" * rnd.randint(0, 3)) for i in range(20000)]
     rows += [("cold", f"a/f{i}.py", "y" * 40) for i in range(30)]
+    rows += [("cold", "0big.py", "z" * 40000)]  # first in order and longer than the budget
     rows += [("tiny", "only.py", "")]
     return rows
 
