@@ -28,7 +28,7 @@ from quarry.sinks.tables import write_snapshot
 def change_sets(base: DataFrame, head: DataFrame, root_col: str = "source") -> DataFrame:
     """Per root: the diff of all changed files in path order, cut to 15,000
     characters (T2). Roots without changes have no row."""
-    per_file = CH.change_payload(base, head)
+    per_file = CH.change_payload(base, head, limit=K.MAX_PAYLOAD_CHARS)
     roots = head.select("path", root_col).unionByName(base.select("path", root_col)).dropDuplicates(["path"])
     pf = per_file.join(roots, "path")
     agg = ordered_prefix(pf, [root_col], P.parts(F.col("path")), F.col("diff"), "\n",
