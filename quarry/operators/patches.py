@@ -68,51 +68,57 @@ def _first_replace(content: Column, pos: Column, search: Column, repl: Column) -
 
 
 def apply_patches(targets: DataFrame, key: str = "response_id") -> DataFrame:
-    """Fold the found patches of each (answer, file) in order.
+    """Fold the patches of each (answer, file) in order.
 
     Exact match replaces the first occurrence. Otherwise the right-stripped
-    forms are compared and, on a match, the normalised text is written.
-    Returns per patch ``applied``/``error`` and per file the new content:
-    ``(response_id, file, content, results array<struct<patch_no, applied, error>>)``.
+    forms are compared and, on a match, the normalised text is written. A
+    missing file (NULL content) records its not-found error for every patch.
+    Returns ``(response_id, file, content, results)`` with ``results`` an
+    ``array<struct<patch_no, applied, error>>`` in patch order; ``content`` is
+    NULL for missing files.
     """
-    found = targets.where("found")
-    grouped = found.groupBy(key, "file").agg(
+    grouped = targets.groupBy(key, "file").agg(
         F.first("content").alias("content"),
         F.array_sort(F.collect_list(F.struct("patch_no", "search", "replace"))).alias("_p"))
 
     empty = F.array().cast("array<struct<patch_no:int,applied:boolean,error:string>>")
 
+    def result(p, applied: bool, error):
+        return F.struct(p["patch_no"].alias("patch_no"), F.lit(applied).alias("applied"),
+                        error.cast("string").alias("error"))
+
+    def state(content, acc, p, applied, error):
+        return F.struct(content.alias("content"), acc["file"].alias("file"),
+                        F.array_append(acc["res"], result(p, applied, error)).alias("res"))
+
     def merge(acc, p):
         content = acc["content"]
         exact = F.position(p["search"], content)
-        norm = _normalized(content)
-        nsearch = _normalized(p["search"])
-        npos = F.position(nsearch, norm)
-        ok = lambda: F.struct(p["patch_no"].alias("patch_no"), F.lit(True).alias("applied"),
-                              F.lit(None).cast("string").alias("error"))
-        bad = F.struct(p["patch_no"].alias("patch_no"), F.lit(False).alias("applied"),
-                       F.concat(F.lit(NOT_FOUND_TEXT), acc["file"]).alias("error"))
-        return (F.when(exact > 0, F.struct(
-                    _first_replace(content, exact, p["search"], p["replace"]).alias("content"),
-                    acc["file"].alias("file"), F.array_append(acc["res"], ok()).alias("res")))
-                .when(npos > 0, F.struct(
-                    _first_replace(norm, npos, nsearch, p["replace"]).alias("content"),
-                    acc["file"].alias("file"), F.array_append(acc["res"], ok()).alias("res")))
-                .otherwise(F.struct(content.alias("content"), acc["file"].alias("file"),
-                                    F.array_append(acc["res"], bad).alias("res"))))
+
+        def fallback(x):  # x binds both normalised texts once for this step
+            npos = F.position(x["s"], x["n"])
+            return F.when(npos > 0, state(_first_replace(x["n"], npos, x["s"], p["replace"]), acc, p, True,
+                                          F.lit(None))) \
+                .otherwise(state(content, acc, p, False, F.concat(F.lit(NOT_FOUND_TEXT), acc["file"])))
+
+        bound = F.transform(F.array(F.struct(_normalized(content).alias("n"),
+                                             _normalized(p["search"]).alias("s"))), fallback)
+        return (F.when(content.isNull(),
+                       state(content, acc, p, False, F.concat(F.lit(NOT_FOUND_FILE), acc["file"])))
+                .when(exact > 0, state(_first_replace(content, exact, p["search"], p["replace"]), acc, p,
+                                       True, F.lit(None)))
+                .otherwise(F.element_at(bound, 1)))
 
     init = F.struct(F.col("content").alias("content"), F.col("file").alias("file"), empty.alias("res"))
     folded = grouped.select(key, "file", F.aggregate("_p", init, merge).alias("_f"))
     return folded.select(key, "file", F.col("_f.content").alias("content"), F.col("_f.res").alias("results"))
 
 
-def patch_results(targets: DataFrame, applied: DataFrame, key: str = "response_id") -> DataFrame:
-    """Per patch: ``applied`` and ``error`` (missing files keep their J8 error)."""
-    ok = applied.select(key, F.explode("results").alias("r")).select(
+def patch_results(applied: DataFrame, key: str = "response_id") -> DataFrame:
+    """Per patch: ``applied`` and ``error``."""
+    return applied.select(key, F.explode("results").alias("r")).select(
         key, F.col("r.patch_no").alias("patch_no"), F.col("r.applied").alias("applied"),
         F.col("r.error").alias("error"))
-    missing = targets.where(~F.col("found")).select(key, "patch_no", F.lit(False).alias("applied"), "error")
-    return ok.unionByName(missing)
 
 
 def patch_summary(results: DataFrame, key: str = "response_id") -> DataFrame:

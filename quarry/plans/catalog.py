@@ -546,21 +546,22 @@ def q_patch_targets(spark, sf_dir):
 
 @register("apply_patches")
 def q_apply_patches(spark, sf_dir):
-    targets, applied = patch_run(spark, sf_dir)
-    return PT.patch_results(targets, applied)
+    _, applied = patch_run(spark, sf_dir)
+    return PT.patch_results(applied)
 
 
 @register("patch_summary")
 def q_patch_summary(spark, sf_dir):
-    targets, applied = patch_run(spark, sf_dir)
-    return PT.patch_summary(PT.patch_results(targets, applied))
+    _, applied = patch_run(spark, sf_dir)
+    return PT.patch_summary(PT.patch_results(applied))
 
 
 @register("write_patched")
 def q_write_patched(spark, sf_dir):
     """K4: patched files written as a new snapshot table, then read back."""
     _, applied = patch_run(spark, sf_dir)
-    return write_snapshot(applied.select("response_id", "file", "content"), "patched")
+    return write_snapshot(applied.where(F.col("content").isNotNull()).select("response_id", "file", "content"),
+                          "patched")
 
 
 # ------------------------------------------------------------ jobs (7) -----

@@ -36,8 +36,8 @@ def _apply(spark, patches, files):
     f = spark.createDataFrame(files, "path string, content string")
     t = PT.patch_targets(p, f)
     a = PT.apply_patches(t)
-    res = {(r.response_id, r.patch_no): (r.applied, r.error) for r in PT.patch_results(t, a).collect()}
-    content = {(r.response_id, r.file): r.content for r in a.collect()}
+    res = {(r.response_id, r.patch_no): (r.applied, r.error) for r in PT.patch_results(a).collect()}
+    content = {(r.response_id, r.file): r.content for r in a.collect() if r.content is not None}
     return res, content
 
 
