@@ -57,6 +57,11 @@ def ignore_patterns(spark: SparkSession, lines: DataFrame, line_col: str = "line
     ).select(*keep, "pattern", pattern_regex(F.col("pattern")).alias("regex")).distinct()
 
 
+# One ignore file's patterns are broadcast; a list larger than this must be
+# given per root (an equi-join), not broadcast to every task.
+MAX_GLOBAL_PATTERNS = 10_000
+
+
 def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
                  root_col: str | None = None) -> DataFrame:
     """files no pattern matches (relative path, bare name, or path + '/').
@@ -70,6 +75,9 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
     test = (f"`{path_col}` rlike regex or regexp_extract(`{path_col}`, '([^/]*)$', 1) rlike regex "
             f"or concat(`{path_col}`, '/') rlike regex")
     if root_col is None:
+        n = patterns.count()
+        if n > MAX_GLOBAL_PATTERNS:
+            raise ValueError(f"{n} global ignore patterns; give per-root patterns (root_col) instead")
         return files.join(F.broadcast(patterns.select("regex")), F.expr(test), "left_anti")
     p = patterns.select(F.col(root_col).alias("_root"), "regex")
     cond = (F.col(root_col) == F.col("_root")) & F.expr(test)
