@@ -109,3 +109,21 @@ def test_catalog_facts_and_missing(spark, tmpdir_fresh):
     with open(empty, "w") as fh:
         json.dump({"models": []}, fh)
     assert RT.model_catalog(spark, empty).count() == 0
+
+
+def test_model_embedder_plugs_into_build_and_retrieve(spark):
+    """A model embedder (here a deterministic fake) replaces the hashed one."""
+    from quarry.functions.embed import model_embedder
+
+    def load():
+        def embed(texts):
+            return [[float(len(t) % 7), float(t.count("e")), 1.0] for t in texts]
+        return embed
+
+    emb = model_embedder(load)
+    files = spark.createDataFrame([("a/x.py", 1.0, "eee"), ("a/y.py", 1.0, "e" * 10), ("a/z.py", 1.0, "abc")],
+                                  "path string, mtime double, content string")
+    idx = build_index(files, embed=emb)
+    q = spark.createDataFrame([(1, "eee")], "query_id int, text string")
+    hits = retrieve(idx, q, 2, embed=emb).orderBy("rank").collect()
+    assert [h.file for h in hits] == ["a/x.py", "a/z.py"] and hits[0].distance == 0.0
