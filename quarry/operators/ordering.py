@@ -76,6 +76,11 @@ def ordered_prefix(df: DataFrame, group_cols: list[str], order_col: Column, piec
     first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= need)
     w = Window.partitionBy(*group_cols).orderBy("_o")
     head = first.drop("_salt", "_r1").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need)
+    # keep only pieces that start before `limit` in the joined text: what is
+    # collected per group is then at most limit + one piece (<= 2 x limit)
+    start = F.coalesce(F.sum(F.length("_p") + F.lit(len(sep))).over(
+        Window.partitionBy(*group_cols).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = head.withColumn("_start", start).where(F.col("_start") < limit)
     joined = head.groupBy(*group_cols).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_p"))),
                                  lambda s: s["_p"]), sep).alias("prefix"))
