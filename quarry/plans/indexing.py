@@ -21,7 +21,8 @@ def widen(df: DataFrame) -> DataFrame:
     CPU-heavy chunk/embed step. A no-op when the input already has at least
     ``defaultParallelism`` partitions (the normal case on a cluster)."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    # hash on the unique path: even, and deterministic on retry (no round-robin sort)
+    return df.repartition(par, "path") if df.rdd.getNumPartitions() < par else df
 
 
 def index_rows(files: DataFrame, dim: int = K.EMBED_DIM, embed=None) -> DataFrame:
