@@ -127,3 +127,12 @@ def test_model_embedder_plugs_into_build_and_retrieve(spark):
     q = spark.createDataFrame([(1, "eee")], "query_id int, text string")
     hits = retrieve(idx, q, 2, embed=emb).orderBy("rank").collect()
     assert [h.file for h in hits] == ["a/x.py", "a/z.py"] and hits[0].distance == 0.0
+
+
+def test_store_rejects_mixed_dimensions(spark, tmpdir_fresh):
+    store = IndexStore(spark, os.path.join(tmpdir_fresh, "mixed"))
+    bad = spark.createDataFrame([("a", 0, "t", 1.0, [1.0, 2.0]), ("b", 0, "t", 1.0, [1.0])],
+                                "file string, chunk_index int, text string, mtime double, embedding array<float>")
+    with pytest.raises(ValueError):
+        store.save(bad)
+    assert not store.exists()
