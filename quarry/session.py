@@ -38,6 +38,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -72,3 +73,27 @@ def _count():
 
 
 _counter = _count()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable on the executors (UDFs and ``mapInPandas``
+    functions reference it), once per application.
+
+    The package is zipped and added with ``addPyFile``; Spark distributes it
+    to every executor, so the code does not depend on the working directory or
+    on executor images.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="quarry-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "quarry"), "zip", os.path.dirname(pkg), "quarry")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)

@@ -24,6 +24,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quarry-test-ckpt-", dir="/tmp"))
+    from quarry.session import ship_package
+    ship_package(s)
     yield s
 
 
