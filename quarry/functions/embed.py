@@ -40,15 +40,6 @@ def token_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
 
 
-def bucket_list(text: Column, dim: int = K.EMBED_DIM) -> Column:
-    """Bucket id of every token, in token order."""
-    h = hex_digits(dim)
-    return F.transform(
-        token_list(text),
-        lambda t: F.conv(F.substring(F.md5(t), 1, h), 16, 10).cast("int"),
-    )
-
-
 def _bucket_of(dim: int):
     """md5-prefix bucket of one token (cached per worker; vocabularies repeat)."""
     h = hex_digits(dim)

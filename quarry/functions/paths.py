@@ -28,10 +28,6 @@ def parts(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def parent(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-
-
 def has_part_in(path: Column, names: list[str]) -> Column:
     """Any component of the path is one of ``names``."""
     return F.arrays_overlap(parts(path), F.array(*[F.lit(n) for n in names]))

@@ -62,7 +62,3 @@ def truncate_payload(c: Column) -> tuple[Column, Column]:
     """(payload, was_truncated) with the 15,000-character limit."""
     flag = F.length(c) > K.MAX_PAYLOAD_CHARS
     return truncate(c, K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE), flag
-
-
-def first_chars(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)

@@ -10,13 +10,13 @@ from quarry.functions import paths as P
 from quarry.functions import text as TX
 from quarry.operators.ordering import ordered_prefix  # noqa: F401  (re-exported)
 
-# FIXED VALUES: context block header formats (A4).
-CHUNK_HEADER = "--- Chunk {i} (file: {file}) ---"
-SCORED_CHUNK_HEADER = "--- Chunk {i} (file: {file}, score: {score}) ---"
+# FIXED VALUE: text standing in for a missing file summary.
 FAILED_SUMMARY = "(Failed to summarize)"
 
 
 def _block(scored: bool) -> Column:
+    """FIXED FORMAT (A4): ``--- Chunk {i} (file: {file}) ---`` or, scored,
+    ``--- Chunk {i} (file: {file}, score: {score}) ---``, then the text."""
     head = [F.lit("--- Chunk "), F.col("rank").cast("string"), F.lit(" (file: "), F.col("file")]
     if scored:
         head += [F.lit(", score: "), F.col("score")]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry import constants as K
 from quarry.functions import paths as P
-from quarry.functions import text as TX
 from quarry.operators.ordering import ordered_prefix, ordered_rank
 from quarry.operators.scan import language_map
 
@@ -107,7 +106,3 @@ def doc_jobs(targets: DataFrame, out_dir: str = "docs") -> DataFrame:
     return targets.crossJoin(t).withColumn(
         "dest_path", F.concat_ws("/", F.lit(out_dir), F.col("doc_type"),
                                  F.concat(F.col("stem"), F.lit(".md"))))
-
-
-def strip_blank_payload(df: DataFrame, col: str) -> DataFrame:
-    return df.where(~TX.is_blank(F.col(col)))
