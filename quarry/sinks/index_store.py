@@ -1,8 +1,10 @@
 """Versioned Parquet index store.
 
 Each save writes a new ``v=NNNNNN`` folder; a version counts only once its
-``_SUCCESS`` marker exists, so a reader never sees a half-written index and a
-failed job leaves the previous version in place. Listing goes through the
+``_PUBLISHED`` marker exists (written after the data and its check), so a
+reader never sees a half-written index and a failed job leaves the previous
+version in place. Publishing needs no rename, which object stores would turn
+into a copy. Listing goes through the
 Hadoop FileSystem of the path, so the same code works on HDFS or object
 stores.
 """
@@ -13,6 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Vector width of each row, written beside the vectors: the dimension check
+# then reads one int column instead of the vectors themselves.
+DIM_COL = "_dim"
+# Written after a version is complete and checked; readers list only these.
+PUBLISHED = "_PUBLISHED"
+
+
 class IndexNotFound(FileNotFoundError):
     pass
 
@@ -36,7 +45,7 @@ class IndexStore:
         for st in fs.listStatus(root):
             name = st.getPath().getName()
             if st.isDirectory() and name.startswith("v="):
-                marker = self.spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
+                marker = self.spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), PUBLISHED)
                 if fs.exists(marker):
                     out.append(int(name[2:]))
         return sorted(out)
@@ -54,33 +63,43 @@ class IndexStore:
     def save(self, index: DataFrame, tag: str | None = None) -> str:
         """K1: write a new version; all vectors must share one dimension.
 
-        The data is written once to a pending folder; the dimension check
-        reads only the ``embedding`` sizes back from Parquet; then the folder
-        is renamed into place, so readers only ever see checked versions.
+        The data is written once together with each row's vector width; the
+        dimension check reads only that int column back; then the marker
+        publishes the version, so readers only ever see checked versions.
         """
-        v = (self.versions() or [0])[-1] + 1
-        target = f"{self.path}/v={v:06d}"
-        pending = f"{self.path}/_pending-v={v:06d}"
-        index.write.mode("overwrite").parquet(pending)
-        dims = (self.spark.read.parquet(pending).select(F.size("embedding").alias("d"))
-                .where("d >= 0").distinct().limit(2).collect())
         fs, _ = self._fs()
         jp = self.spark._jvm.org.apache.hadoop.fs.Path
+        v = self._next_version(fs, jp)
+        target = f"{self.path}/v={v:06d}"
+        index.withColumn(DIM_COL, F.size("embedding")).write.mode("overwrite").parquet(target)
+        dims = (self.spark.read.parquet(target).select(DIM_COL)
+                .where(f"{DIM_COL} >= 0").distinct().limit(2).collect())
         if len(dims) > 1:
-            fs.delete(jp(pending), True)
+            fs.delete(jp(target), True)
             raise ValueError("index vectors differ in dimension")
         if tag:
-            fs.create(jp(f"{pending}/_TAG_{tag}"), True).close()
-        if not fs.rename(jp(pending), jp(target)):
-            raise IOError(f"could not publish index version {target}")
+            fs.create(jp(f"{target}/_TAG_{tag}"), True).close()
+        fs.create(jp(f"{target}/{PUBLISHED}"), True).close()  # the version becomes visible here
         return target
 
+    def _next_version(self, fs, jp) -> int:
+        """One past every version folder present, published or not (a failed
+        attempt's folder is never reused)."""
+        root = jp(self.path)
+        seen = [0]
+        if fs.exists(root):
+            for st in fs.listStatus(root):
+                name = st.getPath().getName()
+                if name.startswith("v=") and name[2:].isdigit():
+                    seen.append(int(name[2:]))
+        return max(seen) + 1
+
     def load(self) -> DataFrame:
         """The newest complete version."""
         vs = self.versions()
         if not vs:
             raise IndexNotFound("no index found; build one first")
-        return self.spark.read.parquet(f"{self.path}/v={vs[-1]:06d}")
+        return self.spark.read.parquet(f"{self.path}/v={vs[-1]:06d}").drop(DIM_COL)
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         from quarry.plans.indexing import retrieve
@@ -120,13 +139,13 @@ class BucketedIndexStore(IndexStore):
         return fs.exists(jp(f"{self.path}/_TAG_{tag}"))
 
     def save(self, index: DataFrame, tag: str | None = None) -> str:
-        dims = None
         v = (self.versions() or [0])[-1] + 1
         location = f"{self.path}/v={v:06d}"
-        (index.write.mode("error").bucketBy(self.buckets, "file").sortBy("file", "chunk_index")
+        (index.withColumn(DIM_COL, F.size("embedding")).write.mode("error")
+         .bucketBy(self.buckets, "file").sortBy("file", "chunk_index")
          .option("path", location).saveAsTable(self._table(v)))
-        dims = (self.spark.table(self._table(v)).select(F.size("embedding").alias("d"))
-                .where("d >= 0").distinct().limit(2).collect())
+        dims = (self.spark.table(self._table(v)).select(DIM_COL)
+                .where(f"{DIM_COL} >= 0").distinct().limit(2).collect())
         if len(dims) > 1:
             self.spark.sql(f"DROP TABLE {self._table(v)}")
             raise ValueError("index vectors differ in dimension")
@@ -139,4 +158,4 @@ class BucketedIndexStore(IndexStore):
         vs = self.versions()
         if not vs:
             raise IndexNotFound("no index found; build one first")
-        return self.spark.table(self._table(vs[-1]))
+        return self.spark.table(self._table(vs[-1])).drop(DIM_COL)
