@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import constants as K
@@ -57,31 +57,40 @@ def ignore_patterns(spark: SparkSession, lines: DataFrame, line_col: str = "line
     ).select(*keep, "pattern", pattern_regex(F.col("pattern")).alias("regex")).distinct()
 
 
-# One ignore file's patterns are broadcast; a list larger than this must be
-# given per root (an equi-join), not broadcast to every task.
+# A global ignore list is collected (size-checked) and compiled into one
+# literal regex; a larger list must be given per root.
 MAX_GLOBAL_PATTERNS = 10_000
 
 
+def _matches(path_col: str, regex: Column) -> Column:
+    p = F.col(path_col)
+    return F.rlike(p, regex) | F.rlike(P.name(p), regex) | F.rlike(F.concat(p, F.lit("/")), regex)
+
+
 def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
                  root_col: str | None = None) -> DataFrame:
     """files no pattern matches (relative path, bare name, or path + '/').
 
-    With one ignore list for the whole corpus this is a theta join: the list is
-    small and broadcast, files stream through a ``left_anti`` nested-loop join.
-    With per-root lists (``root_col`` in both frames) it is an equi-join on the
-    root with the regex test as residual condition, so each file meets only
-    its own root's patterns and nothing large is broadcast.
+    Each pattern list becomes one alternation of its anchored regexes, so a
+    file is tested once per list, not once per pattern. A global list (at
+    most ``MAX_GLOBAL_PATTERNS``, checked) is a literal regex - a plain filter,
+    compiled once per task, no join. Per-root lists (``root_col`` in both
+    frames) are combined per root and equi-joined on the root; rows reach the
+    filter grouped by root, so each root's regex is compiled once per run.
     """
-    test = (f"`{path_col}` rlike regex or regexp_extract(`{path_col}`, '([^/]*)$', 1) rlike regex "
-            f"or concat(`{path_col}`, '/') rlike regex")
     if root_col is None:
-        n = patterns.count()
-        if n > MAX_GLOBAL_PATTERNS:
-            raise ValueError(f"{n} global ignore patterns; give per-root patterns (root_col) instead")
-        return files.join(F.broadcast(patterns.select("regex")), F.expr(test), "left_anti")
-    p = patterns.select(F.col(root_col).alias("_root"), "regex")
-    cond = (F.col(root_col) == F.col("_root")) & F.expr(test)
-    return files.join(p, cond, "left_anti")
+        rows = patterns.select("regex").distinct().limit(MAX_GLOBAL_PATTERNS + 1).collect()
+        if len(rows) > MAX_GLOBAL_PATTERNS:
+            raise ValueError("too many global ignore patterns; give per-root patterns (root_col)")
+        if not rows:
+            return files
+        combined = "|".join(sorted(r["regex"] for r in rows))
+        return files.where(~_matches(path_col, F.lit(combined)))
+    per_root = patterns.groupBy(F.col(root_col).alias("_root")).agg(
+        F.array_join(F.array_sort(F.collect_set("regex")), "|").alias("_rx"))
+    j = files.join(per_root, files[root_col] == per_root["_root"], "left")
+    keep = F.col("_rx").isNull() | ~_matches(path_col, F.col("_rx"))
+    return j.where(keep).drop("_root", "_rx")
 
 
 def read_ignore_files(spark: SparkSession, paths: list[str]) -> DataFrame:

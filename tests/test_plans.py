@@ -72,3 +72,8 @@ def test_bucketed_index_update_does_not_shuffle_the_index(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_global_ignore_patterns_are_a_filter_not_a_join(spark):
+    plan = _plan(C.mapped_corpus(spark, SF))
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
