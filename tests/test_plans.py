@@ -17,14 +17,20 @@ def _plan(df):
 
 
 def test_retrieval_plan(spark):
+    from quarry.plans.indexing import embed_queries
+    from quarry.operators.knn import knn
     store = IndexStore(spark, scratch_path(spark, "plan-test"))
     store.save(build_index(V.files_base(spark, SF)))
-    plan = _plan(retrieve(store.load(), C.benchmark_questions(spark, SF), 5))
+    idx = store.load()
+    # the text lookup reads only the files the hits name
+    lookup = _plan(retrieve(idx, C.benchmark_questions(spark, SF), 5))
+    text_scans = [l for l in lookup.split("\n") if "FileScan parquet" in l and "text" in l]
+    assert text_scans and all("PushedFilters: [In(file," in l for l in text_scans)
+    plan = _plan(knn(idx, embed_queries(C.benchmark_questions(spark, SF)), 5, keys=["file", "chunk_index"]))
     # per-task top-k before the shuffle, global top-k after it
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
-    # the corpus is scanned, never broadcast: the only broadcast is the hit list
-    assert plan.count("BroadcastExchange") == 1
-    assert "BroadcastNestedLoopJoin" not in plan
+    # the corpus is scanned, never broadcast (queries travel as a broadcast variable)
+    assert "BroadcastExchange" not in plan and "BroadcastNestedLoopJoin" not in plan
     # the vector scan reads only key + vector columns
     vec_scans = [l for l in plan.split("\n") if "FileScan parquet" in l and "embedding" in l]
     assert vec_scans and all("text" not in l for l in vec_scans)
