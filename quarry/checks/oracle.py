@@ -584,7 +584,7 @@ LEFT JOIN rt ON rt.purpose = d.purpose"""
 
 # ------------------------------------------------------- streaming (X) -----
 ORACLE["split_reasoning_stream"] = _with(S.TOKENS) + f"""
-SELECT response_id, seq,
+SELECT response_id, seq, think_piece AS thinking_delta, final_piece AS final_delta,
   CAST(sum(length(think_piece)) OVER w AS BIGINT) AS thinking_len,
   CAST(sum(length(final_piece)) OVER w AS BIGINT) AS final_len, is_thinking
 FROM {S.reasoning_pieces()}

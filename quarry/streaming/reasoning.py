@@ -6,8 +6,9 @@ are sorted. A token at or below the last applied ``seq`` is a replay and is
 skipped, which makes re-delivery after a failure harmless.
 
 X1 keeps per-response state ``(thinking, final, flag, last_seq)`` with
-``applyInPandasWithState`` and emits the state after every token - as
-lengths plus the flag, so output stays linear in the input. A processing-time
+``applyInPandasWithState`` and emits the state after every token - the text
+the token added to each part, the running lengths and the flag - so output
+stays linear in the input and every full state can be rebuilt from it. A processing-time
 timeout evicts finished responses. The final state equals the batch
 ``split_reasoning`` (W3).
 """
@@ -25,7 +26,8 @@ from quarry import constants as K
 from quarry.operators.responses import parse_response_lines
 
 STATE_SCHEMA = "thinking string, final string, flag boolean, last_seq long"
-OUT_SCHEMA = "response_id long, seq long, thinking_len long, final_len long, is_thinking boolean"
+OUT_SCHEMA = ("response_id long, seq long, thinking_delta string, final_delta string, "
+              "thinking_len long, final_len long, is_thinking boolean")
 TOKEN_SCHEMA = "response_id long, seq long, chunk string"
 
 
@@ -50,19 +52,21 @@ def _advance(timeout_ms: int | None):
             if K.THINK_CLOSE in chunk:
                 flag = False
                 parts = chunk.split(K.THINK_CLOSE)
-                thinking += parts[0]
-                final += parts[1] if len(parts) > 1 else ""
+                dt, df = parts[0], (parts[1] if len(parts) > 1 else "")
             elif flag:
-                thinking += chunk
+                dt, df = chunk, ""
             else:
-                final += chunk
+                dt, df = "", chunk
+            thinking += dt
+            final += df
             last = seq
-            out.append((key[0], seq, len(thinking), len(final), flag))
+            out.append((key[0], seq, dt, df, len(thinking), len(final), flag))
         state.update((thinking, final, flag, last))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
         if out:
-            yield pd.DataFrame(out, columns=["response_id", "seq", "thinking_len", "final_len", "is_thinking"])
+            yield pd.DataFrame(out, columns=["response_id", "seq", "thinking_delta", "final_delta",
+                                             "thinking_len", "final_len", "is_thinking"])
 
     return fn
 

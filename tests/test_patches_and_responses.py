@@ -127,9 +127,14 @@ def test_stream_final_state_equals_batch(spark, tmpdir_fresh):
             states.groupBy("response_id").agg(F.max_by(F.struct("thinking_len", "final_len", "is_thinking"), "seq")
                                               .alias("s")).select("response_id", "s.*").collect()}
     assert states.count() == sum(len(v) for v in STREAMS.values())
+    rebuilt = {}
+    for r in sorted(states.collect(), key=lambda r: (r.response_id, r.seq)):
+        t, f = rebuilt.get(r.response_id, ("", ""))
+        rebuilt[r.response_id] = (t + r.thinking_delta, f + r.final_delta)
     for k, v in STREAMS.items():
         t, f, flag = _reference_split(v)
         assert last[k] == (len(t), len(f), flag)
+        assert rebuilt[k] == (t, f)
 
 
 def test_json_lines(spark):
