@@ -121,16 +121,16 @@ def read_ignore_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def scan_mapped_files(files: DataFrame, patterns: DataFrame | None = None,
-                      path_col: str = "path") -> DataFrame:
+                      path_col: str = "path", root_col: str | None = None) -> DataFrame:
     """S3: files with one of the 6 mapped extensions, outside ignored folders and
-    not matched by an ignore pattern."""
+    not matched by an ignore pattern (a global list, or per root with ``root_col``)."""
     spark = files.sparkSession
     lm = language_map(spark).select("ext")
     base = files.where(~P.has_part_in(F.col(path_col), K.CODE_IGNORE_DIRS)) \
         .withColumn("_ext", F.lower(P.suffix(F.col(path_col))))
     base = base.join(F.broadcast(lm), base["_ext"] == lm["ext"], "left_semi").drop("_ext")
     if patterns is not None:
-        base = drop_ignored(base, patterns, path_col)
+        base = drop_ignored(base, patterns, path_col, root_col)
     return base
 
 
