@@ -60,6 +60,13 @@ QUERY_PREFIX_CHARS = 500
 PREVIEW_CHARS = 500
 DEDUP_PREFIX_CHARS = 100
 
+# FIXED VALUES: edit-block pattern (G2; lazy, dot matches newline), corpus file
+# header (A3), text for a missing file summary (A7), viewer placeholder.
+EDIT_BLOCK_RE = r"(?s)<{4}\s*SEARCH\s+file:(.+?)\n(.*?)\n={4}\s*REPLACE\n(.*?)\n>{4}"
+FILE_HEADER = "### File: "
+FAILED_SUMMARY = "(Failed to summarize)"
+WAITING_TEXT = "Waiting for response..."
+
 # FIXED VALUES: verdict sentinel (T12) and the reasoning tags.
 ALL_CLEAR_SENTINEL = "NO_VULNERABILITIES_FOUND"
 THINK_OPEN = "<think>"

@@ -10,8 +10,7 @@ from quarry.functions import paths as P
 from quarry.functions import text as TX
 from quarry.operators.ordering import ordered_prefix  # noqa: F401  (re-exported)
 
-# FIXED VALUE: text standing in for a missing file summary.
-FAILED_SUMMARY = "(Failed to summarize)"
+FAILED_SUMMARY = K.FAILED_SUMMARY
 
 
 def _block(scored: bool) -> Column:

@@ -10,7 +10,7 @@ from quarry.functions import paths as P
 from quarry.operators.ordering import ordered_prefix, ordered_rank
 from quarry.operators.scan import language_map
 
-FILE_HEADER = "### File: "
+FILE_HEADER = K.FILE_HEADER
 
 
 def path_facts(files: DataFrame, root_col: str = "source") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry import constants as K
 from quarry.functions import text as TX
 
-BLOCK_RE = r"(?s)<{4}\s*SEARCH\s+file:(.+?)\n(.*?)\n={4}\s*REPLACE\n(.*?)\n>{4}"
+BLOCK_RE = K.EDIT_BLOCK_RE
 NOT_FOUND_FILE = "file not found: "
 NOT_FOUND_TEXT = "search text not found in "
 

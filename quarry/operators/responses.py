@@ -108,7 +108,7 @@ def final_text(df: DataFrame, final: str = "final", thinking: str = "thinking")
         .withColumn("failed", empty(final) & empty(thinking))
 
 
-WAITING = "Waiting for response..."
+WAITING = K.WAITING_TEXT
 
 
 def visible_output(df: DataFrame, show_thinking: bool = True, final: str = "final",
