@@ -6,9 +6,17 @@ Tables are the driver's pre-registered views; derived views come from
 
 from __future__ import annotations
 
+import re
+
 from quarry import constants as K
 from quarry.checks import sqlparts as S
+from quarry.functions import prompts as PR
+from quarry.functions.text import RSTRIP_RE as TX_RSTRIP
+from quarry.operators import context as CX
+from quarry.operators import patches as PTC
+from quarry.operators import responses as RS
 from quarry.operators import scan as SC
+from quarry.plans.catalog import IGNORE_LINES, PURPOSES
 
 ORACLE: dict[str, str] = {}
 
@@ -69,9 +77,6 @@ FROM hits h JOIN idx i USING (file, chunk_index)"""
 
 
 # ------------------------------------------------- scan family (batch 2) -----
-import re  # noqa: E402
-
-from quarry.plans.catalog import IGNORE_LINES  # noqa: E402
 
 
 def _glob_regex(p: str) -> str:
@@ -203,7 +208,6 @@ ORACLE["load_index"] = _UPD + "SELECT file, chunk_index, mtime FROM merged"
 
 
 # ------------------------------------------------------- responses (5) -----
-from quarry.operators import responses as RS  # noqa: E402
 
 ORACLE["parse_response_lines"] = _with(S.TOKENS, S.RESPONSE_LINES) + """
 SELECT response_id, line_no, json_extract_string(line, '$.response') AS token FROM response_lines
@@ -248,8 +252,6 @@ SELECT response_id, CASE WHEN length(shown) > 0 THEN shown ELSE {S.lit(RS.WAITIN
 
 
 # ------------------------------------------- context, prompts, jobs (4) -----
-from quarry.functions import prompts as PR  # noqa: E402
-from quarry.operators import context as CX  # noqa: E402
 
 
 def _hits(qsrc: str, k: int = K.TOP_K) -> str:
@@ -396,15 +398,12 @@ WHERE coalesce(n_base, 0) <> coalesce(n_head, 0)"""
 
 
 # --------------------------------------------------------- patches (6) -----
-from quarry.operators import patches as PTC  # noqa: E402
 
 
 def _norm_sql(c: str) -> str:
     return f"array_to_string(list_transform({S.splitlines(c)}, lambda l: regexp_replace(l, {S.lit(TX_RSTRIP)}, '', 'g')), chr(10))"
 
 
-from quarry.functions.text import RSTRIP_RE as TX_RSTRIP  # noqa: E402
-
 _RE = S.lit(PTC.BLOCK_RE)
 _PATCH_BASE = f"""WITH RECURSIVE {S.PATCH_RESPONSES},
 {S.PATCH_FILES},
@@ -573,7 +572,6 @@ SELECT source, report FROM rp WHERE length(report) > 0"""
 
 _ROUTES = "rt(purpose, model, num_ctx, num_predict) AS (VALUES " + ", ".join(
     f"({S.lit(p)}, {S.lit(m)}, {c}, {n})" for p, m, c, n in K.ROUTES) + ")"
-from quarry.plans.catalog import PURPOSES  # noqa: E402
 ORACLE["route_model"] = _with(_ROUTES) + f"""
 SELECT d.doc_id, d.purpose, coalesce(nullif(rt.model, ''), {S.lit(K.DEFAULT_MODEL)}) AS model,
        CAST(coalesce(rt.num_ctx, {K.DEFAULT_NUM_CTX}) AS INTEGER) AS num_ctx,
