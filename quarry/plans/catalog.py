@@ -15,6 +15,24 @@ from quarry.operators.knn import knn
 from quarry.operators.scan import scan_index_files
 from quarry.plans.indexing import build_index, retrieve
 from quarry.sources import corpus_views as V
+from quarry.functions import prompts as PR
+from quarry.functions import text as TX
+from quarry.operators import changes as CH
+from quarry.operators import context as CX
+from quarry.operators import corpus as CO
+from quarry.operators import index_ops as IX
+from quarry.operators import patches as PT
+from quarry.operators import responses as RS
+from quarry.operators import routing as RT
+from quarry.operators import scan as SC
+from quarry.operators.generate import generate_batch
+from quarry.plans import jobs as JB
+from quarry.plans.indexing import update_index
+from quarry.session import scratch_path
+from quarry.sinks.index_store import IndexStore
+from quarry.sinks.tables import write_snapshot
+from quarry.streaming import index_updates as XU
+from quarry.streaming import reasoning as XR
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -84,9 +102,6 @@ def q_retrieve(spark, sf_dir):
 
 
 # ------------------------------------------------- scan family (batch 2) -----
-from quarry.functions import text as TX  # noqa: E402
-from quarry.operators import corpus as CO  # noqa: E402
-from quarry.operators import scan as SC  # noqa: E402
 
 # Ignore-file lines used by the pattern queries (a small inline table).
 IGNORE_LINES = ["# generated files", "", "  *.kt  ", "src1*", "*/f1?.ts", "docs/", "*/docs/f2*"]
@@ -197,10 +212,6 @@ def q_truncate_file(spark, sf_dir):
 
 
 # ------------------------------------------------- index lifecycle (3) -----
-from quarry.operators import index_ops as IX  # noqa: E402
-from quarry.plans.indexing import update_index  # noqa: E402
-from quarry.session import scratch_path  # noqa: E402
-from quarry.sinks.index_store import IndexStore  # noqa: E402
 
 
 def base_index(spark, sf_dir):
@@ -294,7 +305,6 @@ def q_load_index(spark, sf_dir):
 
 
 # ------------------------------------------------------- responses (5) -----
-from quarry.operators import responses as RS  # noqa: E402
 
 
 @register("parse_response_lines")
@@ -334,10 +344,6 @@ def q_visible_output(spark, sf_dir):
 
 
 # ------------------------------------------- context, prompts, jobs (4) -----
-from quarry.functions import prompts as PR  # noqa: E402
-from quarry.operators import changes as CH  # noqa: E402
-from quarry.operators import context as CX  # noqa: E402
-from quarry.operators.generate import generate_batch  # noqa: E402
 
 
 def base_hits(spark, sf_dir):
@@ -514,8 +520,6 @@ def q_changed_lines(spark, sf_dir):
 
 
 # --------------------------------------------------------- patches (6) -----
-from quarry.operators import patches as PT  # noqa: E402
-from quarry.sinks.tables import write_snapshot  # noqa: E402
 
 
 def parsed_patches(spark, sf_dir):
@@ -565,8 +569,6 @@ def q_write_patched(spark, sf_dir):
 
 
 # ------------------------------------------------------------ jobs (7) -----
-from quarry.operators import routing as RT  # noqa: E402
-from quarry.plans import jobs as JB  # noqa: E402
 
 
 def base_changes(spark, sf_dir):
@@ -687,8 +689,6 @@ def q_route_model(spark, sf_dir):
 
 
 # ------------------------------------------------------- streaming (X) -----
-from quarry.streaming import index_updates as XU  # noqa: E402
-from quarry.streaming import reasoning as XR  # noqa: E402
 
 ARRIVALS = [(0, 10), (10, 30), (30, None)]
 
