@@ -123,3 +123,16 @@ def test_per_root_ignore_files(spark, tmpdir_fresh):
                                   "root string, path string")
     kept = {(r.root, r.path) for r in SC.drop_ignored(files, pats, root_col="root").collect()}
     assert kept == {("r1", "gen/x.py"), ("r2", "a.kt")}
+
+
+def test_global_pattern_list_is_size_checked(spark, monkeypatch):
+    monkeypatch.setattr(SC, "MAX_GLOBAL_PATTERNS", 2)
+    lines = spark.createDataFrame([("*.a",), ("*.b",), ("*.c",)], "line string")
+    files = spark.createDataFrame([("x.a",)], "path string")
+    import pytest
+    with pytest.raises(ValueError):
+        SC.drop_ignored(files, SC.ignore_patterns(spark, lines))
+
+
+def test_missing_ignore_file_has_no_lines(spark, tmpdir_fresh):
+    assert SC.read_ignore_files(spark, [os.path.join(tmpdir_fresh, "nope", ".gitignore")]).count() == 0
