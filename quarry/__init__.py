@@ -5,6 +5,6 @@ expressions, joins, windows and (where Python is unavoidable) Arrow-batched
 ``mapInPandas`` / ``pandas_udf`` helpers.
 """
 
-from quarry.session import build_session, checkpoint_dir
+from quarry.session import build_session, checkpoint_dir, ship_package
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["build_session", "checkpoint_dir", "ship_package"]
