@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,34 +47,37 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset (local tests)
-    do we create one, so lineage cuts never land on a machine-local folder in
-    production.
+    A cluster sets it to shared storage. Only a ``local`` master may leave it
+    unset (tests); then a temporary folder is made.
     """
+    sc = spark.sparkContext
     path = spark.conf.get(_CKPT_KEY, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables; unique across drivers and calls."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_counter = _count()
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote below ``scratch_root``. Call
+    it at the end, when no frame that reads the scratch tables is in use."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(conf).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
@@ -90,10 +95,8 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
-    import shutil
-
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = tempfile.mkdtemp(prefix="quarry-pkg-", dir="/tmp")
+    out = tempfile.mkdtemp(prefix="quarry-pkg-")
     archive = shutil.make_archive(os.path.join(out, "quarry"), "zip", os.path.dirname(pkg), "quarry")
     sc.addPyFile(archive)
     _SHIPPED.add(app)
