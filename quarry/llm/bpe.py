@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import texts
+from quarry.llm.common import slices, texts
 
 _NO_RANK = np.iinfo(np.int32).max
 #: Words encoded together, words remembered by a task, and bytes of text per
@@ -179,19 +179,6 @@ class Encoder:
         ]
 
 
-def _slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most BATCH_BYTES of text (or one row)."""
-    size = np.fromiter((len(x) for x in batch.column(column).to_pylist()), np.int64, batch.num_rows)
-    start = total = 0
-    for i, n in enumerate(size.tolist()):
-        if total and total + n > BATCH_BYTES:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` (the ids' token texts
     joined by one space) of every document, as the ``tokenizers`` library gives
@@ -207,7 +194,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(WordBpe(spec.value))
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BATCH_BYTES):
                 coded = encoder.encode(batch.column(1).to_pylist())
                 ids = [np.frombuffer(b, "<i4") for b in coded]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, sharding
-from quarry.llm.common import sha256_text, table
+from quarry.llm import bpe, chat, decontamination, embeddings, neardup, records, sharding, substrings, toxicity
+from quarry.llm.common import scratch_path, sha256_text, table
 
 
 def _tokenizer(name: str) -> str:
@@ -16,6 +16,36 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 3-word shingles, 85 percent."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's record, read back from the files it was written to."""
+    path = scratch_path(spark, "records")
+    index = records.write_records(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    back = records.read_records(spark, path).join(records.file_starts(index), "file")
+    return back.select("doc_id", (F.col("file_start") + F.col("start_in_file")).alias("start"),
+                       (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document, 13-word windows."""
+    out = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontamination.n_hit(F.col("spans"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      sha256_text(F.array_join("items", ",")).alias("items_sha256"),
+                      decontamination.contaminated(F.col("n_words"), hit).alias("contaminated"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document, 64 shards, keyed by doc_id."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"],
@@ -36,6 +66,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors, cosine 0.9."""
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without its repeated 20-word windows."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
@@ -44,15 +85,60 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256_text(F.col("decoded")).alias("decoded_sha256"))
 
 
-QUERIES = {
-    "op5_sharding": op5_sharding,
-    "op7_chat_format": op7_chat_format,
-    "op10_bpe": op10_bpe,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_neardup, op2_toxicity, op3_token_records, op4_decontamination, op5_sharding, op7_chat_format,
+    op8_embedding_neardup, op9_substring_dedup, op10_bpe)}
+
+#: ASCII lower case and the words of a text, in SQL.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_LETTERS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 #: Turn texts and marks as in chat.Template; SQL states the escapes on its own.
 _ESC = "replace(replace(replace({0}, '\\', '\\e'), '<', '\\l'), '#', '\\h')"
 ORACLE = {
+    "op1_minhash_neardup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_SPACED.format(_LOWER)} AS w FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
+    "op4_decontamination": rf"""
+        WITH d AS (SELECT doc_id, {_LETTERS.format(_LOWER)} AS w FROM documents),
+        b AS (SELECT item_id, {_LETTERS.format(_LOWER)} AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (
+            SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (
+            SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw))),
+        h AS (SELECT doc_id, item_id, i, m FROM dw JOIN bw USING (m, g)),
+        c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_embedding_neardup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)""",
+    "op9_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, {_SPACED.format("coalesce(text, '')")} AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (
+            SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later),
+        words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS kept FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_chat_format": rf"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
