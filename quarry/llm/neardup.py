@@ -198,7 +198,9 @@ def _cells(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per document ``doc_id``, ``n_shingles``, ``component_id`` (least doc_id
-    reachable by links) and ``kept``.
+    reachable by links), ``kept`` (it is its own), ``text_hash`` and ``head``
+    (the row is, up to equal rows, the first of its component by doc_id and
+    text_hash).
 
     Words are parted by ASCII white space, A-Z lower-cased. Two documents are
     linked if their sets of distinct shingles have 100 * intersection >=
@@ -232,10 +234,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     more = materialize(_cells(met, roots, sets, percent), "links")
     forget(met, sets)
     groups = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    of = nodes.select("node", "least").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = signed.select("doc_id", "n", "node").join(of.join(least, "root").select("node", "component_id"), "node", "left")
+    of = nodes.select("node", "least", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.min("at").alias("first"))
+    out = signed.select("doc_id", "h", "n", "node").join(of.join(least, "root").select("node", "component_id", "first"), "node", "left")
+    alone = F.col("node").isNull()
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")) \
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("h").alias("text_hash"), (alone | F.struct("doc_id", "h").eqNullSafe(F.col("first"))).alias("head")) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

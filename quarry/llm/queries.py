@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, decontamination, embeddings, neardup, records, sharding, substrings, toxicity
+from quarry.llm import bpe, chat, decontamination, embeddings, lm_score, neardup, records, sharding, substrings, toxicity
 from quarry.llm.common import scratch_path, sha256_text, table
 
 
@@ -18,7 +18,8 @@ def _tokenizer(name: str) -> str:
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, 85 percent."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                           [f"shard-{i:04d}" for i in range(64)], spread=["text"])
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations, read back from the output."""
     hard = spark.sql(r"""SELECT -7L AS conv_id, t AS turn, r AS role, r'\### Assistant: </turn> ok' AS text
@@ -86,7 +93,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_neardup, op2_toxicity, op3_token_records, op4_decontamination, op5_sharding, op7_chat_format,
+    op1_minhash_neardup, op2_toxicity, op3_token_records, op4_decontamination, op5_sharding, op6_lm_score, op7_chat_format,
     op8_embedding_neardup, op9_substring_dedup, op10_bpe)}
 
 #: ASCII lower case and the words of a text, in SQL.
