@@ -106,10 +106,12 @@ def search(keys: np.ndarray, at: np.ndarray, test: TestSuffixes) -> tuple[np.nda
 def longest(suffix: np.ndarray, at: np.ndarray, test: TestSuffixes) -> np.ndarray:
     """Rows (item, item_start, position, n_words): matches that follow one
     another on a diagonal of one item make one longest match."""
+    if not len(suffix):
+        return np.empty((0, 4), np.int64)
     item, start, size = test.item[suffix], test.start[suffix], test.length[suffix]
     order = np.lexsort((start, at - start, item))
     item, start, at, size = item[order], start[order], at[order], size[order]
-    first = np.r_[True, (np.diff(item) != 0) | (np.diff(at - start) != 0) | (np.diff(start) != 1)][: len(item)]
+    first = np.r_[True, (np.diff(item) != 0) | (np.diff(at - start) != 0) | (np.diff(start) != 1)]
     head = np.flatnonzero(first)
     tail = np.append(head[1:], len(item)) - 1
     return np.stack([item[head], start[head], at[head], start[tail] - start[head] + size[tail]], axis=1)

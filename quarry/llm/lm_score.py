@@ -33,7 +33,7 @@ from quarry.llm.hashing import WordHashes
 HEAD, HASHED, SIDE, WIDTH = 128, 64, 3, 16
 #: Rounds over the corpus, share of the positions masked for training in each,
 #: words of a training step, learning rate, bound on the weights.
-ROUNDS, MASKED, STEP, RATE, BOUND = 2, 0.1, 2048, 0.1, 3.0
+ROUNDS, MASKED, STEP, RATE, BOUND = 2, 0.1, 256, 0.1, 3.0
 #: Memory bounds of a task: text and words handled at once.
 SLICE_BYTES, COUNT_AT_ONCE, SCORE_AT_ONCE = 8 << 20, 4_000_000, 16_384
 #: Network values in one row on their way to the average.
