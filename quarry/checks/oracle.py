@@ -6,8 +6,6 @@ Tables are the driver's pre-registered views; derived views come from
 
 from __future__ import annotations
 
-import re
-
 from quarry import constants as K
 from quarry.checks import sqlparts as S
 from quarry.functions import prompts as PR
@@ -15,7 +13,6 @@ from quarry.functions.text import RSTRIP_RE as TX_RSTRIP
 from quarry.operators import context as CX
 from quarry.operators import patches as PTC
 from quarry.operators import responses as RS
-from quarry.operators import scan as SC
 from quarry.plans.catalog import IGNORE_LINES, PURPOSES
 
 ORACLE: dict[str, str] = {}
@@ -79,16 +76,11 @@ FROM hits h JOIN idx i USING (file, chunk_index)"""
 # ------------------------------------------------- scan family (batch 2) -----
 
 
-def _glob_regex(p: str) -> str:
-    s = re.sub(r"([.\\+^$(){}|])", r"\\\1", p)
-    s = s.replace("*", ".*").replace("?", ".").replace("[!", "[^")
-    return "^(?s:" + s + ")$"
-
-
-_PATTERNS = sorted({_glob_regex(x.strip()) for x in IGNORE_LINES if x.strip() and not x.strip().startswith("#")})
-_PAT_CTE = "pats AS (SELECT unnest(" + S.str_list(_PATTERNS) + ") AS regex)"
-_NOT_IGNORED = (f"NOT EXISTS (SELECT 1 FROM pats WHERE regexp_matches(f.path, regex) OR "
-                f"regexp_matches({S.name('f.path')}, regex) OR regexp_matches(f.path || '/', regex))")
+# The ignore lines above that are patterns, stated again for DuckDB's own GLOB;
+# a bracket that is never closed is plain text there ("[[]").
+_GLOBS = ["*.kt", "src1*", "*/f1?.ts", "docs/", "*/docs/f2*", "*/f[0-3][!0-7].js", "[[]x.py", "src0/*/f*[]5].md"]
+_PAT_CTE = "pats AS (SELECT unnest(" + S.str_list(_GLOBS) + ") AS pat)"
+_NOT_IGNORED = f"NOT EXISTS (SELECT 1 FROM pats WHERE f.path GLOB pat OR {S.name('f.path')} GLOB pat OR (f.path || '/') GLOB pat)"
 _LANG = "lm(ext, language, framework, prefix, suffix) AS (VALUES " + ", ".join(
     "(" + ", ".join(S.lit(v) for v in row) + ")" for row in K.LANGUAGE_MAP) + ")"
 
@@ -115,7 +107,7 @@ ORACLE["oversized"] = f"SELECT doc_id, length(text) > {K.MAX_PAYLOAD_CHARS} AS o
 
 ORACLE["suppress_lines"] = f"""
 SELECT doc_id, length(array_to_string(list_filter(string_split(text, chr(10)),
-       lambda l: NOT regexp_matches(l, {S.lit(SC.SUPPRESS_RE)})), chr(10))) AS n_chars FROM documents"""
+       lambda l: NOT regexp_matches(l, '(//|#)[ \t]*[A-Za-z0-9_.-]*ignore-sec[ \t\r]*$')), chr(10))) AS n_chars FROM documents"""
 
 ORACLE["path_facts"] = _with(S.FILES_BASE) + f"""
 SELECT path, {S.name('path')} AS name, {S.stem('path')} AS stem, lower({S.suffix('path')}) AS suffix,
@@ -230,15 +222,14 @@ SELECT response_id, status, CASE WHEN status = 'clear' THEN 0 ELSE 1 END AS exit
     WHEN contains({_OUT}, {S.lit(K.ALL_CLEAR_SENTINEL)}) THEN 'clear' ELSE 'findings' END AS status
   FROM audit_answers)"""
 
+_FIND = S.lit(r"^\s*\[?(CRITICAL|HIGH|MEDIUM|LOW|Critical|High|Medium|Low)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*$")
 ORACLE["findings"] = _with(S.AUDIT_ANSWERS) + f"""
-SELECT response_id, CAST(line_no AS INTEGER) AS line_no,
-  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 1) AS severity,
-  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 2) AS location,
-  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 3) AS description,
-  regexp_extract(line, {S.lit(RS.FINDING_RE)}, 4) AS remediation
+SELECT response_id, CAST(line_no AS INTEGER) AS line_no, upper(regexp_extract(line, {_FIND}, 1)) AS severity,
+  regexp_extract(line, {_FIND}, 2) AS location, regexp_extract(line, {_FIND}, 3) AS description,
+  regexp_extract(line, {_FIND}, 4) AS remediation
 FROM (SELECT response_id, unnest(string_split(final, chr(10))) AS line,
              unnest(range(len(string_split(final, chr(10))))) AS line_no FROM audit_answers)
-WHERE regexp_matches(line, {S.lit(RS.FINDING_RE)})"""
+WHERE regexp_matches(line, {_FIND})"""
 
 ORACLE["final_text"] = _with(S.AUDIT_ANSWERS) + f"""
 SELECT response_id, {S.py_strip("coalesce(final, '')")} AS answer,

@@ -37,9 +37,10 @@ def file_status(index: DataFrame, current: DataFrame) -> DataFrame:
     mtime), unchanged, or deleted. One aggregate over the index's
     ``(file, mtime)`` columns and one join on ``file``; content is not carried."""
     old = latest_mtime(index).withColumnRenamed("mtime", "indexed_mtime")
-    cur = current.select(F.col("path").alias("file"), "mtime")
+    cur = current.select(F.col("path").alias("file"), "mtime", F.lit(True).alias("present"))
     j = cur.join(old, "file", "full_outer")
-    status = (F.when(F.col("mtime").isNull(), F.lit("deleted"))
+    # a file without an mtime is present all the same, and counts as not newer
+    status = (F.when(F.col("present").isNull(), F.lit("deleted"))
               .when(F.col("indexed_mtime").isNull(), F.lit("new"))
               .when(F.col("mtime") > F.col("indexed_mtime"), F.lit("changed"))
               .otherwise(F.lit("unchanged")))
@@ -51,7 +52,7 @@ def files_unchanged(index: DataFrame, current: DataFrame) -> DataFrame:
     complement of J4 within the snapshot)."""
     old = latest_mtime(index).withColumnRenamed("mtime", "indexed_mtime")
     cur = current.select(F.col("path").alias("file"), "mtime")
-    return cur.join(old, "file", "inner").where(F.col("mtime") <= F.col("indexed_mtime")) \
+    return cur.join(old, "file", "inner").where(F.coalesce(F.col("mtime") <= F.col("indexed_mtime"), F.lit(True))) \
         .select("file")
 
 

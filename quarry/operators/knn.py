@@ -13,9 +13,9 @@ ties broken by the corpus key. Plan:
    tolerance that covers its rounding. Only the candidates get the exact
    distance, summed dimension by dimension in index order, so the value is
    bit-identical to ``aggregate(zip_with(...))`` in SQL.
-3. Each task emits its own top-k per query; a ``row_number <= k`` window
-   (partial ``WindowGroupLimit`` before the shuffle) picks the global top-k.
-   The shuffle carries at most ``queries x k x tasks`` rows.
+3. Each task emits its own top-k per query. The global top-k is taken in two
+   levels, per (query, slice of the keys) and then per query, so no task gets
+   the ``k x tasks`` rows of one query.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ QUERY_BLOCK = 1024
 BROADCAST_BYTES = 64 << 20  # query vectors broadcast per job
 QUERIES_PER_JOB = 16384
 SLICE_ROWS = 4096  # corpus rows screened at once: the distance matrix stays <= 1024 x 4096
+MERGE_SLICES = 32  # slices of the corpus keys in the first level of the top-k
 _TOL = 1e-9
 
 
@@ -148,6 +149,9 @@ def knn_with_count(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
+    salted = cand.withColumn("_s", F.pmod(F.xxhash64(*keys), F.lit(MERGE_SLICES)))
+    first = Window.partitionBy("query_id", "_s").orderBy("distance", *keys)
+    cand = salted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_s", "_r")
     w = Window.partitionBy("query_id").orderBy("distance", *keys)
     hits = cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
     return hits, n_q

@@ -13,12 +13,21 @@ from quarry import constants as K
 from quarry.functions import text as TX
 
 
+def _json_object(line: Column) -> Column:
+    return F.from_json(line, "map<string,string>")
+
+
+def parsed_line(line: Column) -> Column:
+    """S6 for one line: its token, or NULL if the line holds none."""
+    return F.try_element_at(_json_object(line), F.lit("response"))
+
+
 def parse_response_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """JSON lines -> tokens. Blank lines, malformed JSON and objects
-    without a ``response`` key are skipped."""
-    m = F.from_json(F.col(line_col), "map<string,string>")
-    return lines.withColumn("_m", m).where(
-        F.col("_m").isNotNull() & F.map_contains_key(F.col("_m"), "response")
+    without a ``response`` key are skipped. The one-element explode keeps the
+    parse from being repeated in the filter and the projection."""
+    return lines.withColumn("_m", F.explode(F.array(_json_object(F.col(line_col))))).where(
+        F.map_contains_key(F.col("_m"), "response")
     ).withColumn("token", F.col("_m")["response"]).drop("_m")
 
 
@@ -88,17 +97,22 @@ def verdict(df: DataFrame, final: str = "final", thinking: str = "thinking") ->
         "exit_code", F.when(F.col("status") == "clear", F.lit(0)).otherwise(F.lit(1)))
 
 
-FINDING_RE = r"^\s*(CRITICAL|HIGH|MEDIUM|LOW)\s*\|\s*(.*?)\s*\|\s*(.*?)\s*\|\s*(.*?)\s*$"
+# ``[Severity] - [File/Line] - [Description] - [Remediation]``: the severity in
+# any case, brackets optional, parts joined by " - " or "|".
+FINDING_RE = (r"^\s*\[?(?i:(critical|high|medium|low))\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*(?:\||\s-\s)"
+              r"\s*\[?(.*?)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*$")
 
 
 def findings(df: DataFrame, key: str = "response_id", text_col: str = "final") -> DataFrame:
-    """One row per finding line ``SEVERITY | location | description | remediation``."""
+    """One row per finding line ``[Severity] - [File/Line] - [Description]
+    - [Remediation]``; the severity comes out in upper case."""
     lines = df.select(key, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
     hit = lines.where(F.col("line").rlike(FINDING_RE))
     return hit.select(
         key, F.col("line_no").cast("int").alias("line_no"),
+        F.upper(F.regexp_extract("line", FINDING_RE, 1)).alias("severity"),
         *[F.regexp_extract("line", FINDING_RE, i).alias(n)
-          for i, n in enumerate(["severity", "location", "description", "remediation"], 1)])
+          for i, n in enumerate(["location", "description", "remediation"], 2)])
 
 
 def final_text(df: DataFrame, final: str = "final", thinking: str = "thinking") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry import constants as K
 from quarry.functions import paths as P
@@ -21,9 +23,12 @@ def _ext_filter(df: DataFrame, exts: list[str], ignore: list[str], path_col: str
     return df.where(~P.has_part_in(path, ignore) & F.lower(P.suffix(path)).isin(exts))
 
 
-def scan_index_files(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """Files the index covers (13 ignored folder names, 21 extensions)."""
-    return _ext_filter(files, K.INDEX_EXTENSIONS, K.INDEX_IGNORE_DIRS, path_col)
+def scan_index_files(files: DataFrame, path_col: str = "path", patterns: DataFrame | None = None,
+                     root_col: str | None = None) -> DataFrame:
+    """Files the index covers (13 ignored folder names, 21 extensions) and
+    no ignore pattern matches (a global list, or per root with ``root_col``)."""
+    found = _ext_filter(files, K.INDEX_EXTENSIONS, K.INDEX_IGNORE_DIRS, path_col)
+    return found if patterns is None else drop_ignored(found, patterns, path_col, root_col)
 
 
 def scan_code_files(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -37,14 +42,47 @@ def language_map(spark: SparkSession) -> DataFrame:
         K.LANGUAGE_MAP, "ext string, language string, framework string, prefix string, suffix string")
 
 
-def pattern_regex(pattern):
+def _class_regex(body: str) -> str:
+    """Regex of a bracket class. ``!`` negates, ``a-z`` is a range (one that
+    runs backwards holds nothing), any other character stands for itself."""
+    negated = body.startswith("!")
+    chars, i, parts = body[negated:], 0, []
+    quote = lambda c: "\\" + c if c in "\\[]^&-" else c
+    while i < len(chars):
+        if chars[i + 1 : i + 2] == "-" and i + 2 < len(chars):
+            if chars[i] <= chars[i + 2]:
+                parts.append(f"{quote(chars[i])}-{quote(chars[i + 2])}")
+            i += 3
+        else:
+            parts.append(quote(chars[i]))
+            i += 1
+    if not parts:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{''.join(parts)}]"
+
+
+def glob_regex(pattern: str) -> str:
     """Glob to anchored regex: ``*`` any run (crossing ``/``), ``?`` one char,
-    ``[...]`` a class (``!`` negates), everything else literal."""
-    c = F.regexp_replace(pattern, r"([.\\+^$(){}|])", r"\\$1")
-    c = F.regexp_replace(c, r"\*", ".*")
-    c = F.regexp_replace(c, r"\?", ".")
-    c = F.regexp_replace(c, r"\[!", "[^")
-    return F.concat(F.lit("^(?s:"), c, F.lit(")$"))
+    ``[...]`` a class; a bracket that is never closed is literal, and so is
+    everything else."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        # a class has at least one character: "]" right after "[" or "[!" is one
+        close = pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] == "!")) if c == "[" else -1
+        if close > 0:
+            out.append(_class_regex(pattern[i + 1 : close]))
+            i = close
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or (c if c.isalnum() or c in "_/ " or ord(c) > 127 else "\\" + c))
+        i += 1
+    return "^(?s:" + "".join(out) + r")\z"
+
+
+@F.pandas_udf(StringType())
+def pattern_regex(patterns: pd.Series) -> pd.Series:
+    """``glob_regex`` over pattern rows, which are few."""
+    return patterns.map(glob_regex, na_action="ignore")
 
 
 def ignore_patterns(spark: SparkSession, lines: DataFrame, line_col: str = "line",
@@ -57,8 +95,8 @@ def ignore_patterns(spark: SparkSession, lines: DataFrame, line_col: str = "line
     ).select(*keep, "pattern", pattern_regex(F.col("pattern")).alias("regex")).distinct()
 
 
-# A global ignore list is collected (size-checked) and compiled into one
-# literal regex; a larger list must be given per root.
+# A global ignore list up to this size is collected and compiled into one
+# literal regex; beyond it the rows are joined like those of a single root.
 MAX_GLOBAL_PATTERNS = 10_000
 
 
@@ -72,20 +110,18 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
     """files no pattern matches (relative path, bare name, or path + '/').
 
     Each pattern list becomes one alternation of its anchored regexes, so a
-    file is tested once per list, not once per pattern. A global list (at
-    most ``MAX_GLOBAL_PATTERNS``, checked) is a literal regex - a plain filter,
-    compiled once per task, no join. Per-root lists (``root_col`` in both
+    file is tested once per list, not once per pattern. A global list of up to
+    ``MAX_GLOBAL_PATTERNS`` is a literal regex - a plain filter, compiled once
+    per task, no join; a longer one is dealt into lists of that size, applied
+    one after the other. Per-root lists (``root_col`` in both
     frames) are combined per root and equi-joined on the root; rows reach the
     filter grouped by root, so each root's regex is compiled once per run.
     """
     if root_col is None:
-        rows = patterns.select("regex").distinct().limit(MAX_GLOBAL_PATTERNS + 1).collect()
-        if len(rows) > MAX_GLOBAL_PATTERNS:
-            raise ValueError("too many global ignore patterns; give per-root patterns (root_col)")
-        if not rows:
-            return files
-        combined = "|".join(sorted(r["regex"] for r in rows))
-        return files.where(~_matches(path_col, F.lit(combined)))
+        regexes = sorted(r["regex"] for r in patterns.select("regex").distinct().toLocalIterator())
+        for i in range(0, len(regexes), MAX_GLOBAL_PATTERNS):
+            files = files.where(~_matches(path_col, F.lit("|".join(regexes[i : i + MAX_GLOBAL_PATTERNS]))))
+        return files
     per_root = patterns.groupBy(F.col(root_col).alias("_root")).agg(
         F.array_join(F.array_sort(F.collect_set("regex")), "|").alias("_rx"))
     j = files.join(per_root, files[root_col] == per_root["_root"], "left")
@@ -96,25 +132,27 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
 def read_ignore_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Ignore-file lines as ``(root, line)``, ``root`` = the folder holding the file.
 
-    Spark's file sources skip hidden names such as ``.gitignore``, so the
-    files are read by the tasks themselves (paths on a locally mounted or
-    shared POSIX file system); a missing file contributes no lines.
+    Spark's file sources skip hidden names such as ``.gitignore``, so the tasks
+    read the files through the file system that their URI names (local paths,
+    HDFS, object stores). A missing file contributes no lines; one that can't
+    be read is an error.
     """
     listing = spark.createDataFrame([(p,) for p in paths], "path string")
 
     def read(batches):
         import os
 
-        import pandas as pd
+        from pyarrow import fs as pafs
+
         for pdf in batches:
             rows = []
             for p in pdf["path"]:
                 root = os.path.basename(os.path.dirname(p.rstrip("/")))
-                try:
-                    with open(p, encoding="utf-8", errors="replace") as fh:
-                        rows.extend((root, line) for line in fh.read().splitlines())
-                except OSError:
+                fs, name = pafs.FileSystem.from_uri(p if "://" in p else os.path.abspath(p))
+                if fs.get_file_info(name).type == pafs.FileType.NotFound:
                     continue
+                with fs.open_input_stream(name) as fh:
+                    rows.extend((root, line) for line in fh.read().decode("utf-8", "replace").splitlines())
             yield pd.DataFrame(rows, columns=["root", "line"])
 
     return listing.mapInPandas(read, "root string, line string")
@@ -151,8 +189,8 @@ def oversized(df: DataFrame, text_col: str = "content") -> DataFrame:
 
 
 # A line is suppressed when it ends in a comment naming an ``ignore-sec`` tag,
-# for example ``# mytool-ignore-sec``.
-SUPPRESS_RE = r"#\s*[\w.-]*ignore-sec\s*$"
+# for example ``# mytool-ignore-sec`` or ``// mytool-ignore-sec``.
+SUPPRESS_RE = r"(?://|#)\s*[\w.-]*ignore-sec\s*$"
 
 
 def suppress_lines(df: DataFrame, text_col: str = "content") -> DataFrame:

@@ -27,7 +27,7 @@ from quarry.operators import routing as RT
 from quarry.operators import scan as SC
 from quarry.operators.generate import generate_batch
 from quarry.plans import jobs as JB
-from quarry.plans.indexing import update_index
+from quarry.plans.indexing import index_delta, update_index
 from quarry.session import scratch_path
 from quarry.sinks.index_store import IndexStore
 from quarry.sinks.tables import write_snapshot
@@ -104,7 +104,8 @@ def q_retrieve(spark, sf_dir):
 # ------------------------------------------------- scan family (batch 2) -----
 
 # Ignore-file lines used by the pattern queries (a small inline table).
-IGNORE_LINES = ["# generated files", "", "  *.kt  ", "src1*", "*/f1?.ts", "docs/", "*/docs/f2*"]
+IGNORE_LINES = ["# generated files", "", "  *.kt  ", "src1*", "*/f1?.ts", "docs/", "*/docs/f2*",
+                "*/f[0-3][!0-7].js", "[x.py", "src0/*/f*[]5].md"]
 
 
 def ignore_lines_df(spark):
@@ -296,11 +297,10 @@ def q_save_index(spark, sf_dir):
 
 @register("load_index")
 def q_load_index(spark, sf_dir):
-    """Two saves; load returns the newest complete version only."""
+    """A whole version and a delta; load returns the newest state only."""
     store = IndexStore(spark, scratch_path(spark, "index"))
     store.save(base_index(spark, sf_dir))
-    merged, _ = update_index(store.load(), V.files_head(spark, sf_dir))
-    store.save(merged)
+    store.save_delta(*index_delta(store.load(), V.files_head(spark, sf_dir)))
     return store.load().select("file", "chunk_index", "mtime")
 
 
@@ -690,11 +690,12 @@ def q_route_model(spark, sf_dir):
 
 # ------------------------------------------------------- streaming (X) -----
 
-ARRIVALS = [(0, 10), (10, 30), (30, None)]
+# Tokens 10 to 29 arrive before the first ten.
+ARRIVALS = [(10, 30), (0, 10), (30, None)]
 
 
 def _feed(df, input_dir, fmt="parquet"):
-    """Test harness: write token arrivals as separate file batches, in order."""
+    """Test harness: write token arrivals as separate file batches."""
     for lo, hi in ARRIVALS:
         part = df.where(F.col("seq") >= lo)
         if hi is not None:
@@ -710,7 +711,7 @@ def q_split_reasoning_stream(spark, sf_dir):
     inp, out, ck = (scratch_path(spark, n) for n in ("tok-in", "tok-out", "tok-ck"))
     _feed(V.tokens(spark, sf_dir), inp)
     stream = spark.readStream.schema(XR.TOKEN_SCHEMA).option("maxFilesPerTrigger", 4).parquet(inp)
-    XR.run_available(XR.split_reasoning_stream(stream), out, ck)
+    XR.run_available(XR.split_reasoning_stream(stream, idle_ms=None), out, ck)
     return spark.read.parquet(out)
 
 
@@ -728,12 +729,17 @@ def q_response_stream(spark, sf_dir):
 
 @register("update_index_stream")
 def q_update_index_stream(spark, sf_dir):
-    """The head snapshot arrives on a stream and updates the stored index."""
+    """The changes to the head snapshot arrive in several batches and
+    update the stored index by deltas."""
     store = IndexStore(spark, scratch_path(spark, "stream-index"))
     store.save(base_index(spark, sf_dir))
     inp, ck = scratch_path(spark, "snap-in"), scratch_path(spark, "snap-ck")
-    V.files_head(spark, sf_dir).select("path", "mtime", "content").write.parquet(inp)
-    XU.update_from_stream(spark, store, inp, ck)
+    head = V.files_head(spark, sf_dir)
+    puts = head.select("path", "mtime", "content", F.lit("put").alias("op"))
+    gone = V.files_base(spark, sf_dir).join(head, "path", "left_anti") \
+        .select("path", F.lit(None).cast("double").alias("mtime"), F.lit(None).cast("string").alias("content"), F.lit("delete").alias("op"))
+    puts.unionByName(gone).repartition(3, "path").write.parquet(inp)
+    XU.update_from_stream(spark, store, inp, ck, files_per_batch=1)
     return store.load().select("file", "chunk_index", "mtime")
 
 

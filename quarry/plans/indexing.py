@@ -28,13 +28,14 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(par, "path") if df.rdd.getNumPartitions() < par else df
 
 
-def index_rows(files: DataFrame, dim: int = K.EMBED_DIM, embed=None) -> DataFrame:
-    """S1 -> G1 -> E1 over a file snapshot ``(path, mtime, content)``.
+def index_rows(files: DataFrame, dim: int = K.EMBED_DIM, embed=None, patterns: DataFrame | None = None,
+               root_col: str | None = None) -> DataFrame:
+    """S1 (with F2) -> G1 -> E1 over a file snapshot ``(path, mtime, content)``.
 
     Chunks are produced where their file was read (narrow explode); the scan
     already balances partitions by bytes, and chunk count follows bytes.
     """
-    f = widen(scan_index_files(files).select("path", "mtime", "content"))
+    f = widen(scan_index_files(files, patterns=patterns, root_col=root_col).select("path", "mtime", "content"))
     chunks = chunk_text(f, "content", keep=["path", "mtime"])
     vec = embed(F.col("text")) if embed is not None else hashed_embedding(F.col("text"), dim)
     return chunks.select(
@@ -43,18 +44,53 @@ def index_rows(files: DataFrame, dim: int = K.EMBED_DIM, embed=None) -> DataFram
     )
 
 
-def build_index(files: DataFrame, dim: int = K.EMBED_DIM, embed=None) -> DataFrame:
-    """The full index of a snapshot (an empty frame when nothing qualifies)."""
-    return index_rows(files, dim, embed)
+def build_index(files: DataFrame, dim: int = K.EMBED_DIM, embed=None, patterns: DataFrame | None = None,
+                root_col: str | None = None) -> DataFrame:
+    """The full index of a snapshot (an empty frame when nothing
+    qualifies). Files that an ignore pattern matches are left out (F2)."""
+    return index_rows(files, dim, embed, patterns, root_col)
 
 
-def update_index(old: DataFrame, files: DataFrame, dim: int = K.EMBED_DIM, embed=None):
+def index_delta(old: DataFrame, files: DataFrame, dim: int = K.EMBED_DIM, embed=None,
+                patterns: DataFrame | None = None, root_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """C2 as a change of the stored index: ``(rows, removed)``, the rows of new
+    and strictly newer files and the ``file`` names whose earlier rows no
+    longer count. Status is resolved on (path, mtime); of the index only these
+    two columns are read, and no row of an unchanged file is written."""
+    current = scan_index_files(files, patterns=patterns, root_col=root_col).select("path", "mtime", "content")
+    status = IX.file_status(old.select("file", "mtime"), current)
+    todo = status.where(F.col("status").isin("new", "changed")).select(F.col("file").alias("path"))
+    rows = index_rows(current.join(todo, "path", "left_semi"), dim, embed)
+    return rows, status.where(F.col("status").isin("deleted", "changed", "new")).select("file")
+
+
+def changes_to_delta(old: DataFrame, changes: DataFrame, dim: int = K.EMBED_DIM, embed=None,
+                     patterns: DataFrame | None = None, root_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """X3's step: ``(rows, removed)`` for change rows ``(path, mtime, content,
+    op)``. Files that no row names keep their rows. Of several changes of one
+    file the newest counts; a put that is not newer than the index changes
+    nothing; a delete removes the file."""
+    order = F.struct(F.coalesce("mtime", F.lit(float("inf"))), F.col("op") == "delete")
+    newest = changes.groupBy("path").agg(F.max_by(F.struct("mtime", "content", "op"), order).alias("c")).select("path", "c.*")
+    puts = scan_index_files(newest.where("op = 'put'"), patterns=patterns, root_col=root_col)
+    named = old.select("file", "mtime").join(newest.select(F.col("path").alias("file")), "file", "left_semi")
+    todo = IX.file_status(named, puts).where(F.col("status").isin("new", "changed")).select("file")
+    rows = index_rows(puts.join(todo.withColumnRenamed("file", "path"), "path", "left_semi"), dim, embed)
+    # a file that is put but no longer qualifies (moved under an ignore pattern) is removed too
+    out = newest.join(puts.select("path"), "path", "left_anti").select(F.col("path").alias("file"))
+    return rows, todo.union(out)
+
+
+def update_index(old: DataFrame, files: DataFrame, dim: int = K.EMBED_DIM, embed=None,
+                 patterns: DataFrame | None = None, root_col: str | None = None):
     """``(new_index, stats)``.
 
     Unchanged files keep their rows and vectors (semi join); new or strictly
-    newer files are re-chunked and re-embedded; deleted files drop out.
+    newer files are re-chunked and re-embedded; deleted files and files that an
+    ignore pattern now matches drop out. ``index_delta`` gives the same update
+    as a delta for ``IndexStore.save_delta``.
     """
-    current = scan_index_files(files).select("path", "mtime", "content")
+    current = scan_index_files(files, patterns=patterns, root_col=root_col).select("path", "mtime", "content")
     status = IX.file_status(old, current)
     kept = old.join(status.where(F.col("status") == "unchanged").select("file"), "file", "left_semi")
     todo = status.where(F.col("status").isin("new", "changed")).select(F.col("file").alias("path"))

@@ -1,12 +1,19 @@
-"""Versioned Parquet index store.
-
-Each save writes a new ``v=NNNNNN`` folder; a version counts only once its
-``_PUBLISHED`` marker exists (written after the data and its check), so a
-reader never sees a half-written index and a failed job leaves the previous
-version in place. Publishing needs no rename, which object stores would turn
-into a copy. Listing goes through the
-Hadoop FileSystem of the path, so the same code works on HDFS or object
-stores.
+"""Versioned Parquet index store (K1, S5, V1) with deltas.
+
+A version is either whole or a delta to the one before it:
+
+    data/v=N     index rows that version N adds (all rows if N is whole)
+    removed/v=N  files whose rows of earlier versions no longer count
+    published/N  marker, written last; its name ends in ``-full`` if N is whole
+
+A version counts only once its marker exists, so a reader never sees a
+half-written index and a failed job leaves the previous version in place. A
+delta costs what it changes: no row of an untouched file is read or written.
+``load`` reads the newest whole version and the deltas after it, and drops the
+rows that a later delta replaces by one join on the file name with the removed
+files. ``compact`` writes a whole version; ``expire`` removes what is older.
+Listing goes through the Hadoop FileSystem of the path, so the same code works
+on HDFS or object stores.
 """
 
 from __future__ import annotations
@@ -14,12 +21,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 # Vector width of each row, written beside the vectors: the dimension check
 # then reads one int column instead of the vectors themselves.
 DIM_COL = "_dim"
-# Written after a version is complete and checked; readers list only these.
-PUBLISHED = "_PUBLISHED"
 
 
 class IndexNotFound(FileNotFoundError):
@@ -32,130 +36,116 @@ class IndexStore:
         self.path = path.rstrip("/")
 
     # -- file system helpers ------------------------------------------------
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
+    def _at(self, *parts: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
-        fs, root = self._fs()
-        if not fs.exists(root):
-            return []
-        out = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("v="):
-                marker = self.spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), PUBLISHED)
-                if fs.exists(marker):
-                    out.append(int(name[2:]))
-        return sorted(out)
+    def _names(self, *parts: str) -> list[str]:
+        fs, p = self._at(*parts)
+        return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _delete(self, *parts: str) -> None:
+        fs, p = self._at(*parts)
+        fs.delete(p, True)
+
+    def _mark(self, *parts: str) -> None:
+        fs, p = self._at(*parts)
+        fs.create(p, True).close()
+
+    def _published(self) -> dict[int, bool]:
+        """Published versions in order, and whether each is whole."""
+        names = [n for n in self._names("published") if n[:1].isdigit()]
+        return dict(sorted((int(n.split("-")[0]), n.endswith("-full")) for n in names))
+
+    def _next_version(self) -> int:
+        """One past every version folder present, published or not (a failed
+        attempt's folder is never reused)."""
+        return 1 + max([0, *(int(n[2:]) for kind in ("data", "removed") for n in self._names(kind) if n.startswith("v="))])
 
     # -- contract -----------------------------------------------------------
+    def versions(self) -> list[int]:
+        return list(self._published())
+
     def exists(self) -> bool:
         return bool(self.versions())
 
     def has_tag(self, tag: str) -> bool:
         """Whether some published version carries ``tag`` (e.g. a stream batch id)."""
-        fs, _ = self._fs()
-        jp = self.spark._jvm.org.apache.hadoop.fs.Path
-        return any(fs.exists(jp(f"{self.path}/v={v:06d}/_TAG_{tag}")) for v in self.versions())
+        held = self._published()
+        return any(int(n.split("-", 1)[0]) in held for n in self._names("tags") if n.split("-", 1)[1:] == [tag])
+
+    def _dims(self, v: int) -> list[int]:
+        rows = self.spark.read.parquet(f"{self.path}/data/v={v:06d}").select(DIM_COL).where(f"{DIM_COL} >= 0").distinct().limit(2)
+        return [r[0] for r in rows.collect()]
+
+    def _publish(self, index: DataFrame, removed: DataFrame | None, tag: str | None) -> str:
+        v = self._next_version()
+        name = f"{v:06d}"
+        index.withColumn(DIM_COL, F.size("embedding")).write.parquet(f"{self.path}/data/v={name}")
+        full = removed is None
+        before = self._published()
+        dims = set(self._dims(v))
+        if not full and before:
+            dims |= set(self._dims(max(n for n in before if before[n])))
+        if len(dims) > 1:
+            self._delete("data", f"v={name}")
+            raise ValueError("index vectors differ in dimension")
+        if not full:
+            removed.select("file").distinct().write.parquet(f"{self.path}/removed/v={name}")
+        if tag:
+            self._mark("tags", f"{v:06d}-{tag}")
+        self._mark("published", name + ("-full" if full else ""))  # the version becomes visible here
+        return f"{self.path}/data/v={name}"
 
     def save(self, index: DataFrame, tag: str | None = None) -> str:
-        """K1: write a new version; all vectors must share one dimension.
+        """K1: write a whole new version; all vectors must share one dimension.
 
         The data is written once together with each row's vector width; the
         dimension check reads only that int column back; then the marker
         publishes the version, so readers only ever see checked versions.
         """
-        fs, _ = self._fs()
-        jp = self.spark._jvm.org.apache.hadoop.fs.Path
-        v = self._next_version(fs, jp)
-        target = f"{self.path}/v={v:06d}"
-        index.withColumn(DIM_COL, F.size("embedding")).write.mode("overwrite").parquet(target)
-        dims = (self.spark.read.parquet(target).select(DIM_COL)
-                .where(f"{DIM_COL} >= 0").distinct().limit(2).collect())
-        if len(dims) > 1:
-            fs.delete(jp(target), True)
-            raise ValueError("index vectors differ in dimension")
-        if tag:
-            fs.create(jp(f"{target}/_TAG_{tag}"), True).close()
-        fs.create(jp(f"{target}/{PUBLISHED}"), True).close()  # the version becomes visible here
-        return target
+        return self._publish(index, None, tag)
 
-    def _next_version(self, fs, jp) -> int:
-        """One past every version folder present, published or not (a failed
-        attempt's folder is never reused)."""
-        root = jp(self.path)
-        seen = [0]
-        if fs.exists(root):
-            for st in fs.listStatus(root):
-                name = st.getPath().getName()
-                if name.startswith("v=") and name[2:].isdigit():
-                    seen.append(int(name[2:]))
-        return max(seen) + 1
+    def save_delta(self, rows: DataFrame, removed: DataFrame, tag: str | None = None) -> str:
+        """Publish ``rows`` in place of all earlier rows of the files in
+        ``removed`` (column ``file``)."""
+        if not self.exists():
+            raise IndexNotFound("no index found; build one first")
+        return self._publish(rows, removed, tag)
 
     def load(self) -> DataFrame:
-        """The newest complete version."""
-        vs = self.versions()
-        if not vs:
+        """The newest version: its base with all deltas applied."""
+        held = self._published()
+        if not held:
             raise IndexNotFound("no index found; build one first")
-        return self.spark.read.parquet(f"{self.path}/v={vs[-1]:06d}").drop(DIM_COL)
+        base = max(v for v, full in held.items() if full)
+        deltas = [v for v in held if v > base]
+        at = lambda kind, v: f"{self.path}/{kind}/v={v:06d}"
+        if not deltas:
+            return self.spark.read.parquet(at("data", base)).drop(DIM_COL)
+        read = lambda kind, vs: self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*[at(kind, v) for v in vs])
+        last = read("removed", deltas).groupBy("file").agg(F.max("v").alias("_last"))
+        rows = read("data", [base, *deltas]).join(last, "file", "left")
+        return rows.where(F.col("_last").isNull() | (F.col("v") >= F.col("_last"))).drop("_last", "v", DIM_COL)
+
+    def compact(self) -> str:
+        """Write the newest state as a whole version."""
+        return self.save(self.load())
+
+    def expire(self) -> list[int]:
+        """Remove the versions before the newest whole one; nothing may still
+        read them. Returns the removed versions."""
+        held = self._published()
+        base = max((v for v, full in held.items() if full), default=0)
+        old = [v for v in held if v < base]
+        for v in old:
+            self._delete("published", f"{v:06d}" + ("-full" if held[v] else ""))
+        for kind in ("data", "removed"):
+            for n in self._names(kind):
+                if n.startswith("v=") and int(n[2:]) in old:
+                    self._delete(kind, n)
+        return old
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         from quarry.plans.indexing import retrieve
         return retrieve(self.load(), queries, k)
-
-
-class BucketedIndexStore(IndexStore):
-    """Index versions as catalog tables bucketed (and sorted) by ``file``.
-
-    Joins on ``file`` against a bucketed version - the keep/semi join and
-    the status join of an incremental update - read the index without a
-    shuffle; only the file-level side is hash-partitioned to match the
-    buckets. Needs a persistent catalog in production (a metastore); tables
-    are external, stored under ``path``.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64):
-        super().__init__(spark, path)
-        self.name = name
-        self.buckets = buckets
-
-    def _table(self, v: int) -> str:
-        return f"{self.name}_v{v:06d}"
-
-    def versions(self) -> list[int]:
-        prefix = f"{self.name}_v".lower()
-        out = []
-        for t in self.spark.catalog.listTables():
-            n = t.name.lower()
-            if n.startswith(prefix) and n[len(prefix):].isdigit():
-                out.append(int(n[len(prefix):]))
-        return sorted(out)
-
-    def has_tag(self, tag: str) -> bool:
-        fs, _ = self._fs()
-        jp = self.spark._jvm.org.apache.hadoop.fs.Path
-        return fs.exists(jp(f"{self.path}/_TAG_{tag}"))
-
-    def save(self, index: DataFrame, tag: str | None = None) -> str:
-        v = (self.versions() or [0])[-1] + 1
-        location = f"{self.path}/v={v:06d}"
-        (index.withColumn(DIM_COL, F.size("embedding")).write.mode("error")
-         .bucketBy(self.buckets, "file").sortBy("file", "chunk_index")
-         .option("path", location).saveAsTable(self._table(v)))
-        dims = (self.spark.table(self._table(v)).select(DIM_COL)
-                .where(f"{DIM_COL} >= 0").distinct().limit(2).collect())
-        if len(dims) > 1:
-            self.spark.sql(f"DROP TABLE {self._table(v)}")
-            raise ValueError("index vectors differ in dimension")
-        if tag:
-            fs, _ = self._fs()
-            fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_TAG_{tag}"), True).close()
-        return self._table(v)
-
-    def load(self) -> DataFrame:
-        vs = self.versions()
-        if not vs:
-            raise IndexNotFound("no index found; build one first")
-        return self.spark.table(self._table(vs[-1])).drop(DIM_COL)

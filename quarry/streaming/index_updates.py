@@ -1,24 +1,28 @@
-"""Index maintenance driven by arriving snapshots.
-
-Each micro-batch is a snapshot ``(path, mtime, content)``; ``foreachBatch``
-runs the incremental update against the newest index version and publishes
-a new one. The batch id is recorded with the version, so a replayed batch
-(after a failure) is recognised and skipped: exactly one version per batch.
+"""Index maintenance driven by arriving change rows.
+
+A row is a change of one file: ``op`` is ``put`` (with ``mtime`` and
+``content``) or ``delete``. A change set may arrive in any number of
+micro-batches; a file that no row names keeps its index rows, so nothing is
+deleted because it has not arrived yet. Each micro-batch is published as one
+delta of the store: its cost follows the change, not the index. The batch id
+is recorded with the version, so a replayed batch is recognised and skipped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans.indexing import update_index
+from quarry.plans.indexing import changes_to_delta
 from quarry.sinks.index_store import IndexStore
 
-SNAPSHOT_SCHEMA = "path string, mtime double, content string"
+CHANGE_SCHEMA = "path string, mtime double, content string, op string"
 
 
 def update_from_stream(spark: SparkSession, store: IndexStore, input_dir: str, checkpoint: str,
-                       available_now: bool = True):
-    snaps = spark.readStream.schema(SNAPSHOT_SCHEMA).parquet(input_dir)
+                       available_now: bool = True, files_per_batch: int | None = None, patterns: DataFrame | None = None):
+    reader = spark.readStream.schema(CHANGE_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def apply(batch: DataFrame, batch_id: int):
         tag = f"batch-{batch_id}"
@@ -26,12 +30,12 @@ def update_from_stream(spark: SparkSession, store: IndexStore, input_dir: str, c
             return
         batch = batch.persist()
         try:
-            merged, _ = update_index(store.load(), batch)
-            store.save(merged, tag=tag)
+            rows, gone = changes_to_delta(store.load(), batch, patterns=patterns)
+            store.save_delta(rows, gone, tag=tag)
         finally:
             batch.unpersist()
 
-    w = snaps.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = reader.parquet(input_dir).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     q = w.start()
     if available_now:

@@ -1,96 +1,121 @@
 """Streaming reasoning split (X1) and the token line stream.
 
-Tokens of one response must arrive in ``seq`` order across micro-batches (a
-source partitioned by response id delivers that); within a micro-batch they
-are sorted. A token at or below the last applied ``seq`` is a replay and is
-skipped, which makes re-delivery after a failure harmless.
-
-X1 keeps per-response state ``(thinking, final, flag, last_seq)`` with
-``applyInPandasWithState`` and emits the state after every token - the text
-the token added to each part, the running lengths and the flag - so output
-stays linear in the input and every full state can be rebuilt from it. A processing-time
-timeout evicts finished responses. The final state equals the batch
-``split_reasoning`` (W3).
+X1 applies the tokens of a response in ``seq`` order, whatever the order of
+their arrival: a token that is early waits in the state until the gap before it
+closes, a token that was already applied is a replay and is skipped. State per
+response is small: the next ``seq``, the flag, two lengths and the early
+tokens; the texts themselves are in the output, one row per token with what it
+adds to each part, the running lengths and the flag. A response without tokens
+for ``idle_ms`` is evicted; early tokens that still wait are then applied in
+order, without the missing ones. The last row of a response equals the batch
+``split_reasoning`` (W3), and every state can be rebuilt from the rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry import constants as K
-from quarry.operators.responses import parse_response_lines
+from quarry.operators.responses import parsed_line, parse_response_lines
 
-STATE_SCHEMA = "thinking string, final string, flag boolean, last_seq long"
+STATE_SCHEMA = "next_seq long, flag boolean, thinking_len long, final_len long, early string"
 OUT_SCHEMA = ("response_id long, seq long, thinking_delta string, final_delta string, "
               "thinking_len long, final_len long, is_thinking boolean")
 TOKEN_SCHEMA = "response_id long, seq long, chunk string"
+#: Default idle time after which a response is evicted.
+IDLE_MS = 600_000
+
+
+def added_pieces(chunks: pd.Series, flag: bool) -> pd.DataFrame:
+    """What each of the ordered chunks adds to either part, and the flag after
+    it, given the flag before the first: W3's columns over one batch."""
+    opens = chunks.str.contains(K.THINK_OPEN, regex=False)
+    text = chunks.str.replace(K.THINK_OPEN, "", regex=False)
+    sides = text.str.split(K.THINK_CLOSE, regex=False)
+    closes = sides.str.len() > 1
+    after = pd.Series(np.select([closes, opens], [0.0, 1.0], np.nan), index=chunks.index).ffill().fillna(float(flag)) == 1.0
+    inside = opens | after.shift(fill_value=flag)
+    left = sides.str[0]
+    return pd.DataFrame({
+        "thinking_delta": left.where(closes | inside, ""),
+        "final_delta": sides.str[1].where(closes, left.where(~inside, "")),
+        "is_thinking": after,
+    })
+
+
+def _advance(idle_ms: int | None):
+    def rows_of(key, ready: dict[int, str], flag: bool, n_think: int, n_final: int) -> pd.DataFrame:
+        out = added_pieces(pd.Series(list(ready.values()), dtype=object), flag)
+        out.insert(0, "response_id", key[0])
+        out.insert(1, "seq", list(ready))
+        out["thinking_len"] = n_think + out.thinking_delta.str.len().cumsum()
+        out["final_len"] = n_final + out.final_delta.str.len().cumsum()
+        return out[["response_id", "seq", "thinking_delta", "final_delta", "thinking_len", "final_len", "is_thinking"]]
 
-
-def _advance(timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        following, flag, n_think, n_final, early = state.get if state.exists else (0, False, 0, 0, "{}")
+        waiting = {int(s): c for s, c in json.loads(early).items()}
         if state.hasTimedOut:
             state.remove()
+            if waiting:
+                yield rows_of(key, dict(sorted(waiting.items())), flag, n_think, n_final)
             return
-        if state.exists:
-            thinking, final, flag, last = state.get
-        else:
-            thinking, final, flag, last = "", "", False, -1
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="mergesort")
-        out = []
-        for seq, chunk in zip(rows["seq"].tolist(), rows["chunk"].tolist()):
-            if seq <= last:
-                continue  # a replayed token: already applied
-            chunk = chunk or ""
-            if K.THINK_OPEN in chunk:
-                flag = True
-                chunk = chunk.replace(K.THINK_OPEN, "")
-            if K.THINK_CLOSE in chunk:
-                flag = False
-                parts = chunk.split(K.THINK_CLOSE)
-                dt, df = parts[0], (parts[1] if len(parts) > 1 else "")
-            elif flag:
-                dt, df = chunk, ""
-            else:
-                dt, df = "", chunk
-            thinking += dt
-            final += df
-            last = seq
-            out.append((key[0], seq, dt, df, len(thinking), len(final), flag))
-        state.update((thinking, final, flag, last))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["response_id", "seq", "thinking_delta", "final_delta",
-                                             "thinking_len", "final_len", "is_thinking"])
+        for pdf in pdfs:
+            new = pdf[pdf.seq >= following]
+            waiting.update(zip(new.seq.tolist(), new.chunk.fillna("").tolist()))
+        ready = {}
+        while following in waiting:
+            ready[following] = waiting.pop(following)
+            following += 1
+        if ready:
+            out = rows_of(key, ready, flag, n_think, n_final)
+            n_think, n_final, flag = (out[c].iloc[-1].item() for c in ("thinking_len", "final_len", "is_thinking"))
+        state.update((following, flag, n_think, n_final, json.dumps(waiting)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        if ready:
+            yield out
 
     return fn
 
 
-def split_reasoning_stream(tokens: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """X1 on a streaming token frame ``(response_id, seq, chunk)``.
+def split_reasoning_stream(tokens: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """X1 on a streaming token frame ``(response_id, seq, chunk)`` whose
+    ``seq`` counts from 0 within a response; a NULL chunk adds nothing.
 
-    ``timeout_ms`` evicts a response's state after that much processing time
-    without tokens (for long-running streams); ``None`` keeps state until the
-    query ends, which lets an ``availableNow`` run finish as soon as the input
-    is drained.
+    ``idle_ms`` None keeps the state until the query ends: for ``availableNow``
+    runs, which end when the input is drained.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return tokens.groupBy("response_id").applyInPandasWithState(
-        _advance(timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        _advance(idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
-def parse_line_records(lines: DataFrame) -> DataFrame:
+def split_lines(lines: DataFrame) -> DataFrame:
     """X2 record format: ``response_id TAB line_no TAB raw_json_line``."""
     p = F.split(F.col("value"), "\t", 3)
-    rec = lines.select(F.get(p, 0).cast("long").alias("response_id"),
-                       F.get(p, 1).cast("long").alias("line_no"),
-                       F.get(p, 2).alias("line"))
-    return parse_response_lines(rec).select("response_id", "line_no", "token")
+    return lines.select(F.get(p, 0).cast("long").alias("response_id"),
+                        F.get(p, 1).cast("long").alias("line_no"),
+                        F.get(p, 2).alias("line"))
+
+
+def parse_line_records(lines: DataFrame) -> DataFrame:
+    """X2 records -> tokens."""
+    return parse_response_lines(split_lines(lines)).select("response_id", "line_no", "token")
+
+
+def line_tokens(lines: DataFrame) -> DataFrame:
+    """X2 records as X1's input: every line is a ``seq``, and a line without a
+    token (blank, malformed, no answer) a NULL chunk, which closes its gap."""
+    rec = split_lines(lines)
+    return rec.select("response_id", F.col("line_no").alias("seq"), parsed_line(F.col("line")).alias("chunk"))
 
 
 def response_stream(spark: SparkSession, input_dir: str) -> DataFrame:
@@ -98,8 +123,15 @@ def response_stream(spark: SparkSession, input_dir: str) -> DataFrame:
     return parse_line_records(spark.readStream.text(input_dir))
 
 
+def response_reasoning_stream(spark: SparkSession, input_dir: str, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """X2 into X1: model output lines -> reasoning states. Lines of a response
+    are numbered from 0."""
+    return split_reasoning_stream(line_tokens(spark.readStream.text(input_dir)), idle_ms)
+
+
 def run_available(df: DataFrame, sink_dir: str, checkpoint: str, fmt: str = "parquet"):
-    """Drain everything available with an ``availableNow`` trigger."""
+    """Drain everything available with an ``availableNow`` trigger. A query
+    with an idle timeout would never be drained: pass ``idle_ms=None``."""
     q = (df.writeStream.format(fmt).option("path", sink_dir).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

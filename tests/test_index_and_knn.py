@@ -136,3 +136,55 @@ def test_store_rejects_mixed_dimensions(spark, tmpdir_fresh):
     with pytest.raises(ValueError):
         store.save(bad)
     assert not store.exists()
+
+
+def _rows(df):
+    return sorted((r.file, r.chunk_index, r.text, r.mtime, tuple(r.embedding)) for r in df.collect())
+
+
+def test_delta_equals_rebuild_and_keeps_vectors(spark, tmpdir_fresh):
+    from quarry.plans.indexing import index_delta
+    store = IndexStore(spark, os.path.join(tmpdir_fresh, "delta"))
+    marked = build_index(V.files_base(spark, SF)).withColumn("embedding", F.transform("embedding", lambda x: x + 1))
+    store.save(marked)  # vectors that no rebuild would give
+    head = V.files_head(spark, SF)
+    want, _ = update_index(marked, head)
+    store.save_delta(*index_delta(store.load(), head))
+    assert _rows(store.load()) == _rows(want)
+    kept = store.load().join(marked.select("file", "chunk_index", F.col("embedding").alias("old"), F.col("mtime").alias("m")), ["file", "chunk_index"]) \
+        .where("mtime = m")
+    assert kept.count() > 0 and kept.where("embedding != old").count() == 0
+    store.compact()
+    assert store.versions() == [1, 2, 3] and store.expire() == [1, 2]
+    assert store.versions() == [3] and _rows(store.load()) == _rows(want)
+    assert not os.path.exists(os.path.join(tmpdir_fresh, "delta", "data", "v=000001"))
+
+
+def test_change_set_in_several_arrivals(spark, tmpdir_fresh):
+    """No file goes because it has not arrived yet; deletes are explicit."""
+    import time
+
+    from quarry.streaming.index_updates import CHANGE_SCHEMA, update_from_stream
+    store = IndexStore(spark, os.path.join(tmpdir_fresh, "s"))
+    files = [(f"a/f{i}.py", 1.0, f"text {i}") for i in range(5)]
+    store.save(build_index(spark.createDataFrame(files, "path string, mtime double, content string")))
+    inp, ck = os.path.join(tmpdir_fresh, "in"), os.path.join(tmpdir_fresh, "ck")
+    for rows in ([("a/f0.py", 2.0, "new 0", "put"), ("a/f1.py", 0.5, "old 1", "put")],
+                 [("a/f2.py", None, None, "delete"), ("a/f9.py", 1.0, "new 9", "put"), ("a/f9.py", 3.0, "newer 9", "put")],
+                 [("a/f0.py", 3.0, "last 0", "put"), ("a/node_modules/x.py", 1.0, "no", "put")]):
+        spark.createDataFrame(rows, CHANGE_SCHEMA).coalesce(1).write.mode("append").parquet(inp)
+        time.sleep(0.05)
+    update_from_stream(spark, store, inp, ck, files_per_batch=1)
+    assert {r.file: r.text for r in store.load().collect()} == {
+        "a/f0.py": "last 0", "a/f1.py": "text 1", "a/f3.py": "text 3", "a/f4.py": "text 4", "a/f9.py": "newer 9"}
+    assert len(store.versions()) == 4
+
+
+def test_ignored_files_are_not_indexed(spark):
+    from quarry.operators.scan import ignore_patterns
+    files = spark.createDataFrame([("r/a.py", None, "x"), ("r/gen/b.py", 1.0, "y"), ("q/gen/c.py", 1.0, "z")], "path string, mtime double, content string")
+    pats = ignore_patterns(spark, spark.createDataFrame([("r/gen/*",)], "line string"))
+    idx = build_index(files, patterns=pats)
+    assert {r.file for r in idx.collect()} == {"r/a.py", "q/gen/c.py"}
+    merged, _ = update_index(build_index(files), files, patterns=pats)
+    assert {r.file for r in merged.collect()} == {"r/a.py", "q/gen/c.py"}  # a NULL mtime is no deletion

@@ -121,7 +121,7 @@ def test_stream_final_state_equals_batch(spark, tmpdir_fresh):
     _tokens(spark).where("seq < 2").repartition(2, "response_id").write.parquet(inp)
     _tokens(spark).where("seq >= 2").repartition(2, "response_id").write.mode("append").parquet(inp)
     stream = spark.readStream.schema(XR.TOKEN_SCHEMA).option("maxFilesPerTrigger", 2).parquet(inp)
-    XR.run_available(XR.split_reasoning_stream(stream), out, ck)
+    XR.run_available(XR.split_reasoning_stream(stream, idle_ms=None), out, ck)
     states = spark.read.parquet(out)
     last = {r.response_id: (r.thinking_len, r.final_len, r.is_thinking) for r in
             states.groupBy("response_id").agg(F.max_by(F.struct("thinking_len", "final_len", "is_thinking"), "seq")
@@ -137,6 +137,73 @@ def test_stream_final_state_equals_batch(spark, tmpdir_fresh):
         assert rebuilt[k] == (t, f)
 
 
+def _run_stream(spark, folder, arrivals, make=None):
+    """Each arrival is one micro-batch; returns the rows by (response, seq)."""
+    import time
+
+    from quarry.streaming import reasoning as XR
+    inp, out, ck = (f"{folder}/{n}" for n in ("in", "out", "ck"))
+    for part in arrivals:
+        spark.createDataFrame(part, XR.TOKEN_SCHEMA).coalesce(1).write.mode("append").parquet(inp)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(XR.TOKEN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(inp)
+    XR.run_available(XR.split_reasoning_stream(stream, idle_ms=None), out, ck)
+    return sorted(spark.read.parquet(out).collect(), key=lambda r: (r.response_id, r.seq))
+
+
+def test_late_and_replayed_tokens(spark, tmpdir_fresh):
+    tokens = [(1, i, c) for i, c in enumerate(["a<think>", "b", "c</think>d", None, "e"])]
+    rows = _run_stream(spark, tmpdir_fresh, [[tokens[0], tokens[2]], [tokens[4], tokens[0]], [tokens[1], tokens[2]], [tokens[3]]])
+    assert [(r.seq, r.thinking_delta, r.final_delta, r.is_thinking) for r in rows] == [
+        (0, "a", "", True), (1, "b", "", True), (2, "c", "d", False), (3, "", "", False), (4, "", "e", False)]
+    assert (rows[-1].thinking_len, rows[-1].final_len) == (3, 2)
+
+
+def test_idle_response_gives_up_its_gap():
+    """After the idle time the early tokens are applied without the missing one."""
+    from quarry.streaming import reasoning as XR
+
+    class State:
+        hasTimedOut, exists, get, idle = False, False, None, None
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutDuration(self, ms):
+            self.idle = ms
+
+        def remove(self):
+            self.exists = False
+
+    import pandas as pd
+    state, step = State(), XR._advance(XR.IDLE_MS)
+    assert list(step((7,), iter([pd.DataFrame({"seq": [1, 3], "chunk": ["x", "y</think>z"]})]), state)) == []
+    assert state.idle == XR.IDLE_MS
+    state.hasTimedOut = True
+    out = next(step((7,), iter([]), state))
+    assert out.seq.tolist() == [1, 3] and out.final_delta.tolist() == ["x", "z"] and out.thinking_delta.tolist() == ["", "y"]
+    assert not state.exists
+
+
+def test_lines_into_reasoning(spark, tmpdir_fresh):
+    """X2 feeds X1: lines without a token close their gap and add nothing."""
+    from quarry.streaming import reasoning as XR
+    lines = [json.dumps({"response": "<think>a"}), "", "{bad", json.dumps({"response": "b</think>c"}), json.dumps({"done": True}), json.dumps({"response": "d"})]
+    inp, out, ck = (f"{tmpdir_fresh}/{n}" for n in ("in", "out", "ck"))
+    for part in ((3, 4, 5), (0, 1, 2)):
+        spark.createDataFrame([(f"9\t{i}\t{lines[i]}",) for i in part], "value string").coalesce(1).write.mode("append").text(inp)
+    XR.run_available(XR.response_reasoning_stream(spark, inp, idle_ms=None), out, ck)
+    rows = sorted(spark.read.parquet(out).collect(), key=lambda r: r.seq)
+    assert "".join(r.thinking_delta for r in rows) == "ab" and "".join(r.final_delta for r in rows) == "cd"
+    assert [r.seq for r in rows] == list(range(6))
+
+
+def test_finding_formats(spark):
+    text = "[High] - [a.py:3] - [sql injection] - [bind]\nlow | b | c | d\nMedium - x - y - z\nHighly - a - b - c"
+    rows = RS.findings(spark.createDataFrame([(1, text)], "response_id long, final string")).orderBy("line_no").collect()
+    assert [tuple(r)[2:] for r in rows] == [("HIGH", "a.py:3", "sql injection", "bind"), ("LOW", "b", "c", "d"), ("MEDIUM", "x", "y", "z")]
+
+
 def test_json_lines(spark):
     lines = [json.dumps({"response": "Hel"}), json.dumps({"response": "lo"}), "",
              json.dumps({"done": True}), "{not json", json.dumps({"response": "!"})]

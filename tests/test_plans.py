@@ -55,29 +55,20 @@ def test_patch_fold_is_one_expression(spark):
     assert not any(x in plan for x in ("PythonUDF", "MapInPandas", "ArrowEvalPython", "BatchEvalPython"))
 
 
-def test_bucketed_index_update_does_not_shuffle_the_index(spark):
-    from quarry.operators import index_ops as IX
-    from quarry.operators.scan import scan_index_files
-    from quarry.sinks.index_store import BucketedIndexStore
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        store = BucketedIndexStore(spark, scratch_path(spark, "bucketed"), "idx_plan_test", buckets=8)
-        store.save(build_index(V.files_base(spark, SF)))
-        old = store.load()
-        cur = scan_index_files(V.files_head(spark, SF)).select("path", "mtime", "content")
-        kept = IX.chunks_kept(old, cur)
-        plan = _plan(kept)
-        index_scans = [i for i, l in enumerate(plan.split("\n")) if "FileScan parquet" in l and "embedding" in l]
-        lines = plan.split("\n")
-        # no Exchange directly above the bucketed index scan
-        for i in index_scans:
-            above = lines[max(0, i - 3):i]
-            assert not any("Exchange" in l for l in above), "\n".join(lines[max(0, i - 5):i + 1])
-        assert kept.count() == IX.chunks_kept(build_index(V.files_base(spark, SF)), cur).count()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+def test_delta_reads_two_index_columns_and_writes_only_changes(spark):
+    from quarry.plans.indexing import index_delta
+    from quarry.sinks.index_store import IndexStore
+    store = IndexStore(spark, scratch_path(spark, "delta"))
+    store.save(build_index(V.files_base(spark, SF)))
+    rows, removed = index_delta(store.load(), V.files_head(spark, SF))
+    for frame in (rows, removed):
+        schemas = [part.split(">")[0] for part in _plan(frame).split("ReadSchema")[1:]]
+        assert schemas and not any("embedding" in x or "chunk_index" in x for x in schemas)
+    store.save_delta(rows, removed)
+    changed = {r.file for r in removed.collect()}
+    written = spark.read.parquet(f"{store.path}/data/v=000002")
+    assert {r.file for r in written.select("file").distinct().collect()} <= changed
+    assert written.count() < store.load().count()
 
 
 def test_global_ignore_patterns_are_a_filter_not_a_join(spark):

@@ -110,6 +110,8 @@ def test_empty_tree_has_no_chunks(spark, tmpdir_fresh):
 def test_suppress_lines(spark):
     df = spark.createDataFrame([("a = 1\nb = eval(x)  # tool-ignore-sec\nc",)], "content string")
     assert SC.suppress_lines(df).first().content == "a = 1\nc"
+    slashes = spark.createDataFrame([("x();\ny(); // tool-ignore-sec\n//ignore-sec  \n// ignore-sec not",)], "content string")
+    assert SC.suppress_lines(slashes).first().content == "x();\n// ignore-sec not"
 
 
 def test_per_root_ignore_files(spark, tmpdir_fresh):
@@ -125,13 +127,30 @@ def test_per_root_ignore_files(spark, tmpdir_fresh):
     assert kept == {("r1", "gen/x.py"), ("r2", "a.kt")}
 
 
-def test_global_pattern_list_is_size_checked(spark, monkeypatch):
+def test_global_pattern_list_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(SC, "MAX_GLOBAL_PATTERNS", 2)
-    lines = spark.createDataFrame([("*.a",), ("*.b",), ("*.c",)], "line string")
-    files = spark.createDataFrame([("x.a",)], "path string")
-    import pytest
-    with pytest.raises(ValueError):
-        SC.drop_ignored(files, SC.ignore_patterns(spark, lines))
+    files = spark.createDataFrame([(f"a/f{i}.py",) for i in range(9)], "path string")
+    lines = spark.createDataFrame([(f"f{i}.py",) for i in range(7)], "line string")
+    kept = SC.drop_ignored(files, SC.ignore_patterns(spark, lines))
+    assert sorted(r.path for r in kept.collect()) == ["a/f7.py", "a/f8.py"]
+
+
+def test_brackets_as_fnmatch():
+    import fnmatch
+    import re
+    names = ["a[x.py", "x.py", "ax.py", "a-x", "a]x", "a!x", "b\\x", "a^x", "abx", "[x.py", "a&&x", "f3.js", "f8.js", "", "a\nb"]
+    globs = ["[x.py", "*[x.py", "a[]x]x", "a[!]]x", "a[!a-b]x", "a[z-a]x", "a[-]x", "[a-c]?x", "a[^]x", "*[\\]x", "a[&~]*x", "f[0-3].js", "[", "[]", "[!]",
+             "a[]-]x", "a[a-b-c]x", "*", "a?b", "[[]x.py", "a[b[c]x", "+.(x)"]
+    for g in globs:
+        for n in names:
+            assert (re.search(SC.glob_regex(g).replace(r"\z", r"\Z"), n) is not None) == fnmatch.fnmatchcase(n, g), (g, n)
+
+
+def test_bracket_patterns_in_spark(spark):
+    files = spark.createDataFrame([(p,) for p in ("r/[x.py", "r/x.py", "r/f5.js", "r/f8.js", "r/a]x")], "path string")
+    lines = spark.createDataFrame([("[x.py",), ("f[!0-7].js",), ("a[]]x",)], "line string")
+    kept = SC.drop_ignored(files, SC.ignore_patterns(spark, lines))
+    assert sorted(r.path for r in kept.collect()) == ["r/f5.js", "r/x.py"]
 
 
 def test_missing_ignore_file_has_no_lines(spark, tmpdir_fresh):
