@@ -32,10 +32,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's record, read back from the files it was written to."""
     path = scratch_path(spark, "records")
-    index = records.write_records(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
-    back = records.read_records(spark, path).join(records.file_starts(index), "file")
-    return back.select("doc_id", (F.col("file_start") + F.col("start_in_file")).alias("start"),
-                       (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    records.write_records(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    back = records.read_records(spark, path)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

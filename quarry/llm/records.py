@@ -20,33 +20,39 @@ is committed by Spark's own writer, so a repeated task leaves the same files.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import byte_symbols
 from quarry.llm.common import ship_package, slices, texts
 
 #: A new data file is begun beyond this size.
 FILE_BYTES = 64 << 20
-#: Memory bounds of a task (results do not depend on them): remembered chunks
+#: Most tasks that read files back; each then reads several.
+MOST_TASKS = 100_000
+#: Memory bounds of a task (results do not depend on them): remembered pieces
 #: of text, bytes of text tokenised at once, bytes per batch read back.
-CHUNKS_KEPT = 400_000
-SLICE_BYTES = 4 << 20
+PIECES_KEPT = 800_000
+SLICE_BYTES = 16 << 20
 READ_BYTES = 8 << 20
 
 _HEAD = struct.Struct("<QI")
 _KEY = struct.Struct("<qB")
 _SUM = struct.Struct("<I")
+_CLOSING = ".,;:!?"
 _RUN = regex.compile(r"(?<=\S) (?=\S)")
-_LOOSE = regex.compile(r"\s |^ | $| \s")
 
 INDEX = "file string, offset long, length long, doc_id long, n_tokens long, start_in_file long"
 
@@ -85,11 +91,16 @@ def frames(stream) -> Iterator[bytes]:
 
 
 class ChunkTokenizer:
-    """The ``tokenizers`` library over chunks of text, each distinct chunk once.
-
-    A text is cut before single spaces between other characters, where the
-    byte-level pre-tokeniser always ends a word, so the chunks' ids in a row
-    are the text's ids.
+    """The ``tokenizers`` library over the pieces of a text, each distinct
+    piece once while it is remembered.
+
+    With a byte-level pre-tokeniser a word always ends before a single space
+    between other characters, so the ids of the pieces between such spaces, in
+    a row, are the text's ids. The distinct pieces of a batch are numbered by
+    Arrow, new ones are encoded in one call (a piece begins with its only
+    space, so the ids that stand for a space show where each begins), and the
+    ids of all texts are gathered by number. Texts with other runs of white
+    space are cut where the rule holds; other tokenisers get whole texts.
     """
 
     def __init__(self, spec: str):
@@ -101,23 +112,87 @@ class ChunkTokenizer:
         self.lib.no_padding()
         self.wide = self.lib.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, batch: list[str], end_id: int) -> list[bytes]:
-        docs = []
-        for text in batch:
-            chunks = _RUN.split(text) if _LOOSE.search(text) else text.split(" ")
-            docs.append(chunks[:1] + [" " + c for c in chunks[1:]])
-        new = list({c for doc in docs for c in doc if c not in self.known})
-        if len(self.known) + len(new) > CHUNKS_KEPT:
-            self.known = {}
-            new = list({c for doc in docs for c in doc})
-        self.known.update(
-            (c, np.array(e.ids, self.kind).tobytes())
-            for i in range(0, len(new), 5000)
-            for c, e in zip(new[i : i + 5000], self.lib.encode_batch_fast(new[i : i + 5000], add_special_tokens=False)))
+        pre = json.loads(spec)["pre_tokenizer"] or {}
+        self.by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+        self.begins = np.zeros(self.lib.get_vocab_size(), bool)
+        self.space, self.code = byte_symbols()[ord(" ")], "I" if self.wide else "H"
+        self.begins[[i for t, i in self.lib.get_vocab().items() if t.startswith(self.space)]] = True
+        self.known: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces with a space before them; None where the piece has
+        white space at an end, so that the rule above does not hold. An ASCII
+        word is a single word of the pre-tokeniser, and what closes it another:
+        these go to the library's model as they are."""
+        if len(self.words) > PIECES_KEPT:
+            self.words = {}
+        known, words, model, others = self.known, self.words, self.lib.model, []
+        for p in pieces:
+            if not p or p != p.strip():
+                known[p] = None
+                continue
+            word = p.rstrip(_CLOSING)
+            if not (word.isascii() and word.isalpha()):
+                others.append(p)
+                continue
+            ids = words.get(word)
+            if ids is None:
+                words[word] = ids = array(self.code, [t.id for t in model.tokenize(self.space + word)]).tobytes()
+            tail = p[len(word):]
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail)
+            known[p] = ids + self.tails[tail]
+        for i in range(0, len(others), 20_000):
+            part = others[i : i + 20_000]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(part):
+                data = ids.astype(self.kind).tobytes()
+                bounds = (np.append(at, len(ids)) * np.dtype(self.kind).itemsize).tolist()
+                known.update(zip(part, [data[i:j] for i, j in zip(bounds, bounds[1:])]))
+            else:  # a special token with a space of its own
+                known.update((p, self._ids(" " + p)) for p in part)
+
+    def encode(self, batch: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of each text, ``end_id`` after them, in the record's width."""
         end = np.array([end_id], self.kind).tobytes()
-        return [b"".join([self.known[c] for c in doc]) + end for doc in docs]
+        if not self.by_pieces:
+            return [self._ids(t) + end for t in batch.to_pylist()]
+        cut = pc.split_pattern(batch, " ")
+        bounds = cut.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        numbered = cut.flatten().dictionary_encode()
+        number, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        if len(self.known) > PIECES_KEPT:
+            self.known = {p: self.known[p] for p in distinct if p in self.known}
+        self._learn([p for p in distinct if p not in self.known])
+        coded = [self.known[p] for p in distinct]
+        odd = np.fromiter((c is None for c in coded), bool, len(coded))[number]
+        odd = np.logical_or.reduceat(odd, bounds[:-1])
+        size = np.fromiter((len(c or b"") for c in coded), np.int64, len(coded)) // np.dtype(self.kind).itemsize
+        begin = np.cumsum(size) - size
+        length = size[number]
+        length[bounds[:-1]] = 0  # the first piece of a text has no space before it
+        stop = np.cumsum(length)
+        flat = np.frombuffer(b"".join([c or b"" for c in coded]), self.kind)
+        data = flat[np.repeat(begin[number] - (stop - length), length) + np.arange(stop[-1])].tobytes()
+        edge = np.append(0, stop[bounds[1:] - 1]) * np.dtype(self.kind).itemsize
+        firsts = [distinct[n] for n in number[bounds[:-1]].tolist()]
+        return [
+            (b"".join([self._ids(c) for c in _apart(batch[k].as_py())]) if bad else self._ids(first) + data[i:j]) + end
+            for k, (bad, first, i, j) in enumerate(zip(odd.tolist(), firsts, edge.tolist(), edge[1:].tolist()))
+        ]
+
+
+def _apart(text: str) -> list[str]:
+    """A text cut before single spaces between other characters."""
+    first, *rest = _RUN.split(text)
+    return [first, *(" " + c for c in rest)]
 
 
 def _local(path: str):
@@ -178,7 +253,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
                 rows = []
-                for doc_id, coded in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist(), end_id)):
+                for doc_id, coded in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1), end_id)):
                     rows.append(writer.add(frame(doc_id, coded, coder.wide), doc_id, len(coded) // width))
                     if writer.at >= FILE_BYTES:
                         writer.close()
@@ -202,26 +277,26 @@ def file_starts(index: DataFrame) -> DataFrame:
     return files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
 
 
-_READ = "file string, doc_id long, start_in_file long, ids binary"
+_READ = "file string, doc_id long, start long, ids binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "doc_id", "start_in_file", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "doc_id", "start", "ids"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record in file order: ``file``, ``doc_id``, ``start_in_file``
-    (tokens before it in its file) and ``ids`` (little-endian 32-bit). All
-    checksums are verified."""
+    """Every record in file order: ``file``, ``doc_id``, ``start`` (tokens in
+    all records before it) and ``ids`` (little-endian 32-bit). All checksums
+    are verified. Files are spread over as many tasks as there are files."""
     ship_package(spark)
     folder = f"{path}/data"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _local(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows, size, before = [], 0, 0
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, size = [], 0
                 with fs.open_input_stream(f"{base}/{name}", buffer_size=1 << 20) as stream:
                     for data in frames(stream):
                         doc_id, ids = unframe(data)
@@ -234,13 +309,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    files = spark.read.schema(INDEX).parquet(f"{path}/index").select("file").distinct()
-    return files.mapInArrow(run, _READ)
+    files = file_starts(spark.read.schema(INDEX).parquet(f"{path}/index"))
+    tasks = min(MOST_TASKS, max(1, files.count()))
+    return files.repartitionByRange(tasks, "file").mapInArrow(run, _READ)
 
 
 def shuffled_read(spark: SparkSession, path: str, seed: int) -> DataFrame:
     """Every record once, in a random order fixed by ``seed``, each read at its
-    offset: ``file``, ``doc_id``, ``start_in_file`` and ``ids``."""
+    offset: ``file``, ``doc_id``, ``start`` and ``ids``."""
     ship_package(spark)
     folder = f"{path}/data"
 
@@ -262,6 +338,7 @@ def shuffled_read(spark: SparkSession, path: str, seed: int) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    index = spark.read.schema(INDEX).parquet(f"{path}/index").select("file", "offset", "length", "start_in_file")
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    index = index.join(file_starts(index), "file").select("file", "offset", "length", (F.col("file_start") + F.col("start_in_file")).alias("start"))
     dealt = index.withColumn("r", F.xxhash64(F.lit(seed), "file", "offset"))
     return dealt.repartitionByRange("r").sortWithinPartitions("r").drop("r").mapInArrow(run, _READ)

@@ -6,6 +6,7 @@ import struct
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -40,15 +41,14 @@ def test_round_trip(spark, library, monkeypatch):
     monkeypatch.setattr(records, "FILE_BYTES", 4000)
     rows = texts()
     path = tempfile.mkdtemp(prefix="quarry-rec-")
-    index = records.write_records(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(7), path, PATH, end_id=2)
-    back = records.read_records(spark, path).join(records.file_starts(index), "file")
-    got = sorted((r.file_start + r.start_in_file, str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in back.collect())
+    records.write_records(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(7), path, PATH, end_id=2)
+    got = sorted((r.start, str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in records.read_records(spark, path).collect())
     assert sorted((d, i) for _, d, i in got) == sorted((str(d), ids_of(library, t)) for d, t in rows)
     assert [s for s, _, _ in got] == np.cumsum([0, *[len(i) for _, _, i in got]])[:-1].tolist()
     order = [-1e9 if d == "None" else int(d) for _, d, _ in got]
     assert order == sorted(order)
-    mixed = [(str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in records.shuffled_read(spark, path, 3).collect()]
-    assert sorted(mixed) == sorted((d, i) for _, d, i in got) and mixed != [(d, i) for _, d, i in got]
+    mixed = [(r.start, str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in records.shuffled_read(spark, path, 3).collect()]
+    assert sorted(mixed) == got and mixed != got
     file = sorted(glob.glob(f"{path}/data/*.rec"))[0]
     data = bytearray(open(file, "rb").read())
     data[20] ^= 1
@@ -64,9 +64,9 @@ def test_no_rows(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85\xa0ab1.,'s"), st.characters(exclude_categories=["Cs", "Cn", "Co"])), max_size=40))
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85\xa0ab1.,'s!é"), st.characters(exclude_categories=["Cs", "Cn", "Co"])), max_size=40))
 def test_chunks_are_tokenised_as_the_whole_text(library, text):
-    coded = CODER.encode([text], 2)
+    coded = CODER.encode(pa.array([text]), 2)
     assert np.frombuffer(coded[0], CODER.kind).tolist() == ids_of(library, text)
 
 
