@@ -139,6 +139,30 @@ t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_files DESC, la
 SELECT s.source, coalesce(t.language, 'Generic') AS language, CAST(coalesce(t.n_files, 0) AS BIGINT) AS n_files
 FROM (SELECT DISTINCT source FROM files_base) s LEFT JOIN (SELECT * FROM t WHERE r = 1) t USING (source)"""
 
+
+
+def _windows(src: str, text: str, keys: str, limit, sep_free: str = "part") -> str:
+    """Rows (keys, window, n_windows, part): ``text`` cut into pieces of ``limit`` characters."""
+    n = f"CAST(ceil(length({text}) / ({limit})::DOUBLE) AS BIGINT)"
+    return f"""(SELECT {keys}, w AS "window", {n} AS n_windows, substring({text}, w * ({limit}) + 1, {limit}) AS {sep_free}
+      FROM (SELECT *, unnest(range({n})) AS w FROM {src}))"""
+
+
+def _merged(name: str, ans: str, keys: str, levels: int = 4) -> str:
+    """CTE ``name`` (keys, resp): the answer, or the answers to the merge
+    prompts over several, level by level."""
+    ctes, done, level = [], [], ans
+    for k in range(levels):
+        done.append(f"SELECT {keys}, coalesce(resp, '') AS resp FROM {level} WHERE n_windows = 1")
+        cat = f"""(SELECT {keys}, string_agg(coalesce(resp, ''), chr(10) || chr(10) ORDER BY "window") AS all_parts
+      FROM {level} WHERE n_windows > 1 GROUP BY {keys})"""
+        level = f"{name}_{k}"
+        ctes.append(f"""{level} AS (SELECT {keys}, "window", n_windows, {S.default_answer(PR.user_sql('merge'))} AS resp
+    FROM {_windows(cat, 'all_parts', keys, K.MAX_PAYLOAD_CHARS, 'parts')})""")
+    done.append(f"SELECT {keys}, coalesce(resp, '') AS resp FROM {level} WHERE n_windows = 1")
+    return ",\n".join(ctes) + f",\n{name} AS ({' UNION ALL '.join(done)})"
+
+
 ORACLE["concat_corpus"] = _with(S.FILES_BASE) + f"""
 , g AS (SELECT source, count(*) AS n_files,
                CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS total_chars,
@@ -146,8 +170,8 @@ ORACLE["concat_corpus"] = _with(S.FILES_BASE) + f"""
         FROM (SELECT source, path, '### File: ' || path || chr(10) || content AS piece
               FROM files_base WHERE {S.code_scan_where()})
         GROUP BY source)
-SELECT source, n_files, total_chars, {S.truncate('full_text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE)} AS payload,
-       total_chars > {K.MAX_PAYLOAD_CHARS} AS truncated FROM g"""
+SELECT source, "window", n_windows, n_files, total_chars, part AS payload
+FROM {_windows('g', 'full_text', 'source, n_files, total_chars', K.MAX_PAYLOAD_CHARS)}"""
 
 _TYPES = "dt(type_order, doc_type, label) AS (VALUES " + ", ".join(
     f"({i}, {S.lit(t)}, {S.lit(l)})" for i, (t, l) in enumerate(K.DOC_TYPES)) + ")"
@@ -301,15 +325,17 @@ _MAP = _with(S.FILES_BASE, _PAT_CTE, _LANG) + f"""
 , mf AS (SELECT source, path, content, substring(path, length(source) + 2) AS rel_path FROM files_base f
          WHERE NOT {S.has_part_in('path', K.CODE_IGNORE_DIRS)}
            AND lower({S.suffix('path')}) IN (SELECT ext FROM lm) AND {_NOT_IGNORED}),
-mp AS (SELECT source, rel_path, {PR.system_sql('summary')} AS system, {PR.user_sql('summary')} AS user
-       FROM (SELECT source, rel_path, {S.truncate('content', K.MAX_FILE_CHARS, K.TRUNCATED_MARKER)} AS content
-             FROM mf WHERE NOT ({S.is_blank('content')}))),
-ms AS (SELECT source, rel_path, {S.default_answer('user')} AS summary FROM mp),
+mw AS (SELECT source, rel_path, "window", n_windows, part AS content FROM
+       {_windows("(SELECT * FROM mf WHERE NOT (" + S.is_blank('content') + "))", 'content', 'source, rel_path', K.MAX_FILE_CHARS)}),
+mp AS (SELECT source, rel_path, "window", n_windows, {PR.system_sql('summary')} AS system, {PR.user_sql('summary')} AS user FROM mw),
+ma AS (SELECT source, rel_path, "window", n_windows, {S.default_answer('user')} AS resp FROM mp),
+{_merged('mr', 'ma', 'source, rel_path')},
+ms AS (SELECT source, rel_path, resp AS summary FROM mr),
 tr AS (SELECT source, count(*) AS tree_files, CAST(sum(length(rel_path)) + count(*) - 1 AS BIGINT) AS tree_chars,
-              substring(string_agg(rel_path, chr(10) ORDER BY string_split(rel_path, '/')), 1, {_BUDGET}) AS tree
+              string_agg(rel_path, chr(10) ORDER BY string_split(rel_path, '/')) AS tree
        FROM mf GROUP BY source),
 sm AS (SELECT source, count(*) AS n_summaries, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
-              substring(string_agg(piece, chr(10) || chr(10) ORDER BY string_split(rel_path, '/')), 1, {_BUDGET}) AS summaries
+              string_agg(piece, chr(10) || chr(10) ORDER BY string_split(rel_path, '/')) AS summaries
        FROM (SELECT source, rel_path, '### ' || rel_path || chr(10) ||
                     CASE WHEN summary IS NOT NULL AND length(summary) > 0 THEN summary ELSE {S.lit(CX.FAILED_SUMMARY)} END AS piece
              FROM ms) GROUP BY source)
@@ -317,36 +343,45 @@ sm AS (SELECT source, count(*) AS n_summaries, CAST(sum(length(piece)) + 2 * (co
 
 
 def _budget_sql(tr: str, sm: str) -> str:
-    cut = f"(tree_chars + summaries_chars > {_BUDGET})"
-    bt = f"least(tree_chars, {_BUDGET // 4})"
-    return f"""bp AS (SELECT source,
-    CASE WHEN {cut} THEN substring(tree, 1, {bt}) || {S.lit(K.TRUNCATED_MARKER)} ELSE tree END AS tree,
-    CASE WHEN {cut} THEN substring(summaries, 1, {_BUDGET} - {bt}) || {S.lit(K.TRUNCATED_MARKER)} ELSE summaries END
-      AS summaries,
-    {cut} AS cut
-  FROM {tr} JOIN {sm} USING (source))"""
+    """CTE bp: T4's prompts, from the whole tree and summaries of each root."""
+    mark = S.lit(K.TRUNCATED_MARKER)
+    return f"""bz AS (SELECT source, tree, summaries, tree_chars + summaries_chars > {_BUDGET} AS cut,
+    CASE WHEN tree_chars + summaries_chars > {_BUDGET} THEN least(tree_chars, {_BUDGET // 4}) ELSE tree_chars END AS bt,
+    CASE WHEN tree_chars + summaries_chars > {_BUDGET} THEN {_BUDGET} - least(tree_chars, {_BUDGET // 4}) ELSE summaries_chars END AS bs
+  FROM {tr} JOIN {sm} USING (source)),
+bt AS (SELECT source, "window", n_windows AS nt, CASE WHEN "window" < n_windows - 1 THEN part || {mark} ELSE part END AS tree
+       FROM {_windows('bz', 'tree', 'source', 'bt')}),
+bs AS (SELECT source, "window", n_windows AS ns, CASE WHEN "window" < n_windows - 1 THEN part || {mark} ELSE part END AS summaries
+       FROM {_windows('bz', 'summaries', 'source', 'bs')}),
+bp AS (SELECT source, "window", max(greatest(coalesce(nt, 0), coalesce(ns, 0))) OVER (PARTITION BY source) AS n_windows,
+              coalesce(bt.tree, '') AS tree, coalesce(bs.summaries, '') AS summaries, bz.cut
+       FROM bt FULL OUTER JOIN bs USING (source, "window") JOIN (SELECT source, cut FROM bz) bz USING (source))"""
 
 
 _BP = _MAP + "," + _budget_sql("tr", "sm")
-_REPORT_ROWS = f"""rp AS (SELECT source, {S.py_strip("coalesce(" + S.default_answer(PR.user_sql('architect')) + ", '')")} AS report FROM bp)"""
+_REPORT_ROWS = f"""ra AS (SELECT source, "window", n_windows, {S.default_answer(PR.user_sql('architect'))} AS resp FROM bp),
+{_merged('rm', 'ra', 'source')},
+rp AS (SELECT source, {S.py_strip("coalesce(resp, '')")} AS report FROM rm)"""
 _REPORT = _REPORT_ROWS + """
 SELECT source, report, CASE WHEN length(report) = 0 THEN 'error' ELSE 'ok' END AS status FROM rp"""
 
-ORACLE["prompt_summary"] = _MAP + "SELECT source, rel_path, system, user FROM mp"
+ORACLE["prompt_summary"] = _MAP + 'SELECT source, rel_path, "window", system, user FROM mp'
 ORACLE["generate_batch"] = _MAP + "SELECT source, rel_path, summary FROM ms"
-ORACLE["file_tree"] = _MAP + "SELECT source, tree_files, tree_chars, tree FROM tr"
-ORACLE["summaries_concat"] = _MAP + "SELECT source, n_summaries, summaries_chars, summaries FROM sm"
-ORACLE["budget_prompt"] = _BP + "SELECT source, tree, summaries, cut FROM bp"
+ORACLE["file_tree"] = _MAP + f"""SELECT source, "window", n_windows, tree_files, tree_chars, part AS tree
+FROM {_windows('tr', 'tree', 'source, tree_files, tree_chars', _BUDGET)}"""
+ORACLE["summaries_concat"] = _MAP + f"""SELECT source, "window", n_windows, n_summaries, summaries_chars, part AS summaries
+FROM {_windows('sm', 'summaries', 'source, n_summaries, summaries_chars', _BUDGET)}"""
+ORACLE["budget_prompt"] = _BP + 'SELECT source, "window", n_windows, tree, summaries, cut FROM bp'
 ORACLE["prompt_architect"] = _BP + f"""
-SELECT source, {PR.system_sql('architect')} AS system, {PR.user_sql('architect')} AS user FROM bp"""
+SELECT source, "window", {PR.system_sql('architect')} AS system, {PR.user_sql('architect')} AS user FROM bp"""
 ORACLE["analyze_map_reduce"] = _BP + "," + _REPORT
 
 ORACLE["analyze_sampled"] = _PH + "," + _DEDUP + f"""
 , sm AS (SELECT 'index' AS source, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
-                substring(string_agg(piece, chr(10) || chr(10) ORDER BY query_id, rank), 1, {_BUDGET}) AS summaries
+                string_agg(piece, chr(10) || chr(10) ORDER BY query_id, rank) AS summaries
          FROM (SELECT query_id, rank, '### ' || file || chr(10) || text AS piece FROM dd)),
 tr AS (SELECT 'index' AS source, CAST(sum(length(file)) + count(*) - 1 AS BIGINT) AS tree_chars,
-              substring(string_agg(file, chr(10) ORDER BY file), 1, {_BUDGET}) AS tree
+              string_agg(file, chr(10) ORDER BY string_split(file, '/')) AS tree
        FROM (SELECT DISTINCT file FROM idx)),
 {_budget_sql('tr', 'sm')},
 {_REPORT}"""
@@ -452,23 +487,18 @@ _CS = _SNAP + f"""
   WHERE sc.status <> 'same'),
 cs0 AS (SELECT source, count(*) AS n_files, sum(length(diff)) + count(*) - 1 AS total_chars,
                string_agg(diff, chr(10) ORDER BY string_split(path, '/')) AS diff_text FROM cp GROUP BY source),
-css AS (SELECT source, n_files, {S.truncate('diff_text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE)} AS diff,
-               total_chars > {K.MAX_PAYLOAD_CHARS} AS truncated FROM cs0)
-"""
-
-
-def _answer_cols(src: str, key: str) -> str:
-    """CTEs: ans (key, resp), toks, sr (split reasoning)."""
-    return f""", ans AS (SELECT {key} AS response_id, {S.default_answer('user')} AS resp FROM {src}),
-toks AS (SELECT response_id, CAST(0 AS BIGINT) AS seq, coalesce(resp, '') AS chunk FROM ans),
-sr AS {S.split_reasoning('toks')}
+css AS {_windows('cs0', 'diff_text', 'source, n_files', K.MAX_PAYLOAD_CHARS, 'diff')}
 """
 
 
 ORACLE["prompt_commit"] = _CS + f"""
-SELECT source, {PR.system_sql('commit')} AS system, {PR.user_sql('commit')} AS user FROM css"""
+SELECT source, "window", {PR.system_sql('commit')} AS system, {PR.user_sql('commit')} AS user FROM css"""
 ORACLE["commit_messages"] = _CS + f"""
-SELECT source, {S.py_strip("coalesce(" + S.default_answer(PR.user_sql('commit')) + ", '')")} AS message FROM css"""
+, ca AS (SELECT source, "window", n_windows, {S.default_answer(PR.user_sql('commit'))} AS resp FROM css),
+{_merged('cm', 'ca', 'source')}
+SELECT source, {S.py_strip("coalesce(resp, '')")} AS message FROM cm"""
+
+_WKEY = "source || '#' || \"window\""
 
 
 def _ctx_from(qsrc: str) -> str:
@@ -479,71 +509,79 @@ def _ctx_from(qsrc: str) -> str:
 
 _REVIEW = (_CS
            + f", {_INDEX_CHUNKS}"
-           + _ctx_from(f"SELECT source AS query_id, {S.lit(K.REVIEW_QUERY_PREFIX)} || substring(diff, 1, {K.QUERY_PREFIX_CHARS}) AS text FROM css")
-           + f""", rp AS (SELECT source, fix, {PR.system_sql('review')} AS system, {PR.user_sql('review')} AS user
-  FROM (SELECT c.*, x.context, length(c.source) % 2 = 0 AS fix FROM css c LEFT JOIN ctx x ON x.query_id = c.source))
+           + _ctx_from(f"SELECT {_WKEY} AS query_id, {S.lit(K.REVIEW_QUERY_PREFIX)} || substring(diff, 1, {K.QUERY_PREFIX_CHARS}) AS text FROM css")
+           + f""", rp AS (SELECT source, "window", n_windows, fix, {PR.system_sql('review')} AS system, {PR.user_sql('review')} AS user
+  FROM (SELECT c.*, x.context, length(c.source) % 2 = 0 AS fix FROM css c LEFT JOIN ctx x ON x.query_id = {_WKEY.replace('source', 'c.source')}))
 """)
-ORACLE["prompt_review"] = _REVIEW + "SELECT source, fix, system, user FROM rp"
-ORACLE["review"] = _REVIEW + _answer_cols("rp", "source") + f"""
-SELECT response_id AS source, {S.py_strip("coalesce(final, '')")} AS review,
-       coalesce(length(final), 0) = 0 AND coalesce(length(thinking), 0) = 0 AS failed,
-       CAST(len(regexp_extract_all(final, {S.lit(PTC.BLOCK_RE)}, 1)) AS BIGINT) AS n_patches FROM sr"""
-
-_AUD_PAY = f"""pay AS (SELECT source, {S.truncate('full_text', K.MAX_PAYLOAD_CHARS, K.PAYLOAD_TRUNCATION_NOTICE)} AS code
-  FROM (SELECT source, string_agg(piece, chr(10) || chr(10) ORDER BY string_split(path, '/')) AS full_text
-        FROM (SELECT source, path, '### File: ' || path || chr(10) || content AS piece
-              FROM files_base WHERE {S.code_scan_where()}) GROUP BY source))"""
+ORACLE["prompt_review"] = _REVIEW + 'SELECT source, "window", fix, system, user FROM rp'
+ORACLE["review"] = _REVIEW + f"""
+, ra AS (SELECT source, "window", n_windows, {S.default_answer('user')} AS resp FROM rp),
+{_merged('rm', 'ra', 'source')},
+rf AS (SELECT source, bool_or(length(resp) = 0) AS failed, CAST(sum(len(regexp_extract_all(resp, {S.lit(PTC.BLOCK_RE)}, 1))) AS BIGINT) AS n_patches
+       FROM ra GROUP BY source)
+SELECT source, {S.py_strip("coalesce(resp, '')")} AS review, failed, n_patches FROM rm JOIN rf USING (source)"""
+
+
+def _corpus_windows(content: str) -> str:
+    return f"""pay AS {_windows(f"(SELECT source, string_agg(piece, chr(10) || chr(10) ORDER BY string_split(path, '/')) AS full_text FROM (SELECT source, path, '### File: ' || path || chr(10) || {content} AS piece FROM files_base WHERE {S.code_scan_where()}) GROUP BY source)", 'full_text', 'source', K.MAX_PAYLOAD_CHARS, 'code')}"""
+
+
+_UNSUPPRESSED = ("array_to_string(list_filter(string_split(content, chr(10)), "
+                 "lambda l: NOT regexp_matches(l, '(//|#)[ \\t]*[A-Za-z0-9_.-]*ignore-sec[ \\t\\r]*$')), chr(10))")
 _AUQ = (f"{S.lit(K.AUDIT_QUERY_PREFIX)} || "
         + S.py_strip(f"replace(substring(code, 1, {K.QUERY_PREFIX_CHARS}), chr(10), ' ')"))
-_AUDIT = (_with(S.FILES_BASE, _INDEX_CHUNKS, _AUD_PAY)
-          + _ctx_from(f"SELECT source AS query_id, {_AUQ} AS text FROM pay")
-          + f""", ap AS (SELECT source, fix, {PR.system_sql('audit')} AS system, {PR.user_sql('audit')} AS user
-  FROM (SELECT p.*, x.context, length(p.source) % 2 = 0 AS fix FROM pay p LEFT JOIN ctx x ON x.query_id = p.source))
+_AUDIT = (_with(S.FILES_BASE, _INDEX_CHUNKS, _corpus_windows(_UNSUPPRESSED))
+          + _ctx_from(f"SELECT {_WKEY} AS query_id, {_AUQ} AS text FROM pay")
+          + f""", ap AS (SELECT source, "window", fix, {PR.system_sql('audit')} AS system, {PR.user_sql('audit')} AS user
+  FROM (SELECT p.*, x.context, length(p.source) % 2 = 0 AS fix FROM pay p LEFT JOIN ctx x ON x.query_id = {_WKEY.replace('source', 'p.source')}))
 """)
-_VOUT = S.py_strip("(coalesce(final, '') || coalesce(thinking, ''))")
-ORACLE["prompt_audit"] = _AUDIT + "SELECT source, fix, system, user FROM ap"
-ORACLE["audit"] = _AUDIT + _answer_cols("ap", "source") + f"""
-, v AS (SELECT response_id, CASE WHEN length({_VOUT}) = 0 THEN 'error'
-         WHEN contains({_VOUT}, {S.lit(K.ALL_CLEAR_SENTINEL)}) THEN 'clear' ELSE 'findings' END AS status, final FROM sr)
-SELECT response_id AS source, status, CASE WHEN status = 'clear' THEN 0 ELSE 1 END AS exit_code,
-  CAST(len(list_filter(string_split(final, chr(10)), lambda l: regexp_matches(l, {S.lit(RS.FINDING_RE)}))) AS BIGINT)
-    AS n_findings FROM v"""
-
-_DOCS = _with(S.FILES_BASE, _LANG, _TYPES, S.EXISTING_DOCS, _AUD_PAY) + f"""
+_VOUT = S.py_strip("resp")
+ORACLE["prompt_audit"] = _AUDIT + 'SELECT source, "window", fix, system, user FROM ap'
+ORACLE["audit"] = _AUDIT + f"""
+, aa AS (SELECT source, "window", {S.default_answer('user')} AS resp FROM ap),
+v AS (SELECT source, resp, CASE WHEN length({_VOUT}) = 0 THEN 1 WHEN contains({_VOUT}, {S.lit(K.ALL_CLEAR_SENTINEL)}) THEN 0 ELSE 2 END AS rank FROM aa)
+SELECT source, ['clear', 'error', 'findings'][max(rank) + 1] AS status, CASE WHEN max(rank) = 0 THEN 0 ELSE 1 END AS exit_code,
+  CAST(sum(len(list_filter(string_split(resp, chr(10)), lambda l: regexp_matches(l, {_FIND})))) AS BIGINT) AS n_findings
+FROM v GROUP BY source"""
+
+_DOCS = _with(S.FILES_BASE, _LANG, _TYPES, S.EXISTING_DOCS, _corpus_windows("content")) + f"""
 , c AS (SELECT source, language, count(*) AS n FROM files_base f JOIN lm ON lower({S.suffix('f.path')}) = lm.ext GROUP BY ALL),
 dl AS (SELECT s.source, coalesce(t.language, 'Generic') AS language FROM (SELECT DISTINCT source FROM files_base) s
        LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, language) AS r FROM c)
                   WHERE r = 1) t USING (source)),
-jobs AS (SELECT p.source, p.code, dl.language, dt.doc_type, dt.label, dt.type_order,
+jobs AS (SELECT p.source, p."window", p.n_windows, p.code, dl.language, dt.doc_type, dt.label, dt.type_order,
                 'docs/' || dt.doc_type || '/' || p.source || '.md' AS dest_path, e.content AS existing,
                 e.content IS NOT NULL AS is_update, CAST(NULL AS VARCHAR) AS hint
          FROM pay p JOIN dl USING (source) CROSS JOIN dt
          LEFT JOIN existing_docs e ON e.path = 'docs/' || dt.doc_type || '/' || p.source || '.md'),
 dp AS (SELECT *, {PR.system_sql('doc')} AS system, {PR.user_sql('doc')} AS user FROM jobs),
-dr AS (SELECT source, doc_type, label, dest_path, is_update,
-              {S.py_strip("coalesce(" + S.default_answer('user') + ", '')")} AS doc FROM dp),
+da AS (SELECT source, doc_type, label, dest_path, is_update, "window", n_windows, {S.default_answer('user')} AS resp FROM dp),
+{_merged('dm', 'da', 'source, doc_type, label, dest_path, is_update')},
+dr AS (SELECT source, doc_type, label, dest_path, is_update, {S.py_strip("coalesce(resp, '')")} AS doc FROM dm),
 dres AS (SELECT *, CASE WHEN length(doc) = 0 THEN 'empty' WHEN is_update THEN 'updated' ELSE 'created' END AS status FROM dr)
 """
 ORACLE["docs_existing"] = _with(S.FILES_BASE, _TYPES, S.EXISTING_DOCS) + """
 SELECT s.source, dt.doc_type, 'docs/' || dt.doc_type || '/' || s.source || '.md' AS dest_path, e.path IS NOT NULL AS is_update
 FROM (SELECT DISTINCT source FROM files_base) s CROSS JOIN dt
 LEFT JOIN existing_docs e ON e.path = 'docs/' || dt.doc_type || '/' || s.source || '.md'"""
-ORACLE["prompt_doc"] = _DOCS + "SELECT source, doc_type, system, user FROM dp"
+ORACLE["prompt_doc"] = _DOCS + 'SELECT source, doc_type, "window", system, user FROM dp'
 ORACLE["generate_docs"] = _DOCS + "SELECT source, doc_type, dest_path, status, doc FROM dres"
 ORACLE["write_generated"] = _DOCS + "SELECT doc_type, dest_path, doc FROM dres WHERE status <> 'empty'"
 ORACLE["job_summary"] = _DOCS + "SELECT label, status, count(*) AS n_jobs FROM dres GROUP BY ALL"
 
 _TM = "replace(m.path, 'src/', 'tests/')"
-_TESTS = _snap(_LANG) + f"""
+_TESTS = _snap(_LANG, _INDEX_CHUNKS) + f"""
 , mod AS (SELECT DISTINCT path FROM sc WHERE status IN ('added', 'modified') AND lower({S.suffix('path')}) IN (SELECT ext FROM lm)),
 tp AS (SELECT m.path, regexp_extract({_TM}, '^(.*/)[^/]*$', 1) ||
          CASE WHEN lm.suffix IS NOT NULL THEN lm.prefix || {S.stem(_TM)} || lm.suffix
               ELSE {S.stem(_TM)} || 'Test' || {S.suffix(_TM)} END AS test_path,
          lm.language, lm.framework
        FROM mod m JOIN lm ON lower({S.suffix('m.path')}) = lm.ext),
-te AS (SELECT tp.*, e.content AS existing, e.content IS NOT NULL AS is_update, h.content AS code,
-              CASE WHEN e.content IS NOT NULL THEN 'update' ELSE 'new' END AS mode, CAST(NULL AS VARCHAR) AS context
-       FROM tp LEFT JOIN files_head e ON e.path = tp.test_path JOIN files_head h ON h.path = tp.path),
+te0 AS (SELECT tp.*, e.content AS existing, e.content IS NOT NULL AS is_update, h.content AS code,
+              CASE WHEN e.content IS NOT NULL THEN 'update' ELSE 'new' END AS mode
+       FROM tp LEFT JOIN files_head e ON e.path = tp.test_path JOIN files_head h ON h.path = tp.path)
+{_ctx_from(f"SELECT path AS query_id, {S.lit(K.TESTS_QUERY_PREFIX)} || {S.name('path')} AS text FROM te0")},
+te AS (SELECT te0.*, ctx.context FROM te0 LEFT JOIN ctx ON ctx.query_id = te0.path),
 tpr AS (SELECT path, test_path, is_update, {PR.system_sql('test')} AS system, {PR.user_sql('test')} AS user FROM te),
 tans AS (SELECT path, test_path, is_update, {S.default_answer('user')} AS resp FROM tpr)
 """

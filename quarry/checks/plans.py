@@ -26,8 +26,8 @@ NOTES = {
                                "shuffle; hits broadcast back onto a (file, chunk_index, text) scan.",
     "update_index": "One (file, mtime) aggregate over the index, file-status join on light rows, semi "
                     "join for kept rows; only changed files reach chunking and the embedding UDF.",
-    "concat_corpus": "Totals by partial aggregation; prefix by a salted two-level row_number with "
-                     "WindowGroupLimit; pieces cut to the budget before the shuffle.",
+    "concat_corpus": "Character offsets from range-partitioned keys and lengths; texts joined to their "
+                     "offsets, cut at window borders and gathered by (root, window).",
     "split_reasoning": "One shuffle by response_id; running flag and ordered collect per response.",
     "apply_patches": "Broadcast file join, one aggregate per (answer, file) holding the whole fold; "
                      "no Python.",

@@ -92,6 +92,11 @@ EDIT_BLOCK_HINT = (
     "<<<< SEARCH file:<path>\n<lines to find>\n==== REPLACE\n<new lines>\n>>>>"
 )
 
+_CONTEXT = {
+    "review": Opt("context", ("\n\nRepository code related to the change:\n", Col("context"))),
+    "audit": Opt("context", ("\n\nCode elsewhere that calls or feeds it:\n", Col("context"))),
+}
+
 SYSTEM = {
     "commit": "You write git commit messages: one conventional-commit subject line of at most "
               "72 characters, a blank line, then a few short bullet points. Reply with the message only.",
@@ -99,8 +104,8 @@ SYSTEM = {
               "problems, most important first, each with a concrete suggestion.",
     "audit": "You are an application security auditor. Look for injection, broken access control, "
              "secrets and sensitive data exposure, unsafe configuration and other common weakness "
-             "classes. Report each finding on one line as: SEVERITY | location | description | "
-             "remediation, with SEVERITY one of CRITICAL, HIGH, MEDIUM, LOW. Skip lines marked with an "
+             "classes. Report each finding on one line as: [Severity] - [File/Line] - [Description] - "
+             "[Remediation], with a severity of Critical, High, Medium or Low. Skip lines marked with an "
              "ignore-sec comment. If there is nothing to report, answer NO_VULNERABILITIES_FOUND only.",
     "doc": "You write clear Markdown documentation that follows the Diataxis framework.",
     "test": "You write thorough, runnable unit tests.",
@@ -123,16 +128,14 @@ DOC_TEMPLATES = (
 _DOC_DEFAULT = DOC_TEMPLATES[2][1]
 
 USER = {
-    # diff
-    "commit": ("Propose a commit message for these staged changes:\n\n", Col("diff")),
-    # Diff, context (nullable), fix (bool); context section before the fix section
-    "review": ("Review this change set.\n\n", Col("diff"),
-               Opt("context", ("\n\nRepository code related to the change:\n", Col("context"))),
-               Flag("fix", (EDIT_BLOCK_HINT,))),
-    # Code, context, fix; fix section before the context section
-    "audit": ("Audit this code.\n\n", Col("code"),
-              Flag("fix", (EDIT_BLOCK_HINT,)),
-              Opt("context", ("\n\nCode elsewhere that calls or feeds it:\n", Col("context")))),
+    # The diff itself
+    "commit": (Col("diff"),),
+    # Diff; context (nullable) and fix (bool) are in the system text, in this order
+    "review": ("Review this change set.\n\n", Col("diff")),
+    # Code; fix and context are in the system text, in this order
+    "audit": ("Audit this code.\n\n", Col("code")),
+    # partial answers of one job, in order
+    "merge": ("Combine these partial results into one result, keeping every point once.\n\n", Col("parts")),
     # doc_type, language, code, hint (nullable), existing (nullable)
     "doc": (Pick("doc_type", DOC_TEMPLATES, _DOC_DEFAULT),
             "\nLanguage: ", Col("language"),
@@ -161,8 +164,18 @@ USER = {
 }
 
 
-def system(purpose: str) -> Column:
-    return F.lit(SYSTEM[purpose])
+# Sections after the fixed system text of the change set and audit prompts.
+SECTIONS = {
+    "review": (_CONTEXT["review"], Flag("fix", (EDIT_BLOCK_HINT,))),
+    "audit": (Flag("fix", (EDIT_BLOCK_HINT,)), _CONTEXT["audit"]),
+}
+# Route (J10) of each kind of prompt.
+ROUTE = {"commit": "fast", "summary": "fast", "review": "review", "audit": "review", "doc": "coding", "test": "coding",
+         "architect": "default", "ask": "default"}
+
+
+def system(kind: str, sections: bool = True) -> Column:
+    return to_column((SYSTEM[kind], *(SECTIONS.get(kind, ()) if sections else ())))
 
 
 def user(purpose: str) -> Column:
@@ -173,5 +186,5 @@ def user_sql(purpose: str) -> str:
     return to_sql(USER[purpose])
 
 
-def system_sql(purpose: str) -> str:
-    return _sql_lit(SYSTEM[purpose])
+def system_sql(kind: str, sections: bool = True) -> str:
+    return to_sql((SYSTEM[kind], *(SECTIONS.get(kind, ()) if sections else ())))

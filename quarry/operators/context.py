@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry import constants as K
 from quarry.functions import paths as P
 from quarry.functions import text as TX
-from quarry.operators.ordering import ordered_prefix  # noqa: F401  (re-exported)
+from quarry.operators.ordering import ordered_windows
 
 FAILED_SUMMARY = K.FAILED_SUMMARY
 
@@ -66,42 +66,62 @@ def budget_chars(num_ctx: int = K.DEFAULT_NUM_CTX) -> int:
     return num_ctx * K.CHARS_PER_TOKEN
 
 
+def _summary_text(label_col: str) -> Column:
+    return summary_piece(F.col(label_col), F.col("summary"))
+
+
 def file_tree(files: DataFrame, root_col: str = "source", rel_col: str = "rel_path",
-              limit: int | None = None) -> DataFrame:
-    """Per root, relative paths in path-component order joined by newlines:
-    ``tree_files, tree_chars`` of the whole list and its first ``limit`` chars."""
-    limit = limit or budget_chars()
-    agg = ordered_prefix(files, [root_col], P.parts(F.col(rel_col)), F.col(rel_col), "\n", limit, 1)
-    return agg.select(root_col, F.col("n_rows").alias("tree_files"), F.col("total_chars").alias("tree_chars"),
-                      F.substring("prefix", 1, limit).alias("tree"))
+              limit: int | DataFrame | None = None) -> DataFrame:
+    """Per root, relative paths in path-component order joined by newlines,
+    as ``tree`` windows of ``limit`` characters (default: the prompt budget),
+    with ``tree_files`` and ``tree_chars`` of the whole list."""
+    rows = ordered_windows(files, [root_col], P.parts(F.col(rel_col)), F.col(rel_col), "\n",
+                           budget_chars() if limit is None else limit)
+    return rows.select(root_col, "window", "n_windows", F.col("n_rows").alias("tree_files"),
+                       F.col("total_chars").alias("tree_chars"), F.col("text").alias("tree"))
 
 
 def summaries_concat(summaries: DataFrame, root_col: str = "source", rel_col: str = "rel_path",
-                     limit: int | None = None) -> DataFrame:
+                     limit: int | DataFrame | None = None, label_col: str | None = None) -> DataFrame:
     """Per root, ``### path`` + summary blocks (failure text for a missing
-    summary) joined by blank lines in path order, with totals."""
-    limit = limit or budget_chars()
-    piece = summary_piece(F.col(rel_col), F.col("summary"))
-    agg = ordered_prefix(summaries, [root_col], P.parts(F.col(rel_col)), piece, "\n\n", limit, 5)
-    return agg.select(root_col, F.col("n_rows").alias("n_summaries"),
-                      F.col("total_chars").alias("summaries_chars"),
-                      F.substring("prefix", 1, limit).alias("summaries"))
-
-
-def budget_prompt(tree: DataFrame, summaries: DataFrame, root_col: str = "source",
-                  num_ctx: int = K.DEFAULT_NUM_CTX) -> DataFrame:
-    """T4: when tree + summaries exceed ``num_ctx * 3`` characters the tree gets
-    ``min(len, budget // 4)`` and the summaries the rest, both with a marker."""
+    summary) joined by blank lines in path order, as ``summaries`` windows.
+    ``label_col`` names another column for the headings."""
+    rows = ordered_windows(summaries, [root_col], P.parts(F.col(rel_col)), _summary_text(label_col or rel_col), "\n\n",
+                           budget_chars() if limit is None else limit)
+    return rows.select(root_col, "window", "n_windows", F.col("n_rows").alias("n_summaries"),
+                       F.col("total_chars").alias("summaries_chars"), F.col("text").alias("summaries"))
+
+
+def _joined_chars(df: DataFrame, root_col: str, piece: Column, sep: str, name: str) -> DataFrame:
+    return df.groupBy(root_col).agg((F.sum(F.length(piece) + len(sep)) - len(sep)).alias(name))
+
+
+def budget_prompt(files: DataFrame, summaries: DataFrame, root_col: str = "source", rel_col: str = "rel_path",
+                  num_ctx: int = K.DEFAULT_NUM_CTX, label_col: str | None = None) -> DataFrame:
+    """T4: the tree (A8) and the summaries (A7) of each root, fitted to
+    prompts of ``num_ctx * 3`` characters.
+
+    When both fit, one row holds both. Otherwise a prompt has
+    ``min(tree, budget // 4)`` characters of the tree and the rest of the
+    budget of the summaries; what does not fit goes into further prompts
+    (``window`` 0 to ``n_windows - 1``), and every part that goes on in the
+    next prompt ends in a marker.
+    """
     budget = budget_chars(num_ctx)
-    j = tree.join(summaries, root_col)
-    cut = (F.col("tree_chars") + F.col("summaries_chars")) > budget
-    bt = F.least(F.col("tree_chars"), F.lit(budget // 4))
-    bs = F.lit(budget) - bt
-    return j.select(
-        root_col,
-        F.when(cut, F.concat(F.col("tree").substr(F.lit(1), bt), F.lit(K.TRUNCATED_MARKER)))
-        .otherwise(F.col("tree")).alias("tree"),
-        F.when(cut, F.concat(F.col("summaries").substr(F.lit(1), bs), F.lit(K.TRUNCATED_MARKER)))
-        .otherwise(F.col("summaries")).alias("summaries"),
-        cut.alias("cut"),
-    )
+    sizes = _joined_chars(files, root_col, F.col(rel_col), "\n", "tree_chars") \
+        .join(_joined_chars(summaries, root_col, _summary_text(label_col or rel_col), "\n\n", "summaries_chars"), root_col)
+    cut = F.col("tree_chars") + F.col("summaries_chars") > budget
+    of_tree = F.least(F.col("tree_chars"), F.lit(budget // 4))
+    sizes = sizes.select(root_col, cut.alias("cut"),
+                         F.greatest(F.when(cut, of_tree).otherwise(F.col("tree_chars")), F.lit(1)).alias("_t"),
+                         F.greatest(F.when(cut, budget - of_tree).otherwise(F.col("summaries_chars")), F.lit(1)).alias("_s"))
+    tree = file_tree(files, root_col, rel_col, sizes.select(root_col, F.col("_t").alias("limit"))) \
+        .select(root_col, "window", F.col("n_windows").alias("_nt"), "tree")
+    summ = summaries_concat(summaries, root_col, rel_col, sizes.select(root_col, F.col("_s").alias("limit")), label_col) \
+        .select(root_col, "window", F.col("n_windows").alias("_ns"), "summaries")
+    both = tree.join(summ, [root_col, "window"], "full_outer").join(sizes.select(root_col, "cut"), root_col)
+    n = F.max(F.greatest(F.coalesce("_nt", F.lit(0)), F.coalesce("_ns", F.lit(0)))).over(Window.partitionBy(root_col))
+    marked = lambda text, count: F.when(F.col("window") < F.col(count) - 1, F.concat(F.col(text), F.lit(K.TRUNCATED_MARKER))) \
+        .otherwise(F.coalesce(F.col(text), F.lit("")))
+    return both.select(root_col, "window", n.alias("n_windows"), marked("tree", "_nt").alias("tree"),
+                       marked("summaries", "_ns").alias("summaries"), "cut")

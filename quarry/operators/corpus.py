@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import constants as K
 from quarry.functions import paths as P
-from quarry.operators.ordering import ordered_prefix, ordered_rank
+from quarry.operators.ordering import ordered_rank, ordered_windows
 from quarry.operators.scan import language_map
 
 FILE_HEADER = K.FILE_HEADER
@@ -50,14 +50,23 @@ def language_of(files: DataFrame, framework: str | None = None) -> DataFrame:
 def test_path(files: DataFrame) -> DataFrame:
     """Every ``src/`` becomes ``tests/``; the name becomes
     prefix + stem + suffix of the language, else stem + ``Test`` + extension."""
-    lang = language_of(files)
+    return language_of(files).select("path", _test_path().alias("test_path"))
+
+
+def _test_path() -> Column:
     p = F.col("path")
     moved = F.replace(p, F.lit("src/"), F.lit("tests/"))
     folder = F.regexp_extract(moved, r"^(.*/)[^/]*$", 1)
     new_name = F.when(F.col("test_suffix").isNotNull(),
                       F.concat(F.col("test_prefix"), P.stem(moved), F.col("test_suffix"))) \
         .otherwise(F.concat(P.stem(moved), F.lit("Test"), P.suffix(moved)))
-    return lang.select("path", F.concat(folder, new_name).alias("test_path"))
+    return F.concat(folder, new_name)
+
+
+def test_targets(files: DataFrame) -> DataFrame:
+    """T6 and T7 in one pass: ``path, test_path, language, framework``."""
+    lang = language_of(files)
+    return lang.select("path", _test_path().alias("test_path"), "language", "framework")
 
 
 def dominant_language(files: DataFrame, root_col: str = "source") -> DataFrame:
@@ -76,21 +85,12 @@ def dominant_language(files: DataFrame, root_col: str = "source") -> DataFrame:
 
 def concat_corpus(files: DataFrame, root_col: str = "source",
                   limit: int = K.MAX_PAYLOAD_CHARS) -> DataFrame:
-    """A3 + T2: per root, ``### File: path`` + content blocks joined by a blank
-    line in path order, cut to ``limit`` characters with the notice.
-
-    Only the bounded prefix is ever assembled (see ``ordered_prefix``).
-    """
+    """A3: per root, ``### File: path`` + content blocks joined by a blank line
+    in path order: the whole text, as ``payload`` windows of ``limit``
+    characters, with the root's ``n_files`` and ``total_chars``."""
     piece = F.concat(F.lit(FILE_HEADER), F.col("path"), F.lit("\n"), F.col("content"))
-    agg = ordered_prefix(files, [root_col], P.parts(F.col("path")), piece, "\n\n",
-                         limit, len(FILE_HEADER) + 1)
-    cut = F.col("total_chars") > limit
-    return agg.select(
-        root_col, F.col("n_rows").alias("n_files"), "total_chars",
-        F.when(cut, F.concat(F.substring("prefix", 1, limit), F.lit(K.PAYLOAD_TRUNCATION_NOTICE)))
-        .otherwise(F.col("prefix")).alias("payload"),
-        cut.alias("truncated"),
-    )
+    rows = ordered_windows(files, [root_col], P.parts(F.col("path")), piece, "\n\n", limit)
+    return rows.select(root_col, "window", "n_windows", F.col("n_rows").alias("n_files"), "total_chars", F.col("text").alias("payload"))
 
 
 def doc_types(spark) -> DataFrame:

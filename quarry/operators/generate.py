@@ -1,7 +1,8 @@
 """Model map step (M1) and prompt tables.
 
-``generate_batch`` adds a ``response`` column to a prompt table
-``(request_id, purpose, system, user)``.
+``generate_batch`` adds ``response`` and ``error`` to a prompt table
+``(purpose, system, user, ...)``; ``merge_answers`` reduces the answers to the
+windows of one input to one answer.
 
 * With no generator, the offline default answers deterministically with the
   first three non-blank lines of the user text, stripped - a pure column
@@ -10,7 +11,7 @@
 * With a generator, ``mapInPandas`` calls it once per prompt. The generator
   factory runs once per task (model load); rows are sorted by model inside
   each partition, so a task switches models at most once per model and no
-  shuffle is added. A failing call yields NULL, as a failed request does.
+  shuffle is added. A failing call yields NULL and its error.
   The answers are checkpointed, so downstream fan-out never repeats a call.
 """
 
@@ -23,8 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry import constants as K
+from quarry.functions import prompts as PR
 from quarry.functions import text as TX
+from quarry.operators.ordering import ordered_windows
+from quarry.operators.responses import whole_answer
+from quarry.operators.routing import route_model, routes
 from quarry.session import checkpoint_dir
+from quarry.sinks.tables import write_snapshot
 
 
 def default_answer(user: Column) -> Column:
@@ -33,34 +40,85 @@ def default_answer(user: Column) -> Column:
     return TX.py_strip(F.array_join(F.slice(kept, 1, 3), "\n"))
 
 
-GeneratorFactory = Callable[[], Callable[[str, str, str], "str | None"]]
+#: A factory, called once per task, of a function (user, system, purpose,
+#: route) -> answer; ``route`` has ``model``, ``num_ctx`` and ``num_predict``.
+GeneratorFactory = Callable[[], Callable[[str, str, str, dict], "str | None"]]
 
 
 def generate_batch(prompts: DataFrame, generator: GeneratorFactory | None = None,
-                   model_col: str | None = None) -> DataFrame:
+                   route_table: DataFrame | None = None) -> DataFrame:
+    """M1: the prompts with ``response`` and ``error`` (NULL unless the call
+    failed; then ``response`` is NULL). Each prompt is routed by its purpose
+    (J10) and the route goes to the generator."""
     if generator is None:
-        return prompts.withColumn("response", default_answer(F.col("user")))
-    schema = T.StructType(prompts.schema.fields + [T.StructField("response", T.StringType())])
+        return prompts.withColumn("response", default_answer(F.col("user"))).withColumn("error", F.lit(None).cast("string"))
+    spark = prompts.sparkSession
+    routed = route_model(prompts, routes(spark) if route_table is None else route_table)
+    fields = ["model", "num_ctx", "num_predict"]
+    schema = T.StructType(routed.schema.fields + [T.StructField(c, T.StringType()) for c in ("response", "error")])
 
     def run(batches):
         call = generator()
         for pdf in batches:
-            out = []
-            for sys_, usr, purpose in zip(pdf["system"], pdf["user"], pdf["purpose"]):
+            out, errors = [], []
+            for user, system, purpose, *route in zip(*(pdf[c] for c in ["user", "system", "purpose", *fields])):
                 try:
-                    r = call(usr, sys_, purpose)
+                    r = call(user, system, purpose, dict(zip(fields, route)))
                     out.append(r.strip() if r is not None else None)
-                except Exception:
+                    errors.append(None)
+                except Exception as e:  # one failed request is a row with its error
                     out.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
             pdf = pdf.copy()
             pdf["response"] = pd.Series(out, dtype=object)
+            pdf["error"] = pd.Series(errors, dtype=object)
             yield pdf
 
-    src = prompts.sortWithinPartitions(model_col) if model_col else prompts
-    answers = src.mapInPandas(run, schema)
+    answers = routed.sortWithinPartitions("model").mapInPandas(run, schema).drop(*fields)
     # Model calls are the most expensive step and need not be deterministic:
     # answers are checkpointed (reliably, under spark.checkpoint.dir) so every
     # prompt is sent once even when later stages read the answers twice, and a
     # lost executor does not re-run the model.
-    checkpoint_dir(prompts.sparkSession)
+    checkpoint_dir(spark)
     return answers.checkpoint(eager=True)
+
+
+def final_answers(answers: DataFrame) -> DataFrame:
+    """The answers without their reasoning."""
+    return answers.withColumn("response", whole_answer(F.coalesce("response", F.lit("")))[1])
+
+
+def merge_answers(answers: DataFrame, keys: list[str], kind: str, generator: GeneratorFactory | None = None,
+                  limit: int = K.MAX_PAYLOAD_CHARS) -> DataFrame:
+    """One answer per key: ``keys, response, error``.
+
+    ``answers`` has the answers to the windows of each key's input (``window``,
+    ``n_windows``, ``response``, ``error``). Where there are several, they are
+    joined in order and merged by further prompts of at most ``limit``
+    characters, level by level, until one is left. A key fails (``error``) if
+    any of its calls failed. Every level must have fewer prompts than the one
+    before."""
+    level = write_snapshot(answers.select(*keys, "window", "n_windows", "response", "error"), "answers")
+    done, size = [], None
+    while True:
+        done.append(level.where("n_windows <= 1").select(*keys, "response", "error"))
+        many = level.where("n_windows > 1")
+        before, size = size, many.count()
+        if not size:
+            break
+        if before is not None and size >= before:
+            raise RuntimeError("the answers do not get shorter by merging")
+        failed = many.groupBy(*keys).agg(F.min("error").alias("failed"))
+        parts = ordered_windows(many, keys, F.col("window"), F.coalesce("response", F.lit("")), "\n\n", limit)
+        # a key whose answers are all empty has no text to merge
+        empty = many.select(*keys).distinct().join(parts.select(*keys).distinct(), keys, "left_anti").join(failed, keys)
+        done.append(empty.select(*keys, F.lit("").alias("response"), F.col("failed").alias("error")))
+        prompts = parts.withColumnRenamed("text", "parts").select(
+            *keys, "window", "n_windows", F.lit(PR.ROUTE[kind]).alias("purpose"), PR.system(kind, sections=False).alias("system"),
+            PR.user("merge").alias("user"))
+        merged = final_answers(generate_batch(prompts, generator)).join(failed, keys).withColumn("error", F.coalesce("error", "failed"))
+        level = write_snapshot(merged.select(*keys, "window", "n_windows", "response", "error"), "answers")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out

@@ -1,4 +1,4 @@
-"""Ordering operators (W5) and bounded ordered concatenation.
+"""Ordering operators (W5) and ordered concatenation in windows.
 
 ``ordered_rank`` numbers rows in a total order without a single-partition
 window: range-partition + local sort, per-partition counts turned into
@@ -6,16 +6,12 @@ offsets (one row per partition), then ``offset + position``. The sorted data
 is checkpointed first so range boundaries and positions are fixed even if a
 task is retried.
 
-``ordered_prefix`` builds the first ``limit`` characters of a per-group
-ordered concatenation. Every consumer cuts the joined text to a bounded
-budget, so only the first ``N`` rows of each group are needed, where ``N``
-follows from the minimum piece length. The top-N runs in two levels - per
-(group, salt) slice, then per group - so a hot group is split over ``SALTS``
-tasks and the last window sees at most ``SALTS x N`` rows. With
-``spark.sql.optimizer.windowGroupLimitThreshold`` above ``N`` (set by
-``build_session``) Spark also applies each limit map-side before its
-shuffle. Pieces are cut to ``limit`` characters before any shuffle, so a
-shuffled row never exceeds the budget. Totals come from partial aggregates.
+``ordered_windows`` joins the texts of a group in order and returns the whole
+of it, cut into windows of a stated number of characters. Only keys and
+lengths are range-partitioned; character offsets follow from sums per range
+and group, as the ranks do. The texts are then joined to their offsets, cut at
+window borders, and gathered by (group, window): no task holds more than one
+window of a group, however large the group is.
 """
 
 from __future__ import annotations
@@ -26,7 +22,6 @@ from pyspark.sql import functions as F
 from quarry.session import checkpoint_dir
 
 _POS_BITS = 33
-SALTS = 64
 
 
 def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
@@ -56,32 +51,45 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: s
             .drop("_pid", "_mid", "_off", "_g", "_g0"))
 
 
-def ordered_prefix(df: DataFrame, group_cols: list[str], order_col: Column, piece: Column,
-                   sep: str, limit: int, min_piece_len: int) -> DataFrame:
-    """Per group: ``n_rows``, ``total_chars`` of the full joined text and
-    ``prefix`` = enough of it to cover ``limit`` characters (the whole text
-    when shorter)."""
-    need = limit // max(1, min_piece_len + len(sep)) + 2
+def char_offsets(keys: DataFrame, group_cols: list[str]) -> DataFrame:
+    """``start`` of each row's text in its group's joined text, with the
+    group's ``n_rows`` and ``all_chars``, for rows ``(group..., _o, _len)``.
+    ``_o`` is a total order within the group."""
+    checkpoint_dir(keys.sparkSession)
+    staged = (keys.repartitionByRange(*group_cols, "_o").sortWithinPartitions(*group_cols, "_o")
+              .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    here = Window.partitionBy("_pid", *group_cols).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(*group_cols)
+    sums = staged.groupBy("_pid", *group_cols).agg(F.sum("_len").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    sums = sums.select("_pid", *group_cols,
+                       F.coalesce(F.sum("_s").over(ranges.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+                       F.sum("_s").over(ranges).alias("all_chars"), F.sum("_c").over(ranges).alias("n_rows"))
+    rows = staged.withColumn("_before", F.coalesce(F.sum("_len").over(here), F.lit(0)))
+    return rows.join(sums, ["_pid", *group_cols]).select(
+        *group_cols, "_o", (F.col("_base") + F.col("_before")).alias("start"), "n_rows", "all_chars")
+
+
+def ordered_windows(df: DataFrame, group_cols: list[str], order_col: Column, piece: Column, sep: str,
+                    limit: int | DataFrame) -> DataFrame:
+    """Per group and ``window`` (from 0): ``text``, ``n_windows``, ``n_rows``
+    and ``total_chars`` of the whole joined text. The windows' texts in a row
+    are the joined text. ``limit`` is the characters of a window, or a frame
+    ``(group..., limit)`` with one row per group."""
     pieces = df.select(*group_cols, order_col.alias("_o"), piece.alias("_p"))
-    totals = pieces.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        (F.sum(F.length("_p")) + F.lit(len(sep)) * (F.count(F.lit(1)) - 1)).alias("total_chars"))
-    # No piece can contribute more than `limit` characters to the prefix, so
-    # pieces are cut before any shuffle (totals above use full lengths).
-    # Two-level top-N: first per (group, salt) slice, then per group over at
-    # most SALTS x N survivors, so a hot group is cut down in SALTS tasks.
-    salted = pieces.withColumn("_p", F.substring("_p", 1, limit)) \
-        .withColumn("_salt", F.pmod(F.xxhash64("_o"), F.lit(SALTS)))
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy("_o")
-    first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= need)
-    w = Window.partitionBy(*group_cols).orderBy("_o")
-    head = first.drop("_salt", "_r1").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need)
-    # keep only pieces that start before `limit` in the joined text: what is
-    # collected per group is then at most limit + one piece (<= 2 x limit)
-    start = F.coalesce(F.sum(F.length("_p") + F.lit(len(sep))).over(
-        Window.partitionBy(*group_cols).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    head = head.withColumn("_start", start).where(F.col("_start") < limit)
-    joined = head.groupBy(*group_cols).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_p"))),
-                                 lambda s: s["_p"]), sep).alias("prefix"))
-    return totals.join(joined, group_cols)
+    offsets = char_offsets(pieces.select(*group_cols, "_o", (F.length("_p") + len(sep)).alias("_len")), group_cols)
+    rows = pieces.join(offsets, [*group_cols, "_o"])
+    rows = rows.withColumn("limit", F.lit(limit)) if isinstance(limit, int) else rows.join(limit.select(*group_cols, "limit"), group_cols)
+    total = F.col("all_chars") - len(sep)
+    last = F.col("start") + F.length("_p") == total
+    rows = rows.withColumn("_p", F.when(last, F.col("_p")).otherwise(F.concat("_p", F.lit(sep)))).where(F.length("_p") > 0)
+    first_w = F.floor(F.col("start") / F.col("limit"))
+    last_w = F.floor((F.col("start") + F.length("_p") - 1) / F.col("limit"))
+    rows = rows.withColumn("window", F.explode(F.sequence(first_w, last_w)))
+    begin = F.greatest(F.col("window") * F.col("limit") - F.col("start"), F.lit(0))
+    end = (F.col("window") + 1) * F.col("limit") - F.col("start")
+    part = F.substr("_p", (begin + 1).cast("int"), (end - begin).cast("int"))
+    cut = rows.select(*group_cols, "window", "start", part.alias("_t"), "n_rows", total.alias("total_chars"), "limit")
+    return cut.groupBy(*group_cols, "window").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "_t"))), lambda s: s["_t"]), "").alias("text"),
+        F.max(F.ceil(F.col("total_chars") / F.col("limit"))).alias("n_windows"),
+        F.max("n_rows").alias("n_rows"), F.max("total_chars").alias("total_chars"))

@@ -77,6 +77,15 @@ def split_reasoning(tokens: DataFrame, key: str = "response_id", seq: str = "seq
     )
 
 
+def whole_answer(c: Column) -> tuple[Column, Column]:
+    """W3 for an answer that came in one piece: ``(thinking, final)``."""
+    text = F.replace(c, F.lit(K.THINK_OPEN), F.lit(""))
+    sides = F.split(text, K.THINK_CLOSE, -1)
+    closed, opened = F.size(sides) > 1, c.contains(K.THINK_OPEN)
+    return (F.when(closed, F.get(sides, 0)).when(opened, text).otherwise(F.lit("")),
+            F.when(closed, F.get(sides, 1)).when(opened, F.lit("")).otherwise(text))
+
+
 def strip_fence(c: Column) -> Column:
     """After strip, drop the first and last line when the text starts
     with a fence, has at least two lines and its last line starts with one."""

@@ -25,7 +25,7 @@ from quarry.operators import patches as PT
 from quarry.operators import responses as RS
 from quarry.operators import routing as RT
 from quarry.operators import scan as SC
-from quarry.operators.generate import generate_batch
+from quarry.operators.generate import generate_batch, merge_answers
 from quarry.plans import jobs as JB
 from quarry.plans.indexing import index_delta, update_index
 from quarry.session import scratch_path
@@ -400,21 +400,24 @@ def mapped_corpus(spark, sf_dir):
 
 
 def map_prompts(files):
-    """C9 map stage input: F3 -> T3 -> P6."""
+    """C9 map stage input: F3 -> P6, one prompt per window of 30,000
+    characters of a file."""
     nb = SC.drop_blank(files, "content")
-    t = nb.withColumn("content", TX.truncate(F.col("content"), K.MAX_FILE_CHARS, K.TRUNCATED_MARKER))
-    return t.select("source", "rel_path", F.lit("summary").alias("purpose"),
+    n = F.ceil(F.length("content") / K.MAX_FILE_CHARS)
+    t = nb.withColumn("n_windows", n).withColumn("window", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    t = t.withColumn("content", F.substr("content", (F.col("window") * K.MAX_FILE_CHARS + 1).cast("int"), F.lit(K.MAX_FILE_CHARS)))
+    return t.select("source", "rel_path", "window", "n_windows", F.lit(PR.ROUTE["summary"]).alias("purpose"),
                     PR.system("summary").alias("system"), PR.user("summary").alias("user"))
 
 
 def map_summaries(spark, sf_dir):
-    return generate_batch(map_prompts(mapped_corpus(spark, sf_dir))) \
-        .select("source", "rel_path", F.col("response").alias("summary"))
+    ans = generate_batch(map_prompts(mapped_corpus(spark, sf_dir)))
+    return merge_answers(ans, ["source", "rel_path"], "summary").select("source", "rel_path", F.col("response").alias("summary"))
 
 
 @register("prompt_summary")
 def q_prompt_summary(spark, sf_dir):
-    return map_prompts(mapped_corpus(spark, sf_dir)).select("source", "rel_path", "system", "user")
+    return map_prompts(mapped_corpus(spark, sf_dir)).select("source", "rel_path", "window", "system", "user")
 
 
 @register("generate_batch")
@@ -433,8 +436,7 @@ def q_summaries_concat(spark, sf_dir):
 
 
 def budgeted(spark, sf_dir):
-    return CX.budget_prompt(CX.file_tree(mapped_corpus(spark, sf_dir)),
-                            CX.summaries_concat(map_summaries(spark, sf_dir)))
+    return CX.budget_prompt(mapped_corpus(spark, sf_dir), map_summaries(spark, sf_dir))
 
 
 @register("budget_prompt")
@@ -442,50 +444,33 @@ def q_budget_prompt(spark, sf_dir):
     return budgeted(spark, sf_dir)
 
 
-def architect_prompts(df):
-    return df.select("source", F.lit("architect").alias("purpose"),
-                     PR.system("architect").alias("system"), PR.user("architect").alias("user"))
-
-
 @register("prompt_architect")
 def q_prompt_architect(spark, sf_dir):
-    return architect_prompts(budgeted(spark, sf_dir)).select("source", "system", "user")
-
-
-def report_of(answers):
-    """K5 status: an empty report is an error."""
-    rep = TX.py_strip(F.coalesce(F.col("response"), F.lit("")))
-    return answers.select("source", rep.alias("report"),
-                          F.when(F.length(rep) == 0, F.lit("error")).otherwise(F.lit("ok")).alias("status"))
+    return JB.architect_prompts(budgeted(spark, sf_dir)).select("source", "window", "system", "user")
 
 
 @register("analyze_map_reduce")
 def q_analyze_map_reduce(spark, sf_dir):
-    return report_of(generate_batch(architect_prompts(budgeted(spark, sf_dir))))
+    return JB.reports(JB.architect_prompts(budgeted(spark, sf_dir)))
 
 
 @register("analyze_sampled")
 def q_analyze_sampled(spark, sf_dir):
+    """The hits of the probes in place of the summaries, and the indexed
+    files as the tree."""
     idx = base_index(spark, sf_dir)
     hits = CX.dedup_hits(retrieve(idx, CX.probe_queries(spark), K.TOP_K))
-    one = F.lit("index")
-    summ = CX.ordered_prefix(hits.withColumn("source", one), ["source"], F.struct("query_id", "rank"),
-                             F.concat(F.lit("### "), F.col("file"), F.lit("\n"), F.col("text")), "\n\n",
-                             CX.budget_chars(), 5) \
-        .select("source", F.col("total_chars").alias("summaries_chars"),
-                F.substring("prefix", 1, CX.budget_chars()).alias("summaries"))
-    files = IX.distinct_files(idx).withColumn("source", one)
-    tree = CX.ordered_prefix(files, ["source"], F.col("file"), F.col("file"), "\n", CX.budget_chars(), 1) \
-        .select("source", F.col("total_chars").alias("tree_chars"),
-                F.substring("prefix", 1, CX.budget_chars()).alias("tree"))
-    return report_of(generate_batch(architect_prompts(CX.budget_prompt(tree, summ))))
+    files = IX.distinct_files(idx).select(F.lit("index").alias("source"), F.col("file").alias("rel_path"))
+    summ = hits.select(F.lit("index").alias("source"),
+                       F.format_string("%04d/%04d", "query_id", "rank").alias("rel_path"), "file", F.col("text").alias("summary"))
+    return JB.reports(JB.architect_prompts(CX.budget_prompt(files, summ, label_col="file")))
 
 
 def ask_prompts(spark, sf_dir):
     ctx = CX.context_block(base_hits(spark, sf_dir))
     q = benchmark_questions(spark, sf_dir).withColumnRenamed("text", "question")
     j = q.join(ctx.select("query_id", F.col("scored_context").alias("context")), "query_id")
-    return j.select("query_id", F.lit("default").alias("purpose"),
+    return j.select("query_id", F.lit(PR.ROUTE["ask"]).alias("purpose"),
                     PR.system("ask").alias("system"), PR.user("ask").alias("user"))
 
 
@@ -577,7 +562,7 @@ def base_changes(spark, sf_dir):
 
 @register("prompt_commit")
 def q_prompt_commit(spark, sf_dir):
-    return JB.commit_prompts(base_changes(spark, sf_dir)).select("source", "system", "user")
+    return JB.commit_prompts(base_changes(spark, sf_dir)).select("source", "window", "system", "user")
 
 
 @register("commit_messages")
@@ -587,13 +572,13 @@ def q_commit_messages(spark, sf_dir):
 
 @register("prompt_review")
 def q_prompt_review(spark, sf_dir):
-    return JB.review_prompts(base_changes(spark, sf_dir), base_index(spark, sf_dir)).select(
-        "source", "fix", "system", "user")
+    return JB.review_prompts(base_changes(spark, sf_dir), base_index(spark, sf_dir), V.wants_fix()).select(
+        "source", "window", "fix", "system", "user")
 
 
 @register("review")
 def q_review(spark, sf_dir):
-    return JB.review(base_changes(spark, sf_dir), base_index(spark, sf_dir))
+    return JB.review(base_changes(spark, sf_dir), base_index(spark, sf_dir), fix=V.wants_fix())
 
 
 def audit_inputs(spark, sf_dir):
@@ -602,13 +587,13 @@ def audit_inputs(spark, sf_dir):
 
 @register("prompt_audit")
 def q_prompt_audit(spark, sf_dir):
-    return JB.audit_prompts(audit_inputs(spark, sf_dir), base_index(spark, sf_dir)).select(
-        "source", "fix", "system", "user")
+    return JB.audit_prompts(audit_inputs(spark, sf_dir), base_index(spark, sf_dir), V.wants_fix()).select(
+        "source", "window", "fix", "system", "user")
 
 
 @register("audit")
 def q_audit(spark, sf_dir):
-    return JB.audit(audit_inputs(spark, sf_dir), base_index(spark, sf_dir))
+    return JB.audit(audit_inputs(spark, sf_dir), base_index(spark, sf_dir), fix=V.wants_fix())
 
 
 def doc_results(spark, sf_dir):
@@ -626,7 +611,7 @@ def q_docs_existing(spark, sf_dir):
 def q_prompt_doc(spark, sf_dir):
     fb = V.files_base(spark, sf_dir)
     return JB.doc_prompts(SC.scan_code_files(fb), fb, V.existing_docs(spark, sf_dir)).select(
-        "source", "doc_type", "system", "user")
+        "source", "doc_type", "window", "system", "user")
 
 
 @register("generate_docs")
@@ -656,18 +641,18 @@ def q_tests_existing(spark, sf_dir):
 
 @register("prompt_test")
 def q_prompt_test(spark, sf_dir):
-    return JB.test_prompts(test_targets(spark, sf_dir), V.files_head(spark, sf_dir)).select(
+    return JB.test_prompts(test_targets(spark, sf_dir), V.files_head(spark, sf_dir), base_index(spark, sf_dir)).select(
         "path", "test_path", "system", "user")
 
 
 @register("generate_tests")
 def q_generate_tests(spark, sf_dir):
-    return JB.generate_tests(test_targets(spark, sf_dir), V.files_head(spark, sf_dir))
+    return JB.generate_tests(test_targets(spark, sf_dir), V.files_head(spark, sf_dir), index=base_index(spark, sf_dir))
 
 
 @register("write_tests")
 def q_write_tests(spark, sf_dir):
-    return JB.write_tests(JB.generate_tests(test_targets(spark, sf_dir), V.files_head(spark, sf_dir)))
+    return JB.write_tests(q_generate_tests(spark, sf_dir))
 
 
 @register("write_report")

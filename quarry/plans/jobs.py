@@ -19,99 +19,109 @@ from quarry.operators import context as CX
 from quarry.operators import corpus as CO
 from quarry.operators import patches as PT
 from quarry.operators import responses as RS
-from quarry.operators.generate import generate_batch
-from quarry.operators.ordering import ordered_prefix
+from quarry.operators import scan as SC
+from quarry.operators.generate import final_answers, generate_batch, merge_answers
+from quarry.operators.ordering import ordered_windows
 from quarry.plans.indexing import retrieve
 from quarry.sinks.tables import write_snapshot
 
 
-def change_sets(base: DataFrame, head: DataFrame, root_col: str = "source") -> DataFrame:
-    """Per root: the diff of all changed files in path order, cut to 15,000
-    characters (T2). Roots without changes have no row."""
-    per_file = CH.change_payload(base, head, limit=K.MAX_PAYLOAD_CHARS)
+def change_sets(base: DataFrame, head: DataFrame, root_col: str = "source", limit: int = K.MAX_PAYLOAD_CHARS) -> DataFrame:
+    """Per root: the diff of all changed files in path order, whole, as
+    windows of ``limit`` characters. Roots without changes have no row."""
     roots = head.select("path", root_col).unionByName(base.select("path", root_col)).dropDuplicates(["path"])
-    pf = per_file.join(roots, "path")
-    agg = ordered_prefix(pf, [root_col], P.parts(F.col("path")), F.col("diff"), "\n",
-                         K.MAX_PAYLOAD_CHARS, 5)
-    cut = F.col("total_chars") > K.MAX_PAYLOAD_CHARS
-    return agg.select(root_col, F.col("n_rows").alias("n_files"),
-                      F.when(cut, F.concat(F.substring("prefix", 1, K.MAX_PAYLOAD_CHARS),
-                                           F.lit(K.PAYLOAD_TRUNCATION_NOTICE)))
-                      .otherwise(F.col("prefix")).alias("diff"),
-                      cut.alias("truncated"))
+    pf = CH.change_payload(base, head).join(roots, "path")
+    rows = ordered_windows(pf, [root_col], P.parts(F.col("path")), F.col("diff"), "\n", limit)
+    return rows.select(root_col, "window", "n_windows", F.col("n_rows").alias("n_files"), F.col("text").alias("diff"))
 
 
-def _prompt(df: DataFrame, purpose: str, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.lit(purpose).alias("purpose"), PR.system(purpose).alias("system"),
-                     PR.user(purpose).alias("user"))
+def _prompt(df: DataFrame, kind: str, keep: list[str]) -> DataFrame:
+    return df.select(*keep, F.lit(PR.ROUTE[kind]).alias("purpose"), PR.system(kind).alias("system"),
+                     PR.user(kind).alias("user"))
+
+
+def _split(ans: DataFrame) -> DataFrame:
+    """W3 on whole answers: ``thinking`` and ``final`` beside them."""
+    thinking, final = RS.whole_answer(F.coalesce("response", F.lit("")))
+    return ans.withColumn("thinking", thinking).withColumn("final", final)
+
+
+WINDOW = ["source", "window", "n_windows"]
 
 
 def commit_prompts(changes: DataFrame) -> DataFrame:
-    """P1."""
-    return _prompt(changes, "commit", ["source"])
+    """P1, one prompt per window of the diff."""
+    return _prompt(changes, "commit", WINDOW)
 
 
 def commit_messages(changes: DataFrame, generator=None) -> DataFrame:
     """C11: one proposed message per change set."""
-    ans = generate_batch(commit_prompts(changes), generator)
+    ans = merge_answers(generate_batch(commit_prompts(changes), generator), ["source"], "commit", generator)
     return ans.select("source", TX.py_strip(F.coalesce("response", F.lit(""))).alias("message"))
 
 
-def with_context(df: DataFrame, index: DataFrame | None, query: F.Column, k: int = K.TOP_K) -> DataFrame:
+def with_context(df: DataFrame, index: DataFrame | None, query: F.Column, keys: list[str], k: int = K.TOP_K) -> DataFrame:
     """Optional retrieval: ``context`` = A4 block of the top-k chunks for
-    ``query`` (NULL without an index or hits). One query per row of ``df``."""
+    ``query`` (NULL without an index or hits). One query per row of ``df``,
+    which ``keys`` identify."""
     if index is None:
         return df.withColumn("context", F.lit(None).cast("string"))
-    keyed = df.withColumn("query_id", F.xxhash64("source"))
+    keyed = df.withColumn("query_id", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))
     hits = retrieve(index, keyed.select("query_id", query.alias("text")), k)
     ctx = CX.context_block(hits).select("query_id", "context")
     return keyed.join(ctx, "query_id", "left").drop("query_id")
 
 
-def review_prompts(changes: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """P2 per change set; the edit-block request is on for roots with even-length names."""
+def _with_fix(df: DataFrame, fix) -> DataFrame:
+    return df.withColumn("fix", F.lit(fix) if isinstance(fix, bool) else fix)
+
+
+def review_prompts(changes: DataFrame, index: DataFrame | None = None, fix=False) -> DataFrame:
+    """P2 per window of a change set; ``fix`` (a flag or a column) asks for
+    edit blocks."""
     q = F.concat(F.lit(K.REVIEW_QUERY_PREFIX), F.substring("diff", 1, K.QUERY_PREFIX_CHARS))
-    c = with_context(changes, index, q).withColumn("fix", F.length("source") % 2 == 0)
-    return _prompt(c, "review", ["source", "fix"])
-
-
-def review(changes: DataFrame, index: DataFrame | None = None, generator=None) -> DataFrame:
-    """Review text per change set, failure flag, and the edit blocks found."""
-    ans = generate_batch(review_prompts(changes, index), generator)
-    toks = ans.select(F.col("source").alias("response_id"), F.lit(0).cast("bigint").alias("seq"),
-                      F.coalesce("response", F.lit("")).alias("chunk"))
-    out = RS.final_text(RS.split_reasoning(toks))
-    n_p = PT.parse_patches(out.select("response_id", F.col("final").alias("text"))) \
-        .groupBy("response_id").agg(F.count(F.lit(1)).alias("n_patches"))
-    return out.join(n_p, "response_id", "left").select(
-        F.col("response_id").alias("source"), F.col("answer").alias("review"), "failed",
+    return _prompt(_with_fix(with_context(changes, index, q, WINDOW[:2]), fix), "review", [*WINDOW, "fix"])
+
+
+def review(changes: DataFrame, index: DataFrame | None = None, generator=None, fix=False) -> DataFrame:
+    """Review text per change set, failure flag, and the edit blocks found
+    in all of its windows."""
+    ans = _split(generate_batch(review_prompts(changes, index, fix), generator))
+    split = write_snapshot(ans.select(*WINDOW, F.col("final").alias("response"), "thinking", "error"), "answers")
+    blocks = PT.parse_patches(split.select(F.col("source").alias("response_id"), F.col("response").alias("text")))
+    n_p = blocks.groupBy(F.col("response_id").alias("source")).agg(F.count(F.lit(1)).alias("n_patches"))
+    empty = (F.length(F.coalesce("response", F.lit(""))) == 0) & (F.length(F.coalesce("thinking", F.lit(""))) == 0)
+    failed = split.groupBy("source").agg(F.bool_or(empty | F.col("error").isNotNull()).alias("failed"))
+    text = merge_answers(split, ["source"], "review", generator).select("source", "response")
+    return text.join(failed, "source").join(n_p, "source", "left").select(
+        "source", TX.py_strip(F.coalesce("response", F.lit(""))).alias("review"), "failed",
         F.coalesce("n_patches", F.lit(0)).alias("n_patches"))
 
 
 def audit_payloads(code_files: DataFrame) -> DataFrame:
-    """Audit input per root: the code corpus cut to 15,000 characters."""
-    return CO.concat_corpus(code_files).select("source", F.col("payload").alias("code"), "truncated")
+    """Audit input per root: the whole code corpus without suppressed lines
+    (F5), in windows."""
+    return CO.concat_corpus(SC.suppress_lines(code_files)).select(*WINDOW, F.col("payload").alias("code"))
 
 
-def audit_prompts(payloads: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """The audit query is the first 500 characters, newlines as spaces."""
+def audit_prompts(payloads: DataFrame, index: DataFrame | None = None, fix=False) -> DataFrame:
+    """P3 per window: the audit query is its first 500 characters, newlines as spaces."""
     q = F.concat(F.lit(K.AUDIT_QUERY_PREFIX),
                  TX.py_strip(F.replace(F.substring("code", 1, K.QUERY_PREFIX_CHARS), F.lit("\n"), F.lit(" "))))
-    c = with_context(payloads, index, q).withColumn("fix", F.length("source") % 2 == 0)
-    return _prompt(c, "audit", ["source", "fix"])
+    return _prompt(_with_fix(with_context(payloads, index, q, WINDOW[:2]), fix), "audit", [*WINDOW, "fix"])
 
 
-def audit(payloads: DataFrame, index: DataFrame | None = None, generator=None) -> DataFrame:
-    """Verdict (T12) and finding count (T13) per root."""
-    ans = generate_batch(audit_prompts(payloads, index), generator)
-    toks = ans.select(F.col("source").alias("response_id"), F.lit(0).cast("bigint").alias("seq"),
-                      F.coalesce("response", F.lit("")).alias("chunk"))
-    sr = RS.split_reasoning(toks)
-    v = RS.verdict(sr)
-    nf = RS.findings(sr).groupBy("response_id").agg(F.count(F.lit(1)).alias("n_findings"))
-    return v.join(nf, "response_id", "left").select(
-        F.col("response_id").alias("source"), "status", "exit_code",
-        F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+def audit(payloads: DataFrame, index: DataFrame | None = None, generator=None, fix=False) -> DataFrame:
+    """Verdict (T12) and finding count (T13) per root: findings if any
+    window has some, else error if any window gave no answer, else clear."""
+    ans = RS.verdict(_split(generate_batch(audit_prompts(payloads, index, fix), generator)))
+    split = write_snapshot(ans.select(F.struct("source", "window").alias("response_id"), "status", "final"), "answers")
+    nf = RS.findings(split).groupBy(F.col("response_id.source").alias("source")).agg(F.count(F.lit(1)).alias("n_findings"))
+    worst = F.max(F.when(F.col("status") == "findings", 2).when(F.col("status") == "error", 1).otherwise(0))
+    v = split.groupBy(F.col("response_id.source").alias("source")).agg(worst.alias("worst"))
+    return v.join(nf, "source", "left").select(
+        "source", F.element_at(F.array(*[F.lit(x) for x in ("clear", "error", "findings")]), F.col("worst") + 1).alias("status"),
+        F.when(F.col("worst") == 0, 0).otherwise(1).alias("exit_code"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
 
 
 def docs_existing(jobs: DataFrame, existing_docs: DataFrame) -> DataFrame:
@@ -120,32 +130,37 @@ def docs_existing(jobs: DataFrame, existing_docs: DataFrame) -> DataFrame:
     return jobs.join(e, "dest_path", "left").withColumn("is_update", F.col("existing").isNotNull())
 
 
+DOC_JOB = ["source", "doc_type", "label", "dest_path", "is_update"]
+
+
 def doc_prompts(code_files: DataFrame, all_files: DataFrame, existing_docs: DataFrame,
                 hint: str | None = None) -> DataFrame:
-    """A3 -> A2 -> T2 -> G3 -> J7 -> P4: four jobs per root over the (cut)
-    code corpus; the language counts every file of the root."""
-    payload = CO.concat_corpus(code_files).select("source", F.col("payload").alias("code"))
+    """A3 -> A2 -> G3 -> J7 -> P4: four jobs per root, one prompt per window of
+    the code corpus; the language counts every file of the root."""
+    payload = CO.concat_corpus(code_files).select(*WINDOW, F.col("payload").alias("code"))
     lang = CO.dominant_language(all_files).select("source", "language")
     targets = payload.join(lang, "source").withColumn("stem", F.col("source"))
     jobs = docs_existing(CO.doc_jobs(targets), existing_docs).withColumn("hint", F.lit(hint).cast("string"))
-    return _prompt(jobs, "doc", ["source", "doc_type", "label", "type_order", "dest_path", "is_update"])
+    return _prompt(jobs, "doc", [*DOC_JOB, "window", "n_windows"])
 
 
 def generate_docs(code_files: DataFrame, all_files: DataFrame, existing_docs: DataFrame,
-                  generator=None) -> DataFrame:
-    """Status per job - empty, updated or created - and the document."""
-    ans = generate_batch(doc_prompts(code_files, all_files, existing_docs), generator)
-    doc = TX.py_strip(F.coalesce("response", F.lit("")))
-    res = ans.withColumn("doc", doc).withColumn(
-        "status", F.when(F.length("doc") == 0, F.lit("empty"))
+                  generator=None, hint: str | None = None) -> DataFrame:
+    """Status per job - error, empty, updated or created - and the document
+    (the final part of the answer, W3)."""
+    ans = generate_batch(doc_prompts(code_files, all_files, existing_docs, hint), generator)
+    out = merge_answers(final_answers(ans), DOC_JOB, "doc", generator)
+    res = out.withColumn("doc", TX.py_strip(F.coalesce("response", F.lit("")))).withColumn(
+        "status", F.when(F.col("error").isNotNull(), F.lit("error")).when(F.length("doc") == 0, F.lit("empty"))
         .when(F.col("is_update"), F.lit("updated")).otherwise(F.lit("created")))
     return res.select("source", "doc_type", "label", "dest_path", "status", "doc")
 
 
-def write_generated(results: DataFrame) -> DataFrame:
-    """K2: persist non-empty documents as a new table partitioned by type."""
-    docs = results.where(F.col("status") != "empty").select("doc_type", "dest_path", "doc")
-    return write_snapshot(docs, "docs", partition_by=["doc_type"])
+def write_generated(results: DataFrame, path: str | None = None) -> DataFrame:
+    """K2: write the created and updated documents as a new table partitioned
+    by type, at ``path`` (which must not exist; default: a scratch folder)."""
+    docs = results.where(F.col("status").isin("created", "updated")).select("doc_type", "dest_path", "doc")
+    return write_snapshot(docs, "docs", partition_by=["doc_type"], path=path)
 
 
 def job_summary(results: DataFrame) -> DataFrame:
@@ -155,38 +170,49 @@ def job_summary(results: DataFrame) -> DataFrame:
 
 def tests_existing(targets: DataFrame, head: DataFrame) -> DataFrame:
     """Source file joined to an existing test at its derived path."""
-    tp = CO.test_path(targets)
-    lang = CO.language_of(targets).select("path", "language", "framework")
     e = head.select(F.col("path").alias("test_path"), F.col("content").alias("existing"))
-    return tp.join(lang, "path").join(e, "test_path", "left") \
-        .withColumn("is_update", F.col("existing").isNotNull())
+    return CO.test_targets(targets).join(e, "test_path", "left").withColumn("is_update", F.col("existing").isNotNull())
 
 
-def test_prompts(modified: DataFrame, head: DataFrame) -> DataFrame:
-    """S8 -> T6, T7 -> J6 -> P5."""
+def test_prompts(modified: DataFrame, head: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """S8 -> T6, T7 -> J6 -> C3 (with an index: definitions used by the file) -> P5."""
     t = tests_existing(modified, head)
     code = head.select("path", F.col("content").alias("code"))
-    j = t.join(code, "path").withColumn("mode", F.when(F.col("is_update"), F.lit("update")).otherwise(F.lit("new"))) \
-        .withColumn("context", F.lit(None).cast("string"))
+    j = t.join(code, "path").withColumn("mode", F.when(F.col("is_update"), F.lit("update")).otherwise(F.lit("new")))
+    j = with_context(j, index, F.concat(F.lit(K.TESTS_QUERY_PREFIX), P.name(F.col("path"))), ["path"])
     return _prompt(j, "test", ["path", "test_path", "is_update"])
 
 
-def generate_tests(modified: DataFrame, head: DataFrame, generator=None) -> DataFrame:
-    """C7 + K3 plan: generated test text after fence strip (T10) and the
-    action - update an existing test, or create a new one."""
-    ans = generate_batch(test_prompts(modified, head), generator)
-    content = RS.strip_fence(F.coalesce("response", F.lit("")))
-    return ans.select(
-        "path", F.col("test_path").alias("dest_path"), content.alias("content"),
-        F.when(F.length(F.coalesce("response", F.lit(""))) == 0, F.lit("skip"))
+def generate_tests(modified: DataFrame, head: DataFrame, generator=None, index: DataFrame | None = None) -> DataFrame:
+    """C7 + K3 plan: generated test text (the final part of the answer, W3,
+    after fence strip, T10) and the action - error, skip (no text), update of an
+    existing test, or create."""
+    out = _split(generate_batch(test_prompts(modified, head, index), generator))
+    return out.select(
+        "path", F.col("test_path").alias("dest_path"), RS.strip_fence(F.col("final")).alias("content"),
+        F.when(F.col("error").isNotNull(), F.lit("error")).when(F.length("final") == 0, F.lit("skip"))
         .when(F.col("is_update"), F.lit("update")).otherwise(F.lit("create")).alias("action"))
 
 
-def write_tests(plan: DataFrame) -> DataFrame:
-    """K3: persist the planned test files (skips excluded) as a new table."""
-    return write_snapshot(plan.where(F.col("action") != "skip").select("dest_path", "content", "action"), "tests")
+def write_tests(plan: DataFrame, path: str | None = None) -> DataFrame:
+    """K3: write the planned test files (those to create or update) as a new table."""
+    return write_snapshot(plan.where(F.col("action").isin("create", "update")).select("dest_path", "content", "action"), "tests", path=path)
+
+
+def architect_prompts(budgeted: DataFrame) -> DataFrame:
+    """P7, one prompt per window of T4."""
+    return _prompt(budgeted, "architect", WINDOW)
+
+
+def reports(prompts: DataFrame, generator=None) -> DataFrame:
+    """C9/C10's last step: one report per root (the final part of the merged
+    answer, W3); an empty report or a failed call is an error."""
+    ans = merge_answers(final_answers(generate_batch(prompts, generator)), ["source"], "architect", generator)
+    text = TX.py_strip(F.coalesce("response", F.lit("")))
+    return ans.select("source", text.alias("report"),
+                      F.when((F.length(text) == 0) | F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("ok")).alias("status"))
 
 
-def write_report(reports: DataFrame) -> DataFrame:
-    """K5: persist one report per root; empty reports are not written."""
-    return write_snapshot(reports.where(F.col("status") == "ok").select("source", "report"), "reports")
+def write_report(reports: DataFrame, path: str | None = None) -> DataFrame:
+    """K5: write one report per root; failed and empty reports are not written."""
+    return write_snapshot(reports.where(F.col("status") == "ok").select("source", "report"), "reports", path=path)

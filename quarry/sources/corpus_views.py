@@ -73,6 +73,11 @@ def files_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(new)
 
 
+def wants_fix() -> Column:
+    """Roots with names of even length ask for edit blocks."""
+    return F.length("source") % 2 == 0
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as a token stream ``(response_id, seq, chunk)``."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")

@@ -6,17 +6,41 @@ from quarry.operators import context as CX
 from quarry.operators import corpus as CO
 
 
-def test_budget_cut_marks_both_parts(spark):
-    num_ctx = 10  # budget 30 characters
-    tree = spark.createDataFrame([("r", 1, 12, "a.py\nb.py\nc.p"), ("s", 1, 3, "x.y")],
-                                 "source string, tree_files long, tree_chars long, tree string")
-    summ = spark.createDataFrame([("r", 1, 40, "S" * 40), ("s", 1, 5, "short")],
-                                 "source string, n_summaries long, summaries_chars long, summaries string")
-    got = {r.source: r for r in CX.budget_prompt(tree, summ, num_ctx=num_ctx).collect()}
-    # 12 + 40 > 30: tree gets min(12, 30 // 4) = 7, summaries 30 - 7 = 23
-    assert got["r"].cut and got["r"].tree == "a.py\nb." + K.TRUNCATED_MARKER
-    assert got["r"].summaries == "S" * 23 + K.TRUNCATED_MARKER
-    assert not got["s"].cut and (got["s"].tree, got["s"].summaries) == ("x.y", "short")
+def test_budget_marks_every_cut_and_loses_nothing(spark):
+    files = spark.createDataFrame([("r", p) for p in ("a.py", "b.py", "c.py")] + [("s", "x.y")], "source string, rel_path string")
+    summ = spark.createDataFrame([("r", "a.py", "S" * 40), ("r", "b.py", None), ("s", "x.y", "ok")], "source string, rel_path string, summary string")
+    rows = CX.budget_prompt(files, summ, num_ctx=10).collect()  # a budget of 30 characters
+    whole = {"r": ("a.py\nb.py\nc.py", "### a.py\n" + "S" * 40 + "\n\n### b.py\n" + K.FAILED_SUMMARY), "s": ("x.y", "### x.y\nok")}
+    for root, (tree, summaries) in whole.items():
+        mine = sorted((r for r in rows if r.source == root), key=lambda r: r.window)
+        assert [r.window for r in mine] == list(range(mine[0].n_windows))
+        assert "".join(r.tree.replace(K.TRUNCATED_MARKER, "") for r in mine) == tree
+        assert "".join(r.summaries.replace(K.TRUNCATED_MARKER, "") for r in mine) == summaries
+    r = [x for x in rows if x.source == "r" and x.window == 0][0]
+    # the tree gets min(14, 30 // 4) = 7, the summaries 30 - 7 = 23
+    assert r.cut and r.tree == "a.py\nb." + K.TRUNCATED_MARKER and r.summaries == whole["r"][1][:23] + K.TRUNCATED_MARKER
+    assert [(x.tree, x.summaries, x.cut, x.n_windows) for x in rows if x.source == "s"] == [(*whole["s"], False, 1)]
+
+
+def test_large_budget_does_not_cut(spark):
+    files = spark.createDataFrame([("r", f"d/{i:05d}.py") for i in range(9000)], "source string, rel_path string")
+    summ = spark.createDataFrame([("r", "d/00000.py", "ok")], "source string, rel_path string, summary string")
+    row = CX.budget_prompt(files, summ, num_ctx=131072).first()
+    assert not row.cut and len(row.tree) == 9000 * 10 + 8999 and K.TRUNCATED_MARKER not in row.tree
+
+
+def test_answers_are_merged_level_by_level(spark):
+    from quarry.operators.generate import merge_answers
+
+    def factory():
+        return lambda user, system, purpose, route: "<think>hm</think>" + user[-60:]
+
+    rows = [("a", i, 8, f"part {i} " + "x" * 60, None) for i in range(8)] + [("b", 0, 1, "alone", None),
+            ("c", 0, 2, None, "Error: down"), ("c", 1, 2, "y", None), ("d", 0, 2, "", None), ("d", 1, 2, None, None)]
+    ans = spark.createDataFrame(rows, "source string, window long, n_windows long, response string, error string")
+    out = {r.source: r for r in merge_answers(ans, ["source"], "doc", factory, limit=150).collect()}
+    assert set(out) == {"a", "b", "c", "d"} and out["b"].response == "alone" and out["b"].error is None
+    assert len(out["a"].response) == 60 and out["a"].response.endswith("x") and out["c"].error == "Error: down"
 
 
 def test_dedup_hits_keeps_first_probe_then_rank(spark):

@@ -1,4 +1,4 @@
-"""Bounded ordered prefixes and ordered ranks against brute force, with a hot group."""
+"""Ordered windows and ordered ranks against brute force, with a hot group."""
 
 import random
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry import constants as K
 from quarry.functions import paths as P
 from quarry.operators.corpus import concat_corpus
-from quarry.operators.ordering import ordered_prefix, ordered_rank
+from quarry.operators.ordering import ordered_rank, ordered_windows
 
 
 def _rows():
@@ -19,26 +19,31 @@ def _rows():
     return rows
 
 
-def test_concat_corpus_prefix_equals_full_join(spark):
-    rows = _rows()
-    df = spark.createDataFrame(rows, "source string, path string, content string").repartition(7)
-    got = {r.source: r for r in concat_corpus(df).collect()}
-    for src in {"hot", "cold", "tiny"}:
-        mine = sorted([r for r in rows if r[0] == src], key=lambda r: r[1].split("/"))
-        full = "\n\n".join(f"### File: {p}\n{c}" for _, p, c in mine)
-        cut = len(full) > K.MAX_PAYLOAD_CHARS
-        expect = full[:K.MAX_PAYLOAD_CHARS] + K.PAYLOAD_TRUNCATION_NOTICE if cut else full
-        assert got[src].payload == expect and got[src].total_chars == len(full) and got[src].truncated == cut
+def _joined(windows, group, col="text"):
+    mine = sorted((r for r in windows if r.source == group), key=lambda r: r.window)
+    assert [r.window for r in mine] == list(range(mine[0].n_windows))
+    return mine, "".join(r[col] for r in mine)
 
 
-def test_newline_tree_prefix_many_rows(spark):
+def test_corpus_windows_are_the_whole_text(spark):
     rows = _rows()
-    df = spark.createDataFrame(rows, "source string, path string, content string")
-    out = {r.source: r for r in ordered_prefix(df, ["source"], P.parts(F.col("path")), F.col("path"), "\n",
-                                                 24576, 1).collect()}
-    mine = sorted([r[1] for r in rows if r[0] == "hot"], key=lambda p: p.split("/"))
-    full = "\n".join(mine)
-    assert out["hot"].prefix[:24576] == full[:24576] and out["hot"].total_chars == len(full)
+    got = concat_corpus(spark.createDataFrame(rows, "source string, path string, content string").repartition(7)).collect()
+    for src in {"hot", "cold", "tiny"}:
+        full = "\n\n".join(f"### File: {p}\n{c}" for _, p, c in sorted((r for r in rows if r[0] == src), key=lambda r: r[1].split("/")))
+        mine, text = _joined(got, src, "payload")
+        assert text == full and all(r.total_chars == len(full) for r in mine)
+        assert all(len(r.payload) == K.MAX_PAYLOAD_CHARS for r in mine[:-1]) and sum(len(r.payload) for r in mine) == len(full)
+
+
+def test_windows_of_any_size(spark):
+    """Windows shorter than pieces and separators, and one limit per group."""
+    rows = [("a", i, "xyz"[: i % 4] * (i % 3)) for i in range(40)] + [("b", 0, ""), ("b", 1, ""), ("c", 0, "only")]
+    df = spark.createDataFrame(rows, "source string, n int, t string").repartition(3)
+    limits = spark.createDataFrame([("a", 5), ("b", 1), ("c", 100)], "source string, limit int")
+    for limit in (1, 2, 7, 1000, limits):
+        got = ordered_windows(df, ["source"], F.col("n"), F.col("t"), "--", limit).collect()
+        for g in "abc":
+            assert _joined(got, g)[1] == "--".join(t for s, _, t in rows if s == g)
 
 
 def test_ordered_rank_matches_sorted(spark):

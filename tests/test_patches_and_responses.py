@@ -232,17 +232,19 @@ def test_generator_called_once_per_prompt(spark, tmpdir_fresh):
     os.makedirs(log)
 
     def factory():
-        def call(user, system, purpose):
+        def call(user, system, purpose, route):
+            assert route == {"model": "gemma4", "num_ctx": 4096, "num_predict": 512}
             open(os.path.join(log, user), "w").close()
             if user == "boom":
                 raise RuntimeError("model down")
             return f"  answer to {user}  "
         return call
 
-    prompts = spark.createDataFrame([(i, "p", "sys", u) for i, u in enumerate(["a", "b", "boom"])],
+    prompts = spark.createDataFrame([(i, "fast", "sys", u) for i, u in enumerate(["a", "b", "boom"])],
                                     "request_id int, purpose string, system string, user string")
     ans = generate_batch(prompts, factory)
     got = {r.user: r.response for r in ans.collect()}
     assert got == {"a": "answer to a", "b": "answer to b", "boom": None}
+    assert {r.user: r.error for r in ans.collect()} == {"a": None, "b": None, "boom": "RuntimeError: model down"}
     ans.groupBy("purpose").count().collect()
     assert sorted(os.listdir(log)) == ["a", "b", "boom"]

@@ -36,10 +36,14 @@ def test_retrieval_plan(spark):
     assert vec_scans and all("text" not in l for l in vec_scans)
 
 
-def test_prefix_concat_is_salted(spark):
+def test_corpus_windows_never_gather_a_root(spark):
+    """Texts are exchanged by their own key and by (root, window), no window
+    function runs over a whole root's rows, and the root alone is a key only
+    of per-range sums."""
     plan = _plan(CO.concat_corpus(SC.scan_code_files(V.files_base(spark, SF))))
-    assert "_salt" in plan
-    assert plan.count("row_number()") >= 2
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert any("source" in e and "window" in e for e in exchanges)
+    assert "_pid" in plan and "row_number" not in plan
 
 
 def test_scan_filters_reach_the_scan(spark):
