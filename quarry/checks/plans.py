@@ -29,8 +29,8 @@ NOTES = {
     "concat_corpus": "Character offsets from range-partitioned keys and lengths; texts joined to their "
                      "offsets, cut at window borders and gathered by (root, window).",
     "split_reasoning": "One shuffle by response_id; running flag and ordered collect per response.",
-    "apply_patches": "Broadcast file join, one aggregate per (answer, file) holding the whole fold; "
-                     "no Python.",
+    "apply_patches": "One aggregate per (answer, file), then one join with the file's text and the whole "
+                     "fold as an expression; no Python.",
 }
 
 

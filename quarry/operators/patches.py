@@ -67,8 +67,9 @@ def _first_replace(content: Column, pos: Column, search: Column, repl: Column) -
     return F.overlay(content, repl, pos, F.length(search))
 
 
-def apply_patches(targets: DataFrame, key: str = "response_id") -> DataFrame:
-    """Fold the patches of each (answer, file) in order.
+def apply_patches(patches: DataFrame, files: DataFrame, key: str = "response_id") -> DataFrame:
+    """Fold the patches of each (answer, file) in order. The patches are
+    grouped first, so a file's text joins its group once, not each patch.
 
     Exact match replaces the first occurrence. Otherwise the right-stripped
     forms are compared and, on a match, the normalised text is written. A
@@ -77,9 +78,9 @@ def apply_patches(targets: DataFrame, key: str = "response_id") -> DataFrame:
     ``array<struct<patch_no, applied, error>>`` in patch order; ``content`` is
     NULL for missing files.
     """
-    grouped = targets.groupBy(key, "file").agg(
-        F.first("content").alias("content"),
+    grouped = patches.groupBy(key, "file").agg(
         F.array_sort(F.collect_list(F.struct("patch_no", "search", "replace"))).alias("_p"))
+    grouped = grouped.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
 
     empty = F.array().cast("array<struct<patch_no:int,applied:boolean,error:string>>")
 

@@ -512,9 +512,7 @@ def parsed_patches(spark, sf_dir):
 
 
 def patch_run(spark, sf_dir):
-    targets = PT.patch_targets(parsed_patches(spark, sf_dir), V.patch_files(spark, sf_dir))
-    applied = PT.apply_patches(targets)
-    return targets, applied
+    return PT.apply_patches(parsed_patches(spark, sf_dir), V.patch_files(spark, sf_dir))
 
 
 @register("parse_patches")
@@ -535,20 +533,20 @@ def q_patch_targets(spark, sf_dir):
 
 @register("apply_patches")
 def q_apply_patches(spark, sf_dir):
-    _, applied = patch_run(spark, sf_dir)
+    applied = patch_run(spark, sf_dir)
     return PT.patch_results(applied)
 
 
 @register("patch_summary")
 def q_patch_summary(spark, sf_dir):
-    _, applied = patch_run(spark, sf_dir)
+    applied = patch_run(spark, sf_dir)
     return PT.patch_summary(PT.patch_results(applied))
 
 
 @register("write_patched")
 def q_write_patched(spark, sf_dir):
     """K4: patched files written as a new snapshot table, then read back."""
-    _, applied = patch_run(spark, sf_dir)
+    applied = patch_run(spark, sf_dir)
     return write_snapshot(applied.where(F.col("content").isNotNull()).select("response_id", "file", "content"),
                           "patched")
 

@@ -9,14 +9,8 @@ from quarry import constants as K
 from quarry.functions.embed import hashed_embedding
 from quarry.operators import index_ops as IX
 from quarry.operators.chunking import chunk_text
-from quarry.operators.knn import knn_with_count
+from quarry.operators.knn import knn
 from quarry.operators.scan import scan_index_files
-from quarry.session import checkpoint_dir
-
-# Hits joined back to index metadata are broadcast below this many rows.
-HIT_BROADCAST_ROWS = 2_000_000
-# Up to this many hits, text is read only for the files the hits name.
-FILE_LOOKUP_MAX = 10_000
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -113,18 +107,8 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = K.TOP_K,
     ``hits(query_id, rank, file, chunk_index, text, distance, score)``.
     """
     qv = embed_queries(queries, text_col, dim, embed)
-    hits, n_q = knn_with_count(index, qv, k, keys=["file", "chunk_index"])
-    meta = index.select("file", "chunk_index", "text")
-    if 0 < n_q * max(k, 0) <= FILE_LOOKUP_MAX:
-        # Interactive-size batch: fix the hits once (reliable checkpoint, a few
-        # rows) and read text only for the files they name - bucket pruning on
-        # a bucketed index, row-group skipping on Parquet paths.
-        checkpoint_dir(index.sparkSession)
-        hits = hits.checkpoint(eager=True)
-        files = [r["file"] for r in hits.select("file").distinct().collect()]
-        meta = meta.where(F.col("file").isin(files))
-    small = F.broadcast(hits) if n_q * max(k, 0) <= HIT_BROADCAST_ROWS else hits
-    joined = meta.join(small, ["file", "chunk_index"], "inner")
+    hits = knn(index, qv, k, keys=["file", "chunk_index"])
+    joined = index.select("file", "chunk_index", "text").join(hits, ["file", "chunk_index"], "inner")
     return joined.select(
         "query_id", "rank", "file", "chunk_index", "text", "distance",
         F.format_string("%.4f", F.col("distance")).alias("score"),

@@ -35,7 +35,7 @@ def _apply(spark, patches, files):
     p = spark.createDataFrame(patches, "response_id long, patch_no int, file string, search string, replace string")
     f = spark.createDataFrame(files, "path string, content string")
     t = PT.patch_targets(p, f)
-    a = PT.apply_patches(t)
+    a = PT.apply_patches(p, f)
     res = {(r.response_id, r.patch_no): (r.applied, r.error) for r in PT.patch_results(a).collect()}
     content = {(r.response_id, r.file): r.content for r in a.collect() if r.content is not None}
     return res, content
@@ -65,7 +65,7 @@ def test_apply_cases(spark):
 def test_zero_patches_change_nothing(spark):
     p = spark.createDataFrame([], "response_id long, patch_no int, file string, search string, replace string")
     f = spark.createDataFrame([("f.py", "x")], "path string, content string")
-    assert PT.apply_patches(PT.patch_targets(p, f)).count() == 0
+    assert PT.apply_patches(p, f).count() == 0
 
 
 def _reference_split(chunks):

@@ -22,10 +22,10 @@ def test_retrieval_plan(spark):
     store = IndexStore(spark, scratch_path(spark, "plan-test"))
     store.save(build_index(V.files_base(spark, SF)))
     idx = store.load()
-    # the text lookup reads only the files the hits name
+    # text and vectors are read by separate scans; the hits join the text by key
     lookup = _plan(retrieve(idx, C.benchmark_questions(spark, SF), 5))
-    text_scans = [l for l in lookup.split("\n") if "FileScan parquet" in l and "text" in l]
-    assert text_scans and all("PushedFilters: [In(file," in l for l in text_scans)
+    text_scans = [l for l in lookup.split("\n") if "FileScan parquet" in l and "text" in l.split("ReadSchema")[1]]
+    assert text_scans and not any("embedding" in l.split("ReadSchema")[1] for l in text_scans)
     plan = _plan(knn(idx, embed_queries(C.benchmark_questions(spark, SF)), 5, keys=["file", "chunk_index"]))
     # per-task top-k before the shuffle, global top-k after it
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
