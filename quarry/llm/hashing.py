@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Odd multipliers of the polynomial and mixing steps.
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Words remembered by a task: a memory bound only.
-WORDS_KEPT = 400_000
 
 
-class WordHashes(dict):
-    """64-bit hash of every word seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, text: str, lower: bool = False) -> np.ndarray:
-        """Hashes of the words between ASCII white space; ``lower`` folds A-Z."""
-        raw = text.encode("utf-8", "surrogatepass")
-        words = (raw.lower() if lower else raw).split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def batch_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (between ASCII white space) of all texts in a
+    row, and the bounds of each text. Arrow numbers the distinct words of the
+    batch, each of which is hashed once; ``lower`` folds A-Z."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    bounds = cut.offsets.to_numpy().astype(np.int64)
+    bounds = bounds - bounds[0]
+    numbered = cut.flatten().dictionary_encode()
+    distinct = numbered.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    number = numbered.indices.to_numpy()
+    if b"" in distinct:  # white space at the ends of a text
+        word = number != distinct.index(b"")
+        bounds = np.append(0, np.cumsum(word))[bounds]
+        number = number[word]
+    return hashes[number], bounds
 
 
 def mix(x: np.ndarray) -> np.ndarray:

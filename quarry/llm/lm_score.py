@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import slices, texts
-from quarry.llm.hashing import WordHashes
+from quarry.llm.hashing import batch_hashes
 
 #: Classes of frequent words, hashed classes of all others, words on each side,
 #: size of the embeddings.
@@ -87,14 +87,13 @@ def start(head: list[tuple[int, int]], buckets: dict[int, int]) -> Network:
                    np.log(counts / counts.sum()).astype(np.float32))
 
 
-def contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def contexts(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of several texts in a row, with edges between, and the
     positions of the words."""
-    gap = np.full(SIDE, EDGE)
-    row = np.concatenate([gap, *[x for c in classes for x in (c, gap)]])
-    begin = SIDE + np.cumsum([0, *[len(c) + SIDE for c in classes]])[:-1]
-    sizes = [len(c) for c in classes]
-    at = np.arange(sum(sizes)) + np.repeat(begin - np.cumsum([0, *sizes])[:-1], sizes)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.arange(len(classes)) + SIDE * (text + 1)
+    row = np.full(len(classes) + SIDE * len(bounds), EDGE)
+    row[at] = classes
     return row, at
 
 
@@ -146,14 +145,16 @@ class Trainer:
         self._move(0, net.tables, tables, BOUND)
 
 
-def masked(n: int, shift: int) -> np.ndarray:
-    """Positions of a text masked for training: an even share, evenly spread."""
-    return np.flatnonzero(((np.arange(n) + shift) * 0.6180339887498949) % 1.0 < MASKED)
+def masked(bounds: np.ndarray) -> np.ndarray:
+    """Words masked for training: an even share of every text, evenly spread."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = np.arange(bounds[-1]) - bounds[text]
+    return np.flatnonzero(((place + 7919 * text) * 0.6180339887498949) % 1.0 < MASKED)
 
 
 def _count_words():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def flush():
             word, count = np.unique(np.concatenate(held), return_counts=True)
@@ -161,8 +162,8 @@ def _count_words():
 
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                held += [hashes.of(t, lower=True) for t in batch.column(1).to_pylist()]
-                n = sum(map(len, held))
+                held.append(batch_hashes(batch.column(1), lower=True)[0])
+                n += len(held[-1])
                 if n > COUNT_AT_ONCE:
                     yield flush()
                     held, n = [], 0
@@ -177,12 +178,12 @@ def _train(net):
         from pyspark import TaskContext
 
         base = net.value
-        hashes, trainer, seen = WordHashes(), Trainer(base), 0
+        trainer, seen = Trainer(base), 0
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                classes = [base.class_of(hashes.of(t, lower=True)) for t in batch.column(1).to_pylist()]
-                row, at = contexts(classes)
-                chosen = at[np.concatenate([masked(len(c), i * 7919) + b for i, (c, b) in enumerate(zip(classes, np.cumsum([0, *map(len, classes)])))])]
+                hashes, bounds = batch_hashes(batch.column(1), lower=True)
+                row, at = contexts(base.class_of(hashes), bounds)
+                chosen = at[masked(bounds)]
                 for i in range(0, len(chosen), STEP):
                     trainer.step(row, chosen[i : i + STEP])
                 seen += len(chosen)
@@ -230,14 +231,13 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     shared = src.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hashes = shared.value, WordHashes()
+        model = shared.value
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                classes = [model.class_of(hashes.of(t, lower=True)) for t in batch.column(1).to_pylist()]
-                row, at = contexts(classes)
+                hashes, ends = batch_hashes(batch.column(1), lower=True)
+                row, at = contexts(model.class_of(hashes), ends)
                 each = [log_probs(model, row, at[i : i + SCORE_AT_ONCE]) for i in range(0, len(at), SCORE_AT_ONCE)]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate(each) if each else np.empty(0), dtype=float)])
-                ends = np.cumsum([0, *map(len, classes)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(sums[ends[1:]] - sums[ends[:-1]])],
                                                  names=["doc_id", "n_tokens", "log_prob"])
 

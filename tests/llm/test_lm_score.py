@@ -4,9 +4,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quarry.llm import lm_score as lm
-from quarry.llm.hashing import WordHashes
+from quarry.llm.hashing import batch_hashes
 from tests.llm.helpers import prose
 
 SCHEMA = "doc_id long, text string, log_prob string"
@@ -21,7 +22,7 @@ def corpus():
 
 
 def plain(net, text):
-    c = net.class_of(WordHashes().of(text or "", lower=True))
+    c = net.class_of(batch_hashes(pa.array([text or ""]), lower=True)[0])
     padded = [lm.EDGE] * lm.SIDE + c.tolist() + [lm.EDGE] * lm.SIDE
     total = 0.0
     for i in range(len(c)):
@@ -55,7 +56,7 @@ def test_scores(spark):
 def test_gradient():
     rng = np.random.default_rng(2)
     net = lm.start([(int(w), 5) for w in rng.integers(0, 1 << 60, lm.HEAD)], {k: 1000 for k in range(lm.HASHED)})
-    row, at = lm.contexts([rng.integers(0, lm.CLASSES, 50), rng.integers(0, lm.CLASSES, 30)])
+    row, at = lm.contexts(rng.integers(0, lm.CLASSES, 80), np.array([0, 50, 50, 80]))
     before = lm.log_probs(net, row, at).mean()
     trainer = lm.Trainer(net)
     for _ in range(20):
