@@ -93,7 +93,7 @@ WHERE NOT {S.has_part_in('path', K.CODE_IGNORE_DIRS)}
   AND lower({S.suffix('path')}) IN (SELECT ext FROM lm) AND {_NOT_IGNORED}"""
 
 ORACLE["read_text"] = _with(S.FILES_BASE) + """
-SELECT path, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS content FROM files_base"""
+SELECT path, content FROM files_base"""
 
 ORACLE["ignored_dirs"] = _with(S.FILES_BASE) + f"""
 SELECT path, {S.has_part_in('path', K.INDEX_IGNORE_DIRS)} AS ignored FROM files_base"""
@@ -101,13 +101,17 @@ SELECT path, {S.has_part_in('path', K.INDEX_IGNORE_DIRS)} AS ignored FROM files_
 ORACLE["ignore_patterns"] = _with(S.FILES_BASE, _PAT_CTE) + f"""
 SELECT path FROM files_base f WHERE {_NOT_IGNORED}"""
 
-ORACLE["drop_blank"] = f"SELECT doc_id FROM documents WHERE NOT ({S.is_blank('text')})"
+ORACLE["drop_blank"] = f"""
+SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND NOT ({S.is_blank('text')})"""
 
 ORACLE["oversized"] = f"SELECT doc_id, length(text) > {K.MAX_PAYLOAD_CHARS} AS oversized FROM documents"
 
-ORACLE["suppress_lines"] = f"""
-SELECT doc_id, length(array_to_string(list_filter(string_split(text, chr(10)),
-       lambda l: NOT regexp_matches(l, '(//|#)[ \t]*[A-Za-z0-9_.-]*ignore-sec[ \t\r]*$')), chr(10))) AS n_chars FROM documents"""
+# The documents hold no marker; of the five last lines that the view adds,
+# the first, second and fifth are comments that suppress.
+ORACLE["suppress_lines"] = """
+SELECT doc_id, CAST(length(kept) AS INTEGER) AS n_chars, md5(kept) AS text_md5 FROM (
+  SELECT doc_id, text || CASE doc_id % 5 WHEN 2 THEN chr(10) || '// ignore-sec here' WHEN 3 THEN chr(10) || 'z  #ignore-secs' ELSE '' END AS kept
+  FROM documents)"""
 
 ORACLE["path_facts"] = _with(S.FILES_BASE) + f"""
 SELECT path, {S.name('path')} AS name, {S.stem('path')} AS stem, lower({S.suffix('path')}) AS suffix,

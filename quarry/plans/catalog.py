@@ -125,7 +125,7 @@ def q_scan_mapped_files(spark, sf_dir):
 
 @register("read_text")
 def q_read_text(spark, sf_dir):
-    return SC.read_text(V.files_base(spark, sf_dir)).select("path", "content")
+    return SC.read_text(V.with_carriage_returns(V.files_base(spark, sf_dir))).select("path", "content")
 
 
 @register("ignored_dirs")
@@ -141,8 +141,7 @@ def q_ignore_patterns(spark, sf_dir):
 
 @register("drop_blank")
 def q_drop_blank(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return SC.drop_blank(d, "text").select("doc_id")
+    return SC.drop_blank(V.with_blanks(table(spark, sf_dir, "documents")), "text").select("doc_id")
 
 
 @register("oversized")
@@ -153,8 +152,8 @@ def q_oversized(spark, sf_dir):
 
 @register("suppress_lines")
 def q_suppress_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return SC.suppress_lines(d, "text").select("doc_id", F.length("text").alias("n_chars"))
+    d = V.with_markers(table(spark, sf_dir, "documents"))
+    return SC.suppress_lines(d, "text").select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @register("path_facts")

@@ -73,6 +73,25 @@ def files_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(new)
 
 
+def with_carriage_returns(files: DataFrame) -> DataFrame:
+    """A third of the files with CR LF line ends, a third with CR alone."""
+    c = F.col("content")
+    return files.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.replace(c, F.lit("\n"), F.lit("\r\n")))
+                            .when(F.col("doc_id") % 3 == 1, F.replace(c, F.lit("\n"), F.lit("\r"))).otherwise(c))
+
+
+def with_blanks(docs: DataFrame) -> DataFrame:
+    """Every seventh text is white space, every eleventh empty."""
+    return docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.lit(" \t\n ")).when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")))
+
+
+def with_markers(docs: DataFrame) -> DataFrame:
+    """Texts that end in a line with a suppression comment, or nearly one."""
+    ends = ["x = 1  # tool-ignore-sec", "y(); // ignore-sec ", "// ignore-sec here", "z  #ignore-secs", "//my.tool-ignore-sec"]
+    pick = F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return docs.withColumn("text", F.concat("text", F.lit("\n"), pick))
+
+
 def wants_fix() -> Column:
     """Roots with names of even length ask for edit blocks."""
     return F.length("source") % 2 == 0
