@@ -32,43 +32,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.llm.common import forget, materialize, slices, texts
-from quarry.llm.hashing import ODD, WordHashes, gram_hashes, mix
+from quarry.llm.hashing import ODD, batch_hashes, gram_hashes, mix
 
 #: Words of a window; words of an anchor.
 WINDOW, ANCHOR = 20, 5
 #: Text per batch: a memory bound only.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: A position is (id, place); a place is the text's 33-bit hash (to order rows
 #: of one id) followed by 30 bits of word offset. A NULL id sorts first.
 _OFFSET_BITS = 30
 _NULL_ID = -(1 << 63)
 
-def phrases(words: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Start, number of windows, anchor and content hash of every phrase."""
+def phrases(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Text, start in the row of all words, number of windows, anchor and
+    content hash of every phrase of several texts in a row."""
     if len(words) < window:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     grams = gram_hashes(words, ANCHOR, ODD[0])
-    span = window - ANCHOR + 1
-    anchor = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(words) - window + 1)
-    start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    count = np.diff(np.r_[start, len(anchor)])
-    windows = gram_hashes(words, window, ODD[1])
+    starts = np.arange(len(words) - window + 1)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(starts)]
+    inside = starts + window <= bounds[text + 1]
+    anchor = np.lib.stride_tricks.sliding_window_view(grams, window - ANCHOR + 1).argmin(axis=1)
+    starts, anchor, text = starts[inside], (anchor + starts)[inside], text[inside]
+    if not len(starts):
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    count = np.diff(np.r_[first, len(anchor)])
+    windows = gram_hashes(words, window, ODD[1])[inside]
     # order matters: each window is mixed with its place in the phrase
-    place = np.arange(len(anchor)) - np.repeat(start, count)
-    content = np.add.reduceat(mix(windows + place.astype(np.uint64) * ODD[0]), start) + count.astype(np.uint64)
-    return start, count, grams[anchor[start]], mix(content)
+    place = np.arange(len(anchor)) - np.repeat(first, count)
+    content = np.add.reduceat(mix(windows + place.astype(np.uint64) * ODD[0]), first) + count.astype(np.uint64)
+    return text[first], starts[first], count, grams[anchor[first]], mix(content)
 
 
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                parts = []
-                for doc, place, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()):
-                    start, count, anchor, content = phrases(hashes.of(text), window)
-                    parts.append((np.full(len(start), doc), start + place, count.astype(np.int32), anchor.view(np.int64), content.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["id", "place", "n", "anchor", "content"])
+                words, bounds = batch_hashes(batch.column(1))
+                text, start, count, anchor, content = phrases(words, bounds, window)
+                places = batch.column(2).to_numpy()[text] + start - bounds[text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (batch.column(0).to_numpy()[text], places, count.astype(np.int32), anchor.view(np.int64), content.view(np.int64))],
+                    names=["id", "place", "n", "anchor", "content"])
 
     return run
 
@@ -76,16 +82,17 @@ def _parse(window: int):
 def _windows(window: int):
     """Both hashes of each window of the phrases listed for a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                parts = []
-                for doc, place, text, listed in zip(*[batch.column(i).to_pylist() for i in (0, 2, 1, 3)]):
-                    words = hashes.of(text)
-                    at = np.concatenate([np.arange(x["place"], x["place"] + x["n"]) for x in listed]) - place
-                    one, two = (gram_hashes(words, window, base)[at].view(np.int64) for base in ODD)
-                    parts.append((np.full(len(at), doc), at + place, one, two))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["id", "place", "one", "two"])
+                words, bounds = batch_hashes(batch.column(1))
+                listed = batch.column(3)
+                size = np.diff(listed.offsets.to_numpy())
+                place, n = (listed.flatten().field(c).to_numpy().astype(np.int64) for c in ("place", "n"))
+                text = np.repeat(np.repeat(np.arange(len(size)), size), n)
+                places = np.repeat(place, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = places - batch.column(2).to_numpy()[text] + bounds[text]
+                one, two = (gram_hashes(words, window, base)[at].view(np.int64) for base in ODD)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (batch.column(0).to_numpy()[text], places, one, two)], names=["id", "place", "one", "two"])
 
     return run
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import hashing, substrings
@@ -68,3 +69,14 @@ def test_gram_hashes_depend_on_every_word():
             other = words.copy()
             other[30 + k] += np.uint64(1)
             assert hashing.gram_hashes(other, size)[30] != h[30]
+
+
+def test_batch_hashes_part_words_as_bytes_split():
+    texts = ["a b", "", " x\t\ny ", "\x0b\x0c", "é A\u00a0B", "A a", "b"]
+    column = pa.array(["zero", *texts]).slice(1)
+    for lower in (False, True):
+        hashes, bounds = hashing.batch_hashes(column, lower)
+        split = [(t.encode().lower() if lower else t.encode()).split() for t in texts]
+        assert np.diff(bounds).tolist() == [len(w) for w in split]
+        flat = [w for ws in split for w in ws]
+        assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
