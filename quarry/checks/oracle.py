@@ -161,8 +161,9 @@ def _merged(name: str, ans: str, keys: str, levels: int = 4) -> str:
         cat = f"""(SELECT {keys}, string_agg(coalesce(resp, ''), chr(10) || chr(10) ORDER BY "window") AS all_parts
       FROM {level} WHERE n_windows > 1 GROUP BY {keys})"""
         level = f"{name}_{k}"
-        ctes.append(f"""{level} AS (SELECT {keys}, "window", n_windows, {S.default_answer(PR.user_sql('merge'))} AS resp
-    FROM {_windows(cat, 'all_parts', keys, K.MAX_PAYLOAD_CHARS, 'parts')})""")
+        ctes.append(f"""{level}_raw AS (SELECT {keys}, "window", n_windows, {S.scripted('"user"')} AS resp
+    FROM (SELECT *, {PR.user_sql('merge')} AS "user" FROM {_windows(cat, 'all_parts', keys, K.MAX_PAYLOAD_CHARS, 'parts')})),
+{level} AS (SELECT * REPLACE ({S.final_of('resp')} AS resp) FROM {level}_raw)""")
     done.append(f"SELECT {keys}, coalesce(resp, '') AS resp FROM {level} WHERE n_windows = 1")
     return ",\n".join(ctes) + f",\n{name} AS ({' UNION ALL '.join(done)})"
 
@@ -250,7 +251,7 @@ SELECT response_id, status, CASE WHEN status = 'clear' THEN 0 ELSE 1 END AS exit
     WHEN contains({_OUT}, {S.lit(K.ALL_CLEAR_SENTINEL)}) THEN 'clear' ELSE 'findings' END AS status
   FROM audit_answers)"""
 
-_FIND = S.lit(r"^\s*\[?(CRITICAL|HIGH|MEDIUM|LOW|Critical|High|Medium|Low)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*$")
+_FIND = S.lit(r"^\s*\[?((?i:critical|high|medium|low))\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*(?:\||\s-\s)\s*\[?(.*?)\]?\s*$")
 ORACLE["findings"] = _with(S.AUDIT_ANSWERS) + f"""
 SELECT response_id, CAST(line_no AS INTEGER) AS line_no, upper(regexp_extract(line, {_FIND}, 1)) AS severity,
   regexp_extract(line, {_FIND}, 2) AS location, regexp_extract(line, {_FIND}, 3) AS description,
@@ -332,7 +333,8 @@ _MAP = _with(S.FILES_BASE, _PAT_CTE, _LANG) + f"""
 mw AS (SELECT source, rel_path, "window", n_windows, part AS content FROM
        {_windows("(SELECT * FROM mf WHERE NOT (" + S.is_blank('content') + "))", 'content', 'source, rel_path', K.MAX_FILE_CHARS)}),
 mp AS (SELECT source, rel_path, "window", n_windows, {PR.system_sql('summary')} AS system, {PR.user_sql('summary')} AS user FROM mw),
-ma AS (SELECT source, rel_path, "window", n_windows, {S.default_answer('user')} AS resp FROM mp),
+ma_raw AS (SELECT source, rel_path, "window", n_windows, {S.scripted('"user"')} AS resp FROM mp),
+ma AS (SELECT * REPLACE ({S.final_of('resp')} AS resp) FROM ma_raw),
 {_merged('mr', 'ma', 'source, rel_path')},
 ms AS (SELECT source, rel_path, resp AS summary FROM mr),
 tr AS (SELECT source, count(*) AS tree_files, CAST(sum(length(rel_path)) + count(*) - 1 AS BIGINT) AS tree_chars,
@@ -363,7 +365,8 @@ bp AS (SELECT source, "window", max(greatest(coalesce(nt, 0), coalesce(ns, 0)))
 
 
 _BP = _MAP + "," + _budget_sql("tr", "sm")
-_REPORT_ROWS = f"""ra AS (SELECT source, "window", n_windows, {S.default_answer(PR.user_sql('architect'))} AS resp FROM bp),
+_REPORT_ROWS = f"""ra_raw AS (SELECT source, "window", n_windows, {S.scripted('"user"')} AS resp FROM (SELECT *, {PR.user_sql('architect')} AS "user" FROM bp)),
+ra AS (SELECT * REPLACE ({S.final_of('resp')} AS resp) FROM ra_raw),
 {_merged('rm', 'ra', 'source')},
 rp AS (SELECT source, {S.py_strip("coalesce(resp, '')")} AS report FROM rm)"""
 _REPORT = _REPORT_ROWS + """
@@ -397,8 +400,9 @@ ap AS (SELECT query_id, {PR.system_sql('ask')} AS system, {PR.user_sql('ask')} A
        FROM (SELECT b.item_id AS query_id, b.text AS question, c.context FROM benchmark b JOIN ctx c ON c.query_id = b.item_id))
 """
 ORACLE["prompt_ask"] = _ASK + "SELECT query_id, system, user FROM ap"
-ORACLE["ask"] = _ASK + f""", aa AS (SELECT query_id, {S.default_answer('user')} AS resp FROM ap)
-SELECT query_id, {S.py_strip('resp')} AS answer, length(resp) = 0 AS failed FROM aa"""
+ORACLE["ask"] = _ASK + f""", aa AS (SELECT query_id, {S.scripted('"user"')} AS resp FROM ap)
+SELECT query_id, {S.py_strip(S.final_of('resp'))} AS answer,
+       length({S.final_of('resp')}) = 0 AND length({S.thinking_of('resp')}) = 0 AS failed FROM aa"""
 
 _SC = """sc AS (SELECT coalesce(b.path, h.path) AS path,
            CASE WHEN b.path IS NULL THEN 'added' WHEN h.path IS NULL THEN 'removed'
@@ -498,7 +502,7 @@ css AS {_windows('cs0', 'diff_text', 'source, n_files', K.MAX_PAYLOAD_CHARS, 'di
 ORACLE["prompt_commit"] = _CS + f"""
 SELECT source, "window", {PR.system_sql('commit')} AS system, {PR.user_sql('commit')} AS user FROM css"""
 ORACLE["commit_messages"] = _CS + f"""
-, ca AS (SELECT source, "window", n_windows, {S.default_answer(PR.user_sql('commit'))} AS resp FROM css),
+, ca AS (SELECT source, "window", n_windows, {S.scripted('"user"')} AS resp FROM (SELECT *, {PR.user_sql('commit')} AS "user" FROM css)),
 {_merged('cm', 'ca', 'source')}
 SELECT source, {S.py_strip("coalesce(resp, '')")} AS message FROM cm"""
 
@@ -519,9 +523,10 @@ _REVIEW = (_CS
 """)
 ORACLE["prompt_review"] = _REVIEW + 'SELECT source, "window", fix, system, user FROM rp'
 ORACLE["review"] = _REVIEW + f"""
-, ra AS (SELECT source, "window", n_windows, {S.default_answer('user')} AS resp FROM rp),
+, ra_raw AS (SELECT source, "window", n_windows, {S.scripted('"user"')} AS resp FROM rp),
+ra AS (SELECT source, "window", n_windows, {S.final_of('resp')} AS resp, {S.thinking_of('resp')} AS thinking FROM ra_raw),
 {_merged('rm', 'ra', 'source')},
-rf AS (SELECT source, bool_or(length(resp) = 0) AS failed, CAST(sum(len(regexp_extract_all(resp, {S.lit(PTC.BLOCK_RE)}, 1))) AS BIGINT) AS n_patches
+rf AS (SELECT source, bool_or(length(resp) = 0 AND length(thinking) = 0) AS failed, CAST(sum(len(regexp_extract_all(resp, {S.lit(PTC.BLOCK_RE)}, 1))) AS BIGINT) AS n_patches
        FROM ra GROUP BY source)
 SELECT source, {S.py_strip("coalesce(resp, '')")} AS review, failed, n_patches FROM rm JOIN rf USING (source)"""
 
@@ -539,10 +544,11 @@ _AUDIT = (_with(S.FILES_BASE, _INDEX_CHUNKS, _corpus_windows(_UNSUPPRESSED))
           + f""", ap AS (SELECT source, "window", fix, {PR.system_sql('audit')} AS system, {PR.user_sql('audit')} AS user
   FROM (SELECT p.*, x.context, length(p.source) % 2 = 0 AS fix FROM pay p LEFT JOIN ctx x ON x.query_id = {_WKEY.replace('source', 'p.source')}))
 """)
-_VOUT = S.py_strip("resp")
+_VOUT = S.py_strip("(resp || thinking)")
 ORACLE["prompt_audit"] = _AUDIT + 'SELECT source, "window", fix, system, user FROM ap'
 ORACLE["audit"] = _AUDIT + f"""
-, aa AS (SELECT source, "window", {S.default_answer('user')} AS resp FROM ap),
+, aa_raw AS (SELECT source, "window", {S.scripted('"user"')} AS resp FROM ap),
+aa AS (SELECT source, {S.final_of('resp')} AS resp, {S.thinking_of('resp')} AS thinking FROM aa_raw),
 v AS (SELECT source, resp, CASE WHEN length({_VOUT}) = 0 THEN 1 WHEN contains({_VOUT}, {S.lit(K.ALL_CLEAR_SENTINEL)}) THEN 0 ELSE 2 END AS rank FROM aa)
 SELECT source, ['clear', 'error', 'findings'][max(rank) + 1] AS status, CASE WHEN max(rank) = 0 THEN 0 ELSE 1 END AS exit_code,
   CAST(sum(len(list_filter(string_split(resp, chr(10)), lambda l: regexp_matches(l, {_FIND})))) AS BIGINT) AS n_findings
@@ -559,7 +565,8 @@ jobs AS (SELECT p.source, p."window", p.n_windows, p.code, dl.language, dt.doc_t
          FROM pay p JOIN dl USING (source) CROSS JOIN dt
          LEFT JOIN existing_docs e ON e.path = 'docs/' || dt.doc_type || '/' || p.source || '.md'),
 dp AS (SELECT *, {PR.system_sql('doc')} AS system, {PR.user_sql('doc')} AS user FROM jobs),
-da AS (SELECT source, doc_type, label, dest_path, is_update, "window", n_windows, {S.default_answer('user')} AS resp FROM dp),
+da_raw AS (SELECT source, doc_type, label, dest_path, is_update, "window", n_windows, {S.scripted('"user"')} AS resp FROM dp),
+da AS (SELECT * REPLACE ({S.final_of('resp')} AS resp) FROM da_raw),
 {_merged('dm', 'da', 'source, doc_type, label, dest_path, is_update')},
 dr AS (SELECT source, doc_type, label, dest_path, is_update, {S.py_strip("coalesce(resp, '')")} AS doc FROM dm),
 dres AS (SELECT *, CASE WHEN length(doc) = 0 THEN 'empty' WHEN is_update THEN 'updated' ELSE 'created' END AS status FROM dr)
@@ -587,7 +594,8 @@ te0 AS (SELECT tp.*, e.content AS existing, e.content IS NOT NULL AS is_update,
 {_ctx_from(f"SELECT path AS query_id, {S.lit(K.TESTS_QUERY_PREFIX)} || {S.name('path')} AS text FROM te0")},
 te AS (SELECT te0.*, ctx.context FROM te0 LEFT JOIN ctx ON ctx.query_id = te0.path),
 tpr AS (SELECT path, test_path, is_update, {PR.system_sql('test')} AS system, {PR.user_sql('test')} AS user FROM te),
-tans AS (SELECT path, test_path, is_update, {S.default_answer('user')} AS resp FROM tpr)
+tans_raw AS (SELECT path, test_path, is_update, {S.scripted('"user"')} AS resp FROM tpr),
+tans AS (SELECT * REPLACE ({S.final_of('resp')} AS resp) FROM tans_raw)
 """
 _FS = S.py_strip("coalesce(resp, '')")
 _FL = S.splitlines(_FS)

@@ -219,6 +219,27 @@ def default_answer(c: str) -> str:
                     f"lambda l: regexp_matches(l, {lit(TX.NON_BLANK_RE)}))[1:3], chr(10))")
 
 
+def scripted(c: str) -> str:
+    """The stand-in model of the views: one of eight kinds of answer."""
+    plain = default_answer(c)
+    return (f"CASE length({c}) % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN {plain} || chr(10) || 'NO_VULNERABILITIES_FOUND' "
+            f"WHEN 3 THEN {lit(V.SCRIPT_FINDINGS)} || {plain} WHEN 4 THEN '<think>first' || chr(10) || substring({plain}, 1, 20) || '</think>' || {plain} "
+            f"WHEN 5 THEN {plain} || {lit(V.SCRIPT_BLOCK)} WHEN 6 THEN '<think>only ' || {plain} ELSE {plain} END")
+
+
+def final_of(c: str) -> str:
+    """W3 on a whole answer: the text after the reasoning."""
+    c = f"coalesce({c}, '')"
+    return (f"(CASE WHEN contains({c}, '</think>') THEN string_split(replace({c}, '<think>', ''), '</think>')[2] "
+            f"WHEN contains({c}, '<think>') THEN '' ELSE {c} END)")
+
+
+def thinking_of(c: str) -> str:
+    c = f"coalesce({c}, '')"
+    return (f"(CASE WHEN contains({c}, '</think>') THEN string_split(replace({c}, '<think>', ''), '</think>')[1] "
+            f"WHEN contains({c}, '<think>') THEN replace({c}, '<think>', '') ELSE '' END)")
+
+
 EXISTING_DOCS = """existing_docs AS (
   SELECT 'docs/tutorial/' || source || '.md' AS path, 'Earlier tutorial for ' || source AS content
   FROM (SELECT DISTINCT source FROM files_base)

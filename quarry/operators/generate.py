@@ -18,6 +18,7 @@ windows of one input to one answer.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,18 +41,26 @@ def default_answer(user: Column) -> Column:
     return TX.py_strip(F.array_join(F.slice(kept, 1, 3), "\n"))
 
 
+@dataclass(frozen=True)
+class Scripted:
+    """A stand-in for a model: the answer as a column of the user text."""
+
+    answer: Callable[[Column], Column]
+
+
 #: A factory, called once per task, of a function (user, system, purpose,
 #: route) -> answer; ``route`` has ``model``, ``num_ctx`` and ``num_predict``.
 GeneratorFactory = Callable[[], Callable[[str, str, str, dict], "str | None"]]
 
 
-def generate_batch(prompts: DataFrame, generator: GeneratorFactory | None = None,
+def generate_batch(prompts: DataFrame, generator: GeneratorFactory | Scripted | None = None,
                    route_table: DataFrame | None = None) -> DataFrame:
     """M1: the prompts with ``response`` and ``error`` (NULL unless the call
     failed; then ``response`` is NULL). Each prompt is routed by its purpose
     (J10) and the route goes to the generator."""
-    if generator is None:
-        return prompts.withColumn("response", default_answer(F.col("user"))).withColumn("error", F.lit(None).cast("string"))
+    generator = generator or Scripted(default_answer)
+    if isinstance(generator, Scripted):
+        return prompts.withColumn("response", generator.answer(F.col("user"))).withColumn("error", F.lit(None).cast("string"))
     spark = prompts.sparkSession
     routed = route_model(prompts, routes(spark) if route_table is None else route_table)
     fields = ["model", "num_ctx", "num_predict"]
@@ -88,7 +97,7 @@ def final_answers(answers: DataFrame) -> DataFrame:
     return answers.withColumn("response", whole_answer(F.coalesce("response", F.lit("")))[1])
 
 
-def merge_answers(answers: DataFrame, keys: list[str], kind: str, generator: GeneratorFactory | None = None,
+def merge_answers(answers: DataFrame, keys: list[str], kind: str, generator: GeneratorFactory | Scripted | None = None,
                   limit: int = K.MAX_PAYLOAD_CHARS) -> DataFrame:
     """One answer per key: ``keys, response, error``.
 

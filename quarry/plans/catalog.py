@@ -25,7 +25,7 @@ from quarry.operators import patches as PT
 from quarry.operators import responses as RS
 from quarry.operators import routing as RT
 from quarry.operators import scan as SC
-from quarry.operators.generate import generate_batch, merge_answers
+from quarry.operators.generate import final_answers, generate_batch, merge_answers
 from quarry.plans import jobs as JB
 from quarry.plans.indexing import index_delta, update_index
 from quarry.session import scratch_path
@@ -410,8 +410,8 @@ def map_prompts(files):
 
 
 def map_summaries(spark, sf_dir):
-    ans = generate_batch(map_prompts(mapped_corpus(spark, sf_dir)))
-    return merge_answers(ans, ["source", "rel_path"], "summary").select("source", "rel_path", F.col("response").alias("summary"))
+    ans = final_answers(generate_batch(map_prompts(mapped_corpus(spark, sf_dir)), V.scripted()))
+    return merge_answers(ans, ["source", "rel_path"], "summary", V.scripted()).select("source", "rel_path", F.col("response").alias("summary"))
 
 
 @register("prompt_summary")
@@ -450,7 +450,7 @@ def q_prompt_architect(spark, sf_dir):
 
 @register("analyze_map_reduce")
 def q_analyze_map_reduce(spark, sf_dir):
-    return JB.reports(JB.architect_prompts(budgeted(spark, sf_dir)))
+    return JB.reports(JB.architect_prompts(budgeted(spark, sf_dir)), V.scripted())
 
 
 @register("analyze_sampled")
@@ -462,7 +462,7 @@ def q_analyze_sampled(spark, sf_dir):
     files = IX.distinct_files(idx).select(F.lit("index").alias("source"), F.col("file").alias("rel_path"))
     summ = hits.select(F.lit("index").alias("source"),
                        F.format_string("%04d/%04d", "query_id", "rank").alias("rel_path"), "file", F.col("text").alias("summary"))
-    return JB.reports(JB.architect_prompts(CX.budget_prompt(files, summ, label_col="file")))
+    return JB.reports(JB.architect_prompts(CX.budget_prompt(files, summ, label_col="file")), V.scripted())
 
 
 def ask_prompts(spark, sf_dir):
@@ -481,7 +481,7 @@ def q_prompt_ask(spark, sf_dir):
 @register("ask")
 def q_ask(spark, sf_dir):
     """C4: C3 -> A4 (scored) -> P8 -> M1 -> W3 on the answer -> T15."""
-    ans = generate_batch(ask_prompts(spark, sf_dir))
+    ans = generate_batch(ask_prompts(spark, sf_dir), V.scripted())
     toks = ans.select(F.col("query_id").alias("response_id"), F.lit(0).cast("bigint").alias("seq"),
                       F.coalesce("response", F.lit("")).alias("chunk"))
     return RS.final_text(RS.split_reasoning(toks)).select(
@@ -564,7 +564,7 @@ def q_prompt_commit(spark, sf_dir):
 
 @register("commit_messages")
 def q_commit_messages(spark, sf_dir):
-    return JB.commit_messages(base_changes(spark, sf_dir))
+    return JB.commit_messages(base_changes(spark, sf_dir), V.scripted())
 
 
 @register("prompt_review")
@@ -575,7 +575,7 @@ def q_prompt_review(spark, sf_dir):
 
 @register("review")
 def q_review(spark, sf_dir):
-    return JB.review(base_changes(spark, sf_dir), base_index(spark, sf_dir), fix=V.wants_fix())
+    return JB.review(base_changes(spark, sf_dir), base_index(spark, sf_dir), V.scripted(), V.wants_fix())
 
 
 def audit_inputs(spark, sf_dir):
@@ -590,12 +590,12 @@ def q_prompt_audit(spark, sf_dir):
 
 @register("audit")
 def q_audit(spark, sf_dir):
-    return JB.audit(audit_inputs(spark, sf_dir), base_index(spark, sf_dir), fix=V.wants_fix())
+    return JB.audit(audit_inputs(spark, sf_dir), base_index(spark, sf_dir), V.scripted(), V.wants_fix())
 
 
 def doc_results(spark, sf_dir):
     fb = V.files_base(spark, sf_dir)
-    return JB.generate_docs(SC.scan_code_files(fb), fb, V.existing_docs(spark, sf_dir))
+    return JB.generate_docs(SC.scan_code_files(fb), fb, V.existing_docs(spark, sf_dir), V.scripted())
 
 
 @register("docs_existing")
@@ -644,7 +644,7 @@ def q_prompt_test(spark, sf_dir):
 
 @register("generate_tests")
 def q_generate_tests(spark, sf_dir):
-    return JB.generate_tests(test_targets(spark, sf_dir), V.files_head(spark, sf_dir), index=base_index(spark, sf_dir))
+    return JB.generate_tests(test_targets(spark, sf_dir), V.files_head(spark, sf_dir), V.scripted(), base_index(spark, sf_dir))
 
 
 @register("write_tests")

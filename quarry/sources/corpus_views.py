@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import constants as K
+from quarry.operators.generate import Scripted, default_answer
 from quarry.sources.tables import table
 
 # Directory and extension cycles used to spread documents over a source tree
@@ -73,6 +75,27 @@ def files_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(new)
 
 
+SCRIPT_FINDINGS = "[High] - [app.py:1] - [input is not checked] - [check it]\nlow | b.py | old call | new call\n"
+SCRIPT_BLOCK = "\n<<<< SEARCH file:a.py\nold\n==== REPLACE\nnew\n>>>>\n"
+
+
+def scripted() -> Scripted:
+    """Answers of every kind a job must tell apart, chosen by the length of
+    the prompt: empty, NULL, all-clear, findings, with reasoning, with an edit
+    block, reasoning that never ends, plain."""
+    def answer(user: Column) -> Column:
+        plain = default_answer(user)
+        kinds = [F.lit(""), F.lit(None).cast("string"), F.concat(plain, F.lit("\n" + K.ALL_CLEAR_SENTINEL)),
+                 F.concat(F.lit(SCRIPT_FINDINGS), plain), F.concat(F.lit("<think>first\n"), F.substring(plain, 1, 20), F.lit("</think>"), plain),
+                 F.concat(plain, F.lit(SCRIPT_BLOCK)), F.concat(F.lit("<think>only "), plain)]
+        out = F.when(F.length(user) % 8 == 7, plain)
+        for k, kind in enumerate(kinds):
+            out = out.when(F.length(user) % 8 == k, kind)
+        return out
+
+    return Scripted(answer)
+
+
 def with_carriage_returns(files: DataFrame) -> DataFrame:
     """A third of the files with CR LF line ends, a third with CR alone."""
     c = F.col("content")
