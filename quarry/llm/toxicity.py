@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +45,13 @@ STEMS, LONG = range(4, 9), 8
 #: Words on each side of a match that make its context.
 CONTEXT = 6
 #: Memory bounds of a task, without effect on results.
-TOKENS_KEPT, COUNTS_KEPT, SLICE_BYTES = 400_000, 200_000, 8 << 20
+TOKENS_KEPT, COUNTS_KEPT, SLICE_BYTES = 250_000, 200_000, 8 << 20
 
 #: Words that report what others say, and quotation marks.
 REPORTING = frozenset("said says say word words term called quote quoted quotes wrote means insult slur mot terme dit wort begriff sagte palabra dijo".split())
 OPEN_QUOTES, CLOSE_QUOTES = "\"“„«‹‘", "\"”“»›’"
 
+_COMMON = ".,;:!?()[]{}\"'*%&$#|"
 _ENDS = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
 EXACT, ODD, LONG_EDIT, SHORT_EDIT = range(4)
@@ -60,7 +62,10 @@ PRIOR = np.array([-3.0, 7.0, 6.0, 4.0, 0.5, 1.5, 1.0, 0.5, 0.0, 0.2])
 
 def token(raw: str) -> str:
     """A whitespace-separated word in lower case without outer punctuation."""
-    return _ENDS.sub("", raw).lower()
+    word = raw.strip(_COMMON)
+    if word and not (word[0].isalnum() and word[-1].isalnum()):
+        word = _ENDS.sub("", word)
+    return word.lower()
 
 
 class Lexicon:
@@ -178,9 +183,8 @@ def _quoted(words: list[str], i: int) -> bool:
     return opened and closed or any(token(w) in REPORTING for w in before[:-1][-3:])
 
 
-def features(text: str, seen: _Seen) -> list[float]:
-    """The model's features of one text."""
-    words = text.split()
+def features(words: list[str], seen: _Seen) -> list[float]:
+    """The model's features of one text, given its words."""
     hits = [(i, m) for i, m in enumerate(map(seen.__getitem__, words)) if m]
     out = [1.0] + [0.0] * 9
     for i, (kind, weight) in hits:
@@ -276,6 +280,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _batch_features(column: pa.Array, seen: _Seen) -> list[list[float]]:
+    """Features of each text. Arrow numbers the distinct words, which are
+    matched once; only texts with a match are looked at word by word."""
+    cut = pc.utf8_split_whitespace(column)
+    bounds = cut.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    numbered = cut.flatten().dictionary_encode()
+    number, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+    matched = np.fromiter((seen[w] is not None for w in distinct), bool, len(distinct))
+    before = np.append(0, np.cumsum(matched[number]))[bounds]
+    blank = features([], seen)
+    return [
+        features([distinct[n] for n in number[i:j].tolist() if distinct[n]], seen) if hits else blank
+        for i, j, hits in zip(bounds.tolist(), bounds[1:].tolist(), np.diff(before).tolist())
+    ]
+
+
 def _features(rows: DataFrame, terms: dict[str, float], extra: list[str]) -> DataFrame:
     """``extra`` columns, then the features of column ``text``."""
     shared = rows.sparkSession.sparkContext.broadcast(terms)
@@ -285,7 +306,7 @@ def _features(rows: DataFrame, terms: dict[str, float], extra: list[str]) -> Dat
         seen = _Seen(Lexicon(shared.value))
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                f = [features(t, seen) for t in batch.column(1).to_pylist()]
+                f = _batch_features(batch.column(1), seen)
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(2, batch.num_columns)] + [pa.array(f, pa.list_(pa.float64()))],
                                                  names=[*extra, "f"])
 

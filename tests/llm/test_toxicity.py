@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from quarry.llm import toxicity as tox
@@ -46,11 +47,13 @@ def test_kinds():
 
 def test_context():
     seen = tox._Seen(tox.Lexicon({"idiot": 1.0}))
-    plain, quoted = tox.features("you are an Idiot, truly", seen), tox.features('he said "what an idiot" to them', seen)
+    plain, quoted = (tox.features(t.split(), seen) for t in ("you are an Idiot, truly", 'he said "what an idiot" to them'))
     assert plain[1] == 1.0 and plain[5] == 0 and quoted[1] == 0 and quoted[5] == 1.0
     weights = tox.PRIOR
     assert sum(w * x for w, x in zip(weights, plain)) > 0 > sum(w * x for w, x in zip(weights, quoted))
-    assert tox.features("", seen) == [1.0] + [0.0] * 9 == tox.features(" \n", seen)
+    texts = ["", " \n", "you are an Idiot, truly", "  what a day ", 'he said "what an idiot" to them']
+    blank = [1.0] + [0.0] * 9
+    assert tox._batch_features(pa.array(["dropped", *texts]).slice(1), seen) == [blank, blank, plain, blank, quoted]
 
 
 def labelled(spark):
