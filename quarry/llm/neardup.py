@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import forget, materialize, slices, texts
 from quarry.llm.components import connected_components, least_of_group
-from quarry.llm.hashing import ODD, WordHashes, gram_hashes, mix
+from quarry.llm.hashing import ODD, batch_hashes, gram_hashes, mix
 
 #: Signature of 35 symbols: all pairs that differ in up to 13 are candidates,
 #: and a pair with a similarity of 0.85 (0.8) is missed with a probability of
@@ -71,12 +71,12 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
+                words, bounds = batch_hashes(batch.column(1), lower=True)
                 rows = []
-                for text in batch.column(1).to_pylist():
-                    found = shingles(hashes.of(text, lower=True), size)
+                for i, j in zip(bounds.tolist(), bounds[1:].tolist()):
+                    found = shingles(words[i:j], size)
                     rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None,
                                  index_keys(signature(found)).view(np.int64) if len(found) else None))
                 cells = list(zip(*rows))
@@ -89,10 +89,10 @@ def _sign(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                found = [shingles(hashes.of(t, lower=True), size).view(np.int64) for t in batch.column(1).to_pylist()]
+                words, bounds = batch_hashes(batch.column(1), lower=True)
+                found = [shingles(words[i:j], size).view(np.int64) for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "found"])
 
     return run
