@@ -172,15 +172,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     found = materialize(keyed.select("id", "text", "base").mapInArrow(
         _parse(window), "id long, place long, n int, anchor long, content long"), "phrases")
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    # written first, so that the join below is one that Spark can split where an anchor is very common
+    shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "anchors")
     repeated = materialize(found.join(shared, "anchor", "left_semi"), "repeated")
-    forget(found)
+    forget(found, shared)
 
     first = materialize(_first(repeated, ["anchor", "content"]), "firsts")
     copied = materialize(_later(repeated, first, ["anchor", "content"]), "copied")
     forget(repeated)
     sized = first.select("anchor", "first.*")
-    several = sized.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    several = materialize(sized.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "anchors")
     listed = sized.join(several, "anchor", "left_semi").groupBy(*doc).agg(F.collect_list(F.struct("place", "n")).alias("listed"))
 
     h = F.shiftright("base", _OFFSET_BITS)
@@ -189,8 +190,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     edges = materialize(look.mapInArrow(_windows(window), "id long, place long, one long, two long"), "windows")
     forget(first)
     edges = edges.withColumn("n", F.lit(1))
-    inside = materialize(_later(edges, _first(edges, ["one", "two"]), ["one", "two"]), "inside")
-    forget(edges)
+    least = materialize(_first(edges, ["one", "two"]).where("times > 1"), "least")
+    inside = materialize(_later(edges, least, ["one", "two"]), "inside")
+    forget(edges, least, several)
 
     runs = copied.unionByName(inside).groupBy(*doc).agg(F.collect_list(F.struct("place", "n")).alias("runs"))
     equal = Window.partitionBy("id", "h").orderBy("id")
