@@ -6,12 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import forget, materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Row count and an order-free checksum of an edge table."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), v < u, are anything but stars around each v."""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("ends"), F.lit(0).alias("centre")) \
+        .union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = roles.groupBy("node").agg(F.sum("ends").alias("ends"), F.max("centre").alias("centre"))
+    return bool(nodes.agg(F.max((F.col("ends") > 1) | ((F.col("ends") == 1) & (F.col("centre") == 1)))).first()[0])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,22 +24,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round replaces the edges by stars around least neighbours, first among
     larger neighbours, then among smaller ones; a group of any size needs a
     number of rounds that grows as a logarithm. Edges live in the shared
-    checkpoint folder; the driver sees a count and a checksum. Loops, repeated
-    edges and edges with NULL are dropped; no edges give no rows.
+    checkpoint folder; the driver sees whether a round is the last. Loops,
+    repeated edges and edges with NULL are dropped; no edges give no rows.
     """
     x, y = F.col(a), F.col(b)
     now = materialize(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while _unfinished(now):
         both = now.union(now.select("v", "u")).toDF("u", "v")
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near).distinct()
-        now = materialize(small, "edges")
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
+        before, now = now, materialize(small, "edges")
+        forget(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
