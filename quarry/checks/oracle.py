@@ -13,7 +13,7 @@ from quarry.functions.text import RSTRIP_RE as TX_RSTRIP
 from quarry.operators import context as CX
 from quarry.operators import patches as PTC
 from quarry.operators import responses as RS
-from quarry.plans.catalog import IGNORE_LINES, PURPOSES
+from quarry.plans.catalog import PURPOSES
 
 ORACLE: dict[str, str] = {}
 
