@@ -11,10 +11,11 @@ import xxhash
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def batch_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (between ASCII white space) of all texts in a
-    row, and the bounds of each text. Arrow numbers the distinct words of the
-    batch, each of which is hashed once; ``lower`` folds A-Z."""
+def batch_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct words (between ASCII white space) of a
+    batch, the number of each word of all texts in a row among them, and the
+    bounds of each text. Arrow numbers the distinct words, each of which is
+    hashed once; ``lower`` folds A-Z."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
     bounds = cut.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
@@ -26,6 +27,13 @@ def batch_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.
         word = number != distinct.index(b"")
         bounds = np.append(0, np.cumsum(word))[bounds]
         number = number[word]
+    return hashes, number, bounds
+
+
+def batch_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (between ASCII white space) of all texts in a
+    row, and the bounds of each text; see ``batch_words``."""
+    hashes, number, bounds = batch_words(column, lower)
     return hashes[number], bounds
 
 

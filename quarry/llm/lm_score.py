@@ -5,9 +5,13 @@ Words are mapped to classes: the most frequent words of the whole corpus each
 have one, all others share hashed classes. The network predicts the class of a
 word from SIDE words on either side: each place has its own embedding table,
 their sum goes through tanh and a softmax layer. A document's score is the sum
-of the conditional log-probabilities of all its words.
+of the conditional log-probabilities of all its words. A word is P(class | both
+sides) * P(word | class); the second factor is the word's share of its hashed
+class in the whole corpus (1 for a frequent word).
 
-Counts are taken over every document and summed by Spark. Training goes over
+Counts are taken over every document and summed by Spark; they are a written
+table that grows with the corpus. The words with the highest counts go out by
+broadcast, up to a fixed number; all others are joined with the table. Training goes over
 every document too: in each round every task trains a copy of the network, in
 numpy, on a stated share of the positions of each of its documents, and the
 copies are averaged, weighted by the words they have seen. What the driver
@@ -22,11 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, texts
-from quarry.llm.hashing import batch_hashes
+from quarry.llm.common import materialize, slices, texts
+from quarry.llm.hashing import batch_words
 
 #: Classes of frequent words, hashed classes of all others, words on each side,
 #: size of the embeddings.
@@ -36,6 +40,8 @@ HEAD, HASHED, SIDE, WIDTH = 128, 64, 3, 16
 ROUNDS, MASKED, STEP, RATE, BOUND = 2, 0.1, 256, 0.1, 3.0
 #: Memory bounds of a task: text and words handled at once.
 SLICE_BYTES, COUNT_AT_ONCE, SCORE_AT_ONCE = 8 << 20, 4_000_000, 16_384
+#: Most words whose counts are broadcast, without effect on results.
+COMMON = 1 << 18
 #: Network values in one row on their way to the average.
 CHUNK = 512
 
@@ -157,13 +163,16 @@ def _count_words():
         held, n = [], 0
 
         def flush():
-            word, count = np.unique(np.concatenate(held), return_counts=True)
+            word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([c for _, c in held]), len(word)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], names=["word", "n"])
 
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                held.append(batch_hashes(batch.column(1), lower=True)[0])
-                n += len(held[-1])
+                hashes, number, _ = batch_words(batch.column(1), lower=True)
+                count = np.bincount(number, minlength=len(hashes))
+                held.append((hashes[count > 0], count[count > 0]))
+                n += len(held[-1][0])
                 if n > COUNT_AT_ONCE:
                     yield flush()
                     held, n = [], 0
@@ -173,6 +182,18 @@ def _count_words():
     return run
 
 
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """How often each word of the corpus occurs: ``word`` (its hash) and ``n``,
+    written once and read by fitting and scoring."""
+    src = texts(docs, id_col, text_col)
+    return materialize(src.mapInArrow(_count_words(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def _bucket() -> Column:
+    """The hashed class of column ``word``, whose hash is unsigned."""
+    return F.pmod(F.pmod(F.col("word"), F.lit(HASHED)) + HASHED, F.lit(HASHED))
+
+
 def _train(net):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -181,8 +202,8 @@ def _train(net):
         trainer, seen = Trainer(base), 0
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                hashes, bounds = batch_hashes(batch.column(1), lower=True)
-                row, at = contexts(base.class_of(hashes), bounds)
+                hashes, number, bounds = batch_words(batch.column(1), lower=True)
+                row, at = contexts(base.class_of(hashes)[number], bounds)
                 chosen = at[masked(bounds)]
                 for i in range(0, len(chosen), STEP):
                     trainer.step(row, chosen[i : i + STEP])
@@ -203,15 +224,16 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows.chunk.iloc[:1], "mean": [sum(np.asarray(x) for x in rows.total) / rows.seen.sum()]})
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """Train a network on all documents. Without words it stays at its start."""
+def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> Network:
+    """Train a network on all documents. Without words it stays at its start.
+    ``counts`` are their ``word_counts``, which are made if not given."""
     src = texts(docs, id_col, text_col)
     sc = src.sparkSession.sparkContext
-    counts = src.mapInArrow(_count_words(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    if counts is None:
+        counts = word_counts(docs, id_col, text_col)
     # the head keeps the HEAD most frequent words; the rest is summed by class
     top = counts.orderBy(F.desc("n"), "word").limit(HEAD)
-    bucket = F.pmod(F.pmod(F.col("word"), F.lit(HASHED)) + HASHED, F.lit(HASHED))
-    both = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"))
+    both = counts.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n"))
     rows = top.select(F.lit(0).alias("kind"), F.col("word").alias("k"), "n").unionAll(both.select(F.lit(1), "bucket", "n")).collect()
     head = sorted(((r.k, r.n) for r in rows if r.kind == 0), key=lambda x: (-x[1], x[0]))
     net = start(head, {k: 0 for k in range(HASHED)} | {r.k: r.n for r in rows if r.kind == 1})
@@ -223,23 +245,85 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col:
     return net
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _common(tail: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the words with the highest counts, and the counts:
+    all words from the least power of two that at most ``most`` words reach."""
+    power = F.floor(F.log2(F.col("n"))).cast("int")
+    sizes = {r.power: r["count"] for r in tail.groupBy(power.alias("power")).count().collect()}
+    least = max(sizes, default=0) + 1
+    while least and sum(k for p, k in sizes.items() if p >= least - 1) <= most:
+        least -= 1
+    rows = tail.where(F.col("n") >= 1 << least).select("word", "n").toArrow()
+    word, n = (rows.column(c).to_numpy() for c in ("word", "n"))
+    order = np.argsort(word.view(np.uint64))
+    return word.view(np.uint64)[order], n[order]
+
+
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None,
+          common: int = COMMON) -> DataFrame:
     """Per document ``doc_id``, ``n_tokens``, ``log_prob`` (sum over all words)
     and ``per_token``. NULL and empty texts have no words, a sum of 0 and a
-    NULL mean. Repeated rows keep one row each; no rows give no rows."""
+    NULL mean. Repeated rows keep one row each; no rows give no rows.
+
+    With the ``word_counts`` of the corpus, ``log_prob`` is that of the words;
+    without, of their classes alone. A hashed class of N words leaves a share
+    of 1 / (N + 1) to words that the corpus does not have.
+    """
     src = texts(docs, id_col, text_col)
-    shared = src.sparkSession.sparkContext.broadcast(net)
+    sc = src.sparkSession.sparkContext
+    whole_words = counts is not None
+    known, logs, totals = np.empty(0, np.uint64), np.empty(0), np.zeros(CLASSES)
+    if whole_words:
+        tail = counts.where(~F.col("word").isin(net.words.view(np.int64).tolist()))
+        for r in tail.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect():
+            totals[HEAD + r.bucket] = np.log(r.n + 1)
+        known, n = _common(tail, common)
+        logs = np.log(n)
+    shared = sc.broadcast((net, known, logs, totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        from pyspark import TaskContext
+
+        model, known, logs, totals = shared.value
+        key = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
-                hashes, ends = batch_hashes(batch.column(1), lower=True)
-                row, at = contexts(model.class_of(hashes), ends)
+                hashes, number, ends = batch_words(batch.column(1), lower=True)
+                classes = model.class_of(hashes)
+                row, at = contexts(classes[number], ends)
                 each = [log_probs(model, row, at[i : i + SCORE_AT_ONCE]) for i in range(0, len(at), SCORE_AT_ONCE)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(each) if each else np.empty(0), dtype=float)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(sums[ends[1:]] - sums[ends[:-1]])],
-                                                 names=["doc_id", "n_tokens", "log_prob"])
-
-    return src.mapInArrow(run, "doc_id long, n_tokens long, log_prob double").withColumn(
+                each = np.concatenate(each).astype(float) if each else np.empty(0)
+                rare = np.zeros(len(hashes), bool)
+                if whole_words:
+                    inside = -totals[classes]
+                    rare = classes >= HEAD
+                    if len(known):
+                        spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                        found = rare & (known[spot] == hashes)
+                        inside[found] += logs[spot[found]]
+                        rare &= ~found
+                    each += inside[number]
+                sums = np.concatenate([[0.0], np.cumsum(each)])
+                # the other words of each text, each with how often it occurs
+                left = np.flatnonzero(rare[number])
+                pair = np.searchsorted(ends, left, side="right") - 1
+                pair, times = np.unique(pair * len(hashes) + number[left], return_counts=True)
+                text, word = np.divmod(pair, max(len(hashes), 1))
+                words = pa.StructArray.from_arrays([pa.array(hashes[word].view(np.int64)), pa.array(times)], names=["word", "times"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32()), words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(key, key + batch.num_rows)), batch.column(0), pa.array(np.diff(ends)), pa.array(sums[ends[1:]] - sums[ends[:-1]]), lists],
+                    names=["row", "doc_id", "n_tokens", "log_prob", "rare"])
+                key += batch.num_rows
+
+    out = src.mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, rare array<struct<word:long,times:long>>")
+    if whole_words:
+        # written, so that a row's number is the same for its sum and its words
+        out = materialize(out, "word-scores")
+        pairs = out.select("row", F.inline("rare")).join(tail, "word", "left")
+        parts = pairs.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"),
+                             (F.col("times") * F.log(F.coalesce("n", F.lit(1)))).alias("log_prob"))
+        out = out.drop("rare").unionByName(parts).groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+    return out.select("doc_id", "n_tokens", "log_prob").withColumn(
         "per_token", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -53,9 +53,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudo-likelihood of every document under a network trained on all."""
+    """Pseudo-likelihood of every document's words under a network trained on all."""
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs))
+    counts = lm_score.word_counts(docs)
+    return lm_score.score(docs, lm_score.fit(docs, counts=counts), counts=counts)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

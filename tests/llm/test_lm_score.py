@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -67,3 +68,30 @@ def test_gradient():
 def test_no_rows(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert lm.score(df, lm.fit(df)).count() == 0
+
+
+def test_word_given_class(spark):
+    rows = [r for r in corpus() if r[0] != 303]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    counts = lm.word_counts(df)
+    net = lm.fit(df, rounds=1, counts=counts)
+    known = Counter(w.lower() for _, t in rows for w in (t or "").split())
+    hashed = {w: int(batch_hashes(pa.array([w]))[0][0]) for w in known}
+    head = set(net.words.tolist())
+    total = Counter()
+    for w, n in known.items():
+        total[hashed[w] % lm.HASHED] += n * (hashed[w] not in head)
+    inside = lambda w: 0 if hashed[w] in head else math.log(known[w] / (total[hashed[w] % lm.HASHED] + 1))
+    assert any(n > 1 and inside(w) for w, n in known.items())
+    classes, whole, joined = (sorted(lm.score(df, net, **k).collect(), key=lambda r: (r.doc_id or -1, r.n_tokens))
+                              for k in ({}, {"counts": counts}, {"counts": counts, "common": 0}))
+    assert len(classes) == len(whole) == len(joined) == len(rows)
+    for a, b, c, (_, text) in zip(classes, whole, joined, sorted(rows, key=lambda r: (r[0] or -1, len((r[1] or "").split())))):
+        assert a.doc_id == b.doc_id == c.doc_id and a.n_tokens == b.n_tokens == c.n_tokens == len((text or "").split())
+        want = a.log_prob + sum(inside(w.lower()) for w in (text or "").split())
+        assert math.isclose(b.log_prob, want, rel_tol=1e-6, abs_tol=1e-6) and math.isclose(c.log_prob, want, rel_tol=1e-6, abs_tol=1e-6)
+    # the word's own count tells apart two words of one class
+    one, two = next((v, w) for v in known for w in known if inside(v) and inside(w) and known[v] != known[w] and hashed[v] % lm.HASHED == hashed[w] % lm.HASHED)
+    pair = spark.createDataFrame([(1, one, "x"), (2, two, "x"), (3, "neverseen", "x")], SCHEMA)
+    got = {r.doc_id: r.log_prob for r in lm.score(pair, net, counts=counts).collect()}
+    assert math.isclose(got[1] - got[2], math.log(known[one] / known[two]), abs_tol=1e-6) and math.isfinite(got[3])
