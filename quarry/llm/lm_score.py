@@ -12,8 +12,9 @@ class in the whole corpus (1 for a frequent word).
 Counts are taken over every document and summed by Spark; they are a written
 table that grows with the corpus. The words with the highest counts go out by
 broadcast, up to a fixed number; all others are joined with the table. Training goes over
-every document too: in each round every task trains a copy of the network, in
-numpy, on a stated share of the positions of each of its documents, and the
+every document too, and over every word: the rounds share out the positions of each document,
+so that each is predicted in one round. In a round every task trains a copy of
+the network, in numpy, on its documents' positions of that round, and the
 copies are averaged, weighted by the words they have seen. What the driver
 gets is the vocabulary's head and one averaged network, both of fixed size.
 """
@@ -30,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, slices, texts
-from quarry.llm.hashing import batch_words
+from quarry.llm.hashing import ODD, batch_words, mix
 
 #: Classes of frequent words, hashed classes of all others, words on each side,
 #: size of the embeddings.
 HEAD, HASHED, SIDE, WIDTH = 128, 64, 3, 16
-#: Rounds over the corpus, share of the positions masked for training in each,
-#: words of a training step, learning rate, bound on the weights.
-ROUNDS, MASKED, STEP, RATE, BOUND = 2, 0.1, 256, 0.1, 3.0
+#: Rounds over the corpus, words of a training step, learning rate, bound on
+#: the weights.
+ROUNDS, STEP, RATE, BOUND = 2, 256, 0.1, 3.0
 #: Memory bounds of a task: text and words handled at once.
 SLICE_BYTES, COUNT_AT_ONCE, SCORE_AT_ONCE = 8 << 20, 4_000_000, 16_384
 #: Most words whose counts are broadcast, without effect on results.
@@ -110,7 +111,7 @@ def log_probs(net: Network, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-probability of the word at each position, given both sides."""
     hidden = np.zeros((len(at), WIDTH), np.float32)
     for table, d in zip(net.tables, _PLACES):
-        hidden += table[row[at + d]]
+        hidden += table.take(row.take(at + d), axis=0)
     logits = np.tanh(hidden, out=hidden) @ net.out
     logits += net.bias
     own = logits[np.arange(len(at)), row[at]]
@@ -132,30 +133,33 @@ class Trainer:
 
     def step(self, row: np.ndarray, at: np.ndarray) -> None:
         net, n = self.net, len(at)
-        hidden = np.zeros((n, WIDTH), np.float32)
-        for table, d in zip(net.tables, _PLACES):
-            hidden += table[row[at + d]]
-        hidden = np.tanh(hidden)
-        error = np.exp(hidden @ net.out + net.bias)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(n), row[at]] -= 1
-        error /= n
+        k = len(_PLACES)
+        near = np.concatenate([row.take(at + d) + i * (CLASSES + 1) for i, d in enumerate(_PLACES)])
+        hidden = net.tables.reshape(-1, WIDTH).take(near, axis=0).reshape(k, n, WIDTH).sum(axis=0)
+        np.tanh(hidden, out=hidden)
+        error = hidden @ net.out
+        error += net.bias
+        np.exp(error, out=error)
+        error *= (1 / n / error.sum(axis=1, keepdims=True)).astype(np.float32)
+        error[np.arange(n), row[at]] -= np.float32(1 / n)
         back = (error @ net.out.T) * (1 - hidden**2)
-        tables = np.zeros_like(net.tables)
-        for k, d in enumerate(_PLACES):
-            one_hot = np.zeros((CLASSES + 1, n), np.float32)
-            one_hot[row[at + d], np.arange(n)] = 1
-            tables[k] = one_hot @ back
+        cells = (near[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        tables = np.bincount(cells, np.concatenate([back] * k).ravel(), net.tables.size).astype(np.float32).reshape(net.tables.shape)
         self._move(1, net.out, hidden.T @ error, BOUND)
         self._move(2, net.bias, error.sum(axis=0), 10.0)
         self._move(0, net.tables, tables, BOUND)
 
 
-def masked(bounds: np.ndarray) -> np.ndarray:
-    """Words masked for training: an even share of every text, evenly spread."""
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    place = np.arange(bounds[-1]) - bounds[text]
-    return np.flatnonzero(((place + 7919 * text) * 0.6180339887498949) % 1.0 < MASKED)
+def masked(words: np.ndarray, bounds: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Words masked for training in a round: an even share of every text, evenly
+    spread. Every word is masked in exactly one round, whatever the order of the
+    rows: a text's shares start at a place that follows from its words' hashes."""
+    sums = np.append(np.uint64(0), np.cumsum(words, dtype=np.uint64))[bounds]
+    first = mix(sums[1:] - sums[:-1])
+    length = np.diff(bounds)
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], length)
+    spread = (np.repeat(first, length) + place.astype(np.uint64)) * ODD[0] >> np.uint64(32)
+    return np.flatnonzero(spread * np.uint64(rounds) >> np.uint64(32) == np.uint64(turn))
 
 
 def _count_words():
@@ -194,7 +198,7 @@ def _bucket() -> Column:
     return F.pmod(F.pmod(F.col("word"), F.lit(HASHED)) + HASHED, F.lit(HASHED))
 
 
-def _train(net):
+def _train(net, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -204,7 +208,7 @@ def _train(net):
             for batch in slices(whole, SLICE_BYTES):
                 hashes, number, bounds = batch_words(batch.column(1), lower=True)
                 row, at = contexts(base.class_of(hashes)[number], bounds)
-                chosen = at[masked(bounds)]
+                chosen = at[masked(hashes[number], bounds, turn, rounds)]
                 for i in range(0, len(chosen), STEP):
                     trainer.step(row, chosen[i : i + STEP])
                 seen += len(chosen)
@@ -237,8 +241,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col:
     rows = top.select(F.lit(0).alias("kind"), F.col("word").alias("k"), "n").unionAll(both.select(F.lit(1), "bucket", "n")).collect()
     head = sorted(((r.k, r.n) for r in rows if r.kind == 0), key=lambda x: (-x[1], x[0]))
     net = start(head, {k: 0 for k in range(HASHED)} | {r.k: r.n for r in rows if r.kind == 1})
-    for _ in range(rounds):
-        copies = src.mapInArrow(_train(sc.broadcast(net)), "chunk int, part int, seen long, total array<double>")
+    for turn in range(rounds):
+        copies = src.mapInArrow(_train(sc.broadcast(net), turn, rounds), "chunk int, part int, seen long, total array<double>")
         means = copies.groupBy("chunk").applyInPandas(_average, "chunk int, mean array<double>").collect()
         if means:
             net = net.with_flat(np.concatenate([np.array(r["mean"]) for r in sorted(means, key=lambda r: r.chunk)]))

@@ -95,3 +95,26 @@ def test_word_given_class(spark):
     pair = spark.createDataFrame([(1, one, "x"), (2, two, "x"), (3, "neverseen", "x")], SCHEMA)
     got = {r.doc_id: r.log_prob for r in lm.score(pair, net, counts=counts).collect()}
     assert math.isclose(got[1] - got[2], math.log(known[one] / known[two]), abs_tol=1e-6) and math.isfinite(got[3])
+
+
+def test_every_word_is_a_target_once(spark):
+    rng = np.random.default_rng(4)
+    bounds = np.append(0, np.cumsum([0, 1, 1, 1, 5, 9, 0, 400, 1, 0]))
+    words = rng.integers(0, 1 << 63, bounds[-1]).astype(np.uint64)
+    for rounds in (1, 2, 3, 6):
+        shares = [lm.masked(words, bounds, turn, rounds) for turn in range(rounds)]
+        assert sorted(np.concatenate(shares).tolist()) == list(range(bounds[-1]))
+        long = [int(((s >= 17) & (s < 417)).sum()) for s in shares]
+        assert max(long) - min(long) <= 10
+    # a text's shares do not depend on the texts around it
+    alone = lm.masked(words[8:17], np.array([0, 9]), 0, 2) + 8
+    assert alone.tolist() == [k for k in lm.masked(words, bounds, 0, 2).tolist() if 8 <= k < 17]
+    # the tasks of all rounds train on all words of all documents
+    seen = []
+    df = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 7)), "x") for i in range(60)], SCHEMA)
+    taken = df.select("doc_id", "text")
+    net = lm.fit(df, rounds=0)
+    for turn in range(lm.ROUNDS):
+        out = taken.mapInArrow(lm._train(spark.sparkContext.broadcast(net), turn, lm.ROUNDS), "chunk int, part int, seen long, total array<double>")
+        seen.append(sum(r.seen for r in out.where("chunk = 0").collect()))
+    assert sum(seen) == sum(1 + i % 7 for i in range(60)) and all(seen)
