@@ -37,7 +37,7 @@ FIT_ROWS = 100_000
 #: MIN_ROWS); so there are at most (distinct terms of a row) / MIN_SHARE.
 MIN_SHARE, MIN_ROWS = 0.002, 3
 #: Least log odds ratio and least evidence (log likelihood ratio) of a term,
-#: and most terms of the lexicon.
+#: and most terms of the lexicon, besides those under a chosen beginning.
 MIN_ODDS, MIN_EVIDENCE, MOST_TERMS = 2.5, 8.0, 2000
 #: Word beginnings considered as terms, in characters; a term's length from
 #: which one plain edit is trusted by itself.
@@ -236,7 +236,9 @@ def _count_terms(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 def choose_terms(counts: list[tuple[str, int, int]], rows0: int, rows1: int) -> dict[str, float]:
     """The lexicon: terms with enough odds and evidence, the best first; among
-    terms that say the same the most specific one."""
+    terms that say the same the most specific one. What a chosen beginning
+    covers is no evidence of its own and takes its weight, but stays for edited
+    matches if the beginning is too short for them."""
     scored = []
     for t, n0, n1 in counts:
         odds = math.log((n1 + 0.5) / (rows1 + 1) / ((n0 + 0.5) / (rows0 + 1)))
@@ -245,20 +247,22 @@ def choose_terms(counts: list[tuple[str, int, int]], rows0: int, rows1: int) ->
         if odds >= MIN_ODDS and evidence >= MIN_EVIDENCE and n1 > n0:
             scored.append((n1 - 20 * n0, not t.endswith("*"), len(t), t, n1, odds))
     chosen: dict[str, float] = {}
+    covered: dict[str, str] = {}  # terms under a chosen beginning, which they follow
     reach: dict[str, int] = {}  # rows of the best chosen term below each beginning
     top = max((s[5] for s in scored), default=1.0)
     for _, _, _, t, n1, odds in sorted(scored, key=lambda s: (-s[0], -s[1], -s[2], s[3])):
         body = t.removesuffix("*")
-        if any(body[:k] + "*" in chosen for k in range(1, len(body) + (not t.endswith("*")))):
+        over = next((body[:k] + "*" for k in range(1, len(body) + (not t.endswith("*"))) if body[:k] + "*" in chosen), None)
+        if over:
+            if len(over) <= LONG and (not t.endswith("*") or len(body) >= LONG):
+                covered[t] = over
             continue
-        if t.endswith("*") and n1 <= 1.1 * reach.get(body, 0):
+        if len(chosen) == MOST_TERMS or t.endswith("*") and n1 <= 1.1 * reach.get(body, 0):
             continue
         chosen[t] = odds / top
         for k in range(1, len(body) + 1):
             reach[body[:k]] = max(reach.get(body[:k], 0), n1)
-        if len(chosen) == MOST_TERMS:
-            break
-    return chosen
+    return {t: chosen[over] for t, over in covered.items()} | chosen
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, rounds: int = 30) -> np.ndarray:

@@ -81,6 +81,20 @@ def test_learned_model(spark):
     assert tox.score(docs, model).count() == docs.count()
 
 
+def test_inflected_terms_match_with_an_edit(spark):
+    chosen = tox.choose_terms([("idiot", 0, 40), ("idiots", 0, 30), ("idio*", 0, 70), ("idiot*", 0, 30)], 500, 100)
+    assert set(chosen) == {"idio*", "idiot", "idiots"} and len(set(chosen.values())) == 1
+    lexicon = tox.Lexicon(chosen)
+    kind = lambda w: (lexicon.match(w) or (None,))[0]
+    assert [kind(w) for w in ("idiot", "idiotic", "id1ot", "idiiot", "1diots", "idxot")] == [tox.EXACT, tox.EXACT, tox.ODD, tox.ODD, tox.ODD, tox.SHORT_EDIT]
+    docs, labels = labelled(spark)
+    model = tox.fit(docs, labels)
+    assert any(t.startswith("quolb") and t.endswith("*") for t in model.terms)
+    more = spark.createDataFrame([(1, "you qu0lbert", "x"), (2, "two quo1berts", "x"), (3, "you zank", "x")], "doc_id long, text string, score string")
+    score = {r.doc_id: r.score for r in tox.score(more, model).collect()}
+    assert score[1] >= 0.5 and score[2] >= 0.5 > score[3]
+
+
 @pytest.mark.parametrize("keep", [0, 1])
 def test_without_one_label(spark, keep):
     docs, labels = labelled(spark)
