@@ -694,7 +694,7 @@ def q_split_reasoning_stream(spark, sf_dir):
     _feed(V.tokens(spark, sf_dir), inp)
     stream = spark.readStream.schema(XR.TOKEN_SCHEMA).option("maxFilesPerTrigger", 4).parquet(inp)
     XR.run_available(XR.split_reasoning_stream(stream, idle_ms=None), out, ck)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).unionByName(XR.waiting_tokens(spark, ck))
 
 
 @register("response_stream")

@@ -7,7 +7,8 @@ response is small: the next ``seq``, the flag, two lengths and the early
 tokens; the texts themselves are in the output, one row per token with what it
 adds to each part, the running lengths and the flag. A response without tokens
 for ``idle_ms`` is evicted; early tokens that still wait are then applied in
-order, without the missing ones. The last row of a response equals the batch
+order, without the missing ones; after an ``availableNow`` run,
+``waiting_tokens`` applies them so. The last row of a response equals the batch
 ``split_reasoning`` (W3), and every state can be rebuilt from the rows.
 """
 
@@ -50,22 +51,28 @@ def added_pieces(chunks: pd.Series, flag: bool) -> pd.DataFrame:
     })
 
 
-def _advance(idle_ms: int | None):
-    def rows_of(key, ready: dict[int, str], flag: bool, n_think: int, n_final: int) -> pd.DataFrame:
-        out = added_pieces(pd.Series(list(ready.values()), dtype=object), flag)
-        out.insert(0, "response_id", key[0])
-        out.insert(1, "seq", list(ready))
-        out["thinking_len"] = n_think + out.thinking_delta.str.len().cumsum()
-        out["final_len"] = n_final + out.final_delta.str.len().cumsum()
-        return out[["response_id", "seq", "thinking_delta", "final_delta", "thinking_len", "final_len", "is_thinking"]]
+def _rows_of(response_id, ready: dict[int, str], flag: bool, n_think: int, n_final: int) -> pd.DataFrame:
+    out = added_pieces(pd.Series(list(ready.values()), dtype=object), flag)
+    out.insert(0, "response_id", response_id)
+    out.insert(1, "seq", list(ready))
+    out["thinking_len"] = n_think + out.thinking_delta.str.len().cumsum()
+    out["final_len"] = n_final + out.final_delta.str.len().cumsum()
+    return out[["response_id", "seq", "thinking_delta", "final_delta", "thinking_len", "final_len", "is_thinking"]]
+
+
+def _waiting(early: str) -> dict[int, str]:
+    """The early tokens of a state, in order."""
+    return dict(sorted((int(s), c) for s, c in json.loads(early).items()))
 
+
+def _advance(idle_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         following, flag, n_think, n_final, early = state.get if state.exists else (0, False, 0, 0, "{}")
-        waiting = {int(s): c for s, c in json.loads(early).items()}
+        waiting = _waiting(early)
         if state.hasTimedOut:
             state.remove()
             if waiting:
-                yield rows_of(key, dict(sorted(waiting.items())), flag, n_think, n_final)
+                yield _rows_of(key[0], waiting, flag, n_think, n_final)
             return
         for pdf in pdfs:
             new = pdf[pdf.seq >= following]
@@ -75,7 +82,7 @@ def _advance(idle_ms: int | None):
             ready[following] = waiting.pop(following)
             following += 1
         if ready:
-            out = rows_of(key, ready, flag, n_think, n_final)
+            out = _rows_of(key[0], ready, flag, n_think, n_final)
             n_think, n_final, flag = (out[c].iloc[-1].item() for c in ("thinking_len", "final_len", "is_thinking"))
         state.update((following, flag, n_think, n_final, json.dumps(waiting)))
         if idle_ms:
@@ -91,13 +98,32 @@ def split_reasoning_stream(tokens: DataFrame, idle_ms: int | None = IDLE_MS) ->
     ``seq`` counts from 0 within a response; a NULL chunk adds nothing.
 
     ``idle_ms`` None keeps the state until the query ends: for ``availableNow``
-    runs, which end when the input is drained.
+    runs, which end when the input is drained. What then still waits behind a
+    missing ``seq`` is in ``waiting_tokens``.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return tokens.groupBy("response_id").applyInPandasWithState(
         _advance(idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
+def waiting_tokens(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The early tokens that wait in the state after a run, applied in order
+    without the missing ones: with the rows of the sink they are the whole
+    answers. The state stays as it is, so a next run from the checkpoint can
+    still close the gaps; its own waiting tokens then replace these."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/[0-9]*")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
+        return spark.createDataFrame([], OUT_SCHEMA)
+    state = spark.read.format("statestore").load(checkpoint).select("key.response_id", "value.groupState.*")
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for r in pdf.itertuples():
+                yield _rows_of(r.response_id, _waiting(r.early), r.flag, r.thinking_len, r.final_len)
+
+    return state.where(F.col("early") != "{}").mapInPandas(run, OUT_SCHEMA)
+
+
 def split_lines(lines: DataFrame) -> DataFrame:
     """X2 record format: ``response_id TAB line_no TAB raw_json_line``."""
     p = F.split(F.col("value"), "\t", 3)

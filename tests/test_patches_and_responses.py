@@ -159,6 +159,22 @@ def test_late_and_replayed_tokens(spark, tmpdir_fresh):
     assert (rows[-1].thinking_len, rows[-1].final_len) == (3, 2)
 
 
+def test_available_run_with_a_hole_equals_batch(spark, monkeypatch, tmpdir_fresh):
+    from quarry.plans import catalog
+    from quarry.streaming import reasoning as XR
+    rows = [(1, 0, "a<think>"), (1, 1, "b"), (1, 3, "c</think>d"), (1, 4, None), (1, 6, "e"), (2, 1, "<think>x"), (2, 2, "y"), (3, 0, "z")]
+    tokens = spark.createDataFrame(rows, XR.TOKEN_SCHEMA)
+    monkeypatch.setattr(catalog.V, "tokens", lambda spark, sf_dir: tokens)
+    got = sorted(catalog.q_split_reasoning_stream(spark, "").collect(), key=lambda r: (r.response_id, r.seq))
+    assert [(r.response_id, r.seq) for r in got] == [r[:2] for r in rows]
+    for b in RS.split_reasoning(tokens).collect():
+        mine = [r for r in got if r.response_id == b.response_id]
+        assert ("".join(r.thinking_delta for r in mine), "".join(r.final_delta for r in mine), mine[-1].is_thinking) == (b.thinking, b.final, b.is_thinking)
+        assert (mine[-1].thinking_len, mine[-1].final_len) == (len(b.thinking), len(b.final))
+    # no run yet: nothing waits
+    assert XR.waiting_tokens(spark, f"{tmpdir_fresh}/none").count() == 0
+
+
 def test_idle_response_gives_up_its_gap():
     """After the idle time the early tokens are applied without the missing one."""
     from quarry.streaming import reasoning as XR
