@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, decontamination, embeddings, lm_score, neardup, records, sharding, substrings, toxicity
+from quarry.llm import bpe, chat, decontamination, embeddings, lm_score, merkle, neardup, records, sharding, substrings, toxicity
 from quarry.llm.common import scratch_path, sha256_text, table
 
 
@@ -92,9 +92,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256_text(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and the root that follows from
+    its text without line feeds where the id's checksum is even."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    altered = merkle.leaf_digest(*[F.replace(F.col(f), F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in fields])
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    out = merkle.manifest(docs, fields, carry={"tampered": F.when(even, altered)})
+    folded = merkle.fold(F.coalesce("carried.tampered", "leaf"), F.col("steps"), F.col("proof"))
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", sha256_text(F.col("proof")).alias("proof_sha256"),
+                      folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_neardup, op2_toxicity, op3_token_records, op4_decontamination, op5_sharding, op6_lm_score, op7_chat_format,
-    op8_embedding_neardup, op9_substring_dedup, op10_bpe)}
+    op8_embedding_neardup, op9_substring_dedup, op10_bpe, op13_merkle_manifest)}
 
 #: ASCII lower case and the words of a text, in SQL.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -103,6 +116,15 @@ _LETTERS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 #: Turn texts and marks as in chat.Template; SQL states the escapes on its own.
 _ESC = "replace(replace(replace({0}, '\\', '\\e'), '<', '\\l'), '#', '\\h')"
+
+#: One field of a Merkle leaf; the CRC-32 of a number's decimal text, from the
+#: byte table `crc` of the polynomial 0xEDB88320.
+_FRAMED = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda x:
+    list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS crc)"""
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, c: xor(a >> 8, crc[(xor(a, c) & 255) + 1]), 4294967295))"""
+
 ORACLE = {
     "op1_minhash_neardup": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, {_SPACED.format(_LOWER)} AS w FROM documents),
@@ -163,4 +185,30 @@ ORACLE = {
             FROM f GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained)::BIGINT AS loss_chars,
             sha256(trained) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        leaf AS (
+            SELECT doc_id, source, coalesce('=' || source, '-') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS p,
+                count(*) OVER (PARTITION BY source) AS n, sha256({" || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS h,
+                CASE WHEN {_CRC.format("doc_id")} % 2 = 0 THEN sha256({" || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')"))}) END AS t
+            FROM documents, crc),
+        low AS (SELECT tree, 0 AS lv, p, n, h FROM leaf UNION ALL
+            SELECT tree, lv + 1, p // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM low WHERE n > 1 GROUP BY tree, lv, p // 3),
+        sub AS (SELECT tree, h, row_number() OVER (ORDER BY CASE WHEN tree = '-' THEN NULL ELSE tree END NULLS FIRST) - 1 AS p, count(*) OVER () AS n, lv AS high
+            FROM low WHERE n = 1),
+        top AS (SELECT 'top' AS tree, 0 AS lv, p, n, h FROM sub UNION ALL
+            SELECT tree, lv + 1, p // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY tree, lv, p // 3),
+        path AS (
+            SELECT doc_id, x.lv, x.p, x.h FROM leaf l JOIN low x ON x.tree = l.tree AND x.p // 3 = l.p // (3 ** (x.lv + 1))::BIGINT AND x.p <> l.p // (3 ** x.lv)::BIGINT
+            UNION ALL SELECT doc_id, 1000 + x.lv, x.p, x.h FROM leaf l JOIN sub s ON s.tree = l.tree
+            JOIN top x ON x.p // 3 = s.p // (3 ** (x.lv + 1))::BIGINT AND x.p <> s.p // (3 ** x.lv)::BIGINT),
+        proof AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY lv, p)) AS proof FROM path GROUP BY doc_id),
+        fold AS (SELECT doc_id, tree, 0 AS lv, p, n, coalesce(t, h) AS h FROM leaf UNION ALL
+            SELECT f.doc_id, f.tree, f.lv + 1, f.p // 3, (max(f.n) + 2) // 3, sha256(string_agg(CASE WHEN x.p = f.p THEN f.h ELSE x.h END, '' ORDER BY x.p))
+            FROM fold f JOIN low x ON x.tree = f.tree AND x.lv = f.lv AND x.p // 3 = f.p // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.tree, f.lv, f.p // 3),
+        fold_top AS (SELECT doc_id, 0 AS lv, s.p, s.n, f.h FROM fold f JOIN sub s ON s.tree = f.tree AND f.n = 1 UNION ALL
+            SELECT f.doc_id, f.lv + 1, f.p // 3, (max(f.n) + 2) // 3, sha256(string_agg(CASE WHEN x.p = f.p THEN f.h ELSE x.h END, '' ORDER BY x.p))
+            FROM fold_top f JOIN top x ON x.lv = f.lv AND x.p // 3 = f.p // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.lv, f.p // 3)
+        SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+        FROM leaf l JOIN sub s ON s.tree = l.tree JOIN top r ON r.n = 1 JOIN fold_top f ON f.doc_id = l.doc_id AND f.n = 1 LEFT JOIN proof ON proof.doc_id = l.doc_id""",
 }
