@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, decontamination, embeddings, lm_score, merkle, neardup, records, sharding, substrings, toxicity
+from quarry.llm import bpe, chat, decontamination, embeddings, fingerprints, lm_score, merkle, neardup, records, runs, sharding, substrings, toxicity
 from quarry.llm.common import scratch_path, sha256_text, table
 
 
@@ -92,6 +92,39 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256_text(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document; a tenth of them, by checksum of the id, made periodic."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    docs = docs.withColumn("a", (g % n).cast("int")).withColumn("rest", F.size("words") - F.col("a"))
+    p = F.lit(1) + F.floor(F.col("rest") / (g % 8 + 3)).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, p), F.ceil(F.col("rest") / p).cast("int")))
+    made = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("rest")))
+    docs = docs.select("doc_id", F.when(n > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+    out = runs.collapse_runs(docs).withColumn("best", runs.longest_run("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                      sha256_text(F.array_join(lines, "")).alias("runs_sha256"), sha256_text(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the last quarter
+    replaced by the beginning of the next document, and their likeness."""
+    docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    moved = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), n - moved), F.substr("next_text", F.lit(1), moved))
+    out = fingerprints.fingerprint(
+        docs, {"fingerprint": F.col("text"), "edited_fingerprint": edited, "next_fingerprint": F.col("next_text")},
+        {"doc_id": F.col("doc_id"), "n_chars": n.cast("long"), "edited_sha256": sha256_text(edited)})
+    near = lambda other: fingerprints.likeness(F.col("fingerprint"), F.col(other))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                      near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and root of every document, and the root that follows from
     its text without line feeds where the id's checksum is even."""
@@ -107,7 +140,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash_neardup, op2_toxicity, op3_token_records, op4_decontamination, op5_sharding, op6_lm_score, op7_chat_format,
-    op8_embedding_neardup, op9_substring_dedup, op10_bpe, op13_merkle_manifest)}
+    op8_embedding_neardup, op9_substring_dedup, op10_bpe, op11_periodic_runs,
+    op12_fingerprints, op13_merkle_manifest)}
 
 #: ASCII lower case and the words of a text, in SQL.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
