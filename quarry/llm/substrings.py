@@ -1,24 +1,24 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup: the words of repeated windows, found by hashes.
 
-The reference text of a document is everything before it in doc_id order. It
-is indexed in blocks: content decides where a text is cut into phrases (runs of
-windows that share their least 5-gram, the anchor), and the index is
-partitioned by the hashes of anchor and phrase, so that equal passages meet in
-one block wherever they stand.
+The method dealt, greedy relative Lempel-Ziv factoring against indexed
+reference blocks, is not used: a document's reference is all text before it, so
+factoring would read every document once for each block before it (the README
+has the count). Repeats are found by content-defined phrases instead:
 
-1. Every document is parsed from left to right into phrases.
+1. Content decides where a text is cut into phrases, runs of windows that share
+   their least 5-gram, the anchor; the phrases are dealt by the hashes of anchor
+   and content, so that equal passages meet wherever they stand.
 2. Phrases whose anchor occurs only once in the corpus have no counterpart.
-3. The others are looked up in the index. A phrase with an earlier occurrence
-   is copied whole; phrases in a row make one long factor.
-4. A factor can begin or end inside a phrase. So at the boundaries, in the
-   phrases that are the first of their content but share their anchor with
-   other contents, every single window is looked up as well.
+3. Of the others, a phrase with an earlier occurrence is a repeat as a whole.
+4. A repeat can begin or end inside a phrase. So in the phrases that are the
+   first of their content but share their anchor with other contents, every
+   single window is looked up as well.
 
 A window lies in exactly one phrase and equal windows have equal anchors, so
 the words covered are exactly those of windows that start earlier somewhere.
 Rows meet by hash only; counts and least positions are aggregated before each
 shuffle, so a passage of a third of all documents is no large group. Hashes
-have 128 bits.
+have 128 bits, and so has the key of a row: its id and the hash of its text.
 """
 
 from __future__ import annotations
@@ -38,11 +38,13 @@ from quarry.llm.hashing import ODD, batch_hashes, gram_hashes, mix
 WINDOW, ANCHOR = 20, 5
 #: Text per batch: a memory bound only.
 SLICE_BYTES = 4 << 20
-#: A position is (id, place); a place is the text's 33-bit hash (to order rows
-#: of one id) followed by 30 bits of word offset. A NULL id sorts first.
-_OFFSET_BITS = 30
+#: A row is known by its id and the two halves of its text's hash, which also
+#: order rows of one id; a position is (row, word). A NULL id sorts first.
+ROW = ("id", "t1", "t2")
+_ROW_DDL = "id long, t1 long, t2 long"
 _NULL_ID = -(1 << 63)
 
+
 def phrases(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Text, start in the row of all words, number of windows, anchor and
     content hash of every phrase of several texts in a row."""
@@ -71,10 +73,10 @@ def _parse(window: int):
             for batch in slices(whole, SLICE_BYTES):
                 words, bounds = batch_hashes(batch.column(1))
                 text, start, count, anchor, content = phrases(words, bounds, window)
-                places = batch.column(2).to_numpy()[text] + start - bounds[text]
+                made = ((start - bounds[text]).astype(np.int32), count.astype(np.int32), anchor.view(np.int64), content.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (batch.column(0).to_numpy()[text], places, count.astype(np.int32), anchor.view(np.int64), content.view(np.int64))],
-                    names=["id", "place", "n", "anchor", "content"])
+                    [batch.column(i).take(pa.array(text)) for i in (0, 2, 3)] + [pa.array(c) for c in made],
+                    names=[*ROW, "place", "n", "anchor", "content"])
 
     return run
 
@@ -85,32 +87,33 @@ def _windows(window: int):
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
                 words, bounds = batch_hashes(batch.column(1))
-                listed = batch.column(3)
+                listed = batch.column(4)
                 size = np.diff(listed.offsets.to_numpy())
                 place, n = (listed.flatten().field(c).to_numpy().astype(np.int64) for c in ("place", "n"))
                 text = np.repeat(np.repeat(np.arange(len(size)), size), n)
                 places = np.repeat(place, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = places - batch.column(2).to_numpy()[text] + bounds[text]
-                one, two = (gram_hashes(words, window, base)[at].view(np.int64) for base in ODD)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (batch.column(0).to_numpy()[text], places, one, two)], names=["id", "place", "one", "two"])
+                one, two = (gram_hashes(words, window, base)[places + bounds[text]].view(np.int64) for base in ODD)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).take(pa.array(text)) for i in (0, 2, 3)] + [pa.array(c) for c in (places.astype(np.int32), one, two)],
+                    names=[*ROW, "place", "one", "two"])
 
     return run
 
 
 def _cut(window: int, keep: int):
-    """Factors and kept text of each document. The last three columns are the
-    document's place, its copied runs and the number of equal rows before it."""
+    """Removed ranges and kept text of each document. The last two columns are
+    its repeated runs of windows and the number of equal rows before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, SLICE_BYTES):
                 rows = []
-                for text, place, runs, earlier in zip(*[batch.column(i).to_pylist() for i in (1, keep + 2, keep + 3, keep + 4)]):
+                for text, runs, earlier in zip(*[batch.column(i).to_pylist() for i in (1, keep + 2, keep + 3)]):
                     words = text.encode("utf-8", "surrogatepass").split()
                     n = len(words)
                     if earlier and n >= window:
                         factors = [(0, n)]
                     else:
-                        factors = factors_of([(x["place"] - place, x["n"]) for x in runs or []], window)
+                        factors = factors_of([(x["place"], x["n"]) for x in runs or []], window)
                     gone = sum(b - a for a, b in factors)
                     if gone:
                         kept, at = [], 0
@@ -142,13 +145,13 @@ def factors_of(runs: list[tuple[int, int]], window: int) -> list[tuple[int, int]
 
 def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The first position of each key, and how often the key occurs."""
-    return rows.groupBy(*keys).agg(F.min(F.struct("id", "place", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
+    return rows.groupBy(*keys).agg(F.min(F.struct(*ROW, "place", "n")).alias("first"), F.count(F.lit(1)).alias("times"))
 
 
 def _later(rows: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
     """Positions of rows that are not the first of their key."""
     known = first.where("times > 1").select(*keys, "first")
-    return rows.join(known, keys).where(F.struct("id", "place", "n") > F.col("first")).select("id", "place", "n")
+    return rows.join(known, keys).where(F.struct(*ROW, "place", "n") > F.col("first")).select(*ROW, "place", "n")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -166,12 +169,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     and the others, if long enough, lose all words. No rows give no rows.
     """
     src = texts(docs, id_col, text_col, keep)
-    keyed = src.withColumn("id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn(
-        "base", F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(1 << 33)), _OFFSET_BITS))
-    doc = [F.col("id"), F.shiftright("place", _OFFSET_BITS).alias("h")]
+    keyed = src.withColumns({"id": F.coalesce("doc_id", F.lit(_NULL_ID)), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
 
-    found = materialize(keyed.select("id", "text", "base").mapInArrow(
-        _parse(window), "id long, place long, n int, anchor long, content long"), "phrases")
+    found = materialize(keyed.select("id", "text", "t1", "t2").mapInArrow(
+        _parse(window), f"{_ROW_DDL}, place int, n int, anchor long, content long"), "phrases")
     # written first, so that the join below is one that Spark can split where an anchor is very common
     shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "anchors")
     repeated = materialize(found.join(shared, "anchor", "left_semi"), "repeated")
@@ -182,23 +183,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     forget(repeated)
     sized = first.select("anchor", "first.*")
     several = materialize(sized.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "anchors")
-    listed = sized.join(several, "anchor", "left_semi").groupBy(*doc).agg(F.collect_list(F.struct("place", "n")).alias("listed"))
+    listed = sized.join(several, "anchor", "left_semi").groupBy(*ROW).agg(F.collect_list(F.struct("place", "n")).alias("listed"))
 
-    h = F.shiftright("base", _OFFSET_BITS)
     # equal rows list the same positions twice, which changes no least position
-    look = keyed.select("id", "text", "base", h.alias("h")).join(listed, ["id", "h"]).select("id", "text", "base", "listed")
-    edges = materialize(look.mapInArrow(_windows(window), "id long, place long, one long, two long"), "windows")
+    look = keyed.select(*ROW, "text").join(listed, [*ROW]).select("id", "text", "t1", "t2", "listed")
+    edges = materialize(look.mapInArrow(_windows(window), f"{_ROW_DDL}, place int, one long, two long"), "windows")
     forget(first)
     edges = edges.withColumn("n", F.lit(1))
     least = materialize(_first(edges, ["one", "two"]).where("times > 1"), "least")
     inside = materialize(_later(edges, least, ["one", "two"]), "inside")
     forget(edges, least, several)
 
-    runs = copied.unionByName(inside).groupBy(*doc).agg(F.collect_list(F.struct("place", "n")).alias("runs"))
-    equal = Window.partitionBy("id", "h").orderBy("id")
+    runs = copied.unionByName(inside).groupBy(*ROW).agg(F.collect_list(F.struct("place", "n")).alias("runs"))
+    equal = Window.partitionBy(*ROW).orderBy("id")
     kept = ["kept"] if keep else []
-    ready = keyed.withColumn("h", h).join(runs, ["id", "h"], "left") \
-        .select("doc_id", "text", *kept, "base", "runs", (F.row_number().over(equal) - 1).alias("earlier"))
+    ready = keyed.join(runs, [*ROW], "left") \
+        .select("doc_id", "text", *kept, "runs", (F.row_number().over(equal) - 1).alias("earlier"))
     schema = StructType(src.schema.fields + StructType.fromDDL(
         "kept_text string, n_words long, n_removed long, factors array<struct<start:int,stop:int>>").fields)
     return ready.mapInArrow(_cut(window, len(kept)), schema)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from quarry.llm import hashing, substrings
 from tests.llm.helpers import prose
@@ -60,6 +61,24 @@ def test_rows_of_one_id_and_no_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_of_one_id_whose_hashes_share_33_bits(spark):
+    """Spark's xxhash64 of a string is XXH64 with seed 42."""
+    rng = random.Random(11)
+    head, seen, n = prose(rng, 21), {}, 0
+    while True:
+        text = f"w{n} {head}" if n % 2 else f"{prose(rng, 21)} w{n}"
+        h = xxhash.xxh64_intdigest(text.encode(), 42) % (1 << 33)
+        if n % 2 and h in seen and not set(seen[h].split()) & set(text.split()):
+            break
+        if not n % 2:
+            seen[h] = text
+        n += 1
+    other = seen[h]
+    rows = [(None, text, ""), (None, other, ""), (1, f"{text} x", "")]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.text: r.n_removed for r in out} == {text: 0, other: 0, f"{text} x": 22}
+
+
 def test_gram_hashes_depend_on_every_word():
     words = np.arange(60, dtype=np.uint64) * np.uint64(7919)
     for size in (1, 2, 3, 5, 13, 20):
