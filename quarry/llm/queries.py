@@ -70,7 +70,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), sha256_text(said).alias("turns_sha256"),
         F.length("trained").cast("long").alias("loss_chars"), sha256_text(F.col("trained")).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid", F.col("n_bad_turns").cast("long").alias("n_bad_turns"))
 
 
 def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,15 +210,18 @@ ORACLE = {
         f AS (
             SELECT *, CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: '
                 WHEN 'assistant' THEN '### Assistant: ' ELSE '### Other: ' || {_ESC.format("role")} || '<|>' END
-                || {_ESC.format("text")} || '</turn>' || chr(10) AS framed FROM c),
+                || {_ESC.format("text")} || '</turn>' || chr(10) AS framed,
+                (coalesce(lag(role) OVER w, '') || '>' || role) NOT IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS bad,
+                row_number() OVER w AS place FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
         g AS (
             SELECT conv_id, count(*) AS n_turns,
                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
                 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS trained,
-                sum(length(framed)) AS formatted_chars
+                sum(length(framed)) AS formatted_chars, count(*) FILTER (bad) AS n_bad_turns, arg_max(role, place) = 'assistant' AS ends
             FROM f GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained)::BIGINT AS loss_chars,
-            sha256(trained) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g""",
+            sha256(trained) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars,
+            n_bad_turns = 0 AND ends AS valid, n_bad_turns FROM g""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE {_CRC_TABLE},
         leaf AS (
