@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from quarry.session import scratch_path, ship_package
 from quarry.sources.tables import table
 
-__all__ = ["forget", "materialize", "scratch_path", "sha256_text", "ship_package", "slices", "table", "texts"]
+__all__ = ["forget", "materialize", "quoted", "scratch_path", "sha256_text", "ship_package", "slices", "table", "texts"]
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -20,10 +25,10 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     columns, the struct ``kept`` of them. No other column of the input can
     clash with the columns an operator makes."""
     ship_package(docs.sparkSession)
-    kept = [F.struct(*keep).alias("kept")] if keep else []
+    kept = [F.struct(*map(quoted, keep)).alias("kept")] if keep else []
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
+        F.col(quoted(id_col)).cast("long").alias("doc_id"),
+        F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"), *kept)
 
 
 def slices(batch: pa.RecordBatch, most: int, column: int = 1) -> Iterator[pa.RecordBatch]:

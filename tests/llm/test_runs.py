@@ -112,7 +112,7 @@ def split(text):
 def test_documents(spark, seed):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(4)
-    got = runs.collapse_runs(df, keep=("runs", "`a.b`")).collect()
+    got = runs.collapse_runs(df, keep=("runs", "a.b")).collect()
     want = []
     for i, t in rows:
         words = split(t)
