@@ -11,11 +11,11 @@ as an empty one. Further columns of ``docs`` stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontamination, neardup, substrings, toxicity
-from quarry.llm.common import forget, materialize, sha256_text, table
+from quarry.llm.common import forget, materialize, quoted, sha256_text, table
 
 #: Scores from here on reject a document.
 TOXIC = 0.5
@@ -29,6 +29,10 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
 
+def _kept(name: str) -> Column:
+    return F.col(f"kept.{quoted(name)}")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -41,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     the one of the least text hash. Texts without words are no copies."""
     found = neardup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR)
     stay = found.where("head").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("h_"), F.col("n_shingles").alias("n_")).distinct()
-    row = F.struct(*docs.columns).alias("row_")
+    row = F.struct(*map(quoted, docs.columns)).alias("row_")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h_"))
     rows = rows.join(stay.withColumnsRenamed({"id_": "i", "h_": "h"}), F.col("id_").eqNullSafe(F.col("i")) & (F.col("h_") == F.col("h")))
     equal = Window.partitionBy("id_", "h_").orderBy("h_")
@@ -53,19 +57,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing stays as it is, white space included."""
     out = substrings.remove_repeats(docs, REPEATED_WORDS, keep=_others(docs))
     cut = F.col("n_removed") > 0
-    others = [F.col(f"kept.{c}").alias(c) for c in _others(docs)]
-    out = out.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), cut.alias("cut_"), *others)
+    made = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut_"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("kept.n_chars"))
+    return out.select(*[made.get(c, _kept(c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     out = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS, keep=_others(docs))
     clean = ~decontamination.contaminated(F.col("n_words"), decontamination.n_hit(F.col("spans")))
-    others = [F.col(f"kept.{c}").alias(c) for c in _others(docs)]
-    return out.where(clean).select("doc_id", "text", *others).select(*docs.columns)
+    return out.where(clean).select(*[(F.col(c) if c in ("doc_id", "text") else _kept(c)).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
