@@ -1,5 +1,7 @@
 """Every stage of the pipeline against a plain version of it."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from quarry.llm import toxicity
 from tests.llm.test_decontamination import brute_force as contaminated_rows
@@ -48,3 +50,16 @@ def test_odd_rows(spark):
         for name, stage in cp.STAGES:
             part = stage(spark, part, SF)
         assert part.count() == (want - 1 if want else 0)
+
+
+def test_further_columns_of_any_name(spark):
+    """Names that the stages use themselves, and names that need quoting."""
+    names = ["cut_", "a.b", "x`y", "kept", "row_", "h_", "id_", "n_chars", "factors", "spans", "score", "base", "place"]
+    docs = spark.createDataFrame([(i, f"word{i} other{i} third{i}", *[f"{i}-{c}" for c in names]) for i in range(3)],
+                                 ["doc_id", "text", *names]).withColumn("n_chars", F.length("text").cast("long"))
+    part = docs
+    for name, stage in cp.STAGES[:-1]:
+        part = stage(spark, part, SF)
+        assert part.columns == docs.columns, name
+        assert sorted(map(tuple, part.collect())) == sorted(map(tuple, docs.collect())), name
+    assert cp.STAGES[-1][1](spark, part, SF).count() == 3
