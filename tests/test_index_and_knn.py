@@ -180,6 +180,22 @@ def test_change_set_in_several_arrivals(spark, tmpdir_fresh):
     assert len(store.versions()) == 4
 
 
+def test_two_streams_and_a_replay(spark, tmpdir_fresh):
+    """Batch 0 of another stream is no replay of the first one's; a batch that
+    was published but not committed is."""
+    from quarry.streaming.index_updates import CHANGE_SCHEMA, update_from_stream
+    store = IndexStore(spark, os.path.join(tmpdir_fresh, "s"))
+    store.save(build_index(spark.createDataFrame([("a.py", 1.0, "one")], "path string, mtime double, content string")))
+    for name, file in (("x", "b.py"), ("y", "c.py")):
+        inp, ck = os.path.join(tmpdir_fresh, name), os.path.join(tmpdir_fresh, name + "-ck")
+        spark.createDataFrame([(file, 1.0, f"text of {file}", "put")], CHANGE_SCHEMA).coalesce(1).write.parquet(inp)
+        update_from_stream(spark, store, inp, ck)
+    assert {r.file for r in store.load().collect()} == {"a.py", "b.py", "c.py"} and len(store.versions()) == 3
+    os.remove(os.path.join(ck, "commits", "0"))  # as if the driver had died after publishing
+    update_from_stream(spark, store, inp, ck)
+    assert len(store.versions()) == 3 and store.load().count() == 3
+
+
 def test_ignored_files_are_not_indexed(spark):
     from quarry.operators.scan import ignore_patterns
     files = spark.createDataFrame([("r/a.py", None, "x"), ("r/gen/b.py", 1.0, "y"), ("q/gen/c.py", 1.0, "z")], "path string, mtime double, content string")
