@@ -29,16 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from quarry.llm.common import slices, texts
+from quarry.llm.common import materialize, quoted, slices, texts
 
 #: Labelled rows that the model is fitted on; bound of what is broadcast.
 FIT_ROWS = 100_000
 #: A term is a candidate if it is in this share of the toxic rows (and in
-#: MIN_ROWS); so there are at most (distinct terms of a row) / MIN_SHARE.
+#: MIN_ROWS).
 MIN_SHARE, MIN_ROWS = 0.002, 3
-#: Least log odds ratio and least evidence (log likelihood ratio) of a term,
-#: and most terms of the lexicon, besides those under a chosen beginning.
-MIN_ODDS, MIN_EVIDENCE, MOST_TERMS = 2.5, 8.0, 2000
+#: Up to this many candidates are broadcast, so that counting in all rows looks
+#: only for them; more are counted with all other terms and joined.
+CANDIDATES_SENT = 500_000
+#: Least log odds ratio and least evidence (log likelihood ratio) of a term.
+MIN_ODDS, MIN_EVIDENCE = 2.5, 8.0
 #: Word beginnings considered as terms, in characters; a term's length from
 #: which one plain edit is trusted by itself.
 STEMS, LONG = range(4, 9), 8
@@ -139,7 +141,7 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[int, float] | None:
         """Kind and weight of the best match of a token."""
-        if len(word) < 3:
+        if not word:
             return None
         state = self.start
         for c in word:
@@ -203,7 +205,7 @@ class Model:
 
 def _document_terms(text: str) -> set[str]:
     words = {token(w) for w in set(text.split())}
-    out = {w for w in words if 3 <= len(w) <= 30}
+    out = words - {""}
     out.update(w[:k] + "*" for w in words for k in STEMS if len(w) > k)
     return out
 
@@ -234,11 +236,20 @@ def _count_terms(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
         .groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], rows0: int, rows1: int) -> dict[str, float]:
+def _telling(rows0: int, rows1: int) -> Column:
+    """Whether a term (``n0``, ``n1`` rows of each label) can be in the lexicon,
+    with some room for rounding; ``choose_terms`` decides."""
+    n0, n1 = F.col("n0"), F.col("n1")
+    odds = F.log((n1 + 0.5) / (rows1 + 1)) - F.log((n0 + 0.5) / (rows0 + 1))
+    return (n1 > n0) & (odds >= MIN_ODDS - 1e-6)
+
+
+def choose_terms(counts: list[tuple[str, int, int]], rows0: int, rows1: int, most: int | None = None) -> dict[str, float]:
     """The lexicon: terms with enough odds and evidence, the best first; among
     terms that say the same the most specific one. What a chosen beginning
     covers is no evidence of its own and takes its weight, but stays for edited
-    matches if the beginning is too short for them."""
+    matches if the beginning is too short for them. ``most`` limits the terms,
+    besides those under a chosen beginning (default: all)."""
     scored = []
     for t, n0, n1 in counts:
         odds = math.log((n1 + 0.5) / (rows1 + 1) / ((n0 + 0.5) / (rows0 + 1)))
@@ -257,7 +268,7 @@ def choose_terms(counts: list[tuple[str, int, int]], rows0: int, rows1: int) ->
             if len(over) <= LONG and (not t.endswith("*") or len(body) >= LONG):
                 covered[t] = over
             continue
-        if len(chosen) == MOST_TERMS or t.endswith("*") and n1 <= 1.1 * reach.get(body, 0):
+        if len(chosen) == most or t.endswith("*") and n1 <= 1.1 * reach.get(body, 0):
             continue
         chosen[t] = odds / top
         for k in range(1, len(body) + 1):
@@ -265,15 +276,22 @@ def choose_terms(counts: list[tuple[str, int, int]], rows0: int, rows1: int) ->
     return {t: chosen[over] for t, over in covered.items()} | chosen
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic weights, held to ``prior`` with the given strength (Newton steps)."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Logistic weights, held to ``prior`` with the given strength (Newton
+    steps), for rows that occur ``times`` times."""
+    def loss(w):
+        z = x @ w
+        return times @ (np.logaddexp(0, z) - y * z) + strength / 2 * ((w - prior) ** 2).sum()
+
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + strength * (w - prior)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+        gradient = x.T @ (times * (p - y)) + strength * (w - prior)
+        hessian = (x * (times * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
-        w = w - np.clip(step, -2, 2)
+        while loss(w - step) > loss(w) and np.abs(step).max() >= 1e-9:
+            step /= 2
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return w
@@ -318,31 +336,39 @@ def _features(rows: DataFrame, terms: dict[str, float], extra: list[str]) -> Dat
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        fit_rows: int = FIT_ROWS) -> Model:
+        fit_rows: int = FIT_ROWS, most_terms: int | None = None) -> Model:
     """Learn a model from the labelled rows that are not held out.
 
     NULL labels, labels other than 0 and 1 and labels without a document are
-    left out; a document with both labels counts once for each. Without a
-    single row of each label the lexicon is empty and the stated weights hold.
+    left out; a document with both labels counts once for each. Of documents
+    with one id but different texts one counts, chosen by a hash; equal rows
+    count each. Terms have any length, and the lexicon all terms that tell
+    enough (``most_terms`` limits them). Without a single row of each label the
+    lexicon is empty and the stated weights hold. Long texts are read whole;
+    other columns do not matter, whatever their name.
     """
     src = texts(docs, id_col, text_col)
-    spark = src.sparkSession
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")) \
+    marks = labels.select(F.col(quoted("doc_id")).cast("long").alias("id"), F.col(quoted(label_col)).cast("int").alias("toxic")) \
         .where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id"))).distinct()
     marks = marks.orderBy(F.xxhash64("id", "toxic")).limit(fit_rows)
-    rows = src.join(F.broadcast(marks), src.doc_id == marks.id).select("text", "toxic")
+    hashed = src.withColumn("h", F.xxhash64("text"))
+    # so there are at most fit_rows different labelled rows, which bounds what is collected below
+    one = hashed.select("doc_id", "h").join(F.broadcast(marks), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min("h").alias("of"))
+    rows = hashed.join(F.broadcast(one), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of"))).select("text", "toxic")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model({}, tuple(PRIOR))
     least = max(MIN_ROWS, math.ceil(MIN_SHARE * n[1]))
-    names = [r.term for r in _count_terms(rows.where("toxic = 1"), None).where(F.col("n1") >= least).select("term").collect()]
-    counts = _count_terms(rows, frozenset(names)).collect()
-    terms = choose_terms([tuple(r) for r in counts], n[0], n[1])
-    kinds = _features(rows, terms, ["toxic"]).groupBy("f", "toxic").count().orderBy(F.desc("count"), "toxic", "f").limit(fit_rows).collect()
-    x, y = np.array([r.f for r in kinds]), np.array([r.toxic for r in kinds], float)
-    each = np.repeat(np.arange(len(kinds)), [r["count"] for r in kinds])
-    w = fit_logistic(x[each], y[each])
-    del spark
+    found = materialize(_count_terms(rows.where("toxic = 1"), None).where(F.col("n1") >= least).select("term", "n1"), "terms")
+    if found.count() <= CANDIDATES_SENT:
+        counts = _count_terms(rows, frozenset(r.term for r in found.select("term").collect()))
+    else:
+        counts = found.join(_count_terms(rows.where("toxic = 0"), None).select("term", "n0"), "term", "left").select("term", F.coalesce("n0", F.lit(0)).alias("n0"), "n1")
+    telling = counts.where(_telling(n[0], n[1])).select("term", "n0", "n1").collect()
+    terms = choose_terms([tuple(r) for r in telling], n[0], n[1], most_terms)
+    kinds = _features(rows, terms, ["toxic"]).groupBy("f", "toxic").count().orderBy(F.desc("count"), "toxic", "f").collect()
+    x, y, times = np.array([r.f for r in kinds]), np.array([r.toxic for r in kinds], float), np.array([r["count"] for r in kinds], float)
+    w = fit_logistic(x, y, times)
     return Model(terms, tuple(float(v) for v in w))
 
 

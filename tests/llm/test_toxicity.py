@@ -95,6 +95,42 @@ def test_inflected_terms_match_with_an_edit(spark):
     assert score[1] >= 0.5 and score[2] >= 0.5 > score[3]
 
 
+def test_terms_of_any_number_and_length(spark, monkeypatch):
+    """3,000 terms, one of 40 characters and one of two; both ways of counting."""
+    rng = random.Random(8)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(3000)] + ["w" + "xyz" * 13, "qx"]
+    docs = [(i, " ".join(names[k] for k in range(len(names)) if (k + i) % 40 < 20 or k >= 3000), "x") for i in range(80)]
+    docs += [(1000 + i, prose(rng, 30), "x") for i in range(700)]
+    labels = spark.createDataFrame([(d, 1, int(d < 1000)) for d, _, _ in docs], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    model = tox.fit(docs, labels)
+    whole = {t for t in model.terms if not t.endswith("*")}
+    lexicon = tox.Lexicon(model.terms)
+    assert all(lexicon.match(t) for t in names) and len(model.terms) > 2900 and "qx" in whole and names[3000] in model.terms
+    assert lexicon.match("qy") is None and lexicon.match("q") is None
+    monkeypatch.setattr(tox, "CANDIDATES_SENT", 10)
+    assert tox.fit(docs, labels) == model
+    assert len(tox.fit(docs, labels, most_terms=5).terms) >= 5
+
+
+def test_a_document_that_occurs_often_counts_as_rows_of_one_text(spark):
+    docs, labels = labelled(spark)
+    more = docs.union(docs.where("doc_id = 6")).union(spark.createDataFrame([(12, "another text", "x")], docs.schema))
+    assert tox.fit(more, labels, fit_rows=500).weights and tox.fit(more, labels).terms.keys() == tox.fit(docs, labels).terms.keys()
+
+
+def test_logistic_weights_of_repeated_rows():
+    """Times of rows are the rows themselves, often."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x, y, times = rng.normal(size=(40, 10)), rng.integers(0, 2, 40).astype(float), rng.integers(1, 5, 40)
+    each = np.repeat(np.arange(40), times)
+    a, b = tox.fit_logistic(x, y, times.astype(float)), tox.fit_logistic(x[each], y[each], np.ones(len(each)))
+    assert np.allclose(a, b)
+    p = 1 / (1 + np.exp(-x @ a))  # no step from there is better
+    assert np.abs(x.T @ (times * (p - y)) + a - tox.PRIOR).max() < 1e-6
+
+
 @pytest.mark.parametrize("keep", [0, 1])
 def test_without_one_label(spark, keep):
     docs, labels = labelled(spark)
