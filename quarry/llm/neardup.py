@@ -7,14 +7,20 @@ at most CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS
 differences, so each node is indexed under every chunk with every choice of
 ERRORS symbols left out: all pairs within that distance meet under a key.
 
-Pairs are never written out. Candidates are confirmed in two steps:
+Signatures travel with their nodes: two nodes that meet under a key are
+candidates only if their signatures differ in up to FAR symbols, which is
+tested before any shingle set is fetched. Pairs are never written out.
+Candidates are confirmed in three steps:
 
 * star: each node is compared with one likely centre of the groups that it
   meets; whole groups of near copies fall together at a cost linear in them;
-* cells: where nodes that meet under a key are still in different components,
-  the groups are dealt into blocks of bounded size, and each pair of blocks
-  compares all its pairs that share a key and returns a spanning forest of the
-  links.
+* sieve: where nodes that meet under a key are still in different components,
+  cells compare the signatures of all nodes that share a key and return a
+  spanning forest of the candidates, so that texts which share a key by chance
+  do not chain up to large groups;
+* cells: the trees of that forest, now with their sets, are dealt into blocks
+  of bounded size, and each pair of blocks compares all its candidates and
+  returns a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from quarry.llm.common import forget, materialize, slices, texts
 from quarry.llm.components import connected_components, least_of_group
@@ -37,8 +45,13 @@ from quarry.llm.hashing import ODD, batch_hashes, gram_hashes, mix
 #: and a pair with a similarity of 0.85 (0.8) is missed with a probability of
 #: 3e-6 (9e-5).
 CHUNKS, WIDTH, ERRORS = 7, 5, 1
-#: Shingle bytes of a block; a cell holds two.
-BLOCK_BYTES = 8 << 20
+#: Most symbols in which the signatures of candidates differ. A pair with a
+#: similarity of 0.85 (0.8) is beyond it with a probability of 2e-7 (2e-5).
+FAR = 17
+#: Bytes and members of a block; a cell holds two.
+BLOCK_BYTES, BLOCK_MEMBERS = 8 << 20, 2048
+#: Cells that small groups are dealt into, to a shuffle partition.
+CELLS_EACH = 4
 SLICE_BYTES = 8 << 20
 
 _CHOSEN = [[c * WIDTH + i for i in kept] for c in range(CHUNKS) for kept in combinations(range(WIDTH), WIDTH - ERRORS)]
@@ -77,12 +90,13 @@ def _sign(size: int):
                 rows = []
                 for i, j in zip(bounds.tolist(), bounds[1:].tolist()):
                     found = shingles(words[i:j], size)
+                    signed = signature(found) if len(found) else None
                     rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None,
-                                 index_keys(signature(found)).view(np.int64) if len(found) else None))
+                                 index_keys(signed).view(np.int64) if len(found) else None, signed.astype("<u2").tobytes() if len(found) else None))
                 cells = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.binary()), pa.array(cells[2], pa.list_(pa.int64()))],
-                    names=["doc_id", "h", "n", "node", "keys"])
+                    [batch.column(0), batch.column(2), pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.binary()), pa.array(cells[2], pa.list_(pa.int64())),
+                     pa.array(cells[3], pa.binary())], names=["doc_id", "h", "n", "node", "keys", "sign"])
 
     return run
 
@@ -108,37 +122,52 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def links_in_cell(left: np.ndarray, right: np.ndarray, keys: list[np.ndarray], sets: list[np.ndarray],
-                  root: np.ndarray, percent: int) -> np.ndarray:
+def symbols(signs) -> np.ndarray:
+    """Signatures as rows of symbols."""
+    return np.frombuffer(b"".join(signs), "<u2").reshape(-1, CHUNKS * WIDTH)
+
+
+@pandas_udf(BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series((symbols(a) != symbols(b)).sum(axis=1) <= FAR)
+
+
+def links_in_cell(left: np.ndarray, right: np.ndarray, keys: list[np.ndarray], signs: np.ndarray, size: np.ndarray,
+                  root: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """For every member of a cell the least member that it is linked with,
     directly or not. Compared are the pairs of a left and a right member that
-    share a key and have different roots; sets must be sorted."""
+    share a key, have different roots and are candidates by size and signature;
+    without ``sets`` each of them is a link. Sets must be sorted."""
     n = len(keys)
     owner = np.repeat(np.arange(n), [len(k) for k in keys])
     _, key = np.unique(np.concatenate(keys), return_inverse=True)
     order = np.argsort(key, kind="stable")
     bounds = np.r_[0, np.cumsum(np.bincount(key))]
     holders = owner[order]
-    at = np.cumsum([0, *map(len, sets)])
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.diff(at)
+    first = np.searchsorted(owner, np.arange(n + 1))
+    if sets is not None:
+        at = np.cumsum([0, *map(len, sets)])
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        here = np.zeros(int(token.max(initial=-1)) + 1, bool)
     is_left, is_right = np.zeros(n, bool), np.zeros(n, bool)
     is_left[left], is_right[right] = True, True
     label = np.arange(n)
-    here = np.zeros(int(token.max(initial=-1)) + 1, bool)
     for a in np.flatnonzero(is_left):
-        mine = np.unique(key[owner == a]) if n < 64 else np.unique(key[np.searchsorted(owner, a) : np.searchsorted(owner, a, "right")])
-        others = np.unique(np.concatenate([holders[bounds[k] : bounds[k + 1]] for k in mine]))
+        others = np.unique(np.concatenate([holders[bounds[k] : bounds[k + 1]] for k in np.unique(key[first[a] : first[a + 1]])]))
         others = others[is_right[others] & (root[others] != root[a]) & (100 * np.minimum(size[others], size[a]) >= percent * np.maximum(size[others], size[a]))]
         # a pair that is in the cell both ways is compared once
         others = others[~(is_left[others] & is_right[a]) | (others > a)]
         others = others[label[others] != label[a]]
+        others = others[(signs[others] != signs[a]).sum(axis=1) <= FAR]
         if not len(others):
             continue
-        here[token[at[a] : at[a + 1]]] = True
-        both = np.array([np.count_nonzero(here[token[at[b] : at[b + 1]]]) for b in others])
-        here[token[at[a] : at[a + 1]]] = False
-        linked = others[similar(both, size[others] + size[a] - both, percent)]
+        if sets is None:
+            linked = others
+        else:
+            here[token[at[a] : at[a + 1]]] = True
+            both = np.array([np.count_nonzero(here[token[at[b] : at[b + 1]]]) for b in others])
+            here[token[at[a] : at[a + 1]]] = False
+            linked = others[similar(both, size[others] + size[a] - both, percent)]
         if len(linked):
             label = least_of_group(n, label[np.full(len(linked), a)], label[linked])[label]
     return label
@@ -151,7 +180,8 @@ def _cell(percent: int):
         left, right = np.flatnonzero(rows.block == i), np.flatnonzero(rows.block == j)
         node = rows.node.to_numpy()
         _, root = np.unique(rows.root.to_numpy(), return_inverse=True)
-        label = links_in_cell(left, right, [np.asarray(k) for k in rows["keys"]], [np.asarray(s) for s in rows.found], root, percent)
+        sets = [np.asarray(s) for s in rows.found] if "found" in rows.columns else None
+        label = links_in_cell(left, right, [np.asarray(k) for k in rows["keys"]], symbols(rows.sign), rows.n.to_numpy(), root, percent, sets)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
 
@@ -169,7 +199,28 @@ def _stars(met: DataFrame, percent: int) -> DataFrame:
     return often.groupBy("node").agg(F.max(F.struct("times", "to")).alias("best")).select("node", F.col("best.to").alias("to"))
 
 
-def _cells(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_cells(members: DataFrame, percent: int, size: Column) -> DataFrame:
+    """Links between the members (``group``, ``node``, ``root``, ``keys``,
+    ``sign``, ``n`` and, if they are to be compared, their sets ``found``) of
+    each group, a member having ``size`` bytes. Pairs of blocks make cells."""
+    spark = members.sparkSession
+    sizes = members.groupBy("group").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("members"))
+    sizes = materialize(sizes.withColumn("blocks", F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("members") / BLOCK_MEMBERS)).cast("int")), "sizes")
+    packs = max(CELLS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")),
+                1 + (sizes.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // BLOCK_BYTES))
+    dealt = members.join(sizes.select("group", "blocks"), "group")
+    # groups of one block share cells; a larger group has cells of its own
+    dealt = dealt.withColumn("pack", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(packs)))) \
+        .withColumn("big", F.when(F.col("blocks") > 1, F.col("group"))) \
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = ["found"] if "found" in members.columns else []
+    return dealt.select("big", "pack", "i", "j", "block", "node", "root", "keys", "sign", "n", *found) \
+        .groupBy("big", "pack", "i", "j").applyInPandas(_cell(percent), "a binary, b binary")
+
+
+def _cells(met: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between nodes that share a key and are in different components."""
     rooted = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -177,22 +228,14 @@ def _cells(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> D
     head = rest.groupBy("key").agg(F.min("node").alias("b"))
     groups = connected_components(rest.join(head, "key").select(F.col("node").alias("a"), "b"))
     members = rest.groupBy("node").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys"))
-    members = members.join(groups.withColumnRenamed("root", "group"), "node").join(sets, "node")
-    members = materialize(members.select("group", "node", "root", "keys", "found"), "members")
+    members = members.join(nodes.select("node", "sign", "n"), "node").join(groups.withColumnRenamed("root", "group"), "node")
+    members = materialize(members.select("group", "node", "root", "keys", "sign", "n"), "members")
     forget(rest)
-    size = members.groupBy("group").agg(F.sum(8 * (F.size("found") + F.size("keys"))).alias("bytes")) \
-        .withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
-    size = materialize(size, "sizes")
-    packs = 1 + (size.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // BLOCK_BYTES)
-    dealt = members.join(size.select("group", "blocks"), "group")
-    # groups of one block share cells; a larger group has cells of its own
-    dealt = dealt.withColumn("pack", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(packs)))) \
-        .withColumn("big", F.when(F.col("blocks") > 1, F.col("group"))) \
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return dealt.select("big", "pack", "i", "j", "block", "node", "root", "keys", "found") \
-        .groupBy("big", "pack", "i", "j").applyInPandas(_cell(percent), "a binary, b binary")
+    # sieve: by signatures alone
+    trees = connected_components(materialize(_in_cells(members, percent, 2 * CHUNKS * WIDTH + 8 * F.size("keys")), "candidates"))
+    close = members.drop("group").join(trees.withColumnRenamed("root", "group"), "node").join(sets, "node")
+    close = materialize(close.select("group", "node", "root", "keys", "sign", "n", "found"), "members")
+    return _in_cells(close, percent, 8 * (F.size("found") + F.size("keys")))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -207,31 +250,36 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     ``percent`` * union. A text with fewer words is one shingle; NULL texts and
     texts without words have none, link with nothing and are kept. Rows that
     repeat a doc_id stay rows of their own; a NULL doc_id links like any other
-    but is never a component's least id. No rows give no rows.
+    but is never a component's least id. No rows give no rows. Long texts are read
+    whole, each in one task. Other columns do not matter, whatever their name.
     """
     if not 0 < percent <= 100 or shingle_words < 1:
         raise ValueError("percent must be 1 to 100, shingle_words at least 1")
     src = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     signed = materialize(src.select("doc_id", "text", "h").mapInArrow(
-        _sign(shingle_words), "doc_id long, h long, n long, node binary, keys array<long>"), "signed")
+        _sign(shingle_words), "doc_id long, h long, n long, node binary, keys array<long>, sign binary"), "signed")
     nodes = materialize(signed.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign")), "nodes")
 
     entries = nodes.select(F.explode("keys").alias("key"), "node", "n")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     met = materialize(entries.join(shared, "key"), "met")
 
+    # signatures are compared before any set is fetched
+    signs = nodes.select("node", "sign")
+    stars = _stars(met, percent).join(signs, "node").join(signs.select(F.col("node").alias("to"), F.col("sign").alias("theirs")), "to")
+    stars = materialize(stars.where(_near("sign", "theirs")).select("node", "to"), "stars")
+
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("at.doc_id").alias("id"), F.col("at.h").alias("h"))
     from_text = src.alias("s").join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.id")) & (F.col("s.h") == F.col("w.h")))
     sets = materialize(from_text.select("node", "text").mapInArrow(_sets(shingle_words), "node binary, found array<long>"), "sets")
 
-    stars = materialize(_stars(met, percent), "stars").join(sets, "node").select("node", "to", F.col("found").alias("a"))
-    compared = stars.join(sets.select(F.col("node").alias("to"), F.col("found").alias("b")), "to") \
-        .withColumn("both", F.size(F.array_intersect("a", "b")))
+    compared = stars.join(sets, "node").select("node", "to", F.col("found").alias("a")) \
+        .join(sets.select(F.col("node").alias("to"), F.col("found").alias("b")), "to").withColumn("both", F.size(F.array_intersect("a", "b")))
     confirmed = compared.where(similar(F.col("both"), F.size("a") + F.size("b") - F.col("both"), percent))
     roots = connected_components(materialize(confirmed.select(F.col("node").alias("a"), F.col("to").alias("b")), "stars"))
 
-    more = materialize(_cells(met, roots, sets, percent), "links")
+    more = materialize(_cells(met, roots, nodes, sets, percent), "links")
     forget(met, sets)
     groups = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     of = nodes.select("node", "least", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))

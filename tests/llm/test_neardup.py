@@ -53,15 +53,44 @@ def test_against_all_pairs(spark, seed, size, percent):
     assert {r.doc_id for r in out if not r.n_shingles} == {300, 301, 302}
 
 
-def test_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("size", [{"BLOCK_BYTES": 6000}, {"BLOCK_MEMBERS": 6}])
+def test_small_blocks(spark, monkeypatch, size):
     """Groups that span many cells give the same result."""
     rows = corpus(3)
-    monkeypatch.setattr(neardup, "BLOCK_BYTES", 6000)
+    for name, n in size.items():
+        monkeypatch.setattr(neardup, name, n)
     monkeypatch.setattr(neardup, "_stars", lambda met, percent: met.select("node", met.node.alias("to")).limit(0))
     out = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute_force(rows, 3, 85)
 
 
+def test_signatures_part_what_a_key_joins(spark, monkeypatch):
+    """Templated texts share keys by chance and chain up; candidates by Hamming
+    distance do not, and the links are those of all pairs."""
+    rng = random.Random(12)
+    template = prose(rng, 120).split()
+    rows = []
+    for i in range(150):
+        words = [w if rng.random() < 0.8 else prose(rng, 1) for w in template]
+        rows += [(2 * i, " ".join(words), "", 0), (2 * i + 1, edited(rng, " ".join(words), rng.randint(1, 2)), "", 0)]
+    sizes = []
+    plain = neardup._in_cells
+    monkeypatch.setattr(neardup, "_in_cells", lambda members, *a: (sizes.append(members.groupBy("group").count().agg({"count": "max"}).first()[0]), plain(members, *a))[1])
+    out = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute_force(rows, 3, 85)
+    assert len(sizes) == 2 and (sizes[1] or 0) < (sizes[0] or 0)
+
+
+def test_signatures_of_near_texts_are_near():
+    """The Hamming distance of signatures estimates the similarity: pairs at
+    0.85 are within FAR."""
+    rng = np.random.default_rng(13)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        a, b = (neardup.signature(np.sort(np.concatenate([base[:340], rng.integers(0, 1 << 63, 30).astype(np.uint64)]))) for _ in range(2))
+        assert (a != b).sum() <= neardup.FAR
+
+
 def test_no_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
