@@ -1,7 +1,9 @@
 """Benchmark hits against all windows."""
 
 import random
+import re
 
+import numpy as np
 from quarry.llm import decontamination as dc
 from tests.llm.helpers import prose
 
@@ -9,7 +11,9 @@ DOCS, ITEMS = "doc_id long, text string, spans string", "item_id long, text stri
 
 
 def words(text):
-    return [w for w in (text or "").encode().translate(dc._TABLE).split()]
+    """The contract's words, by its own pattern."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
 
 
 def brute_force(docs, items, window):
@@ -67,6 +71,35 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     check(spark, *tables())
 
 
+def test_items_that_share_a_beginning(spark):
+    """A prompt that all items begin with: its windows are searched once, and
+    every item counts; without ``matches`` no place of an item is listed."""
+    rng = random.Random(9)
+    prompt = prose(rng, 30)
+    items = [(i, f"{prompt} {prose(rng, 5)}") for i in range(200)]
+    docs = [(i, f"{prose(rng, 8)} {prompt} {prose(rng, 8)}") for i in range(10)]
+    test = dc.TestSuffixes([(str(i), t) for i, t in items], 13)
+    assert len(test.low) < 18 + 200 * 10 and len(test.of) == 200 * 23
+    rows = check(spark, docs, items)
+    assert all(len(r["items"]) == 200 for r in rows)
+    out = dc.find_contamination(spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame([(*i, 1) for i in items], ITEMS), matches=False)
+    plain = {r.doc_id: (r.spans, r["items"]) for r in rows}
+    assert all((r.spans, r["items"], r.matches) == (*plain[r.doc_id], []) for r in out.collect())
+
+
+def test_memory_of_a_block():
+    """Bytes held for the windows of a benchmark block: 26 times its text at most."""
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 30_000, 2000)) for _ in range(150)]
+    size = sum(map(len, text))
+    tracemalloc.start()
+    dc.TestSuffixes([(str(i), t) for i, t in enumerate(text)], 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * size
+
+
 def test_empty_tables(spark):
     docs, items = tables()
     check(spark, docs[:5], [])
