@@ -1,13 +1,17 @@
 """Near-duplicate embeddings by quantised tile products.
 
 Equal vectors are first collapsed. The distinct vectors are dealt into blocks
-of bounded size, and a cell compares two blocks: int8 codes are multiplied tile
-by tile, a bound on each vector's quantisation error tells which pairs may
-reach the threshold, and only those that the bounds leave open are computed
-again in double precision. A cell returns, for every vector with links, how
-many there are and one edge to the least vector of its group in the cell; pairs
-are never emitted. Work is the n^2 / 2 of an exact comparison of all rows, in
-cells of equal, bounded memory.
+of bounded size, each around one of at most PIVOTS vectors, and a cell compares
+two blocks: int8 codes are multiplied tile by tile, a bound on each vector's
+quantisation error tells which pairs may reach the threshold, and only those
+that the bounds leave open are computed again in double precision. A cell
+returns, for every vector with links, how many there are and one edge to the
+least vector of its group in the cell; pairs are never emitted.
+
+Two blocks whose pivots are farther apart than both radii and the threshold's
+angle together hold no link: their cell is skipped, exactly. Without such
+clusters the work is the n^2 / 2 of a comparison of all rows, in cells of equal,
+bounded memory.
 """
 
 from __future__ import annotations
@@ -18,38 +22,57 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from quarry.llm.common import materialize, ship_package
+from quarry.llm.common import materialize, quoted, ship_package
 from quarry.llm.components import connected_components, least_of_group
 
-#: Distinct vectors in a block (a cell holds two), rows and columns of a tile,
-#: and pairs computed in double precision at once.
-BLOCK = 8192
+#: Distinct vectors in a block at most (a cell holds two), and blocks that a
+#: small input is dealt into all the same, down to LEAST vectors each.
+BLOCK, BLOCKS, LEAST = 8192, 10, 256
+#: Most vectors that blocks are formed around.
+PIVOTS = 64
+#: Rows and columns of a tile, and pairs computed in double precision at once.
 TILE = 1024
 EXACT_AT_ONCE = 1 << 16
 #: Above the rounding error of a double-precision sum of products of unit vectors.
 ROUNDING = 1e-12
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as the bytes of doubles; NULL if they can link with nothing."""
-    for batch in batches:
-        packed = []
-        for v in batch.column(1).to_pylist():
-            x = np.array([], float) if v is None or None in v else np.array(v, float) + 0.0  # -0.0 is 0.0
-            packed.append(x.tobytes() if x.any() and np.isfinite(x).all() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["vec_id", "vec"])
+def _pack(kind: type):
+    """Vectors as the bytes of their numbers; NULL if they can link with nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()  # without the values of NULL vectors
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            whole = flat.is_valid().to_numpy(zero_copy_only=False)
+            x = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).astype(kind) + kind(0)  # -0.0 is 0.0
+            ends = np.append(0, np.cumsum(size))
+            bad, some = (np.append(0, np.cumsum(c))[ends] for c in (~(whole & np.isfinite(x)), x != 0))
+            fit = (np.diff(bad) == 0) & (np.diff(some) > 0)
+            offsets = (ends * x.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(size), [pa.array(fit).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["vec_id", "vec"])
+
+    return run
+
+
+def _unit(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors, in double precision, of packed ones of either kind."""
+    raw = np.frombuffer(b"".join(vectors), np.float32 if len(vectors[0]) == 4 * dim else float).astype(float).reshape(-1, dim)
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
 class Codes:
     """Unit vectors of one block with int8 codes and error bounds."""
 
     def __init__(self, vectors: list[bytes], dim: int):
-        raw = np.frombuffer(b"".join(vectors), float).reshape(-1, dim)
-        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
-        self.unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+        self.unit = _unit(vectors, dim)
         self.scale = np.abs(self.unit).max(axis=1) / 127
         self.q = np.rint(self.unit / self.scale[:, None]).astype(np.int8)
         coded = self.q * self.scale[:, None]
@@ -112,8 +135,73 @@ def _cell(threshold: float):
     return run
 
 
+def _pivots(alike: DataFrame, many: int) -> dict[int, np.ndarray]:
+    """Unit vectors that blocks are formed around, by dimension: at most
+    ``many`` vectors of the table, chosen by their hash."""
+    by_dim: dict[int, list] = {}
+    for r in alike.select("node", "vec", "dim").orderBy("node").limit(many).collect() if many > 1 else ():
+        by_dim.setdefault(r.dim, []).append(_unit([r.vec], r.dim)[0])
+    return {dim: np.array(v) for dim, v in by_dim.items()}
+
+
+def _around(alike: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Each vector with its nearest pivot (number and vector, none if its
+    dimension has none) and the angle between them, written."""
+    sent = alike.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, angle, centre = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, math.pi), [None] * batch.num_rows
+            dims = batch.column(3).to_numpy()
+            for dim in set(dims.tolist()) & sent.value.keys():
+                at, own = np.flatnonzero(dims == dim), sent.value[dim]
+                for lo in range(0, len(at), TILE):
+                    some = at[lo : lo + TILE]
+                    unit = _unit([batch.column(1)[k].as_py() for k in some.tolist()], dim)
+                    cosine = unit @ own.T
+                    near[some] = cosine.argmax(axis=1)
+                    # of small angles the cosine says little: the chord does
+                    chord = unit - own[near[some]]
+                    angle[some] = 2 * np.arcsin(np.minimum(1.0, np.sqrt(np.einsum("ij,ij->i", chord, chord)) / 2))
+                    for k in some.tolist():
+                        centre[k] = own[near[k]].tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(angle), pa.array(centre, pa.binary())],
+                                             names=[*batch.schema.names, "pivot", "angle", "centre"])
+
+    return materialize(alike.select("node", "vec", "copies", "dim").mapInArrow(
+        run, "node binary, vec binary, copies long, dim int, pivot int, angle double, centre binary"), "around")
+
+
+#: Above the rounding error of an angle.
+_ANGLE = 1e-7
+
+
+def may_link(centres: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
+    """For every two pivots whether vectors within their radii can reach the
+    threshold, by the triangle inequality of angles."""
+    chord = centres[:, None, :] - centres[None, :, :]
+    apart = 2 * np.arcsin(np.minimum(1.0, np.sqrt((chord**2).sum(axis=2)) / 2))
+    return apart <= radius[:, None] + radius[None, :] + math.acos(threshold) + _ANGLE
+
+
+def _layout(threshold: float, block: int):
+    """Blocks of the pivots of one dimension, and those that each must meet."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pivot", ignore_index=True)
+        blocks = np.ceil(rows.n.to_numpy() / block).astype(np.int32)
+        first = np.cumsum(blocks) - blocks
+        if rows.centre.isna().any():  # one part without a pivot
+            meets = np.ones((len(rows), len(rows)), bool)
+        else:
+            meets = may_link(np.array([np.frombuffer(c, float) for c in rows.centre]), rows.radius.to_numpy(), threshold)
+        others = [np.concatenate([np.arange(first[q], first[q] + blocks[q]) for q in np.flatnonzero(m)]).tolist() for m in meets]
+        return pd.DataFrame({"dim": rows["dim"], "pivot": rows["pivot"], "first": first.astype(np.int32), "blocks": blocks, "others": others})
+
+    return run
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
-                           vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+                           vec_col: str = "embedding", block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """Per vector ``vec_id``, ``n_links`` (other rows with cosine at or over
     ``threshold``), ``component_id`` (least vec_id reachable by links) and
     ``kept``.
@@ -122,19 +210,28 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     component, link with nothing and are kept, also where they repeat; vectors
     of different lengths don't link. Equal vectors of several rows link with
     one another and share their links. A NULL vec_id counts as a row but never
-    as a component's least id. No rows give no rows.
+    as a component's least id. No rows give no rows. Other columns do not matter,
+    whatever their name. ``block`` is the size of a block (default: by the
+    number of vectors, at most ``BLOCK``).
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     ship_package(vectors.sparkSession)
-    packed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(_pack, "vec_id long, vec binary") \
-        .withColumn("node", F.unhex(F.md5("vec")))
+    single = isinstance(vectors.schema[vec_col].dataType.elementType, FloatType)
+    width, kind = (4, "array<float>") if single else (8, "array<double>")
+    packed = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.col(quoted(vec_col)).cast(kind).alias("v")) \
+        .mapInArrow(_pack(np.float32 if single else np.float64), "vec_id long, vec binary").withColumn("node", F.unhex(F.md5("vec")))
     alike = materialize(packed.where("vec IS NOT NULL").groupBy("node").agg(
         F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "vectors")
-    blocks = max(1, math.ceil(alike.count() / block))
-    dealt = alike.select("node", "vec", "copies", (F.octet_length("vec") / 8).cast("int").alias("dim"),
-                         F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
+    alike = alike.withColumn("dim", (F.octet_length("vec") / width).cast("int"))
+    n = alike.count()
+    block = block or min(BLOCK, max(LEAST, math.ceil(n / BLOCKS)))
+    near = _around(alike, _pivots(alike, min(pivots, n // (2 * block))))
+    layout = near.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"), F.first("centre").alias("centre")) \
+        .groupBy("dim").applyInPandas(_layout(threshold, block), "dim int, pivot int, first int, blocks int, others array<int>")
+    dealt = near.join(materialize(layout, "layout"), ["dim", "pivot"])
+    dealt = dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = dealt.select("node", "vec", "copies", "dim", "block", F.explode("others").alias("other")) \
         .select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = materialize(cells.groupBy("dim", "i", "j").applyInPandas(_cell(threshold), "node binary, n long, `to` binary"), "links")
     degree = found.groupBy("node").agg(F.sum("n").alias("n"))

@@ -47,6 +47,44 @@ def test_against_all_pairs(spark, block):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in out.collect()) == brute_force(rows)
 
 
+def test_doubles_and_further_columns(spark):
+    rows = [(i, [1.0, i * 0.1 + 1e-9], "x", "y") for i in range(9)] + [(None, [None, 1.0], "x", "y")]
+    out = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, `a.b` array<double>, block string, vec string"), 0.99, vec_col="a.b").collect()
+    links = [sum(i != j and (1 + i * j * 0.01) / ((1 + i * i * 0.01) * (1 + j * j * 0.01)) ** 0.5 >= 0.99 for j in range(9)) for i in range(9)]
+    assert {r.vec_id: r.n_links for r in out} == {**dict(enumerate(links)), None: 0}
+
+
+def clusters(rng, n):
+    return [(i, (np.eye(20)[i % 8] * 6 + rng.normal(0, 0.4, 20)).tolist(), "x") for i in range(n)]
+
+
+def test_cells_without_links_are_skipped(spark):
+    """Clusters at right angles: few cells are left, and no link is lost."""
+    rng = np.random.default_rng(3)
+    rows = clusters(rng, 400)
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = embeddings.near_duplicate_vectors(df, 0.9, block=12)
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in out.collect()) == brute_force(rows)
+    alike = spark.createDataFrame([(bytes([i % 256, i // 256]), np.array(r[1], np.float32).tobytes(), 1, 20) for i, r in enumerate(rows)],
+                                  "node binary, vec binary, copies long, dim int")
+    near = embeddings._around(alike, embeddings._pivots(alike, 16)).toPandas()
+    layout = embeddings._layout(0.9, 12)(near.groupby("pivot").agg(dim=("dim", "first"), n=("node", "size"), radius=("angle", "max"), centre=("centre", "first")).reset_index())
+    assert len(layout) > 8 and layout.others.map(len).max() < 0.6 * layout.blocks.sum()
+
+
+def test_a_bound_of_angles_excludes_no_link():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 5))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    centres = x[:25]
+    cosine = x @ centres.T
+    near = cosine.argmax(axis=1)
+    radius = np.array([np.arccos(np.minimum(1, cosine[near == p, p])).max() for p in range(25)])
+    for threshold in (0.8, 0.9, 0.99):
+        meets = embeddings.may_link(centres, radius, threshold)
+        assert all(meets[near[i], near[j]] for i, j in zip(*np.nonzero(x @ x.T >= threshold))) and not meets.all()
+
+
 def test_bounds_hold():
     """No pair at the threshold escapes its bound, whatever the tiles."""
     rng = np.random.default_rng(9)
