@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_package
+from quarry.llm.common import quoted, ship_package
 
 #: Prime number of slots; at least 100 per shard keep the shards within about 1 %.
 SLOTS = 65_537
@@ -61,20 +61,22 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slots: int
 
     Rows of equal keys go to one shard. ``spread`` names columns hashed in
     place of the keys for rows whose keys are all NULL, so that a large NULL
-    group does not fall into one shard. Repeated rows keep one row each. Key
-    columns named ``slot`` or ``shard`` are not allowed.
+    group does not fall into one shard. Repeated rows keep one row each, no
+    rows give none; texts of any length are hashed whole. A key column named
+    ``slot`` or ``shard`` comes back as ``key_slot`` or ``key_shard``; other
+    columns are dropped, whatever their name.
     """
     spark = df.sparkSession
     ship_package(spark)
-    if {"slot", "shard"} & {k.lower() for k in keys}:
-        raise ValueError("a key column can't be named slot or shard")
     owner = lookup_table(shards, slots, weights)
     own = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "slot int, shard string")
-    hashed = F.xxhash64(*[F.col(k) for k in keys])
+    cols = [F.col(quoted(k)) for k in keys]
+    hashed = F.xxhash64(*cols)
     if spread:
-        hashed = F.when(F.coalesce(*[F.col(k).cast("string") for k in keys]).isNull(), F.xxhash64(*[F.col(c) for c in spread])).otherwise(hashed)
-    slot = F.pmod(hashed, F.lit(slots)).cast("int")
-    return df.select(*keys, slot.alias("slot")).join(F.broadcast(own), "slot").select(*keys, "slot", "shard")
+        hashed = F.when(F.coalesce(*[c.cast("string") for c in cols]).isNull(), F.xxhash64(*[F.col(quoted(c)) for c in spread])).otherwise(hashed)
+    placed = df.select(F.struct(*cols).alias("key"), F.pmod(hashed, F.lit(slots)).cast("int").alias("slot")).join(F.broadcast(own), "slot")
+    named = [F.col(f"key.{quoted(k)}").alias(f"key_{k}" if k.lower() in ("slot", "shard") else k) for k in keys]
+    return placed.select(*named, "slot", "shard")
 
 
 def shard_sizes(placed: DataFrame) -> DataFrame:
