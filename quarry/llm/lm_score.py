@@ -43,8 +43,10 @@ ROUNDS, STEP, RATE, BOUND = 2, 256, 0.1, 3.0
 SLICE_BYTES, COUNT_AT_ONCE, SCORE_AT_ONCE = 8 << 20, 4_000_000, 16_384
 #: Most words whose counts are broadcast, without effect on results.
 COMMON = 1 << 18
-#: Network values in one row on their way to the average.
-CHUNK = 512
+#: Network values in one row on their way to the average, and most rows that
+#: are summed at once.
+CHUNK, FAN = 512, 1024
+COPY = "chunk int, part int, seen long, total array<double>"
 
 CLASSES = HEAD + HASHED
 EDGE = CLASSES  # what stands before and after a text
@@ -222,10 +224,21 @@ def _train(net, turn: int, rounds: int):
     return run
 
 
-def _average(rows: pd.DataFrame) -> pd.DataFrame:
-    """Weighted mean of one chunk over all tasks, in the order of the tasks."""
+def _sum(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sum of one chunk over some tasks, in the order of the tasks."""
     rows = rows.sort_values("part")
-    return pd.DataFrame({"chunk": rows.chunk.iloc[:1], "mean": [sum(np.asarray(x) for x in rows.total) / rows.seen.sum()]})
+    return pd.DataFrame({"chunk": rows.chunk.iloc[:1], "part": rows.part.iloc[:1], "seen": [rows.seen.sum()], "total": [sum(np.asarray(x) for x in rows.total)]})
+
+
+def _average(copies: DataFrame, tasks: int) -> DataFrame:
+    """Weighted mean of each chunk over all tasks, as a tree: no group has more
+    than ``FAN`` rows, however many tasks there are."""
+    while tasks > FAN:
+        copies = copies.withColumn("some", F.floor(F.col("part") / FAN).cast("int")).groupBy("chunk", "some").applyInPandas(_sum, COPY) \
+            .withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+        tasks = -(-tasks // FAN)
+    whole = copies.groupBy("chunk").applyInPandas(_sum, COPY)
+    return whole.select("chunk", F.transform("total", lambda x: x / F.col("seen")).alias("mean"))
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> Network:
@@ -242,8 +255,8 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col:
     head = sorted(((r.k, r.n) for r in rows if r.kind == 0), key=lambda x: (-x[1], x[0]))
     net = start(head, {k: 0 for k in range(HASHED)} | {r.k: r.n for r in rows if r.kind == 1})
     for turn in range(rounds):
-        copies = src.mapInArrow(_train(sc.broadcast(net), turn, rounds), "chunk int, part int, seen long, total array<double>")
-        means = copies.groupBy("chunk").applyInPandas(_average, "chunk int, mean array<double>").collect()
+        copies = src.mapInArrow(_train(sc.broadcast(net), turn, rounds), COPY)
+        means = _average(copies, src.rdd.getNumPartitions()).collect()
         if means:
             net = net.with_flat(np.concatenate([np.array(r["mean"]) for r in sorted(means, key=lambda r: r.chunk)]))
     return net

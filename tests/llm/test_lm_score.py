@@ -118,3 +118,11 @@ def test_every_word_is_a_target_once(spark):
         out = taken.mapInArrow(lm._train(spark.sparkContext.broadcast(net), turn, lm.ROUNDS), "chunk int, part int, seen long, total array<double>")
         seen.append(sum(r.seen for r in out.where("chunk = 0").collect()))
     assert sum(seen) == sum(1 + i % 7 for i in range(60)) and all(seen)
+
+
+def test_average_as_a_tree(spark, monkeypatch):
+    """Sums of sums, whatever the number of tasks."""
+    monkeypatch.setattr(lm, "FAN", 3)
+    rows = [(c, part, part + 1, [float(part * (c + 1)), 1.0]) for c in range(2) for part in range(20)]
+    got = {r.chunk: r["mean"] for r in lm._average(spark.createDataFrame(rows, lm.COPY), 20).collect()}
+    assert got == {c: [sum(p * (c + 1) for p in range(20)) / 210, 20 / 210] for c in range(2)}
