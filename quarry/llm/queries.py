@@ -39,7 +39,7 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document, 13-word windows."""
-    out = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), matches=False)
     hit = decontamination.n_hit(F.col("spans"))
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                       sha256_text(F.array_join("items", ",")).alias("items_sha256"),
