@@ -65,7 +65,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    out = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS, keep=_others(docs))
+    out = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS, keep=_others(docs), matches=False)
     clean = ~decontamination.contaminated(F.col("n_words"), decontamination.n_hit(F.col("spans")))
     return out.where(clean).select(*[(F.col(c) if c in ("doc_id", "text") else _kept(c)).alias(c) for c in docs.columns])
 
