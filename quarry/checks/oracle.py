@@ -274,8 +274,10 @@ SELECT response_id, CASE WHEN length(shown) > 0 THEN shown ELSE {S.lit(RS.WAITIN
 # ------------------------------------------- context, prompts, jobs (4) -----
 
 
-def _hits(qsrc: str, k: int = K.TOP_K) -> str:
-    """CTEs ivec, qsrc, qvec, hits (query_id, file, chunk_index, distance, rank) + rhits with text/score."""
+def _hits(qsrc: str, k: int = K.TOP_K, same_root: bool = False) -> str:
+    """CTEs ivec, qsrc, qvec, hits (query_id, file, chunk_index, distance, rank) + rhits with text/score.
+    ``same_root``: a query's ``root`` is the first folder of every file that answers it."""
+    pairs = "qvec q JOIN qsrc USING (query_id) JOIN ivec i ON split_part(i.file, '/', 1) = qsrc.root" if same_root else "qvec q, ivec i"
     return f""",
 ivec AS {S.dense_embedding('idx', 'file, chunk_index')},
 qsrc AS ({qsrc}),
@@ -284,8 +286,8 @@ hits AS (
   SELECT * FROM (
     SELECT query_id, file, chunk_index, distance,
            row_number() OVER (PARTITION BY query_id ORDER BY distance, file, chunk_index) AS rank
-    FROM (SELECT q.query_id, i.file, i.chunk_index, {S.sql_distance('q.embedding', 'i.embedding')} AS distance
-          FROM qvec q, ivec i))
+    FROM (SELECT query_id, i.file, i.chunk_index, {S.sql_distance('q.embedding', 'i.embedding')} AS distance
+          FROM {pairs}))
   WHERE rank <= {k}),
 rhits AS (SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.file, h.chunk_index, i.text, h.distance,
                  printf('%.4f', h.distance) AS score FROM hits h JOIN idx i USING (file, chunk_index))
@@ -326,28 +328,36 @@ _DEDUP = f"""dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sub
 ORACLE["dedup_hits"] = _PH + "," + _DEDUP + " SELECT query_id, rank, file, chunk_index FROM dd"
 
 _BUDGET = CX.budget_chars()
-_MAP = _with(S.FILES_BASE, _PAT_CTE, _LANG) + f"""
-, mf AS (SELECT source, path, content, substring(path, length(source) + 2) AS rel_path FROM files_base f
+def _map_ctes(files: str = "files_base", cond: str = "true", p: str = "") -> str:
+    """C9's map step over the roots of ``files`` that ``cond`` admits: CTEs mf,
+    mp, ms and the whole tree (tr) and summaries (sm) of each root, names with
+    the prefix ``p``."""
+    mf = f"(SELECT * FROM {p}mf WHERE NOT ({S.is_blank('content')}))"
+    return f"""
+, {p}mf AS (SELECT source, path, content, substring(path, length(source) + 2) AS rel_path FROM {files} f
          WHERE NOT {S.has_part_in('path', K.CODE_IGNORE_DIRS)}
-           AND lower({S.suffix('path')}) IN (SELECT ext FROM lm) AND {_NOT_IGNORED}),
-mw AS (SELECT source, rel_path, "window", n_windows, part AS content FROM
-       {_windows("(SELECT * FROM mf WHERE NOT (" + S.is_blank('content') + "))", 'content', 'source, rel_path', K.MAX_FILE_CHARS)}),
-mp AS (SELECT source, rel_path, "window", n_windows, {PR.system_sql('summary')} AS system, {PR.user_sql('summary')} AS user FROM mw),
-ma_raw AS (SELECT source, rel_path, "window", n_windows, {S.scripted('"user"')} AS resp FROM mp),
-ma AS (SELECT * REPLACE ({S.final_of('resp')} AS resp) FROM ma_raw),
-{_merged('mr', 'ma', 'source, rel_path')},
-ms AS (SELECT source, rel_path, resp AS summary FROM mr),
-tr AS (SELECT source, count(*) AS tree_files, CAST(sum(length(rel_path)) + count(*) - 1 AS BIGINT) AS tree_chars,
+           AND lower({S.suffix('path')}) IN (SELECT ext FROM lm) AND {_NOT_IGNORED} AND {cond}),
+{p}mw AS (SELECT source, rel_path, "window", n_windows, part AS content FROM
+       {_windows(mf, 'content', 'source, rel_path', K.MAX_FILE_CHARS)}),
+{p}mp AS (SELECT source, rel_path, "window", n_windows, {PR.system_sql('summary')} AS system, {PR.user_sql('summary')} AS user FROM {p}mw),
+{p}ma_raw AS (SELECT source, rel_path, "window", n_windows, {S.scripted('"user"')} AS resp FROM {p}mp),
+{p}ma AS (SELECT * REPLACE ({S.final_of('resp')} AS resp) FROM {p}ma_raw),
+{_merged(p + 'mr', p + 'ma', 'source, rel_path')},
+{p}ms AS (SELECT source, rel_path, resp AS summary FROM {p}mr),
+{p}tr AS (SELECT source, count(*) AS tree_files, CAST(sum(length(rel_path)) + count(*) - 1 AS BIGINT) AS tree_chars,
               string_agg(rel_path, chr(10) ORDER BY string_split(rel_path, '/')) AS tree
-       FROM mf GROUP BY source),
-sm AS (SELECT source, count(*) AS n_summaries, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
+       FROM {p}mf GROUP BY source),
+{p}sm AS (SELECT source, count(*) AS n_summaries, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
               string_agg(piece, chr(10) || chr(10) ORDER BY string_split(rel_path, '/')) AS summaries
        FROM (SELECT source, rel_path, '### ' || rel_path || chr(10) ||
                     CASE WHEN summary IS NOT NULL AND length(summary) > 0 THEN summary ELSE {S.lit(CX.FAILED_SUMMARY)} END AS piece
-             FROM ms) GROUP BY source)
+             FROM {p}ms) GROUP BY source)
 """
 
 
+_MAP = _with(S.FILES_BASE, _PAT_CTE, _LANG) + _map_ctes()
+
+
 def _budget_sql(tr: str, sm: str) -> str:
     """CTE bp: T4's prompts, from the whole tree and summaries of each root."""
     mark = S.lit(K.TRUNCATED_MARKER)
@@ -383,16 +393,33 @@ ORACLE["prompt_architect"] = _BP + f"""
 SELECT source, "window", {PR.system_sql('architect')} AS system, {PR.user_sql('architect')} AS user FROM bp"""
 ORACLE["analyze_map_reduce"] = _BP + "," + _REPORT
 
-ORACLE["analyze_sampled"] = _PH + "," + _DEDUP + f"""
-, sm AS (SELECT 'index' AS source, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
-                string_agg(piece, chr(10) || chr(10) ORDER BY query_id, rank) AS summaries
-         FROM (SELECT query_id, rank, '### ' || file || chr(10) || text AS piece FROM dd)),
-tr AS (SELECT 'index' AS source, CAST(sum(length(file)) + count(*) - 1 AS BIGINT) AS tree_chars,
+_ROOTS_PROBES = "SELECT root || '#' || query_id AS query_id, query_id AS probe, root, text FROM (" + _PROBE_Q + \
+    ") p, (SELECT DISTINCT split_part(file, '/', 1) AS root FROM idx) r"
+_IN_ROOT = "substring(file, length(split_part(file, '/', 1)) + 2)"
+_SAMPLED = _with(S.FILES_BASE, _INDEX_CHUNKS) + _hits(_ROOTS_PROBES, same_root=True) + f"""
+, dd AS (SELECT * FROM (SELECT h.*, qsrc.probe, qsrc.root, row_number() OVER (PARTITION BY root, substring(h.text, 1, {K.DEDUP_PREFIX_CHARS})
+                                      ORDER BY probe, rank) AS r FROM rhits h JOIN qsrc USING (query_id)) WHERE r = 1),
+sm AS (SELECT root AS source, CAST(sum(length(piece)) + 2 * (count(*) - 1) AS BIGINT) AS summaries_chars,
+                string_agg(piece, chr(10) || chr(10) ORDER BY probe, rank) AS summaries
+         FROM (SELECT root, probe, rank, '### ' || {_IN_ROOT} || chr(10) || text AS piece FROM dd) GROUP BY root),
+tr AS (SELECT source, CAST(sum(length(file)) + count(*) - 1 AS BIGINT) AS tree_chars,
               string_agg(file, chr(10) ORDER BY string_split(file, '/')) AS tree
-       FROM (SELECT DISTINCT file FROM idx)),
+       FROM (SELECT DISTINCT split_part(file, '/', 1) AS source, {_IN_ROOT} AS file FROM idx) GROUP BY source)"""
+ORACLE["analyze_sampled"] = _SAMPLED + f""",
 {_budget_sql('tr', 'sm')},
 {_REPORT}"""
 
+# C9 for the roots of the later snapshot that the index of the earlier one lacks, C10 for the others
+_BOTH = "source, {0}_chars, {0}"
+ORACLE["analyze"] = _SAMPLED.replace(f"{S.FILES_BASE},", f"{S.FILES_BASE},\n{S.FILES_HEAD},\n{_PAT_CTE},\n{_LANG},", 1) \
+    + _map_ctes("files_head", "source NOT IN (SELECT source FROM tr)", "f") + f"""
+, hr AS (SELECT DISTINCT source FROM files_head f WHERE NOT {S.has_part_in('path', K.CODE_IGNORE_DIRS)}
+  AND lower({S.suffix('path')}) IN (SELECT ext FROM lm) AND {_NOT_IGNORED}),
+tr2 AS (SELECT {_BOTH.format('tree')} FROM tr WHERE source IN (SELECT source FROM hr) UNION ALL SELECT {_BOTH.format('tree')} FROM ftr),
+sm2 AS (SELECT {_BOTH.format('summaries')} FROM sm UNION ALL SELECT {_BOTH.format('summaries')} FROM fsm),
+{_budget_sql('tr2', 'sm2')},
+{_REPORT}"""
+
 _ASK = _RH + f"""
 , ctx AS (SELECT query_id, string_agg({_BLK} || ', score: ' || score || ') ---' || chr(10) || text,
                                       chr(10) || chr(10) ORDER BY rank) AS context FROM rhits GROUP BY query_id),
@@ -400,9 +427,12 @@ ap AS (SELECT query_id, {PR.system_sql('ask')} AS system, {PR.user_sql('ask')} A
        FROM (SELECT b.item_id AS query_id, b.text AS question, c.context FROM benchmark b JOIN ctx c ON c.query_id = b.item_id))
 """
 ORACLE["prompt_ask"] = _ASK + "SELECT query_id, system, user FROM ap"
-ORACLE["ask"] = _ASK + f""", aa AS (SELECT query_id, {S.scripted('"user"')} AS resp FROM ap)
-SELECT query_id, {S.py_strip(S.final_of('resp'))} AS answer,
-       length({S.final_of('resp')}) = 0 AND length({S.thinking_of('resp')}) = 0 AS failed FROM aa"""
+_ASK_TOKENS = _ASK + f""", aa AS (SELECT query_id, {S.scripted('"user"')} AS resp FROM ap),
+pieces AS (SELECT query_id AS response_id, seq, substring(resp, seq * 20 + 1, 20) AS chunk
+       FROM (SELECT query_id, resp, unnest(range(CAST(ceil(length(coalesce(resp, '')) / 20) AS BIGINT))) AS seq FROM aa))"""
+ORACLE["ask"] = _ASK_TOKENS + f"""
+SELECT query_id, {S.py_strip("coalesce(final, '')")} AS answer, coalesce(length(final), 0) = 0 AND coalesce(length(thinking), 0) = 0 AS failed
+FROM ap LEFT JOIN {S.split_reasoning('pieces')} ON response_id = query_id"""
 
 _SC = """sc AS (SELECT coalesce(b.path, h.path) AS path,
            CASE WHEN b.path IS NULL THEN 'added' WHEN h.path IS NULL THEN 'removed'
@@ -439,22 +469,28 @@ def _norm_sql(c: str) -> str:
 
 
 _RE = S.lit(PTC.BLOCK_RE)
-_PATCH_BASE = f"""WITH RECURSIVE {S.PATCH_RESPONSES},
+
+
+def _patch_base(answers: str, turn: str, of: str) -> str:
+    """CTEs up to res, each patch's result. The patches of one ``turn`` (columns)
+    are applied one after the other; ``of`` names the answer of a turn, if it has one."""
+    return f"""WITH RECURSIVE {S.PATCH_RESPONSES},
+{S.SECOND_ANSWERS},
 {S.PATCH_FILES},
 pl AS (SELECT response_id, regexp_extract_all(text, {_RE}, 1) AS fs, regexp_extract_all(text, {_RE}, 2) AS ss,
-              regexp_extract_all(text, {_RE}, 3) AS rs FROM patch_responses),
+              regexp_extract_all(text, {_RE}, 3) AS rs FROM ({answers})),
 pp AS (SELECT response_id, CAST(i AS INTEGER) AS patch_no, {S.py_strip('fs[i + 1]')} AS file, ss[i + 1] AS search,
               rs[i + 1] AS replace FROM (SELECT *, unnest(range(len(fs))) AS i FROM pl)),
 tg AS (SELECT pp.*, f.content, f.content IS NOT NULL AS found,
               CASE WHEN f.content IS NULL THEN {S.lit(PTC.NOT_FOUND_FILE)} || pp.file END AS error
        FROM pp LEFT JOIN patch_files f ON f.path = pp.file),
-sq AS (SELECT *, row_number() OVER (PARTITION BY response_id, file ORDER BY patch_no) AS k FROM tg WHERE found),
+sq AS (SELECT *, {of} AS answer, row_number() OVER (PARTITION BY {turn} ORDER BY response_id, patch_no) AS k FROM tg WHERE found),
 fold AS (
-  SELECT response_id, file, CAST(0 AS BIGINT) AS k, content, CAST(NULL AS INTEGER) AS patch_no,
+  SELECT answer, answer AS response_id, file, CAST(0 AS BIGINT) AS k, content, CAST(NULL AS INTEGER) AS patch_no,
          CAST(NULL AS BOOLEAN) AS applied, CAST(NULL AS VARCHAR) AS error
-  FROM (SELECT DISTINCT response_id, file, content FROM sq)
+  FROM (SELECT DISTINCT answer, file, content FROM sq)
   UNION ALL
-  SELECT s.response_id, s.file, s.k,
+  SELECT s.answer, s.response_id, s.file, s.k,
     CASE WHEN strpos(f.content, s.search) > 0
            THEN substring(f.content, 1, strpos(f.content, s.search) - 1) || s.replace
                 || substring(f.content, strpos(f.content, s.search) + length(s.search))
@@ -467,11 +503,13 @@ fold AS (
     strpos(f.content, s.search) > 0 OR strpos({_norm_sql('f.content')}, {_norm_sql('s.search')}) > 0,
     CASE WHEN strpos(f.content, s.search) > 0 OR strpos({_norm_sql('f.content')}, {_norm_sql('s.search')}) > 0
          THEN NULL ELSE {S.lit(PTC.NOT_FOUND_TEXT)} || s.file END
-  FROM fold f JOIN sq s ON s.response_id = f.response_id AND s.file = f.file AND s.k = f.k + 1),
+  FROM fold f JOIN sq s ON s.answer = f.answer AND s.file = f.file AND s.k = f.k + 1),
 res AS (SELECT response_id, patch_no, applied, error FROM fold WHERE patch_no IS NOT NULL
         UNION ALL SELECT response_id, patch_no, false, error FROM tg WHERE NOT found)
 """
 
+
+_PATCH_BASE = _patch_base("SELECT * FROM patch_responses", "response_id, file", "response_id")
 ORACLE["parse_patches"] = _PATCH_BASE + "SELECT response_id, patch_no, file, search, replace FROM pp"
 ORACLE["preview_patch"] = _PATCH_BASE + f"""
 SELECT response_id, patch_no, file, substring(search, 1, {K.PREVIEW_CHARS}) AS search_preview,
@@ -480,9 +518,15 @@ ORACLE["patch_targets"] = _PATCH_BASE + "SELECT response_id, patch_no, file, fou
 ORACLE["apply_patches"] = _PATCH_BASE + "SELECT * FROM res"
 ORACLE["patch_summary"] = _PATCH_BASE + """
 SELECT response_id, count(*) AS total, count(*) FILTER (WHERE applied) AS applied FROM res GROUP BY response_id"""
-ORACLE["write_patched"] = _PATCH_BASE + """
-SELECT response_id, file, content FROM (
-  SELECT *, row_number() OVER (PARTITION BY response_id, file ORDER BY k DESC) AS r FROM fold) WHERE r = 1"""
+# the blocks of both answers to a file, one after the other
+_SNAPSHOT = _patch_base("SELECT * FROM patch_responses UNION ALL SELECT * FROM second_answers", "file", "CAST(0 AS BIGINT)")
+ORACLE["write_patched"] = _SNAPSHOT + """, n AS (SELECT file, arg_max(content, k) AS new, count(*) FILTER (applied) AS a, count(*) FILTER (NOT applied) AS f FROM fold GROUP BY file)
+SELECT path, coalesce(new, content) AS content, coalesce(a, 0) AS n_applied, coalesce(f, 0) AS n_failed
+FROM patch_files LEFT JOIN n ON n.file = path"""
+ORACLE["patch_conflicts"] = _SNAPSHOT + """
+SELECT r.response_id, r.patch_no, pp.file, r.applied, r.error,
+       coalesce(NOT r.applied AND strpos(p.content, pp.search) > 0, false) AS conflict
+FROM res r JOIN pp ON pp.response_id = r.response_id AND pp.patch_no = r.patch_no LEFT JOIN patch_files p ON p.path = pp.file"""
 
 
 # ------------------------------------------------------------ jobs (7) -----
@@ -510,14 +554,14 @@ _WKEY = "source || '#' || \"window\""
 
 
 def _ctx_from(qsrc: str) -> str:
-    return _hits(qsrc) + f""", ctx AS (SELECT query_id, string_agg({_BLK} || ') ---' || chr(10) || text,
+    return _hits(qsrc, same_root=True) + f""", ctx AS (SELECT query_id, string_agg({_BLK} || ') ---' || chr(10) || text,
                                          chr(10) || chr(10) ORDER BY rank) AS context FROM rhits GROUP BY query_id)
 """
 
 
 _REVIEW = (_CS
            + f", {_INDEX_CHUNKS}"
-           + _ctx_from(f"SELECT {_WKEY} AS query_id, {S.lit(K.REVIEW_QUERY_PREFIX)} || substring(diff, 1, {K.QUERY_PREFIX_CHARS}) AS text FROM css")
+           + _ctx_from(f"SELECT {_WKEY} AS query_id, {S.lit(K.REVIEW_QUERY_PREFIX)} || substring(diff, 1, {K.QUERY_PREFIX_CHARS}) AS text, source AS root FROM css")
            + f""", rp AS (SELECT source, "window", n_windows, fix, {PR.system_sql('review')} AS system, {PR.user_sql('review')} AS user
   FROM (SELECT c.*, x.context, length(c.source) % 2 = 0 AS fix FROM css c LEFT JOIN ctx x ON x.query_id = {_WKEY.replace('source', 'c.source')}))
 """)
@@ -540,7 +584,7 @@ _UNSUPPRESSED = ("array_to_string(list_filter(string_split(content, chr(10)), "
 _AUQ = (f"{S.lit(K.AUDIT_QUERY_PREFIX)} || "
         + S.py_strip(f"replace(substring(code, 1, {K.QUERY_PREFIX_CHARS}), chr(10), ' ')"))
 _AUDIT = (_with(S.FILES_BASE, _INDEX_CHUNKS, _corpus_windows(_UNSUPPRESSED))
-          + _ctx_from(f"SELECT {_WKEY} AS query_id, {_AUQ} AS text FROM pay")
+          + _ctx_from(f"SELECT {_WKEY} AS query_id, {_AUQ} AS text, source AS root FROM pay")
           + f""", ap AS (SELECT source, "window", fix, {PR.system_sql('audit')} AS system, {PR.user_sql('audit')} AS user
   FROM (SELECT p.*, x.context, length(p.source) % 2 = 0 AS fix FROM pay p LEFT JOIN ctx x ON x.query_id = {_WKEY.replace('source', 'p.source')}))
 """)
@@ -591,7 +635,7 @@ tp AS (SELECT m.path, regexp_extract({_TM}, '^(.*/)[^/]*$', 1) ||
 te0 AS (SELECT tp.*, e.content AS existing, e.content IS NOT NULL AS is_update, h.content AS code,
               CASE WHEN e.content IS NOT NULL THEN 'update' ELSE 'new' END AS mode
        FROM tp LEFT JOIN files_head e ON e.path = tp.test_path JOIN files_head h ON h.path = tp.path)
-{_ctx_from(f"SELECT path AS query_id, {S.lit(K.TESTS_QUERY_PREFIX)} || {S.name('path')} AS text FROM te0")},
+{_ctx_from(f"SELECT path AS query_id, {S.lit(K.TESTS_QUERY_PREFIX)} || {S.name('path')} AS text, split_part(path, '/', 1) AS root FROM te0")},
 te AS (SELECT te0.*, ctx.context FROM te0 LEFT JOIN ctx ON ctx.query_id = te0.path),
 tpr AS (SELECT path, test_path, is_update, {PR.system_sql('test')} AS system, {PR.user_sql('test')} AS user FROM te),
 tans_raw AS (SELECT path, test_path, is_update, {S.scripted('"user"')} AS resp FROM tpr),
@@ -622,12 +666,19 @@ LEFT JOIN rt ON rt.purpose = d.purpose"""
 
 
 # ------------------------------------------------------- streaming (X) -----
-ORACLE["split_reasoning_stream"] = _with(S.TOKENS) + f"""
+
+
+def _reasoning_rows(src: str) -> str:
+    return f"""
 SELECT response_id, seq, think_piece AS thinking_delta, final_piece AS final_delta,
   CAST(sum(length(think_piece)) OVER w AS BIGINT) AS thinking_len,
   CAST(sum(length(final_piece)) OVER w AS BIGINT) AS final_len, is_thinking
-FROM {S.reasoning_pieces()}
+FROM {S.reasoning_pieces(src)}
 WINDOW w AS (PARTITION BY response_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+ORACLE["split_reasoning_stream"] = _with(S.TOKENS) + _reasoning_rows("tokens")
+ORACLE["generate_stream"] = _ASK_TOKENS + _reasoning_rows("pieces")
 ORACLE["response_stream"] = ORACLE["parse_response_lines"]
 ORACLE["update_index_stream"] = ORACLE["load_index"]
 

@@ -105,6 +105,14 @@ PATCH_RESPONSES = f"""patch_responses AS (
     || {lit(V.SECOND_REPLACEMENT)} || chr(10) || '>>>>' || chr(10) AS text
   FROM documents)"""
 
+SECOND_ANSWERS = f"""second_answers AS (
+  SELECT doc_id + {V.SECOND_ANSWERS_FROM} AS response_id,
+    '<<<< SEARCH file:' || {_TARGET} || chr(10) || 'patched_twice = True' || chr(10) || '==== REPLACE' || chr(10)
+    || {lit(V.THIRD_REPLACEMENT)} || chr(10) || '>>>>' || chr(10)
+    || '<<<< SEARCH file:' || {_TARGET} || chr(10) || substring(text, 1, 40) || chr(10) || '==== REPLACE' || chr(10)
+    || {lit(V.FIRST_REPLACEMENT)} || chr(10) || '>>>>' || chr(10) AS text
+  FROM documents)"""
+
 PATCH_FILES = """patch_files AS (
   SELECT 'src/f' || CAST(doc_id AS VARCHAR) || '.py' AS path, text AS content FROM documents)"""
 

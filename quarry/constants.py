@@ -48,10 +48,11 @@ GENERIC_LANGUAGE = "Generic"
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 
-# FIXED VALUES: payload limits and the text appended when a payload is cut.
+# FIXED VALUES: payload limits and the marker of a cut file. (The notice of a
+# cut payload is free text.)
 MAX_PAYLOAD_CHARS = 15000
 PAYLOAD_TRUNCATION_NOTICE = (
-    "\n\n... [Diff truncated for length. Use a smaller diff or increase MAX_DIFF_LENGTH.]"
+    "\n\n[cut here: the rest of the change set does not fit this prompt]"
 )
 MAX_FILE_CHARS = 30000
 TRUNCATED_MARKER = "\n...[truncated]"

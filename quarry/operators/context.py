@@ -9,6 +9,7 @@ from quarry import constants as K
 from quarry.functions import paths as P
 from quarry.functions import text as TX
 from quarry.operators.ordering import ordered_windows
+from quarry.sinks.tables import write_snapshot
 
 FAILED_SUMMARY = K.FAILED_SUMMARY
 
@@ -49,11 +50,11 @@ def probe_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(K.PROBES)], "query_id int, text string")
 
 
-def dedup_hits(hits: DataFrame) -> DataFrame:
+def dedup_hits(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Across probes in probe order then rank, the first hit per first 100
-    characters of text. At most probes x k rows."""
+    characters of text (and per ``by``). At most probes x k rows each."""
     key = F.substring("text", 1, K.DEDUP_PREFIX_CHARS)
-    w = Window.partitionBy(key).orderBy("query_id", "rank")
+    w = Window.partitionBy(*by or [], key).orderBy("query_id", "rank")
     return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -112,16 +113,18 @@ def budget_prompt(files: DataFrame, summaries: DataFrame, root_col: str = "sourc
         .join(_joined_chars(summaries, root_col, _summary_text(label_col or rel_col), "\n\n", "summaries_chars"), root_col)
     cut = F.col("tree_chars") + F.col("summaries_chars") > budget
     of_tree = F.least(F.col("tree_chars"), F.lit(budget // 4))
-    sizes = sizes.select(root_col, cut.alias("cut"),
+    sizes = sizes.select(root_col, "tree_chars", "summaries_chars", cut.alias("cut"),
                          F.greatest(F.when(cut, of_tree).otherwise(F.col("tree_chars")), F.lit(1)).alias("_t"),
                          F.greatest(F.when(cut, budget - of_tree).otherwise(F.col("summaries_chars")), F.lit(1)).alias("_s"))
+    # the number of prompts follows from the sizes, so no window looks at texts
+    n = F.greatest(F.ceil(F.col("tree_chars") / F.col("_t")), F.ceil(F.col("summaries_chars") / F.col("_s")))
+    sizes = write_snapshot(sizes.withColumn("n_windows", n), "budget")
     tree = file_tree(files, root_col, rel_col, sizes.select(root_col, F.col("_t").alias("limit"))) \
         .select(root_col, "window", F.col("n_windows").alias("_nt"), "tree")
     summ = summaries_concat(summaries, root_col, rel_col, sizes.select(root_col, F.col("_s").alias("limit")), label_col) \
         .select(root_col, "window", F.col("n_windows").alias("_ns"), "summaries")
-    both = tree.join(summ, [root_col, "window"], "full_outer").join(sizes.select(root_col, "cut"), root_col)
-    n = F.max(F.greatest(F.coalesce("_nt", F.lit(0)), F.coalesce("_ns", F.lit(0)))).over(Window.partitionBy(root_col))
+    both = tree.join(summ, [root_col, "window"], "full_outer").join(sizes.select(root_col, "cut", "n_windows"), root_col)
     marked = lambda text, count: F.when(F.col("window") < F.col(count) - 1, F.concat(F.col(text), F.lit(K.TRUNCATED_MARKER))) \
         .otherwise(F.coalesce(F.col(text), F.lit("")))
-    return both.select(root_col, "window", n.alias("n_windows"), marked("tree", "_nt").alias("tree"),
+    return both.select(root_col, "window", "n_windows", marked("tree", "_nt").alias("tree"),
                        marked("summaries", "_ns").alias("summaries"), "cut")

@@ -3,11 +3,11 @@
 Squared L2 distance of every query to every corpus vector, lower is better,
 ties broken by the corpus key. Plan:
 
-1. The query side is broadcast as float32 in jobs of at most
-   ``BROADCAST_BYTES`` (checked: a bounded ``limit`` collect, or a count and a
-   hash split when larger), so one corpus scan serves ~16k queries of width
-   256. The corpus is never broadcast or collected. Inside a task the queries
-   are screened ``QUERY_BLOCK`` at a time.
+1. A query side of up to ``MOST_QUERIES`` rows and ``BROADCAST_BYTES`` (checked
+   by a bounded ``limit`` collect) is broadcast as float32, so the corpus is
+   scanned once and not shuffled. A larger one goes to ``knn_join``, where
+   neither side passes the driver. The corpus is never broadcast or collected.
+   Inside a task the queries are screened ``QUERY_BLOCK`` at a time.
 2. Per corpus partition (``mapInPandas``, Arrow batches), one BLAS product
    screens candidates: the usual ``|q|^2 + |c|^2 - 2 q.c`` form, with a
    tolerance that covers its rounding. Only the candidates get the exact
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERY_BLOCK = 1024
-BROADCAST_BYTES = 64 << 20  # query vectors broadcast per job
-QUERIES_PER_JOB = 16384
+BROADCAST_BYTES = 64 << 20  # query vectors broadcast at most
+MOST_QUERIES = 4096
 SLICE_ROWS = 4096  # corpus rows screened at once: the distance matrix stays <= 1024 x 4096
 MERGE_SLICES = 32  # slices of the corpus keys in the first level of the top-k
 _TOL = 1e-9
@@ -45,9 +45,10 @@ def _exact(qv: np.ndarray, cv: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _screen(qmat: np.ndarray, qn: np.ndarray, k: int, keys: list[str], vec_col: str,
-            pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one corpus slice: BLAS screen, then exact distances."""
+def candidates(qmat: np.ndarray, k: int, keys: list[str], vec_col: str, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one corpus slice (``_q``, the query's row; distance; keys):
+    BLAS screen, then exact distances."""
+    qn = (qmat * qmat).sum(axis=1)
     cmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
     if cmat.shape[1] != qmat.shape[1]:
         raise ValueError("query and corpus vectors differ in dimension")
@@ -69,15 +70,14 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, keys: list[str],
     """This task's top-k per query; at most ``k`` rows per query kept between
     slices, and each screening matrix is at most QUERY_BLOCK x SLICE_ROWS."""
     blocks = [qmat[q0:q0 + screen_block].astype(np.float64) for q0 in range(0, len(qmat), screen_block)]
-    norms = [(qb * qb).sum(axis=1) for qb in blocks]
     best: dict[int, pd.DataFrame] = {}  # running top-k per query block
     for batch in batches:
         for lo in range(0, len(batch), SLICE_ROWS):
             pdf = batch.iloc[lo:lo + SLICE_ROWS]
             if pdf.empty:
                 continue
-            for b, (qb, qn) in enumerate(zip(blocks, norms)):
-                cand = _screen(qb, qn, k, keys, vec_col, pdf)
+            for b, qb in enumerate(blocks):
+                cand = candidates(qb, k, keys, vec_col, pdf)
                 if b in best:
                     cand = pd.concat([best[b], cand], ignore_index=True)
                 cand = cand.sort_values(["_q", "distance", *keys], kind="mergesort")
@@ -94,19 +94,28 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, keys: list[str],
     yield best.drop(columns=["_q"])
 
 
+def merge_top_k(cand: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` best candidates of each query with their ``rank``, in two
+    levels: per (query, slice of the keys), then per query."""
+    salted = cand.withColumn("_s", F.pmod(F.xxhash64(*keys), F.lit(MERGE_SLICES)))
+    first = Window.partitionBy("query_id", "_s").orderBy("distance", *keys)
+    cand = salted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_s", "_r")
+    w = Window.partitionBy("query_id").orderBy("distance", *keys)
+    return cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
         vec_col: str = "embedding", query_key: str = "query_id",
         query_vec: str = "embedding", query_block: int | None = None,
         screen_block: int = QUERY_BLOCK) -> DataFrame:
     """Top-k corpus rows per query: ``query_id, keys..., distance, rank``.
 
-    ``k <= 0`` gives no rows; fewer than k corpus rows gives all of them.
-    ``query_block`` is the number of queries collected at a time (default
-    ``QUERIES_PER_JOB``); each collected block is broadcast in pieces of at
-    most ``BROADCAST_BYTES``. The query side is evaluated once when it fits
-    one block (a bounded ``limit(block + 1)`` collect); only a larger side is
-    counted and hash-split.
+    ``k <= 0`` gives no rows; fewer than k corpus rows gives all of them. NULL
+    vectors match nothing. ``query_block`` is the number of queries up to which
+    the query side is broadcast (default ``MOST_QUERIES``).
     """
+    from quarry.operators.knn_join import knn_join
+
     spark = corpus.sparkSession
     key_fields = [corpus.schema[c] for c in keys]
     qtype = queries.schema[query_key].dataType
@@ -115,46 +124,25 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str],
         + [T.StructField(f.name, f.dataType) for f in key_fields]
         + [T.StructField("distance", T.DoubleType())]
     )
-    final_schema = T.StructType(out_schema.fields + [T.StructField("rank", T.IntegerType())])
     if k <= 0:
-        return spark.createDataFrame([], final_schema)
-
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("_v"))
-    query_block = query_block or QUERIES_PER_JOB
-    first = q.limit(query_block + 1).collect()
-    if len(first) <= query_block:
-        blocks, n_q = [first], len(first)
-    else:
-        n_q = q.count()
-        n_blocks = -(-n_q // query_block)
-        blocks = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()
-                  for b in range(n_blocks)]  # each bounded by about query_block rows
-    if n_q == 0:
-        return spark.createDataFrame([], final_schema)
+        return merge_top_k(spark.createDataFrame([], out_schema), keys, k)
+
+    most = query_block or MOST_QUERIES
+    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("_v")).where("_v IS NOT NULL")
+    rows = q.limit(most + 1).collect()
+    if not rows:
+        return merge_top_k(spark.createDataFrame([], out_schema), keys, k)
+    if len(rows) > most or len(rows) * len(rows[0]["_v"]) * 4 > BROADCAST_BYTES:
+        return knn_join(corpus, queries, k, keys, vec_col, query_key, query_vec)
+    bc = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], dtype=object),
+                                       np.stack([np.asarray(r["_v"], dtype=np.float32) for r in rows])))
+
+    def run(batches):
+        ids, mat = bc.value
+        yield from _partition_topk(ids, mat, k, keys, vec_col, batches, screen_block)
+
     corpus_in = corpus.select(*keys, vec_col).where(F.col(vec_col).isNotNull())
-    parts = []
-    for rows in blocks:
-        if not rows:
-            continue
-        qids_all = np.array([r["query_id"] for r in rows], dtype=object)
-        qmat_all = np.stack([np.asarray(r["_v"], dtype=np.float32) for r in rows])
-        per_job = max(1, BROADCAST_BYTES // max(1, qmat_all.shape[1] * 4))
-        for j0 in range(0, len(rows), per_job):
-            bc = spark.sparkContext.broadcast((qids_all[j0:j0 + per_job], qmat_all[j0:j0 + per_job]))
-
-            def run(batches, _bc=bc):
-                ids, mat = _bc.value
-                yield from _partition_topk(ids, mat, k, keys, vec_col, batches, screen_block)
-
-            parts.append(corpus_in.mapInPandas(run, out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    salted = cand.withColumn("_s", F.pmod(F.xxhash64(*keys), F.lit(MERGE_SLICES)))
-    first = Window.partitionBy("query_id", "_s").orderBy("distance", *keys)
-    cand = salted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_s", "_r")
-    w = Window.partitionBy("query_id").orderBy("distance", *keys)
-    return cand.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return merge_top_k(corpus_in.mapInPandas(run, out_schema), keys, k)
 
 
 def sql_distance(a: str, b: str) -> str:

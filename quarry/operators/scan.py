@@ -85,43 +85,64 @@ def pattern_regex(patterns: pd.Series) -> pd.Series:
     return patterns.map(glob_regex, na_action="ignore")
 
 
+def _kind(pattern: Column) -> Column:
+    """``kind`` and ``literal`` of a pattern: plain text (exact), ``*text``
+    (suffix), ``text*`` (prefix), or anything else (regex)."""
+    plain = lambda c: (F.length(c) > 0) & ~c.rlike(r"[*?\[]")
+    rest, head = F.substr(pattern, F.lit(2)), F.substr(pattern, F.lit(1), F.length(pattern) - 1)
+    made = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("literal"))
+    return (F.when(plain(pattern), made("exact", pattern)).when(pattern.startswith("*") & plain(rest), made("suffix", rest))
+            .when(pattern.endswith("*") & plain(head), made("prefix", head)).otherwise(made("regex", F.lit(None).cast("string"))))
+
+
 def ignore_patterns(spark: SparkSession, lines: DataFrame, line_col: str = "line",
                     keep: list[str] | None = None) -> DataFrame:
-    """pattern lines -> ``(keep..., pattern, regex)``; blank and ``#`` lines dropped."""
+    """pattern lines -> ``(keep..., pattern, regex, kind, literal)``; blank
+    and ``#`` lines dropped."""
     keep = list(keep or [])
     p = TX.py_strip(F.col(line_col))
-    return lines.select(*keep, p.alias("pattern")).where(
-        (F.length("pattern") > 0) & ~F.col("pattern").startswith("#")
-    ).select(*keep, "pattern", pattern_regex(F.col("pattern")).alias("regex")).distinct()
+    found = lines.select(*keep, p.alias("pattern")).where((F.length("pattern") > 0) & ~F.col("pattern").startswith("#")).distinct()
+    found = found.withColumn("_k", _kind(F.col("pattern")))
+    return found.select(*keep, "pattern", pattern_regex(F.col("pattern")).alias("regex"), "_k.kind", "_k.literal")
+
+
+#: Up to this many patterns of a global list are collected and become sets of
+#: literals in a filter; a longer list is joined by its literals.
+MAX_GLOBAL_PATTERNS = 200_000
+#: Patterns that are neither text, suffix nor prefix, in one alternation.
+MAX_REGEXES = 10_000
 
 
-# A global ignore list up to this size is collected and compiled into one
-# literal regex; beyond it the rows are joined like those of a single root.
-MAX_GLOBAL_PATTERNS = 10_000
+def _names_of(path: Column) -> list[Column]:
+    """What a pattern is tested on."""
+    return [path, P.name(path), F.concat(path, F.lit("/"))]
 
 
 def _matches(path_col: str, regex: Column) -> Column:
-    p = F.col(path_col)
-    return F.rlike(p, regex) | F.rlike(P.name(p), regex) | F.rlike(F.concat(p, F.lit("/")), regex)
+    hits = [F.rlike(n, regex) for n in _names_of(F.col(path_col))]
+    return hits[0] | hits[1] | hits[2]
+
+
+def _cut(name: Column, kind: str, n: int) -> Column:
+    """The part of a name that a literal of ``n`` characters would equal."""
+    return F.when(F.length(name) >= n, F.substr(name, F.lit(1), F.lit(n)) if kind == "prefix" else F.right(name, F.lit(n)))
 
 
 def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
                  root_col: str | None = None) -> DataFrame:
     """files no pattern matches (relative path, bare name, or path + '/').
 
-    Each pattern list becomes one alternation of its anchored regexes, so a
-    file is tested once per list, not once per pattern. A global list of up to
-    ``MAX_GLOBAL_PATTERNS`` is a literal regex - a plain filter, compiled once
-    per task, no join; a longer one is dealt into lists of that size, applied
-    one after the other. Per-root lists (``root_col`` in both
-    frames) are combined per root and equi-joined on the root; rows reach the
-    filter grouped by root, so each root's regex is compiled once per run.
+    A global list is an index: texts, suffixes and prefixes are hash sets that a
+    path, its name, and their ends of the lengths that occur are looked up in;
+    only the other patterns are tested one by one, as an alternation. Up to
+    ``MAX_GLOBAL_PATTERNS`` the sets are literals of a plain filter, compiled
+    once per task, no join; beyond, they stay a table and are equi-joined.
+    Per-root lists (``root_col`` in both frames) are combined per root and
+    equi-joined on the root; rows reach the filter grouped by root, so each
+    root's regex is compiled once per run.
     """
     if root_col is None:
-        regexes = sorted(r["regex"] for r in patterns.select("regex").distinct().toLocalIterator())
-        for i in range(0, len(regexes), MAX_GLOBAL_PATTERNS):
-            files = files.where(~_matches(path_col, F.lit("|".join(regexes[i : i + MAX_GLOBAL_PATTERNS]))))
-        return files
+        return _drop_globally(files, patterns, path_col)
     per_root = patterns.groupBy(F.col(root_col).alias("_root")).agg(
         F.array_join(F.array_sort(F.collect_set("regex")), "|").alias("_rx"))
     j = files.join(per_root, files[root_col] == per_root["_root"], "left")
@@ -129,6 +150,32 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
     return j.where(keep).drop("_root", "_rx")
 
 
+def _drop_globally(files: DataFrame, patterns: DataFrame, path_col: str) -> DataFrame:
+    names = _names_of(F.col(path_col))
+    short = patterns.select("kind", "literal", "regex").limit(MAX_GLOBAL_PATTERNS + 1).collect()
+    if len(short) <= MAX_GLOBAL_PATTERNS:
+        sets: dict[tuple[str, int], set[str]] = {}
+        for r in short:
+            if r.kind != "regex":
+                sets.setdefault((r.kind, 0 if r.kind == "exact" else len(r.literal)), set()).add(r.literal)
+        for (kind, n), literals in sorted(sets.items()):
+            hits = [(name if kind == "exact" else _cut(name, kind, n)).isin(*sorted(literals)) for name in names]
+            files = files.where(~F.coalesce(hits[0] | hits[1] | hits[2], F.lit(False)))
+        regexes = sorted({r.regex for r in short if r.kind == "regex"})
+    else:
+        literals = patterns.where("kind <> 'regex'").select("kind", "literal").distinct()
+        lengths = literals.where("kind <> 'exact'").select("kind", F.length("literal").alias("n")).distinct().collect()
+        key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("literal"))
+        keys = F.array(*[key("exact", n) for n in names], *[key(r.kind, _cut(n, r.kind, r.n)) for r in lengths for n in names])
+        asked = files.select(F.col(path_col).alias("_path"), F.explode(F.array_distinct(keys)).alias("_k")).select("_path", "_k.*")
+        hit = asked.join(literals, ["kind", "literal"]).select("_path").distinct()
+        files = files.join(hit, F.col(path_col) == F.col("_path"), "left_anti")
+        regexes = sorted(r["regex"] for r in patterns.where("kind = 'regex'").select("regex").distinct().toLocalIterator())
+    for i in range(0, len(regexes), MAX_REGEXES):
+        files = files.where(~_matches(path_col, F.lit("|".join(regexes[i : i + MAX_REGEXES]))))
+    return files
+
+
 def read_ignore_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Ignore-file lines as ``(root, line)``, ``root`` = the folder holding the file.
 

@@ -25,7 +25,7 @@ from quarry.operators import patches as PT
 from quarry.operators import responses as RS
 from quarry.operators import routing as RT
 from quarry.operators import scan as SC
-from quarry.operators.generate import final_answers, generate_batch, merge_answers
+from quarry.operators.generate import generate_tokens
 from quarry.plans import jobs as JB
 from quarry.plans.indexing import index_delta, update_index
 from quarry.session import scratch_path
@@ -33,6 +33,7 @@ from quarry.sinks.index_store import IndexStore
 from quarry.sinks.tables import write_snapshot
 from quarry.streaming import index_updates as XU
 from quarry.streaming import reasoning as XR
+from quarry.streaming.token_source import PromptQueue, token_stream
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -390,33 +391,19 @@ def q_dedup_hits(spark, sf_dir):
     return CX.dedup_hits(probe_hits(spark, sf_dir)).select("query_id", "rank", "file", "chunk_index")
 
 
-def mapped_corpus(spark, sf_dir):
-    """S3 over the base snapshot with the inline ignore patterns, plus the
-    path relative to its root."""
-    pats = SC.ignore_patterns(spark, ignore_lines_df(spark))
-    f = SC.scan_mapped_files(V.files_base(spark, sf_dir), pats)
-    return f.withColumn("rel_path", F.expr("substring(path, length(source) + 2)"))
-
-
-def map_prompts(files):
-    """C9 map stage input: F3 -> P6, one prompt per window of 30,000
-    characters of a file."""
-    nb = SC.drop_blank(files, "content")
-    n = F.ceil(F.length("content") / K.MAX_FILE_CHARS)
-    t = nb.withColumn("n_windows", n).withColumn("window", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-    t = t.withColumn("content", F.substr("content", (F.col("window") * K.MAX_FILE_CHARS + 1).cast("int"), F.lit(K.MAX_FILE_CHARS)))
-    return t.select("source", "rel_path", "window", "n_windows", F.lit(PR.ROUTE["summary"]).alias("purpose"),
-                    PR.system("summary").alias("system"), PR.user("summary").alias("user"))
+def mapped_corpus(spark, sf_dir, view=V.files_base):
+    """S3 over a snapshot with the inline ignore patterns, plus the path
+    relative to its root."""
+    return JB.mapped_files(view(spark, sf_dir), SC.ignore_patterns(spark, ignore_lines_df(spark)))
 
 
 def map_summaries(spark, sf_dir):
-    ans = final_answers(generate_batch(map_prompts(mapped_corpus(spark, sf_dir)), V.scripted()))
-    return merge_answers(ans, ["source", "rel_path"], "summary", V.scripted()).select("source", "rel_path", F.col("response").alias("summary"))
+    return JB.map_summaries(mapped_corpus(spark, sf_dir), V.scripted())
 
 
 @register("prompt_summary")
 def q_prompt_summary(spark, sf_dir):
-    return map_prompts(mapped_corpus(spark, sf_dir)).select("source", "rel_path", "window", "system", "user")
+    return JB.map_prompts(mapped_corpus(spark, sf_dir)).select("source", "rel_path", "window", "system", "user")
 
 
 @register("generate_batch")
@@ -455,14 +442,15 @@ def q_analyze_map_reduce(spark, sf_dir):
 
 @register("analyze_sampled")
 def q_analyze_sampled(spark, sf_dir):
-    """The hits of the probes in place of the summaries, and the indexed
-    files as the tree."""
-    idx = base_index(spark, sf_dir)
-    hits = CX.dedup_hits(retrieve(idx, CX.probe_queries(spark), K.TOP_K))
-    files = IX.distinct_files(idx).select(F.lit("index").alias("source"), F.col("file").alias("rel_path"))
-    summ = hits.select(F.lit("index").alias("source"),
-                       F.format_string("%04d/%04d", "query_id", "rank").alias("rel_path"), "file", F.col("text").alias("summary"))
-    return JB.reports(JB.architect_prompts(CX.budget_prompt(files, summ, label_col="file")), V.scripted())
+    """One report per indexed root, from the probes' hits in its files."""
+    return JB.reports(JB.sampled_prompts(base_index(spark, sf_dir)), V.scripted())
+
+
+@register("analyze")
+def q_analyze(spark, sf_dir):
+    """The later snapshot against the index of the earlier one. Roots
+    that are indexed get the sampled report, the others the full one."""
+    return JB.analyze(mapped_corpus(spark, sf_dir, V.files_head), base_index(spark, sf_dir), V.scripted())
 
 
 def ask_prompts(spark, sf_dir):
@@ -480,12 +468,21 @@ def q_prompt_ask(spark, sf_dir):
 
 @register("ask")
 def q_ask(spark, sf_dir):
-    """C4: C3 -> A4 (scored) -> P8 -> M1 -> W3 on the answer -> T15."""
-    ans = generate_batch(ask_prompts(spark, sf_dir), V.scripted())
-    toks = ans.select(F.col("query_id").alias("response_id"), F.lit(0).cast("bigint").alias("seq"),
-                      F.coalesce("response", F.lit("")).alias("chunk"))
-    return RS.final_text(RS.split_reasoning(toks)).select(
-        F.col("response_id").alias("query_id"), "answer", "failed")
+    """C4: C3 -> A4 (scored) -> P8 -> M1 as token pieces -> W3 -> T15."""
+    asked = ask_prompts(spark, sf_dir)
+    split = RS.split_reasoning(generate_tokens(asked, "query_id", V.scripted()))
+    whole = asked.select(F.col("query_id").alias("response_id")).join(split, "response_id", "left")  # an empty answer has no pieces
+    return RS.final_text(whole.na.fill("", ["thinking", "final"])).select(F.col("response_id").alias("query_id"), "answer", "failed")
+
+
+@register("generate_stream")
+def q_generate_stream(spark, sf_dir):
+    """M1 as a stream: the prompts of C4 wait in a queue, a generator's pieces
+    come from the token source and go through X1."""
+    queue, out, ck = PromptQueue(spark, scratch_path(spark, "queue")), scratch_path(spark, "gen-out"), scratch_path(spark, "gen-ck")
+    queue.add(ask_prompts(spark, sf_dir).withColumnRenamed("query_id", "response_id"))
+    XR.run_available(XR.split_reasoning_stream(token_stream(queue, V.scripted_model), idle_ms=None), out, ck)
+    return spark.read.schema(XR.OUT_SCHEMA).parquet(out)
 
 
 @register("snapshot_changes")
@@ -544,10 +541,19 @@ def q_patch_summary(spark, sf_dir):
 
 @register("write_patched")
 def q_write_patched(spark, sf_dir):
-    """K4: patched files written as a new snapshot table, then read back."""
-    applied = patch_run(spark, sf_dir)
-    return write_snapshot(applied.where(F.col("content").isNotNull()).select("response_id", "file", "content"),
-                          "patched")
+    """K4: the whole snapshot after the answers of two rounds, one row per
+    file, written as a new table and read back."""
+    answers = V.patch_responses(spark, sf_dir).unionByName(V.second_answers(spark, sf_dir))
+    snapshot, _ = PT.patch_snapshot(PT.parse_patches(answers), V.patch_files(spark, sf_dir))
+    return write_snapshot(snapshot, "patched")
+
+
+@register("patch_conflicts")
+def q_patch_conflicts(spark, sf_dir):
+    """C12 over two answers to each file: every patch's result, and whether an
+    earlier patch had changed the text that it searches."""
+    answers = V.patch_responses(spark, sf_dir).unionByName(V.second_answers(spark, sf_dir))
+    return PT.patch_snapshot(PT.parse_patches(answers), V.patch_files(spark, sf_dir))[1]
 
 
 # ------------------------------------------------------------ jobs (7) -----

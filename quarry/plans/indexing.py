@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import constants as K
@@ -10,7 +10,9 @@ from quarry.functions.embed import hashed_embedding
 from quarry.operators import index_ops as IX
 from quarry.operators.chunking import chunk_text
 from quarry.operators.knn import knn
+from quarry.operators.knn_join import knn_join
 from quarry.operators.scan import scan_index_files
+from quarry.sinks.vector_cache import VectorCache
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -28,14 +30,16 @@ def index_rows(files: DataFrame, dim: int = K.EMBED_DIM, embed=None, patterns: D
 
     Chunks are produced where their file was read (narrow explode); the scan
     already balances partitions by bytes, and chunk count follows bytes.
+    ``embed`` is a function of the text column, or a ``VectorCache``, which
+    embeds each distinct text once.
     """
     f = widen(scan_index_files(files, patterns=patterns, root_col=root_col).select("path", "mtime", "content"))
-    chunks = chunk_text(f, "content", keep=["path", "mtime"])
+    chunks = chunk_text(f, "content", keep=["path", "mtime"]).select(
+        F.col("path").alias("file"), "chunk_index", "text", F.col("mtime").cast("double").alias("mtime"))
+    if isinstance(embed, VectorCache):
+        return embed.vectors(chunks, F.col("text"))
     vec = embed(F.col("text")) if embed is not None else hashed_embedding(F.col("text"), dim)
-    return chunks.select(
-        F.col("path").alias("file"), "chunk_index", "text",
-        F.col("mtime").cast("double").alias("mtime"), vec.alias("embedding"),
-    )
+    return chunks.withColumn("embedding", vec)
 
 
 def build_index(files: DataFrame, dim: int = K.EMBED_DIM, embed=None, patterns: DataFrame | None = None,
@@ -95,20 +99,33 @@ def update_index(old: DataFrame, files: DataFrame, dim: int = K.EMBED_DIM, embed
 
 
 def embed_queries(queries: DataFrame, text_col: str = "text", dim: int = K.EMBED_DIM,
-                  embed=None) -> DataFrame:
+                  embed=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    if isinstance(embed, VectorCache):
+        return embed.vectors(queries.select("query_id", *keep, F.col(text_col).alias("_asked")), F.col("_asked")).drop("_asked")
     vec = embed(F.col(text_col)) if embed is not None else hashed_embedding(F.col(text_col), dim)
-    return queries.select("query_id", vec.alias("embedding"))
+    return queries.select("query_id", *keep, vec.alias("embedding"))
+
+
+def root_of(path: Column) -> Column:
+    """The root of a file of a snapshot that holds several: its first folder."""
+    return F.substring_index(path, "/", 1)
 
 
 def retrieve(index: DataFrame, queries: DataFrame, k: int = K.TOP_K,
-             text_col: str = "text", dim: int = K.EMBED_DIM, embed=None) -> DataFrame:
+             text_col: str = "text", dim: int = K.EMBED_DIM, embed=None, index_root: Column | None = None) -> DataFrame:
     """E1 on the questions -> J1 -> J2 -> T9.
 
-    ``hits(query_id, rank, file, chunk_index, text, distance, score)``.
+    ``hits(query_id, rank, file, chunk_index, text, distance, score)``. With
+    ``index_root`` (an expression over the index, e.g. ``root_of("file")``)
+    each query is answered from the files of its own ``root`` only.
     """
-    qv = embed_queries(queries, text_col, dim, embed)
-    hits = knn(index, qv, k, keys=["file", "chunk_index"])
-    joined = index.select("file", "chunk_index", "text").join(hits, ["file", "chunk_index"], "inner")
+    keys = ["file", "chunk_index"]
+    if index_root is None:
+        hits = knn(index, embed_queries(queries, text_col, dim, embed), k, keys)
+    else:
+        hits = knn_join(index, embed_queries(queries, text_col, dim, embed, ("root",)), k, keys,
+                        corpus_group=index_root, query_group=F.col("root"))
+    joined = index.select(*keys, "text").join(hits, keys, "inner")
     return joined.select(
         "query_id", "rank", "file", "chunk_index", "text", "distance",
         F.format_string("%.4f", F.col("distance")).alias("score"),

@@ -17,12 +17,13 @@ from quarry.functions import text as TX
 from quarry.operators import changes as CH
 from quarry.operators import context as CX
 from quarry.operators import corpus as CO
+from quarry.operators import index_ops as IX
 from quarry.operators import patches as PT
 from quarry.operators import responses as RS
 from quarry.operators import scan as SC
 from quarry.operators.generate import final_answers, generate_batch, merge_answers
 from quarry.operators.ordering import ordered_windows
-from quarry.plans.indexing import retrieve
+from quarry.plans.indexing import retrieve, root_of
 from quarry.sinks.tables import write_snapshot
 
 
@@ -60,15 +61,17 @@ def commit_messages(changes: DataFrame, generator=None) -> DataFrame:
     return ans.select("source", TX.py_strip(F.coalesce("response", F.lit(""))).alias("message"))
 
 
-def with_context(df: DataFrame, index: DataFrame | None, query: F.Column, keys: list[str], k: int = K.TOP_K) -> DataFrame:
+def with_context(df: DataFrame, index: DataFrame | None, query: F.Column, keys: list[str], k: int = K.TOP_K,
+                 root: F.Column | None = None) -> DataFrame:
     """Optional retrieval: ``context`` = A4 block of the top-k chunks for
     ``query`` (NULL without an index or hits). One query per row of ``df``,
-    which ``keys`` identify."""
+    which ``keys`` identify; it is answered from the files of the row's
+    ``root`` (default: ``source``) only."""
     if index is None:
         return df.withColumn("context", F.lit(None).cast("string"))
     keyed = df.withColumn("query_id", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))
-    hits = retrieve(index, keyed.select("query_id", query.alias("text")), k)
-    ctx = CX.context_block(hits).select("query_id", "context")
+    asked = keyed.select("query_id", query.alias("text"), (F.col("source") if root is None else root).alias("root"))
+    ctx = CX.context_block(retrieve(index, asked, k, index_root=root_of(F.col("file")))).select("query_id", "context")
     return keyed.join(ctx, "query_id", "left").drop("query_id")
 
 
@@ -179,7 +182,7 @@ def test_prompts(modified: DataFrame, head: DataFrame, index: DataFrame | None =
     t = tests_existing(modified, head)
     code = head.select("path", F.col("content").alias("code"))
     j = t.join(code, "path").withColumn("mode", F.when(F.col("is_update"), F.lit("update")).otherwise(F.lit("new")))
-    j = with_context(j, index, F.concat(F.lit(K.TESTS_QUERY_PREFIX), P.name(F.col("path"))), ["path"])
+    j = with_context(j, index, F.concat(F.lit(K.TESTS_QUERY_PREFIX), P.name(F.col("path"))), ["path"], root=root_of(F.col("path")))
     return _prompt(j, "test", ["path", "test_path", "is_update"])
 
 
@@ -213,6 +216,60 @@ def reports(prompts: DataFrame, generator=None) -> DataFrame:
                       F.when((F.length(text) == 0) | F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("ok")).alias("status"))
 
 
+def mapped_files(files: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """S3 plus the path relative to the root."""
+    return SC.scan_mapped_files(files, patterns).withColumn("rel_path", F.expr("substring(path, length(source) + 2)"))
+
+
+def map_prompts(files: DataFrame) -> DataFrame:
+    """C9 map stage input: F3 -> P6, one prompt per window of 30,000
+    characters of a file."""
+    nb = SC.drop_blank(files, "content")
+    n = F.ceil(F.length("content") / K.MAX_FILE_CHARS)
+    t = nb.withColumn("n_windows", n).withColumn("window", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    t = t.withColumn("content", F.substr("content", (F.col("window") * K.MAX_FILE_CHARS + 1).cast("int"), F.lit(K.MAX_FILE_CHARS)))
+    return _prompt(t, "summary", ["source", "rel_path", "window", "n_windows"])
+
+
+def map_summaries(files: DataFrame, generator=None) -> DataFrame:
+    """C9's map step: one summary per file that has text."""
+    ans = final_answers(generate_batch(map_prompts(files), generator))
+    return merge_answers(ans, ["source", "rel_path"], "summary", generator).select("source", "rel_path", F.col("response").alias("summary"))
+
+
+def full_prompts(files: DataFrame, generator=None) -> DataFrame:
+    """C9 -> T4 -> P7: the tree and the summaries of every file of a root."""
+    summaries = write_snapshot(map_summaries(files, generator), "summaries")
+    return architect_prompts(CX.budget_prompt(files.select("source", "rel_path"), summaries))
+
+
+def sampled_prompts(index: DataFrame, k: int = K.TOP_K) -> DataFrame:
+    """C10 -> T4 -> P7: per root of the index, the hits of the probes (G4) in its
+    own files, without those that repeat (W2), in place of the summaries, and its
+    indexed files as the tree."""
+    root = root_of(F.col("file"))
+    within = F.expr("substring(file, length(source) + 2)")
+    files = IX.distinct_files(index).select(root.alias("source"), "file").withColumn("rel_path", within)
+    asked = files.select("source").distinct().select("source", F.posexplode(F.array(*map(F.lit, K.PROBES))).alias("probe", "text"))
+    asked = asked.select(F.format_string("%04d/%s", "probe", "source").alias("query_id"), "text", F.col("source").alias("root"))
+    hits = retrieve(index, asked, k, index_root=root).withColumn("source", root).withColumn("query_id", F.substring("query_id", 1, 4).cast("int"))
+    hits = CX.dedup_hits(hits, ["source"])
+    summaries = hits.select("source", F.format_string("%04d/%04d", "query_id", "rank").alias("rel_path"), "file", F.col("text").alias("summary")) \
+        .withColumn("file", within)
+    return architect_prompts(CX.budget_prompt(files.select("source", "rel_path"), summaries, label_col="file"))
+
+
+def analyze(files: DataFrame, index: DataFrame, generator=None) -> DataFrame:
+    """C9/C10 by root, in one job: roots of ``files`` (``mapped_files``) that
+    have rows in the index get the sampled plan, the others the full one. Of the
+    index only file names are read to tell them apart."""
+    indexed = IX.distinct_files(index).select(root_of(F.col("file")).alias("source")).distinct()
+    asked = files.select("source").distinct()
+    known = index.join(asked.withColumnRenamed("source", "_root"), root_of(F.col("file")) == F.col("_root"), "left_semi")
+    full = full_prompts(files.join(indexed, "source", "left_anti"), generator)
+    return reports(full.unionByName(sampled_prompts(known)), generator)
+
+
 def write_report(reports: DataFrame, path: str | None = None) -> DataFrame:
     """K5: write one report per root; failed and empty reports are not written."""
     return write_snapshot(reports.where(F.col("status") == "ok").select("source", "report"), "reports", path=path)

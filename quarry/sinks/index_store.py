@@ -4,6 +4,7 @@ A version is either whole or a delta to the one before it:
 
     data/v=N     index rows that version N adds (all rows if N is whole)
     removed/v=N  files whose rows of earlier versions no longer count
+    claims/v=N   created by the one writer that may write version N
     published/N  marker, written last; its name ends in ``-full`` if N is whole
 
 A version counts only once its marker exists, so a reader never sees a
@@ -18,6 +19,7 @@ on HDFS or object stores.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,21 @@ class IndexStore:
         names = [n for n in self._names("published") if n[:1].isdigit()]
         return dict(sorted((int(n.split("-")[0]), n.endswith("-full")) for n in names))
 
-    def _next_version(self) -> int:
-        """One past every version folder present, published or not (a failed
-        attempt's folder is never reused)."""
-        return 1 + max([0, *(int(n[2:]) for kind in ("data", "removed") for n in self._names(kind) if n.startswith("v="))])
+    def _claim(self) -> int:
+        """A version number of this writer's own: one past every version that
+        is present or claimed. A claim is a file that must not exist yet, so of
+        two writers with the same number one goes on to the next."""
+        taken = [int(n[2:]) for kind in ("data", "removed", "claims") for n in self._names(kind) if n.startswith("v=")]
+        v = 1 + max([0, *taken])
+        while True:
+            fs, p = self._at("claims", f"v={v:06d}")
+            try:
+                fs.create(p, False).close()
+                return v
+            except Py4JJavaError:
+                if not fs.exists(p):
+                    raise
+            v += 1
 
     # -- contract -----------------------------------------------------------
     def versions(self) -> list[int]:
@@ -79,7 +92,7 @@ class IndexStore:
         return [r[0] for r in rows.collect()]
 
     def _publish(self, index: DataFrame, removed: DataFrame | None, tag: str | None) -> str:
-        v = self._next_version()
+        v = self._claim()
         name = f"{v:06d}"
         index.withColumn(DIM_COL, F.size("embedding")).write.parquet(f"{self.path}/data/v={name}")
         full = removed is None

@@ -31,6 +31,8 @@ NEW_FILE_MTIME = 1800000000
 TOKEN_PIECE = 20
 FIRST_REPLACEMENT = "patched = True"
 SECOND_REPLACEMENT = "patched_twice = True\nassert patched_twice"
+THIRD_REPLACEMENT = "patched_thrice = True"
+SECOND_ANSWERS_FROM = 1_000_000_000_000
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -187,6 +189,16 @@ def patch_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(d.doc_id.alias("response_id"), text.alias("text"))
 
 
+def second_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later answer to each document's file: its first block searches what
+    the first answer wrote, its second the text that the first answer found."""
+    d = table(spark, sf_dir, "documents")
+    target = patch_target(d.doc_id)
+    block = lambda search, new: [F.lit("<<<< SEARCH file:"), target, F.lit("\n"), search, F.lit("\n==== REPLACE\n"), F.lit(new), F.lit("\n>>>>\n")]
+    text = F.concat(*block(F.lit(SECOND_REPLACEMENT.split("\n")[0]), THIRD_REPLACEMENT), *block(F.substring(d.text, 1, 40), FIRST_REPLACEMENT))
+    return d.select((d.doc_id + SECOND_ANSWERS_FROM).alias("response_id"), text.alias("text"))
+
+
 def patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files the patch answers target: ``src/f{doc_id}.py`` holding the document."""
     d = table(spark, sf_dir, "documents")
@@ -254,3 +266,13 @@ def existing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.where((F.length(n) > 0) & (n.cast("int") < 5)).select(
         F.concat(F.lit("docs/tutorial/"), F.col("source"), F.lit(".md")).alias("path"),
         F.concat(F.lit("Earlier tutorial for "), F.col("source")).alias("content"))
+
+
+def scripted_model():
+    """The answers of ``scripted`` from a generator."""
+    def call(user, system, purpose, route):
+        text, kind = "\n".join([x for x in user.splitlines() if x.strip()][:3]).strip(), len(user) % 8
+        return {0: "", 1: None, 2: f"{text}\n{K.ALL_CLEAR_SENTINEL}", 3: SCRIPT_FINDINGS + text, 4: f"<think>first\n{text[:20]}</think>{text}",
+                5: text + SCRIPT_BLOCK, 6: f"<think>only {text}", 7: text}[kind]
+
+    return call

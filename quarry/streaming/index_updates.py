@@ -29,7 +29,8 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def update_from_stream(spark: SparkSession, store: IndexStore, input_dir: str, checkpoint: str,
-                       available_now: bool = True, files_per_batch: int | None = None, patterns: DataFrame | None = None):
+                       available_now: bool = True, files_per_batch: int | None = None, patterns: DataFrame | None = None,
+                       embed=None):
     reader = spark.readStream.schema(CHANGE_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -40,7 +41,7 @@ def update_from_stream(spark: SparkSession, store: IndexStore, input_dir: str, c
             return
         batch = batch.persist()
         try:
-            rows, gone = changes_to_delta(store.load(), batch, patterns=patterns)
+            rows, gone = changes_to_delta(store.load(), batch, embed=embed, patterns=patterns)
             store.save_delta(rows, gone, tag=tag)
         finally:
             batch.unpersist()

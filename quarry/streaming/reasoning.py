@@ -2,36 +2,43 @@
 
 X1 applies the tokens of a response in ``seq`` order, whatever the order of
 their arrival: a token that is early waits in the state until the gap before it
-closes, a token that was already applied is a replay and is skipped. State per
-response is small: the next ``seq``, the flag, two lengths and the early
-tokens; the texts themselves are in the output, one row per token with what it
-adds to each part, the running lengths and the flag. A response without tokens
-for ``idle_ms`` is evicted; early tokens that still wait are then applied in
-order, without the missing ones; after an ``availableNow`` run,
-``waiting_tokens`` applies them so. The last row of a response equals the batch
-``split_reasoning`` (W3), and every state can be rebuilt from the rows.
+closes, a token that was already applied is a replay and is skipped. The state
+of a response has two variables: a value with the next ``seq``, the flag, two
+lengths and the number of early tokens, and a map from ``seq`` to early token.
+A micro-batch reads and writes only the entries of its own tokens and of gaps
+that they close. The texts are in the output rows, one per token with what it
+adds to each part, the running lengths and the flag.
+
+A timer ends the wait of a response without tokens for ``idle_ms``: its early
+tokens are applied in order, without the missing ones. The value stays for
+``KEEP_MS`` (its TTL), so a response that goes on afterwards continues where it
+was. After an ``availableNow`` run, ``waiting_tokens`` applies what waits. The
+last row of a response equals the batch ``split_reasoning`` (W3), and every
+state can be rebuilt from the rows. Keyed state needs the RocksDB store, which
+``run_available`` sets for its query.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quarry import constants as K
 from quarry.operators.responses import parsed_line, parse_response_lines
 
-STATE_SCHEMA = "next_seq long, flag boolean, thinking_len long, final_len long, early string"
+HEAD_SCHEMA = "next_seq long, flag boolean, thinking_len long, final_len long, n_early long"
 OUT_SCHEMA = ("response_id long, seq long, thinking_delta string, final_delta string, "
               "thinking_len long, final_len long, is_thinking boolean")
 TOKEN_SCHEMA = "response_id long, seq long, chunk string"
-#: Default idle time after which a response is evicted.
-IDLE_MS = 600_000
+#: Default idle time after which early tokens wait no longer, and the time for
+#: which the place in a response is kept.
+IDLE_MS, KEEP_MS = 600_000, 7 * 86_400_000
 
 
 def added_pieces(chunks: pd.Series, flag: bool) -> pd.DataFrame:
@@ -60,37 +67,62 @@ def _rows_of(response_id, ready: dict[int, str], flag: bool, n_think: int, n_fin
     return out[["response_id", "seq", "thinking_delta", "final_delta", "thinking_len", "final_len", "is_thinking"]]
 
 
-def _waiting(early: str) -> dict[int, str]:
-    """The early tokens of a state, in order."""
-    return dict(sorted((int(s), c) for s, c in json.loads(early).items()))
-
-
-def _advance(idle_ms: int | None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, flag, n_think, n_final, early = state.get if state.exists else (0, False, 0, 0, "{}")
-        waiting = _waiting(early)
-        if state.hasTimedOut:
-            state.remove()
-            if waiting:
-                yield _rows_of(key[0], waiting, flag, n_think, n_final)
-            return
-        for pdf in pdfs:
-            new = pdf[pdf.seq >= following]
-            waiting.update(zip(new.seq.tolist(), new.chunk.fillna("").tolist()))
-        ready = {}
-        while following in waiting:
-            ready[following] = waiting.pop(following)
+class Reasoning(StatefulProcessor):
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ttl = KEEP_MS if self.idle_ms else None
+        self.head = handle.getValueState("head", HEAD_SCHEMA, ttl)
+        self.early = handle.getMapState("early", "seq long", "chunk string", ttl)
+
+    def _take(self, seq: int) -> str:
+        chunk = self.early.getValue((seq,))[0]
+        self.early.removeKey((seq,))
+        return chunk
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        following, flag, n_think, n_final, n_early = self.head.get() or (0, False, 0, 0, 0)
+        new: dict[int, str] = {}
+        for pdf in rows:
+            pdf = pdf[pdf.seq >= following]
+            new.update(zip(pdf.seq.tolist(), pdf.chunk.fillna("").tolist()))
+        ready: dict[int, str] = {}
+        while True:
+            waits = n_early > 0 and self.early.containsKey((following,))
+            if not waits and following not in new:
+                break
+            waiting = self._take(following) if waits else None
+            n_early -= waits
+            ready[following] = new.pop(following, waiting)
             following += 1
+        for seq, chunk in new.items():
+            n_early += n_early == 0 or not self.early.containsKey((seq,))
+            self.early.updateValue((seq,), (chunk,))
         if ready:
             out = _rows_of(key[0], ready, flag, n_think, n_final)
             n_think, n_final, flag = (out[c].iloc[-1].item() for c in ("thinking_len", "final_len", "is_thinking"))
-        state.update((following, flag, n_think, n_final, json.dumps(waiting)))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        self.head.update((following, flag, n_think, n_final, n_early))
+        if self.idle_ms:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if ready:
             yield out
 
-    return fn
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        following, flag, n_think, n_final, n_early = self.head.get() or (0, False, 0, 0, 0)
+        if n_early:
+            waiting = dict(sorted((s[0], c[0]) for s, c in self.early.iterator()))
+            out = _rows_of(key[0], waiting, flag, n_think, n_final)
+            last = out.iloc[-1]
+            self.early.clear()
+            self.head.update((int(last.seq) + 1, bool(last.is_thinking), int(last.thinking_len), int(last.final_len), 0))
+            yield out
+
+    def close(self) -> None:
+        pass
 
 
 def split_reasoning_stream(tokens: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
@@ -101,9 +133,8 @@ def split_reasoning_stream(tokens: DataFrame, idle_ms: int | None = IDLE_MS) ->
     runs, which end when the input is drained. What then still waits behind a
     missing ``seq`` is in ``waiting_tokens``.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return tokens.groupBy("response_id").applyInPandasWithState(
-        _advance(idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    return tokens.groupBy("response_id").transformWithStateInPandas(
+        Reasoning(idle_ms), OUT_SCHEMA, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def waiting_tokens(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -114,14 +145,15 @@ def waiting_tokens(spark: SparkSession, checkpoint: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/[0-9]*")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
         return spark.createDataFrame([], OUT_SCHEMA)
-    state = spark.read.format("statestore").load(checkpoint).select("key.response_id", "value.groupState.*")
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    head = state("head").where("value.n_early > 0").select("key.response_id", "value.*")
+    early = state("early").select("key.response_id", F.col("user_map_key.seq").alias("seq"), F.col("user_map_value.chunk").alias("chunk"))
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for r in pdf.itertuples():
-                yield _rows_of(r.response_id, _waiting(r.early), r.flag, r.thinking_len, r.final_len)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, first = pdf.sort_values("seq"), pdf.iloc[0]
+        return _rows_of(first.response_id, dict(zip(pdf.seq.tolist(), pdf.chunk.tolist())), bool(first.flag), int(first.thinking_len), int(first.final_len))
 
-    return state.where(F.col("early") != "{}").mapInPandas(run, OUT_SCHEMA)
+    return early.join(head, "response_id").groupBy("response_id").applyInPandas(run, OUT_SCHEMA)
 
 
 def split_lines(lines: DataFrame) -> DataFrame:
@@ -155,11 +187,24 @@ def response_reasoning_stream(spark: SparkSession, input_dir: str, idle_ms: int
     return split_reasoning_stream(line_tokens(spark.readStream.text(input_dir)), idle_ms)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The RocksDB state store for queries that start meanwhile."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_available(df: DataFrame, sink_dir: str, checkpoint: str, fmt: str = "parquet"):
     """Drain everything available with an ``availableNow`` trigger. A query
     with an idle timeout would never be drained: pass ``idle_ms=None``."""
-    q = (df.writeStream.format(fmt).option("path", sink_dir).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with keyed_state(df.sparkSession):
+        q = (df.writeStream.format(fmt).option("path", sink_dir).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

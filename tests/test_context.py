@@ -43,6 +43,26 @@ def test_answers_are_merged_level_by_level(spark):
     assert len(out["a"].response) == 60 and out["a"].response.endswith("x") and out["c"].error == "Error: down"
 
 
+def test_a_key_that_does_not_shrink_fails_alone(spark):
+    from quarry.operators.generate import NOT_SHORTER, merge_answers
+
+    def factory():
+        return lambda user, system, purpose, route: "z" * 140 if "long" in user or "z" in user else user[-60:]
+
+    rows = [("a", i, 4, f"part {i} " + "x" * 60, None) for i in range(4)] + [("b", i, 4, "long " + "y" * 100, None) for i in range(4)]
+    ans = spark.createDataFrame(rows, "source string, window long, n_windows long, response string, error string")
+    out = {r.source: r for r in merge_answers(ans, ["source"], "doc", factory, limit=150).collect()}
+    assert set(out) == {"a", "b"} and out["a"].error is None and len(out["a"].response) == 60
+    assert out["b"].error == NOT_SHORTER and out["b"].response is None
+
+
+def test_no_text_in_a_window_over_a_root(spark):
+    files = spark.createDataFrame([("r", "a.py")], "source string, rel_path string")
+    summ = spark.createDataFrame([("r", "a.py", "S" * 40)], "source string, rel_path string, summary string")
+    plan = CX.budget_prompt(files, summ)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window [" in line and ("tree" in line or "summaries" in line) for line in plan.split("\n"))
+
+
 def test_dedup_hits_keeps_first_probe_then_rank(spark):
     hits = spark.createDataFrame([
         (0, 1, "a.py", "same text" + "x" * 200), (0, 2, "b.py", "other"),

@@ -191,11 +191,68 @@ def test_two_streams_and_a_replay(spark, tmpdir_fresh):
         spark.createDataFrame([(file, 1.0, f"text of {file}", "put")], CHANGE_SCHEMA).coalesce(1).write.parquet(inp)
         update_from_stream(spark, store, inp, ck)
     assert {r.file for r in store.load().collect()} == {"a.py", "b.py", "c.py"} and len(store.versions()) == 3
-    os.remove(os.path.join(ck, "commits", "0"))  # as if the driver had died after publishing
+    for name in ("0", ".0.crc"):
+        os.remove(os.path.join(ck, "commits", name))  # as if the driver had died after publishing
     update_from_stream(spark, store, inp, ck)
     assert len(store.versions()) == 3 and store.load().count() == 3
 
 
+def test_two_writers_with_the_same_number(spark, tmpdir_fresh, monkeypatch):
+    """Both see the same versions; each gets a number of its own and none is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+    store = IndexStore(spark, os.path.join(tmpdir_fresh, "s"))
+    files = lambda *names: spark.createDataFrame([(n, 1.0, f"text {n}") for n in names], "path string, mtime double, content string")
+    store.save(build_index(files("a.py")))
+    monkeypatch.setattr(IndexStore, "_names", lambda self, *parts, plain=IndexStore._names: [n for n in plain(self, *parts) if parts != ("claims",)])
+
+    def write(i):
+        rows = build_index(files(f"w{i}.py"))
+        IndexStore(spark, store.path).save_delta(rows, rows.select("file"))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    assert store.versions() == [1, 2, 3, 4, 5]
+    assert {r.file for r in store.load().collect()} == {"a.py", *(f"w{i}.py" for i in range(4))}
+
+
+def test_each_distinct_text_is_embedded_once(spark, tmpdir_fresh):
+    """Over build, update and stream: moved, renamed and equal texts cost no call."""
+    from quarry.functions.embed import model_embedder
+    from quarry.plans.indexing import index_delta
+    from quarry.sinks.vector_cache import VectorCache
+    from quarry.streaming.index_updates import CHANGE_SCHEMA, update_from_stream
+    seen = os.path.join(tmpdir_fresh, "seen")
+    os.mkdir(seen)
+
+    def load():
+        def embed(texts):
+            for t in texts:
+                with open(os.path.join(seen, t), "a") as f:
+                    f.write("x")
+            return [[float(len(t)), float(t.count("e")), 1.0] for t in texts]
+        return embed
+
+    calls = lambda: {t: os.path.getsize(os.path.join(seen, t)) for t in os.listdir(seen)}
+    cache = VectorCache(spark, os.path.join(tmpdir_fresh, "vectors"), "fake", model_embedder(load))
+    store = IndexStore(spark, os.path.join(tmpdir_fresh, "store"))
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, mtime double, content string")
+    store.save(build_index(files(("a.py", 1.0, "one"), ("b.py", 1.0, "one"), ("c.py", 1.0, "three")), embed=cache))
+    assert calls() == {"one": 1, "three": 1}
+    # c moves to d, b changes to a's old text plus a new file
+    head = files(("a.py", 1.0, "one"), ("b.py", 2.0, "three"), ("d.py", 2.0, "three"), ("e.py", 2.0, "five"))
+    store.save_delta(*index_delta(store.load(), head, embed=cache))
+    assert calls() == {"one": 1, "three": 1, "five": 1}
+    inp = os.path.join(tmpdir_fresh, "in")
+    spark.createDataFrame([("a.py", 3.0, "five", "put"), ("f.py", 3.0, "six", "put"), ("g.py", 3.0, "six", "put")], CHANGE_SCHEMA).write.parquet(inp)
+    update_from_stream(spark, store, inp, os.path.join(tmpdir_fresh, "ck"), embed=cache)
+    assert calls() == {"one": 1, "three": 1, "five": 1, "six": 1}
+    got = {r.file: (r.text, tuple(r.embedding)) for r in store.load().collect()}
+    text = {"a.py": "five", "b.py": "three", "d.py": "three", "e.py": "five", "f.py": "six", "g.py": "six"}
+    assert got == {f: (t, (float(len(t)), float(t.count("e")), 1.0)) for f, t in text.items()}
+    hits = retrieve(store.load(), spark.createDataFrame([(1, "six")], "query_id int, text string"), 2, embed=cache).orderBy("rank").collect()
+    assert [h.file for h in hits] == ["f.py", "g.py"] and hits[0].distance == 0 and calls()["six"] == 1
+
+
 def test_ignored_files_are_not_indexed(spark):
     from quarry.operators.scan import ignore_patterns
     files = spark.createDataFrame([("r/a.py", None, "x"), ("r/gen/b.py", 1.0, "y"), ("q/gen/c.py", 1.0, "z")], "path string, mtime double, content string")

@@ -68,24 +68,65 @@ def test_zero_patches_change_nothing(spark):
     assert PT.apply_patches(p, f).count() == 0
 
 
-def _reference_split(chunks):
-    """The reasoning state machine as specified (independent of the engine)."""
-    thinking, final, flag = "", "", False
-    for c in chunks:
-        if "<think>" in c:
-            flag = True
-            c = c.replace("<think>", "")
-        if "</think>" in c:
-            flag = False
-            parts = c.split("</think>")
-            thinking += parts[0]
-            final += parts[1] if len(parts) > 1 else ""
-            continue
-        if flag:
-            thinking += c
-        else:
-            final += c
-    return thinking, final, flag
+def test_one_match_and_one_fold(spark):
+    from quarry.plans import catalog as C
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    parsed = plan(C.parsed_patches(spark, sf))
+    assert parsed.count("regexp_extract_all(") == 1
+    applied = plan(C.q_apply_patches(spark, sf))
+    assert applied.count("aggregate(") == 1 and applied.count("regexp_extract_all(") == 1
+
+
+def snapshot(spark, patches, files, **kw):
+    p = spark.createDataFrame(patches, "response_id long, patch_no int, file string, search string, replace string")
+    f = spark.createDataFrame(files, "path string, content string")
+    whole, results = PT.patch_snapshot(p, f, **kw)
+    return {r.path: (r.content, r.n_applied, r.n_failed) for r in whole.collect()}, \
+        {(r.response_id, r.patch_no): (r.file, r.applied, r.error is None, r.conflict) for r in results.collect()}
+
+
+def test_answers_to_one_file_meet_in_one_snapshot(spark):
+    """Answer 2 searches what answer 1 wrote; answer 3 what answer 1 removed."""
+    patches = [(2, 0, "a.py", "one!", "two"), (1, 0, "a.py", "zero", "one!"), (3, 0, "a.py", "zero", "never"), (3, 1, "b.py", "x  ", "y"),
+               (3, 2, "gone.py", "x", "y"), (4, 0, "a.py", "nowhere", "y")]
+    files = [("a.py", "zero\nend"), ("b.py", "x\nq"), ("untouched.py", "same"), ("empty.py", "")]
+    for per_round in (1000, 1, 2):
+        whole, results = snapshot(spark, patches, files, per_round=per_round)
+        assert whole == {"a.py": ("two\nend", 2, 2), "b.py": ("y\nq", 1, 0), "untouched.py": ("same", 0, 0), "empty.py": ("", 0, 0)}
+        assert results == {(1, 0): ("a.py", True, True, False), (2, 0): ("a.py", True, True, False), (3, 0): ("a.py", False, False, True),
+                           (3, 1): ("b.py", True, True, False), (3, 2): ("gone.py", False, False, False), (4, 0): ("a.py", False, False, False)}
+    assert snapshot(spark, [], files) == ({p: (c, 0, 0) for p, c in files}, {})
+
+
+def test_many_answers_to_one_hot_file(spark):
+    """Each answer counts one up; more of them than a round holds."""
+    patches = [(i, 0, "hot.py", f"n = {i}\n", f"n = {i + 1}\n") for i in range(60)] + [(100 + i, 0, f"f{i}.py", "a", "b") for i in range(20)]
+    files = [("hot.py", "n = 0\n")] + [(f"f{i}.py", "a a") for i in range(25)]
+    whole, results = snapshot(spark, patches, files, per_round=7)
+    assert whole["hot.py"] == ("n = 60\n", 60, 0) and len(results) == 80
+    assert {p: c[0] for p, c in whole.items() if p != "hot.py"} == {f"f{i}.py": "b a" if i < 20 else "a a" for i in range(25)}
+
+
+def test_normalised_text_is_that_of_split_lines(spark):
+    texts = ["", "a", "a \n b\t", "a\n\n", "\n", " \n ", "x  \r\ny\x0b z \x1c", "a\u00a0\u2028b \u3000", "\r\r\n\n", "q\x1f\x85", "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", PT._normalized(F.col("t")).alias("n")).collect()}
+    assert got == {i: "\n".join(x.rstrip() for x in t.splitlines()) for i, t in enumerate(texts)}
+
+
+def by_tag_positions(chunks):
+    """W3 from its rules alone: where the tags stand decides for every token
+    whether it closes, thinks or speaks. Returns both texts and the last flag."""
+    bare = [c.replace("<think>", "") for c in chunks]
+    closing = {i for i, c in enumerate(bare) if "</think>" in c}
+    opening = {i for i, c in enumerate(chunks) if "<think>" in c} - closing
+    latest = [max((k for k in opening | closing if k <= i), default=None) for i in range(len(chunks))]
+    thinks = [i for i, k in enumerate(latest) if k in opening]
+    sides = {i: (bare[i].split("</think>") + [""])[:2] for i in closing}
+    sides |= {i: (bare[i], "") if i in thinks else ("", bare[i]) for i in range(len(chunks)) if i not in closing}
+    thinking, final = ("".join(sides[i][k] for i in range(len(chunks))) for k in (0, 1))
+    return thinking, final, bool(chunks) and latest[-1] in opening
 
 
 STREAMS = {
@@ -106,7 +147,7 @@ def _tokens(spark):
 def test_split_reasoning_matches_state_machine(spark):
     got = {r.response_id: (r.thinking, r.final, r.is_thinking)
            for r in RS.split_reasoning(_tokens(spark)).collect()}
-    assert got == {k: _reference_split(v) for k, v in STREAMS.items()}
+    assert got == {k: by_tag_positions(v) for k, v in STREAMS.items()}
 
 
 def test_empty_stream_emits_nothing(spark):
@@ -132,7 +173,7 @@ def test_stream_final_state_equals_batch(spark, tmpdir_fresh):
         t, f = rebuilt.get(r.response_id, ("", ""))
         rebuilt[r.response_id] = (t + r.thinking_delta, f + r.final_delta)
     for k, v in STREAMS.items():
-        t, f, flag = _reference_split(v)
+        t, f, flag = by_tag_positions(v)
         assert last[k] == (len(t), len(f), flag)
         assert rebuilt[k] == (t, f)
 
@@ -175,30 +216,102 @@ def test_available_run_with_a_hole_equals_batch(spark, monkeypatch, tmpdir_fresh
     assert XR.waiting_tokens(spark, f"{tmpdir_fresh}/none").count() == 0
 
 
-def test_idle_response_gives_up_its_gap():
-    """After the idle time the early tokens are applied without the missing one."""
-    from quarry.streaming import reasoning as XR
+class Handle:
+    """State variables and timers of one key, kept in memory."""
+
+    class Value:
+        now = None
 
-    class State:
-        hasTimedOut, exists, get, idle = False, False, None, None
+        def get(self):
+            return self.now
 
         def update(self, value):
-            self.get, self.exists = value, True
+            self.now = value
+
+    class Map(dict):
+        def containsKey(self, key):
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    def __init__(self):
+        self.timers, self.kept = [], {}
+
+    def getValueState(self, name, schema, ttl):
+        return self.kept.setdefault(name, (self.Value(), ttl))[0]
+
+    def getMapState(self, name, key, value, ttl):
+        return self.kept.setdefault(name, (self.Map(), ttl))[0]
 
-        def setTimeoutDuration(self, ms):
-            self.idle = ms
+    def listTimers(self):
+        return list(self.timers)
 
-        def remove(self):
-            self.exists = False
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
 
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def test_idle_response_gives_up_its_gap_and_goes_on():
+    """After the idle time the early tokens are applied without the missing
+    one; tokens that come later continue there."""
+    import pandas as pd
+
+    from quarry.streaming import reasoning as XR
+    handle, step = Handle(), XR.Reasoning(XR.IDLE_MS)
+    step.init(handle)
+
+    def send(ms, *tokens):
+        rows = pd.DataFrame(tokens, columns=["seq", "chunk"])
+        return [r for out in step.handleInputRows((7,), iter([rows]), Clock(ms)) for r in out.itertuples()]
+
+    assert send(5, (1, "x<think>"), (3, "y</think>z")) == [] and send(6, (5, "v")) == []
+    assert handle.timers == [6 + XR.IDLE_MS] and set(handle.kept["early"][0]) == {(1,), (3,), (5,)}
+    (out,) = step.handleExpiredTimer((7,), Clock(0), None)
+    assert out.seq.tolist() == [1, 3, 5] and out.final_delta.tolist() == ["", "z", "v"] and out.thinking_delta.tolist() == ["x", "y", ""]
+    assert not handle.kept["early"][0] and handle.kept["head"][1] == XR.KEEP_MS
+    later = send(9, (3, "replay"), (7, "late"), (6, "w"))
+    assert [(r.seq, r.final_delta, r.thinking_len, r.final_len, r.is_thinking) for r in later] == [(6, "w", 2, 3, False), (7, "late", 2, 7, False)]
+    assert list(step.handleExpiredTimer((7,), Clock(0), None)) == []
+
+
+def test_a_batch_touches_only_its_own_tokens():
+    """The cost of a batch follows its tokens, however many others wait."""
     import pandas as pd
-    state, step = State(), XR._advance(XR.IDLE_MS)
-    assert list(step((7,), iter([pd.DataFrame({"seq": [1, 3], "chunk": ["x", "y</think>z"]})]), state)) == []
-    assert state.idle == XR.IDLE_MS
-    state.hasTimedOut = True
-    out = next(step((7,), iter([]), state))
-    assert out.seq.tolist() == [1, 3] and out.final_delta.tolist() == ["x", "z"] and out.thinking_delta.tolist() == ["", "y"]
-    assert not state.exists
+
+    from quarry.streaming import reasoning as XR
+    handle, step = Handle(), XR.Reasoning(None)
+    step.init(handle)
+    touched = []
+    for name in ("containsKey", "getValue", "updateValue", "removeKey", "iterator"):
+        plain = getattr(Handle.Map, name)
+        setattr(step.early, name, lambda *a, plain=plain: (touched.append(a), plain(step.early, *a))[1])
+    waiting = pd.DataFrame({"seq": range(100, 1100), "chunk": "x"})
+    assert list(step.handleInputRows((1,), iter([waiting]), Clock(0))) == [] and len(step.early) == 1000
+    touched.clear()
+    (out,) = step.handleInputRows((1,), iter([pd.DataFrame({"seq": [0, 1], "chunk": ["a", "b"]})]), Clock(0))
+    assert out.seq.tolist() == [0, 1] and len(touched) <= 6 and len(step.early) == 1000
+    (out,) = step.handleInputRows((1,), iter([pd.DataFrame({"seq": list(range(2, 100)), "chunk": "y"})]), Clock(0))
+    assert out.seq.tolist() == list(range(2, 1100)) and not step.early and step.head.get()[0] == 1100
 
 
 def test_lines_into_reasoning(spark, tmpdir_fresh):

@@ -4,6 +4,7 @@ import fnmatch
 import os
 from pathlib import PurePosixPath
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry import constants as K
@@ -155,3 +156,87 @@ def test_bracket_patterns_in_spark(spark):
 
 def test_missing_ignore_file_has_no_lines(spark, tmpdir_fresh):
     assert SC.read_ignore_files(spark, [os.path.join(tmpdir_fresh, "nope", ".gitignore")]).count() == 0
+
+
+def _ignored(path, globs):
+    return any(fnmatch.fnmatchcase(n, g) for g in globs for n in (path, path.split("/")[-1], path + "/"))
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_pattern_index_equals_fnmatch(spark, monkeypatch, most):
+    """Texts, prefixes, suffixes and the rest, as sets and as a join."""
+    import random
+    monkeypatch.setattr(SC, "MAX_GLOBAL_PATTERNS", most)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("ab.é", k=rng.randint(1, 3)))
+    files = sorted({"/".join(word() for _ in range(rng.randint(1, 3))) for _ in range(300)})
+    for _ in range(3):
+        globs = [rng.choice(["{}", "*{}", "{}*", "*{}*", "{}/", "*/{}", "{}/*", "?{}", "[ab]{}", "{}/{}"]).format(word(), word()) for _ in range(12)]
+        pats = SC.ignore_patterns(spark, spark.createDataFrame([(g,) for g in globs], "line string"))
+        kept = {r.path for r in SC.drop_ignored(spark.createDataFrame([(f,) for f in files], "path string"), pats).collect()}
+        clean = [g.strip() for g in globs]
+        assert kept == {f for f in files if not _ignored(f, clean)} and 0 < len(kept) < len(files)
+
+
+def test_a_hundred_thousand_patterns_are_looked_up(spark):
+    """No alternation is left to scan: the filters are sets."""
+    lines = spark.range(100_000).selectExpr("concat(case id % 3 when 0 then '*.x' when 1 then 'gen/' else 'f' end, id, case id % 3 when 1 then '/*' else '' end) as line")
+    files = spark.createDataFrame([("a/b.x3",), ("a/b.x4",), ("gen/1/q.py",), ("gen/2/q.py",), ("s/f5",), ("s/f6",)], "path string")
+    kept = SC.drop_ignored(files, SC.ignore_patterns(spark, lines))
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    assert sorted(r.path for r in kept.collect()) == ["a/b.x4", "gen/2/q.py", "s/f6"]
+    assert "RLIKE" not in plan.toString()
+
+
+def _tree(root, layout):
+    for rel, data in layout.items():
+        os.makedirs(os.path.join(root, os.path.dirname(rel)), exist_ok=True)
+        with open(os.path.join(root, rel), "wb") as f:
+            f.write(data)
+
+
+def test_pruned_listing_opens_no_ignored_folder(spark, tmpdir_fresh):
+    from quarry.sources.listing import list_tree, read_pruned_tree
+    _tree(tmpdir_fresh, {"src/a.py": b"x\r\ny", "src/deep/er/b.PY": b"\xff", "top.md": b"t", "src/empty.py": b"", "data.bin": b"\x00",
+                         "node_modules/m.js": b"1", "src/vendor/v.py": b"v", "gen/out/g.py": b"g", "gen/keep.txt": b"k", "docs/d.md": b"d"})
+    os.symlink(tmpdir_fresh, os.path.join(tmpdir_fresh, "node_modules", "loop"))  # a listing of it would never end
+    os.symlink("nowhere", os.path.join(tmpdir_fresh, "src", "gone.py"))
+    pats = SC.ignore_patterns(spark, spark.createDataFrame([("gen/out/*",), ("docs/",), ("*.bin",)], "line string"))
+    files, folders = list_tree(spark, tmpdir_fresh, patterns=pats)
+    assert {r.path for r in folders.collect()} == {"", "src", "src/deep", "src/deep/er", "gen", "docs"}
+    assert {r.path for r in files.collect()} == {"src/a.py", "src/deep/er/b.PY", "top.md", "src/empty.py", "data.bin", "gen/keep.txt", "docs/d.md"}
+    # the same rows as the whole listing, without what is ignored, and with the empty file
+    rows = lambda df: {r.path: (r.mtime, r.content, r.n_bytes, r.source) for r in df.collect()}
+    os.remove(os.path.join(tmpdir_fresh, "node_modules", "loop"))
+    whole = rows(SC.scan_index_files(read_tree(spark, tmpdir_fresh)))
+    pruned = rows(SC.scan_index_files(read_pruned_tree(spark, tmpdir_fresh)))
+    assert pruned.pop("src/empty.py")[1:3] == ("", 0) and pruned == whole and "src/a.py" in whole
+    assert rows(read_pruned_tree(spark, os.path.join(tmpdir_fresh, "src", "deep", "er"), extensions=[".md"])) == {}
+
+
+def test_progress_rises_while_embedding(spark, tmpdir_fresh):
+    """Counts come before the job has ended."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quarry.functions.embed import model_embedder
+    from quarry.operators.progress import EmbedProgress, count_chunks
+    from quarry.plans.indexing import build_index
+    from quarry.sinks.index_store import IndexStore
+
+    def load():
+        def embed(texts):
+            time.sleep(0.3)
+            return [[1.0] for _ in texts]
+        return embed
+
+    files = spark.range(64).select(F.format_string("r/f%d.py", "id").alias("path"), F.lit(1.0).alias("mtime"), F.lit("text").alias("content")).repartition(64, "path")
+    told, store = [], IndexStore(spark, os.path.join(tmpdir_fresh, "s"))
+    total = count_chunks(files)
+    with EmbedProgress(spark, total, lambda n, of: told.append((n, of, store.exists())), model_embedder(load), every=0.05) as p:
+        store.save(build_index(files, embed=p.embed))
+    assert total == 64 and told[-1][:2] == (64, 64) and all(of == 64 for _, of, _ in told)
+    counts = [n for n, _, _ in told]
+    assert counts == sorted(set(counts)) and sum(not there for _, _, there in told) >= 2
+    assert store.load().where("embedding = array(1.0f)").count() == 64
