@@ -25,7 +25,7 @@ from quarry.operators import responses as RS  # noqa: E402
 from quarry.operators import scan as SC  # noqa: E402
 from quarry.operators.knn import knn  # noqa: E402
 from quarry.plans import catalog as C  # noqa: E402
-from quarry.plans.indexing import build_index, index_delta, retrieve  # noqa: E402
+from quarry.plans.indexing import build_index, index_delta  # noqa: E402
 from quarry.session import build_session, scratch_path  # noqa: E402
 from quarry.sinks.index_store import IndexStore  # noqa: E402
 from quarry.sources import corpus_views as V  # noqa: E402
@@ -51,7 +51,7 @@ def main():
 
     store = IndexStore(spark, scratch_path(spark, "bench-index"))
     timed("build_index", lambda: store.save(build_index(V.files_base(spark, sf_dir))))
-    timed("retrieve", lambda: run(retrieve(store.load(), C.benchmark_questions(spark, sf_dir), K.TOP_K)))
+    timed("retrieve", lambda: run(store.search(C.benchmark_questions(spark, sf_dir), K.TOP_K)))
     timed("update_index", lambda: store.save_delta(*index_delta(store.load(), V.files_head(spark, sf_dir))))
     timed("knn_embeddings", lambda: run(knn(table(spark, sf_dir, "embeddings"),
                                            C.label_exemplars(spark, sf_dir), K.TOP_K, keys=["vec_id"])))

@@ -12,6 +12,7 @@ from quarry.operators.chunking import chunk_text
 from quarry.operators.knn import knn
 from quarry.operators.knn_join import knn_join
 from quarry.operators.scan import scan_index_files
+from quarry.sinks.tables import write_snapshot
 from quarry.sinks.vector_cache import VectorCache
 
 
@@ -112,12 +113,15 @@ def root_of(path: Column) -> Column:
 
 
 def retrieve(index: DataFrame, queries: DataFrame, k: int = K.TOP_K,
-             text_col: str = "text", dim: int = K.EMBED_DIM, embed=None, index_root: Column | None = None) -> DataFrame:
+             text_col: str = "text", dim: int = K.EMBED_DIM, embed=None, index_root: Column | None = None,
+             files_of=None) -> DataFrame:
     """E1 on the questions -> J1 -> J2 -> T9.
 
     ``hits(query_id, rank, file, chunk_index, text, distance, score)``. With
     ``index_root`` (an expression over the index, e.g. ``root_of("file")``)
-    each query is answered from the files of its own ``root`` only.
+    each query is answered from the files of its own ``root`` only. ``files_of``
+    gives the index rows of named files (``IndexStore.load_files``), so that
+    texts are read for the hits' files only; the hits are written then.
     """
     keys = ["file", "chunk_index"]
     if index_root is None:
@@ -125,6 +129,9 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = K.TOP_K,
     else:
         hits = knn_join(index, embed_queries(queries, text_col, dim, embed, ("root",)), k, keys,
                         corpus_group=index_root, query_group=F.col("root"))
+    if files_of is not None:
+        hits = write_snapshot(hits, "hits")
+        index = files_of(hits.select("file"))
     joined = index.select(*keys, "text").join(hits, keys, "inner")
     return joined.select(
         "query_id", "rank", "file", "chunk_index", "text", "distance",

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.plans.indexing import changes_to_delta
 from quarry.sinks.index_store import IndexStore
@@ -41,7 +42,8 @@ def update_from_stream(spark: SparkSession, store: IndexStore, input_dir: str, c
             return
         batch = batch.persist()
         try:
-            rows, gone = changes_to_delta(store.load(), batch, embed=embed, patterns=patterns)
+            old = store.load_files(batch.select(F.col("path").alias("file")))  # opens what can hold them
+            rows, gone = changes_to_delta(old, batch, embed=embed, patterns=patterns)
             store.save_delta(rows, gone, tag=tag)
         finally:
             batch.unpersist()
