@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.files import qualified
+from quarry.sources.shared import file_system, listed, publish
 
 #: Parts of a log. A task holds the keys of the parts dealt to it.
 SLICES = 1024
@@ -34,28 +35,6 @@ SCHEMA = "key string, response string, error string, at double"
 _ARROW = pa.schema([("key", pa.string()), ("response", pa.string()), ("error", pa.string()), ("at", pa.float64())])
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a qualified path, and the path within it."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
-def listed(fs: pafs.FileSystem, folder: str) -> list[str]:
-    """Complete files of a folder, in order of name; none if it is missing."""
-    found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-    return sorted(f.path for f in found if f.is_file and not f.base_name.startswith((".", "_")))
-
-
-def publish(fs: pafs.FileSystem, folder: str, name: str, data: bytes) -> None:
-    """Write a file that appears under its name when it is complete."""
-    fs.create_dir(folder, recursive=True)
-    hidden = f"{folder}/.{name}"
-    with fs.open_output_stream(hidden) as out:
-        out.write(data)
-    fs.move(hidden, f"{folder}/{name}")
-
-
 class AnswerLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")

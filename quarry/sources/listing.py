@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from quarry import constants as K
 from quarry.functions import paths as P
 from quarry.operators.scan import ignored_dirs, read_text
-from quarry.sinks.answer_log import file_system
 from quarry.sinks.tables import write_snapshot
 from quarry.sources.files import qualified
+from quarry.sources.shared import file_system
 
 #: Content that one reading task gets, about.
 READ_BYTES = 64 << 20

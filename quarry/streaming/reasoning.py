@@ -20,109 +20,28 @@ state can be rebuilt from the rows. Keyed state needs the RocksDB store, which
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quarry import constants as K
 from quarry.operators.responses import parsed_line, parse_response_lines
+from quarry.streaming import reasoning_state
+from quarry.streaming.reasoning_state import KEEP_MS, Reasoning, rows_of
 
-HEAD_SCHEMA = "next_seq long, flag boolean, thinking_len long, final_len long, n_early long"
 OUT_SCHEMA = ("response_id long, seq long, thinking_delta string, final_delta string, "
               "thinking_len long, final_len long, is_thinking boolean")
 TOKEN_SCHEMA = "response_id long, seq long, chunk string"
-#: Default idle time after which early tokens wait no longer, and the time for
-#: which the place in a response is kept.
-IDLE_MS, KEEP_MS = 600_000, 7 * 86_400_000
-
-
-def added_pieces(chunks: pd.Series, flag: bool) -> pd.DataFrame:
-    """What each of the ordered chunks adds to either part, and the flag after
-    it, given the flag before the first: W3's columns over one batch."""
-    opens = chunks.str.contains(K.THINK_OPEN, regex=False)
-    text = chunks.str.replace(K.THINK_OPEN, "", regex=False)
-    sides = text.str.split(K.THINK_CLOSE, regex=False)
-    closes = sides.str.len() > 1
-    after = pd.Series(np.select([closes, opens], [0.0, 1.0], np.nan), index=chunks.index).ffill().fillna(float(flag)) == 1.0
-    inside = opens | after.shift(fill_value=flag)
-    left = sides.str[0]
-    return pd.DataFrame({
-        "thinking_delta": left.where(closes | inside, ""),
-        "final_delta": sides.str[1].where(closes, left.where(~inside, "")),
-        "is_thinking": after,
-    })
-
-
-def _rows_of(response_id, ready: dict[int, str], flag: bool, n_think: int, n_final: int) -> pd.DataFrame:
-    out = added_pieces(pd.Series(list(ready.values()), dtype=object), flag)
-    out.insert(0, "response_id", response_id)
-    out.insert(1, "seq", list(ready))
-    out["thinking_len"] = n_think + out.thinking_delta.str.len().cumsum()
-    out["final_len"] = n_final + out.final_delta.str.len().cumsum()
-    return out[["response_id", "seq", "thinking_delta", "final_delta", "thinking_len", "final_len", "is_thinking"]]
-
-
-class Reasoning(StatefulProcessor):
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        ttl = KEEP_MS if self.idle_ms else None
-        self.head = handle.getValueState("head", HEAD_SCHEMA, ttl)
-        self.early = handle.getMapState("early", "seq long", "chunk string", ttl)
-
-    def _take(self, seq: int) -> str:
-        chunk = self.early.getValue((seq,))[0]
-        self.early.removeKey((seq,))
-        return chunk
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        following, flag, n_think, n_final, n_early = self.head.get() or (0, False, 0, 0, 0)
-        new: dict[int, str] = {}
-        for pdf in rows:
-            pdf = pdf[pdf.seq >= following]
-            new.update(zip(pdf.seq.tolist(), pdf.chunk.fillna("").tolist()))
-        ready: dict[int, str] = {}
-        while True:
-            waits = n_early > 0 and self.early.containsKey((following,))
-            if not waits and following not in new:
-                break
-            waiting = self._take(following) if waits else None
-            n_early -= waits
-            ready[following] = new.pop(following, waiting)
-            following += 1
-        for seq, chunk in new.items():
-            n_early += n_early == 0 or not self.early.containsKey((seq,))
-            self.early.updateValue((seq,), (chunk,))
-        if ready:
-            out = _rows_of(key[0], ready, flag, n_think, n_final)
-            n_think, n_final, flag = (out[c].iloc[-1].item() for c in ("thinking_len", "final_len", "is_thinking"))
-        self.head.update((following, flag, n_think, n_final, n_early))
-        if self.idle_ms:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        if ready:
-            yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        following, flag, n_think, n_final, n_early = self.head.get() or (0, False, 0, 0, 0)
-        if n_early:
-            waiting = dict(sorted((s[0], c[0]) for s, c in self.early.iterator()))
-            out = _rows_of(key[0], waiting, flag, n_think, n_final)
-            last = out.iloc[-1]
-            self.early.clear()
-            self.head.update((int(last.seq) + 1, bool(last.is_thinking), int(last.thinking_len), int(last.final_len), 0))
-            yield out
-
-    def close(self) -> None:
-        pass
+#: Default idle time after which early tokens wait no longer.
+IDLE_MS = 600_000
+TAGS = (K.THINK_OPEN, K.THINK_CLOSE)
+
+
+def processor(idle_ms: int | None) -> Reasoning:
+    return Reasoning(idle_ms, TAGS)
 
 
 def split_reasoning_stream(tokens: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
@@ -133,8 +52,9 @@ def split_reasoning_stream(tokens: DataFrame, idle_ms: int | None = IDLE_MS) ->
     runs, which end when the input is drained. What then still waits behind a
     missing ``seq`` is in ``waiting_tokens``.
     """
+    cloudpickle.register_pickle_by_value(reasoning_state)  # Spark also starts it where the package is not
     return tokens.groupBy("response_id").transformWithStateInPandas(
-        Reasoning(idle_ms), OUT_SCHEMA, "Append", "ProcessingTime" if idle_ms else "None")
+        processor(idle_ms), OUT_SCHEMA, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def waiting_tokens(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -151,7 +71,7 @@ def waiting_tokens(spark: SparkSession, checkpoint: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, first = pdf.sort_values("seq"), pdf.iloc[0]
-        return _rows_of(first.response_id, dict(zip(pdf.seq.tolist(), pdf.chunk.tolist())), bool(first.flag), int(first.thinking_len), int(first.final_len))
+        return rows_of(first.response_id, dict(zip(pdf.seq.tolist(), pdf.chunk.tolist())), bool(first.flag), int(first.thinking_len), int(first.final_len), TAGS)
 
     return early.join(head, "response_id").groupBy("response_id").applyInPandas(run, OUT_SCHEMA)
 

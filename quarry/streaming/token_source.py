@@ -13,20 +13,16 @@ No server and no port: the generator is called in the tasks.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from quarry.operators.generate import GeneratorFactory, token_pieces
+from quarry.operators.generate import GeneratorFactory
 from quarry.operators.routing import route_model, routes
-from quarry.sinks.answer_log import file_system, listed
+from quarry.sources import shared
 from quarry.sources.files import qualified
+from quarry.streaming import token_reader
 
-#: Prompts that one task asks for.
-PROMPTS_PER_TASK = 16
 FIELDS = ["model", "num_ctx", "num_predict"]
 
 
@@ -43,82 +39,16 @@ class PromptQueue:
 
     def add(self, prompts: DataFrame, route_table: DataFrame | None = None) -> None:
         routed = route_model(prompts, routes(self.spark) if route_table is None else route_table)
-        fs, at = file_system(self.uri)
-        batch = f"batch={len(folders(fs, at, complete=False)):06d}-{uuid.uuid4().hex[:8]}"
+        fs, at = shared.file_system(self.uri)
+        batch = f"batch={len(token_reader.folders(fs, at, complete=False)):06d}-{uuid.uuid4().hex[:8]}"
         routed.selectExpr("cast(response_id as long) response_id", "purpose", "system", "user", *FIELDS).write.parquet(f"{self.path}/{batch}")
 
 
-def folders(fs: pafs.FileSystem, at: str, complete: bool = True) -> list[str]:
-    """Batches of a queue in order; complete ones have Spark's marker."""
-    found = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
-    names = sorted(f.path for f in found if f.base_name.startswith("batch="))
-    return [n for n in names if fs.get_file_info(f"{n}/_SUCCESS").is_file] if complete else names
-
-
-class Prompts(InputPartition):
-    def __init__(self, file: str, first: int, last: int):
-        self.file, self.first, self.last = file, first, last
-
-
-class TokenReader(DataSourceStreamReader):
-    def __init__(self, uri: str, generator: GeneratorFactory):
-        self.uri, self.generator = uri, generator
-        self.sizes: dict[str, int] = {}
-
-    def _files(self) -> list[tuple[str, int]]:
-        fs, at = file_system(self.uri)
-        out = []
-        for folder in folders(fs, at):
-            for file in listed(fs, folder):
-                if file not in self.sizes:
-                    self.sizes[file] = pq.read_metadata(file, filesystem=fs).num_rows
-                out.append((file, self.sizes[file]))
-        return out
-
-    def initialOffset(self) -> dict:
-        return {"responses": 0}
-
-    def latestOffset(self) -> dict:
-        return {"responses": sum(n for _, n in self._files())}
-
-    def partitions(self, start: dict, end: dict) -> list[Prompts]:
-        out, at = [], 0
-        for file, n in self._files():
-            lo, hi = max(0, start["responses"] - at), min(n, end["responses"] - at)
-            out += [Prompts(file, a, min(a + PROMPTS_PER_TASK, hi)) for a in range(lo, hi, PROMPTS_PER_TASK)]
-            at += n
-        return out
-
-    def read(self, partition: Prompts) -> Iterator[tuple]:
-        fs, _ = file_system(self.uri)
-        rows = pq.read_table(partition.file, filesystem=fs).slice(partition.first, partition.last - partition.first).to_pylist()
-        call = self.generator()
-        for r in sorted(rows, key=lambda r: r["model"]):  # one switch per model
-            try:
-                for seq, piece in enumerate(token_pieces(call, r["user"], r["system"], r["purpose"], {f: r[f] for f in FIELDS})):
-                    yield r["response_id"], seq, piece
-            except Exception:
-                continue  # the pieces given stay; the response ends here
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
 def token_stream(queue: PromptQueue, generator: GeneratorFactory) -> DataFrame:
     """The streaming frame ``(response_id, seq, chunk)`` over all prompts that
     are, or will be, in the queue. A response without text has no rows."""
-    uri, kind = queue.uri, f"quarry_tokens_{uuid.uuid4().hex[:8]}"
-
-    class Tokens(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return kind
-
-        def schema(self) -> str:
-            return "response_id long, seq long, chunk string"
-
-        def streamReader(self, schema) -> TokenReader:
-            return TokenReader(uri, generator)
-
-    queue.spark.dataSource.register(Tokens)
+    kind = f"quarry_tokens_{uuid.uuid4().hex[:8]}"
+    for module in (shared, token_reader):
+        cloudpickle.register_pickle_by_value(module)
+    queue.spark.dataSource.register(token_reader.source_of(kind, queue.uri, cloudpickle.dumps(generator), FIELDS))
     return queue.spark.readStream.format(kind).load()

@@ -277,7 +277,7 @@ def test_idle_response_gives_up_its_gap_and_goes_on():
     import pandas as pd
 
     from quarry.streaming import reasoning as XR
-    handle, step = Handle(), XR.Reasoning(XR.IDLE_MS)
+    handle, step = Handle(), XR.processor(XR.IDLE_MS)
     step.init(handle)
 
     def send(ms, *tokens):
@@ -299,7 +299,7 @@ def test_a_batch_touches_only_its_own_tokens():
     import pandas as pd
 
     from quarry.streaming import reasoning as XR
-    handle, step = Handle(), XR.Reasoning(None)
+    handle, step = Handle(), XR.processor(None)
     step.init(handle)
     touched = []
     for name in ("containsKey", "getValue", "updateValue", "removeKey", "iterator"):
