@@ -150,6 +150,10 @@ def drop_ignored(files: DataFrame, patterns: DataFrame, path_col: str = "path",
     return j.where(keep).drop("_root", "_rx")
 
 
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _drop_globally(files: DataFrame, patterns: DataFrame, path_col: str) -> DataFrame:
     names = _names_of(F.col(path_col))
     short = patterns.select("kind", "literal", "regex").limit(MAX_GLOBAL_PATTERNS + 1).collect()
@@ -158,9 +162,10 @@ def _drop_globally(files: DataFrame, patterns: DataFrame, path_col: str) -> Data
         for r in short:
             if r.kind != "regex":
                 sets.setdefault((r.kind, 0 if r.kind == "exact" else len(r.literal)), set()).add(r.literal)
-        for (kind, n), literals in sorted(sets.items()):
-            hits = [(name if kind == "exact" else _cut(name, kind, n)).isin(*sorted(literals)) for name in names]
-            files = files.where(~F.coalesce(hits[0] | hits[1] | hits[2], F.lit(False)))
+        if sets:
+            part = {"exact": "n", "prefix": "left(n, {0})", "suffix": "right(n, {0})"}
+            hits = [f"exists(_names, n -> {part[kind].format(n)} IN ({', '.join(map(_sql_text, sorted(literals)))}))" for (kind, n), literals in sorted(sets.items())]
+            files = files.withColumn("_names", F.array(*names)).where(F.expr(f"NOT coalesce({' OR '.join(hits)}, false)")).drop("_names")
         regexes = sorted({r.regex for r in short if r.kind == "regex"})
     else:
         literals = patterns.where("kind <> 'regex'").select("kind", "literal").distinct()

@@ -168,7 +168,7 @@ def test_pattern_index_equals_fnmatch(spark, monkeypatch, most):
     import random
     monkeypatch.setattr(SC, "MAX_GLOBAL_PATTERNS", most)
     rng = random.Random(2)
-    word = lambda: "".join(rng.choices("ab.é", k=rng.randint(1, 3)))
+    word = lambda: "".join(rng.choices("ab.é'\\\\", k=rng.randint(1, 3)))
     files = sorted({"/".join(word() for _ in range(rng.randint(1, 3))) for _ in range(300)})
     for _ in range(3):
         globs = [rng.choice(["{}", "*{}", "{}*", "*{}*", "{}/", "*/{}", "{}/*", "?{}", "[ab]{}", "{}/{}"]).format(word(), word()) for _ in range(12)]
