@@ -84,6 +84,9 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv_col: s
     repeated rows have one result; every row is a turn. NULL text is empty, a
     NULL role is the role ``""``, a NULL conv_id is a conversation of its own.
     Roles without a mark use the template's ``other`` mark and are not valid.
+    No rows give no rows. A conversation is one row of one task, which bounds
+    its size by the memory of a task (and by 2 GB). Other columns are dropped,
+    whatever their name.
     """
     t = template or Template()
     rows = turns.select(

@@ -242,8 +242,10 @@ def _average(copies: DataFrame, tasks: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> Network:
-    """Train a network on all documents. Without words it stays at its start.
-    ``counts`` are their ``word_counts``, which are made if not given."""
+    """Train a network on all documents, whole texts of any length. Without
+    words it stays at its start. ``counts`` are their ``word_counts``, which are
+    made if not given. NULL texts have no words, repeated rows count each; other
+    columns do not matter, whatever their name."""
     src = texts(docs, id_col, text_col)
     sc = src.sparkSession.sparkContext
     if counts is None:
@@ -284,7 +286,8 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
     With the ``word_counts`` of the corpus, ``log_prob`` is that of the words;
     without, of their classes alone. A hashed class of N words leaves a share
-    of 1 / (N + 1) to words that the corpus does not have.
+    of 1 / (N + 1) to words that the corpus does not have. Long texts are read
+    whole, each in one task; other columns do not matter, whatever their name.
     """
     src = texts(docs, id_col, text_col)
     sc = src.sparkSession.sparkContext

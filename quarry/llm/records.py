@@ -237,7 +237,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     ``path`` must be on storage that the driver and all executors share. NULL
     texts are empty; every record ends with ``end_id``. NULL doc_ids come
     first; rows of one doc_id are ordered by their text, repeated rows keep one
-    record each. An empty table writes an empty index.
+    record each. An empty table writes an empty index. Texts of any length are
+    one record, made in one task; other columns do not matter, whatever their
+    name.
     """
     spark = docs.sparkSession
     src = texts(docs, id_col, text_col)

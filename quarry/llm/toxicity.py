@@ -375,7 +375,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document's ``doc_id``, ``kept`` (see ``texts``; if asked for) and
     ``score`` between 0 and 1. NULL and empty texts score as texts without a
-    match; repeated rows keep one row each; no rows give no rows."""
+    match; repeated rows keep one row each; no rows give no rows. Long texts are
+    read whole, each in one task. Columns not in ``keep`` do not matter,
+    whatever their name."""
     src = texts(docs, id_col, text_col, keep)
     extra = [c for c in src.columns if c != "text"]
     total = sum((F.col("f")[i] * F.lit(w) for i, w in enumerate(model.weights)), F.lit(0.0))
