@@ -113,15 +113,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text with the last quarter
     replaced by the beginning of the next document, and their likeness."""
-    docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    rows = fingerprints.fingerprint(docs, {"fingerprint": F.col("text")}, {"doc_id": F.col("doc_id"), "text": F.col("text")})
+    rows = fingerprints.with_next(rows, fingerprints.text_ranges(docs), carry=("fingerprint",))
     n = F.length("text")
     moved = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - moved), F.substr("next_text", F.lit(1), moved))
-    out = fingerprints.fingerprint(
-        docs, {"fingerprint": F.col("text"), "edited_fingerprint": edited, "next_fingerprint": F.col("next_text")},
-        {"doc_id": F.col("doc_id"), "n_chars": n.cast("long"), "edited_sha256": sha256_text(edited)})
+    keep = {c: F.col(c) for c in ("doc_id", "fingerprint", "next_fingerprint")}
+    out = fingerprints.fingerprint(rows, {"edited_fingerprint": edited}, {**keep, "n_chars": n.cast("long"), "edited_sha256": sha256_text(edited)})
     near = lambda other: fingerprints.likeness(F.col("fingerprint"), F.col(other))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    text = lambda c: fingerprints.as_text(F.col(c)).alias(c)
+    return out.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"),
                       near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
 
 
