@@ -186,5 +186,7 @@ def knn_join(corpus: DataFrame, queries: DataFrame, k: int, keys: list[str], vec
         return best.assign(query_id=ids[best["_q"].to_numpy()])[names]
 
     by = ["_g", "pivot", "bc", "bq"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(cell, cand_schema)
+    # a stated number of partitions: cells take long for their bytes, and Spark would join small ones to few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = left.repartition(tasks, *by).groupBy(*by).cogroup(right.repartition(tasks, *by).groupBy(*by)).applyInPandas(cell, cand_schema)
     return merge_top_k(found, keys, k)

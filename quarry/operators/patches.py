@@ -116,6 +116,13 @@ def _fold(start: Column, patches: Column, id_type: str | None = None) -> Column:
     return F.aggregate(patches, init, merge)
 
 
+def _by_file(patches: DataFrame) -> DataFrame:
+    """Patches dealt by file, which is what they are grouped and joined by. The
+    number of partitions is stated, as folding takes long for its bytes: Spark
+    would join small partitions to few tasks."""
+    return patches.repartition(int(patches.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+
+
 def apply_patches(patches: DataFrame, files: DataFrame, key: str = "response_id") -> DataFrame:
     """Fold the patches of each (answer, file) in order. The patches are
     grouped first, so a file's text joins its group once, not each patch.
@@ -127,7 +134,7 @@ def apply_patches(patches: DataFrame, files: DataFrame, key: str = "response_id"
     ``array<struct<patch_no, applied, error>>`` in patch order; ``content`` is
     NULL for missing files.
     """
-    grouped = patches.groupBy(key, "file").agg(
+    grouped = _by_file(patches).groupBy(key, "file").agg(
         F.array_sort(F.collect_list(F.struct("patch_no", "search", "replace"))).alias("_p"))
     grouped = grouped.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
     folded = grouped.select(key, "file", _fold(F.struct("content", "file"), F.col("_p")).alias("_f"))
@@ -162,7 +169,7 @@ def patch_snapshot(patches: DataFrame, files: DataFrame, key: str = "response_id
     state = files.select(F.col("path").alias("file"), "content", F.col("content").alias("original"))
     done, results = [], []
     for r in range(last + 1):
-        mine = grouped.where(F.col("round") == r).select("file", "_p")
+        mine = _by_file(grouped.where(F.col("round") == r).select("file", "_p"))
         start = F.struct("content", "file", "original")
         folded = mine.join(state, "file", "left").select("file", "original", _fold(start, F.col("_p"), id_type).alias("_f"))
         folded = write_snapshot(folded.select("file", "original", F.col("_f.content").alias("content"), F.col("_f.res").alias("res")), "patched")

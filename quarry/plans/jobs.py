@@ -70,6 +70,7 @@ def with_context(df: DataFrame, index: DataFrame | None, query: F.Column, keys:
     if index is None:
         return df.withColumn("context", F.lit(None).cast("string"))
     keyed = df.withColumn("query_id", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))
+    keyed = write_snapshot(keyed, "asked")  # read for the questions and again for the prompts
     asked = keyed.select("query_id", query.alias("text"), (F.col("source") if root is None else root).alias("root"))
     ctx = CX.context_block(retrieve(index, asked, k, index_root=root_of(F.col("file")))).select("query_id", "context")
     return keyed.join(ctx, "query_id", "left").drop("query_id")
