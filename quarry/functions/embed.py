@@ -20,9 +20,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 
 from quarry import constants as K
 
@@ -57,23 +59,19 @@ def _bucket_of(dim: int):
 
 
 def _densify(dim: int):
-    @pandas_udf("array<float>")
-    def densify(tokens: pd.Series) -> pd.Series:
-        bucket = _bucket_of(dim)
-        n = len(tokens)
-        lens = tokens.map(len).to_numpy()
-        if n == 0 or lens.sum() == 0:
-            return pd.Series([np.zeros(dim, np.float32) for _ in range(n)])
-        flat = np.concatenate([np.asarray(t, dtype=object) for t in tokens.to_numpy()])
-        codes, uniques = pd.factorize(flat)
-        ub = np.fromiter((bucket(t) for t in uniques), dtype=np.int64, count=len(uniques))
+    @arrow_udf("array<float>")
+    def densify(tokens: pa.Array) -> pa.Array:
+        bucket, n = _bucket_of(dim), len(tokens)
+        lens = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        numbered = tokens.flatten().dictionary_encode()  # each distinct token is hashed once
+        ub = np.fromiter(map(bucket, numbered.dictionary.to_pylist()), np.int64, len(numbered.dictionary))
         rows = np.repeat(np.arange(n), lens)
-        counts = np.bincount(rows * dim + ub[codes], minlength=n * dim)
+        counts = np.bincount(rows * dim + ub[numbered.indices.to_numpy()], minlength=n * dim)
         counts = counts.reshape(n, dim).astype(np.float64)
         norm = np.sqrt((counts * counts).sum(axis=1))
         norm[norm == 0] = 1.0
         vecs = (counts / norm[:, None]).astype(np.float32)
-        return pd.Series(list(vecs))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vecs.ravel()))
 
     return densify
 
@@ -85,7 +83,7 @@ def hashed_embedding(text: Column, dim: int = K.EMBED_DIM) -> Column:
     """L2-normalised hashed bag-of-words vector of ``text``.
 
     Tokens come from the JVM regex; buckets are computed once per distinct
-    token of an Arrow batch (``pd.factorize``) and counted with ``bincount``.
+    token of an Arrow batch, which Arrow numbers, and counted with ``bincount``.
     """
     if dim not in _DENSIFY:
         _DENSIFY[dim] = _densify(dim)
