@@ -29,8 +29,10 @@ from quarry.sources.shared import file_system, listed, publish
 
 #: Parts of a log. A task holds the keys of the parts dealt to it.
 SLICES = 1024
-#: Answers in a file; those of one part that a failing worker can lose.
-ANSWERS_PER_FILE = 16
+#: A file is written when a part has so many new answers, and at the latest so
+#: many seconds after the last ones: what a worker that dies can lose. (One
+#: that fails writes what it has.)
+ANSWERS_PER_FILE, SECONDS_PER_FILE = 256, 30.0
 SCHEMA = "key string, response string, error string, at double"
 _ARROW = pa.schema([("key", pa.string()), ("response", pa.string()), ("error", pa.string()), ("at", pa.float64())])
 
@@ -53,7 +55,7 @@ class AnswerLog:
             fs, at = file_system(root)
             known: dict[int, set[str]] = {}
             waiting: dict[int, list] = {}
-            call, made = None, 0
+            call, made, written = None, 0, time.monotonic()
 
             def flush(part: int) -> None:
                 if rows := waiting.pop(part, []):
@@ -81,13 +83,19 @@ class AnswerLog:
                         made += 1
                         if len(waiting[part]) >= ANSWERS_PER_FILE:
                             flush(part)
+                        if time.monotonic() - written >= SECONDS_PER_FILE:
+                            for other in list(waiting):
+                                flush(other)
+                            written = time.monotonic()
             finally:
                 for part in list(waiting):
                     flush(part)
             yield pd.DataFrame({"made": [made]})
 
         asked = calls.dropDuplicates(["key"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(SLICES)).cast("int")).select(*names)
-        made = asked.repartition("part").sortWithinPartitions("model", "part").mapInPandas(run, "made long")
+        # a stated number of tasks: calls take long for their bytes, and Spark would join small partitions to few
+        tasks = min(SLICES, max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        made = asked.repartition(tasks, "part").sortWithinPartitions("model", "part").mapInPandas(run, "made long")
         return made.agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
 
     def answers(self) -> DataFrame:

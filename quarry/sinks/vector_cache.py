@@ -37,7 +37,9 @@ class VectorCache:
 
     def add(self, texts: DataFrame) -> None:
         """Embed the texts (``hash``, ``text``) that have no vector yet."""
-        new = texts.dropDuplicates(["hash"]).join(self.load().select("hash"), "hash", "left_anti")
+        # a stated number of tasks: a model takes long for its bytes, and Spark would join small partitions to few
+        tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        new = texts.repartition(tasks, "hash").dropDuplicates(["hash"]).join(self.load().select("hash"), "hash", "left_anti")
         vectors = new.select("hash", self.embed(F.col("text")).cast("array<float>").alias("embedding"))
         vectors.write.parquet(f"{self.path}/{uuid.uuid4().hex}")
 

@@ -123,3 +123,27 @@ def test_token_source_into_the_reasoning_stream(spark, tmpdir_fresh):
     # the same from the stand-in as a column, in one batch
     want = RS.split_reasoning(generate_tokens(asked, "response_id", V.scripted()))
     assert said == {r.response_id: (r.thinking, r.final) for r in want.collect()} and len(said) > 10
+
+
+def test_answers_are_written_while_a_task_goes_on(spark, tmpdir_fresh, monkeypatch):
+    """By number and by time, not only at the end of the task."""
+    from quarry.sinks import answer_log
+    log, held = os.path.join(tmpdir_fresh, "log"), os.path.join(tmpdir_fresh, "held")
+    monkeypatch.setattr(answer_log, "SECONDS_PER_FILE", 0.0)
+    seconds = answer_log.SECONDS_PER_FILE
+
+    def factory():
+        def call(user, system, purpose, route):
+            from quarry.sinks import answer_log as there
+            there.SECONDS_PER_FILE = seconds  # in the worker
+            files = [f for _, _, names in os.walk(log) for f in names if f.endswith(".parquet") and not f.startswith(".")]
+            with open(held, "a") as f:
+                f.write(f"{len(files)} ")
+            return user
+        return call
+
+    monkeypatch.setattr(answer_log, "SLICES", 1)
+    assert generate_batch(prompts(spark, 12), factory, log=log).where("response = user").count() == 12
+    with open(held) as f:
+        before = list(map(int, f.read().split()))
+    assert len(before) == 12 and max(before) >= 5
