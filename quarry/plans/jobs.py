@@ -62,17 +62,18 @@ def commit_messages(changes: DataFrame, generator=None) -> DataFrame:
 
 
 def with_context(df: DataFrame, index: DataFrame | None, query: F.Column, keys: list[str], k: int = K.TOP_K,
-                 root: F.Column | None = None) -> DataFrame:
+                 root: F.Column | None = None, embed=None) -> DataFrame:
     """Optional retrieval: ``context`` = A4 block of the top-k chunks for
     ``query`` (NULL without an index or hits). One query per row of ``df``,
     which ``keys`` identify; it is answered from the files of the row's
-    ``root`` (default: ``source``) only."""
+    ``root`` (default: ``source``) only. ``embed`` is the embedder of the index
+    (default: the hashed one)."""
     if index is None:
         return df.withColumn("context", F.lit(None).cast("string"))
     keyed = df.withColumn("query_id", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))
     keyed = write_snapshot(keyed, "asked")  # read for the questions and again for the prompts
     asked = keyed.select("query_id", query.alias("text"), (F.col("source") if root is None else root).alias("root"))
-    ctx = CX.context_block(retrieve(index, asked, k, index_root=root_of(F.col("file")))).select("query_id", "context")
+    ctx = CX.context_block(retrieve(index, asked, k, embed=embed, index_root=root_of(F.col("file")))).select("query_id", "context")
     return keyed.join(ctx, "query_id", "left").drop("query_id")
 
 
@@ -80,17 +81,17 @@ def _with_fix(df: DataFrame, fix) -> DataFrame:
     return df.withColumn("fix", F.lit(fix) if isinstance(fix, bool) else fix)
 
 
-def review_prompts(changes: DataFrame, index: DataFrame | None = None, fix=False) -> DataFrame:
+def review_prompts(changes: DataFrame, index: DataFrame | None = None, fix=False, embed=None) -> DataFrame:
     """P2 per window of a change set; ``fix`` (a flag or a column) asks for
     edit blocks."""
     q = F.concat(F.lit(K.REVIEW_QUERY_PREFIX), F.substring("diff", 1, K.QUERY_PREFIX_CHARS))
-    return _prompt(_with_fix(with_context(changes, index, q, WINDOW[:2]), fix), "review", [*WINDOW, "fix"])
+    return _prompt(_with_fix(with_context(changes, index, q, WINDOW[:2], embed=embed), fix), "review", [*WINDOW, "fix"])
 
 
-def review(changes: DataFrame, index: DataFrame | None = None, generator=None, fix=False) -> DataFrame:
+def review(changes: DataFrame, index: DataFrame | None = None, generator=None, fix=False, embed=None) -> DataFrame:
     """Review text per change set, failure flag, and the edit blocks found
     in all of its windows."""
-    ans = _split(generate_batch(review_prompts(changes, index, fix), generator))
+    ans = _split(generate_batch(review_prompts(changes, index, fix, embed), generator))
     split = write_snapshot(ans.select(*WINDOW, F.col("final").alias("response"), "thinking", "error"), "answers")
     blocks = PT.parse_patches(split.select(F.col("source").alias("response_id"), F.col("response").alias("text")))
     n_p = blocks.groupBy(F.col("response_id").alias("source")).agg(F.count(F.lit(1)).alias("n_patches"))
@@ -108,17 +109,17 @@ def audit_payloads(code_files: DataFrame) -> DataFrame:
     return CO.concat_corpus(SC.suppress_lines(code_files)).select(*WINDOW, F.col("payload").alias("code"))
 
 
-def audit_prompts(payloads: DataFrame, index: DataFrame | None = None, fix=False) -> DataFrame:
+def audit_prompts(payloads: DataFrame, index: DataFrame | None = None, fix=False, embed=None) -> DataFrame:
     """P3 per window: the audit query is its first 500 characters, newlines as spaces."""
     q = F.concat(F.lit(K.AUDIT_QUERY_PREFIX),
                  TX.py_strip(F.replace(F.substring("code", 1, K.QUERY_PREFIX_CHARS), F.lit("\n"), F.lit(" "))))
-    return _prompt(_with_fix(with_context(payloads, index, q, WINDOW[:2]), fix), "audit", [*WINDOW, "fix"])
+    return _prompt(_with_fix(with_context(payloads, index, q, WINDOW[:2], embed=embed), fix), "audit", [*WINDOW, "fix"])
 
 
-def audit(payloads: DataFrame, index: DataFrame | None = None, generator=None, fix=False) -> DataFrame:
+def audit(payloads: DataFrame, index: DataFrame | None = None, generator=None, fix=False, embed=None) -> DataFrame:
     """Verdict (T12) and finding count (T13) per root: findings if any
     window has some, else error if any window gave no answer, else clear."""
-    ans = RS.verdict(_split(generate_batch(audit_prompts(payloads, index, fix), generator)))
+    ans = RS.verdict(_split(generate_batch(audit_prompts(payloads, index, fix, embed), generator)))
     split = write_snapshot(ans.select(F.struct("source", "window").alias("response_id"), "status", "final"), "answers")
     nf = RS.findings(split).groupBy(F.col("response_id.source").alias("source")).agg(F.count(F.lit(1)).alias("n_findings"))
     worst = F.max(F.when(F.col("status") == "findings", 2).when(F.col("status") == "error", 1).otherwise(0))
@@ -178,20 +179,20 @@ def tests_existing(targets: DataFrame, head: DataFrame) -> DataFrame:
     return CO.test_targets(targets).join(e, "test_path", "left").withColumn("is_update", F.col("existing").isNotNull())
 
 
-def test_prompts(modified: DataFrame, head: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def test_prompts(modified: DataFrame, head: DataFrame, index: DataFrame | None = None, embed=None) -> DataFrame:
     """S8 -> T6, T7 -> J6 -> C3 (with an index: definitions used by the file) -> P5."""
     t = tests_existing(modified, head)
     code = head.select("path", F.col("content").alias("code"))
     j = t.join(code, "path").withColumn("mode", F.when(F.col("is_update"), F.lit("update")).otherwise(F.lit("new")))
-    j = with_context(j, index, F.concat(F.lit(K.TESTS_QUERY_PREFIX), P.name(F.col("path"))), ["path"], root=root_of(F.col("path")))
+    j = with_context(j, index, F.concat(F.lit(K.TESTS_QUERY_PREFIX), P.name(F.col("path"))), ["path"], root=root_of(F.col("path")), embed=embed)
     return _prompt(j, "test", ["path", "test_path", "is_update"])
 
 
-def generate_tests(modified: DataFrame, head: DataFrame, generator=None, index: DataFrame | None = None) -> DataFrame:
+def generate_tests(modified: DataFrame, head: DataFrame, generator=None, index: DataFrame | None = None, embed=None) -> DataFrame:
     """C7 + K3 plan: generated test text (the final part of the answer, W3,
     after fence strip, T10) and the action - error, skip (no text), update of an
     existing test, or create."""
-    out = _split(generate_batch(test_prompts(modified, head, index), generator))
+    out = _split(generate_batch(test_prompts(modified, head, index, embed), generator))
     return out.select(
         "path", F.col("test_path").alias("dest_path"), RS.strip_fence(F.col("final")).alias("content"),
         F.when(F.col("error").isNotNull(), F.lit("error")).when(F.length("final") == 0, F.lit("skip"))
@@ -244,7 +245,7 @@ def full_prompts(files: DataFrame, generator=None) -> DataFrame:
     return architect_prompts(CX.budget_prompt(files.select("source", "rel_path"), summaries))
 
 
-def sampled_prompts(index: DataFrame, k: int = K.TOP_K) -> DataFrame:
+def sampled_prompts(index: DataFrame, k: int = K.TOP_K, embed=None) -> DataFrame:
     """C10 -> T4 -> P7: per root of the index, the hits of the probes (G4) in its
     own files, without those that repeat (W2), in place of the summaries, and its
     indexed files as the tree."""
@@ -253,14 +254,14 @@ def sampled_prompts(index: DataFrame, k: int = K.TOP_K) -> DataFrame:
     files = IX.distinct_files(index).select(root.alias("source"), "file").withColumn("rel_path", within)
     asked = files.select("source").distinct().select("source", F.posexplode(F.array(*map(F.lit, K.PROBES))).alias("probe", "text"))
     asked = asked.select(F.format_string("%04d/%s", "probe", "source").alias("query_id"), "text", F.col("source").alias("root"))
-    hits = retrieve(index, asked, k, index_root=root).withColumn("source", root).withColumn("query_id", F.substring("query_id", 1, 4).cast("int"))
+    hits = retrieve(index, asked, k, embed=embed, index_root=root).withColumn("source", root).withColumn("query_id", F.substring("query_id", 1, 4).cast("int"))
     hits = CX.dedup_hits(hits, ["source"])
     summaries = hits.select("source", F.format_string("%04d/%04d", "query_id", "rank").alias("rel_path"), "file", F.col("text").alias("summary")) \
         .withColumn("file", within)
     return architect_prompts(CX.budget_prompt(files.select("source", "rel_path"), summaries, label_col="file"))
 
 
-def analyze(files: DataFrame, index: DataFrame, generator=None) -> DataFrame:
+def analyze(files: DataFrame, index: DataFrame, generator=None, embed=None) -> DataFrame:
     """C9/C10 by root, in one job: roots of ``files`` (``mapped_files``) that
     have rows in the index get the sampled plan, the others the full one. Of the
     index only file names are read to tell them apart."""
@@ -268,7 +269,7 @@ def analyze(files: DataFrame, index: DataFrame, generator=None) -> DataFrame:
     asked = files.select("source").distinct()
     known = index.join(asked.withColumnRenamed("source", "_root"), root_of(F.col("file")) == F.col("_root"), "left_semi")
     full = full_prompts(files.join(indexed, "source", "left_anti"), generator)
-    return reports(full.unionByName(sampled_prompts(known)), generator)
+    return reports(full.unionByName(sampled_prompts(known, embed=embed)), generator)
 
 
 def write_report(reports: DataFrame, path: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ adds to each part, the running lengths and the flag.
 
 A timer ends the wait of a response without tokens for ``idle_ms``: its early
 tokens are applied in order, without the missing ones. The value stays for
-``KEEP_MS`` (its TTL), so a response that goes on afterwards continues where it
+``reasoning_state.KEEP_MS`` (its TTL), so a response that goes on afterwards continues where it
 was. After an ``availableNow`` run, ``waiting_tokens`` applies what waits. The
 last row of a response equals the batch ``split_reasoning`` (W3), and every
 state can be rebuilt from the rows. Keyed state needs the RocksDB store, which
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry import constants as K
 from quarry.operators.responses import parsed_line, parse_response_lines
 from quarry.streaming import reasoning_state
-from quarry.streaming.reasoning_state import KEEP_MS, Reasoning, rows_of
+from quarry.streaming.reasoning_state import Reasoning, rows_of
 
 OUT_SCHEMA = ("response_id long, seq long, thinking_delta string, final_delta string, "
               "thinking_len long, final_len long, is_thinking boolean")

@@ -116,3 +116,17 @@ def test_retrieval_stays_within_the_root(spark):
     asked = spark.createDataFrame([(1, "red green", "b"), (2, "red", "a"), (3, "red", "c")], "query_id int, text string, root string")
     hits = retrieve(build_index(files), asked, 5, index_root=root_of(F.col("file"))).collect()
     assert sorted((h.query_id, h.rank, h.file) for h in hits) == [(1, 1, "b/y.py"), (1, 2, "b/z.py"), (2, 1, "a/x.py")]
+
+
+def test_jobs_ask_with_the_embedder_of_the_index(spark):
+    from quarry.functions.embed import model_embedder
+    from quarry.plans import jobs as JB
+
+    def load():
+        return lambda texts: [[float(t.count("q")), 1.0] for t in texts]
+
+    emb = model_embedder(load)
+    files = spark.createDataFrame([("a/x.py", 1.0, "qqq"), ("a/y.py", 1.0, "none"), ("b/z.py", 1.0, "qqq")], "path string, mtime double, content string")
+    windows = spark.createDataFrame([("a", 0, 1, "qqq in the change"), ("c", 0, 1, "q")], "source string, window long, n_windows long, diff string")
+    out = {r.source: r.system for r in JB.review_prompts(windows, build_index(files, embed=emb), embed=emb).collect()}
+    assert "Chunk 1 (file: a/x.py)" in out["a"] and "b/z.py" not in out["a"] and "Chunk" not in out["c"]

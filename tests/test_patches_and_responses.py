@@ -277,6 +277,7 @@ def test_idle_response_gives_up_its_gap_and_goes_on():
     import pandas as pd
 
     from quarry.streaming import reasoning as XR
+    from quarry.streaming.reasoning_state import KEEP_MS
     handle, step = Handle(), XR.processor(XR.IDLE_MS)
     step.init(handle)
 
@@ -288,7 +289,7 @@ def test_idle_response_gives_up_its_gap_and_goes_on():
     assert handle.timers == [6 + XR.IDLE_MS] and set(handle.kept["early"][0]) == {(1,), (3,), (5,)}
     (out,) = step.handleExpiredTimer((7,), Clock(0), None)
     assert out.seq.tolist() == [1, 3, 5] and out.final_delta.tolist() == ["", "z", "v"] and out.thinking_delta.tolist() == ["x", "y", ""]
-    assert not handle.kept["early"][0] and handle.kept["head"][1] == XR.KEEP_MS
+    assert not handle.kept["early"][0] and handle.kept["head"][1] == KEEP_MS
     later = send(9, (3, "replay"), (7, "late"), (6, "w"))
     assert [(r.seq, r.final_delta, r.thinking_len, r.final_len, r.is_thinking) for r in later] == [(6, "w", 2, 3, False), (7, "late", 2, 7, False)]
     assert list(step.handleExpiredTimer((7,), Clock(0), None)) == []
