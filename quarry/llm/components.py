@@ -30,13 +30,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     x, y = F.col(a), F.col(b)
     now = materialize(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     while _unfinished(now):
+        # least neighbours are written before they are joined, so that Spark can split the join where a node has very many
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near).distinct()
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "near")
+        large = materialize(both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        close = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "near")
+        small = large.join(close, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(close).distinct()
         before, now = now, materialize(small, "edges")
-        forget(before)
+        forget(before, near, large, close)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 

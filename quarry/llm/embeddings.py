@@ -238,7 +238,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     class_of = alike.select("node", "least", "copies").join(groups, "node", "left").join(degree, "node", "left") \
         .select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
-    least = class_of.groupBy("root").agg(F.min("least").alias("component_id"))
+    class_of = materialize(class_of, "classes")
+    # written first, so that Spark can split the join where a class is very large
+    least = materialize(class_of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = class_of.join(least, "root").select("node", "component_id", (F.col("n") + F.col("copies") - 1).alias("n_links"))
     out = packed.select("vec_id", "node").join(of, "node", "left")
     return out.select(

@@ -283,7 +283,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     forget(met, sets)
     groups = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     of = nodes.select("node", "least", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"), F.min("at").alias("first"))
+    of = materialize(of, "classes")
+    # written first, so that Spark can split the join where a class is very large
+    least = materialize(of.groupBy("root").agg(F.min("least").alias("component_id"), F.min("at").alias("first")), "least")
     out = signed.select("doc_id", "h", "n", "node").join(of.join(least, "root").select("node", "component_id", "first"), "node", "left")
     alone = F.col("node").isNull()
     return out.select(
