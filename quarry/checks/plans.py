@@ -29,8 +29,11 @@ NOTES = {
     "concat_corpus": "Character offsets from range-partitioned keys and lengths; texts joined to their "
                      "offsets, cut at window borders and gathered by (root, window).",
     "split_reasoning": "One shuffle by response_id; running flag and ordered collect per response.",
-    "apply_patches": "One aggregate per (answer, file), then one join with the file's text and the whole "
-                     "fold as an expression; no Python.",
+    "apply_patches": "Patches and files are dealt by file once; one aggregate per (answer, file), one join with the "
+                     "file's text and the whole fold as one expression; no Python.",
+    "review prompts (own root)": "Windows and question vectors are written first; cells of one root's questions and chunks "
+                                 "meet by cogroup, top-k per cell, then per question; hits join the text by key.",
+    "write_patched": "Answers' patches ranked per file by sorted ranges, folded in rounds, joined with the untouched files.",
 }
 
 
@@ -49,6 +52,8 @@ def main(sf_dir: str, out: str):
         "concat_corpus": CO.concat_corpus(SC.scan_code_files(V.files_base(spark, sf_dir))),
         "split_reasoning": RS.split_reasoning(V.tokens(spark, sf_dir)),
         "apply_patches": C.q_apply_patches(spark, sf_dir),
+        "review prompts (own root)": C.q_prompt_review(spark, sf_dir),
+        "write_patched": C.q_write_patched(spark, sf_dir),
     }
     parts = [f"# Physical plans ({os.path.basename(sf_dir)}, local[8], AQE final plans)\n",
              "Generated by `python -m quarry.checks.plans`.\n"]
