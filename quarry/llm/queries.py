@@ -98,7 +98,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
     docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
     g, n = F.floor(F.col("h") / 10), F.size("words")
-    docs = docs.withColumn("a", (g % n).cast("int")).withColumn("rest", F.size("words") - F.col("a"))
+    docs = docs.withColumn("a", (g % F.when(n > 0, n)).cast("int")).withColumn("rest", n - F.col("a"))
     p = F.lit(1) + F.floor(F.col("rest") / (g % 8 + 3)).cast("int")
     again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, p), F.ceil(F.col("rest") / p).cast("int")))
     made = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("rest")))

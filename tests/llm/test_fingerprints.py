@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.llm import fingerprints as fp
 from quarry.llm import queries
 from quarry.llm.hashing import batch_words
-from tests.llm.helpers import prose
+from tests.llm.helpers import odd_documents, prose
 
 SCHEMA = "doc_id long, text string, hash string, `a.b` int"
 
@@ -135,3 +135,16 @@ def test_query_on_all_documents(spark):
         assert by_text.setdefault(text, x.fingerprint) == x.fingerprint and by_text.setdefault(edited, x.edited_fingerprint) == x.edited_fingerprint
         off += [abs(x.near_edited - jaccard(text, edited)), abs(x.near_next - jaccard(text, after))]
     assert len(set(by_text.values())) > 0.9 * len(by_text) and max(off) < 0.2 and sum(off) / len(off) < 0.04
+
+
+def test_query_on_odd_documents(spark):
+    path, rows = odd_documents(spark)
+    got = queries.op12_fingerprints(spark, path).collect()
+    assert len(got) == len(rows) and all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
+    hashes = {r.text: r.h for r in spark.createDataFrame([(r[1] or "",) for r in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i is not None, i or 0, hashes[t or ""], t or "") for i, t, *_ in rows))
+    want = Counter()
+    for k, (known, i, _, t) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][3], len(t)
+        want[i if known else None, n, hashlib.sha256((t[: n - n // 4] + after[: n // 4]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.llm import merkle, queries
-from tests.llm.helpers import prose
+from tests.llm.helpers import odd_documents, prose
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, digest string, `a.b` int, key string"
@@ -113,3 +113,11 @@ def test_query_finds_the_tampered_rows(spark):
     assert len(got) == len(docs) and {r.doc_id for r in got if not r.verified} == changed and changed
     want = {x[0]: x for x in plain([tuple(r[c] for c in FIELDS) for r in docs])}
     assert all((r.leaf, r.subroot, r.root) == want[r.leaf][:3] and r.proof_sha256 == sha(want[r.leaf][3]) for r in got)
+
+
+def test_query_on_odd_documents(spark):
+    path, rows = odd_documents(spark)
+    got = queries.op13_merkle_manifest(spark, path).collect()
+    want = plain([(i, source, lang, n, text) for i, text, lang, source, n in rows])
+    assert sorted((r.leaf, r.subroot, r.root, r.proof_sha256) for r in got) == sorted((a, b, c, sha(p)) for a, b, c, p in want)
+    assert {r.verified for r in got} == {True, False}
