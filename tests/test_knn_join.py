@@ -130,3 +130,39 @@ def test_jobs_ask_with_the_embedder_of_the_index(spark):
     windows = spark.createDataFrame([("a", 0, 1, "qqq in the change"), ("c", 0, 1, "q")], "source string, window long, n_windows long, diff string")
     out = {r.source: r.system for r in JB.review_prompts(windows, build_index(files, embed=emb), embed=emb).collect()}
     assert "Chunk 1 (file: a/x.py)" in out["a"] and "b/z.py" not in out["a"] and "Chunk" not in out["c"]
+
+
+def test_equal_questions_are_asked_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    corpus = grid(rng, "a", 60, 0) + grid(rng, "b", 30, 100)
+    queries = [(root, i + 100 * j, [float(i % 3), 1.0, 0.0, 2.0]) for j, root in enumerate("ab") for i in range(40)]
+    asked, plain = [], KJ.write_snapshot
+    monkeypatch.setattr(KJ, "write_snapshot", lambda df, name, **kw: (out := plain(df, name, **kw), asked.append((name, out)))[0])
+    for sizes in ({}, {"cell_rows": 7, "query_rows": 2}):
+        assert run(spark, corpus, queries, 5, **sizes) == brute(corpus, queries, 5)
+    assert [df.count() for name, df in asked if name == "knn-asked"] == [6, 6]
+
+
+def test_ties_are_screened_a_bounded_number_at_a_time(monkeypatch):
+    import pandas as pd
+
+    from quarry.operators import knn as KN
+    seen, plain = [], KN._exact
+    monkeypatch.setattr(KN, "_exact", lambda q, c: (seen.append(len(q)), plain(q, c))[1])
+    corpus = pd.DataFrame({"id": range(6000), "embedding": [np.ones(4, np.float32)] * 6000})
+    batches = iter([corpus.iloc[:4500], corpus.iloc[4500:]])
+    (out,) = KN.top_k_blocks(np.arange(9), np.zeros((9, 4), np.float32), 3, ["id"], "embedding", batches)
+    assert max(seen) <= KN.PAIRS < sum(seen)
+    assert out.sort_values(["query_id", "id"])[["query_id", "id", "distance"]].values.tolist() == [[q, i, 4.0] for q in range(9) for i in range(3)]
+
+
+def test_embedding_memory_does_not_follow_the_batch(monkeypatch):
+    import pyarrow as pa
+
+    from quarry.functions import embed as EM
+    made, plain = [], np.bincount
+    monkeypatch.setattr(EM.np, "bincount", lambda *a, minlength: (made.append(minlength), plain(*a, minlength=minlength))[1])
+    tokens = [["a", f"b{i}", "a"] if i % 7 else None for i in range(5000)]
+    whole = EM._densify(16).func(pa.array(tokens, pa.list_(pa.string()))).to_pylist()
+    assert max(made) <= EM.SLICE_TEXTS * 16 and sum(made) == 5000 * 16
+    assert whole[4999] == EM._densify(16).func(pa.array([tokens[4999]], pa.list_(pa.string()))).to_pylist()[0] and whole[0] == [0.0] * 16
