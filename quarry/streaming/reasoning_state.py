@@ -9,39 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 HEAD_SCHEMA = "next_seq long, flag boolean, thinking_len long, final_len long, n_early long"
 #: Time for which the place in a response is kept after its last token.
 KEEP_MS = 7 * 86_400_000
-
-
-def added_pieces(chunks: pd.Series, flag: bool, tags: tuple[str, str]) -> pd.DataFrame:
-    """What each of the ordered chunks adds to either part, and the flag after
-    it, given the flag before the first: W3's columns over one batch."""
-    opens = chunks.str.contains(tags[0], regex=False)
-    text = chunks.str.replace(tags[0], "", regex=False)
-    sides = text.str.split(tags[1], regex=False)
-    closes = sides.str.len() > 1
-    after = pd.Series(np.select([closes, opens], [0.0, 1.0], np.nan), index=chunks.index).ffill().fillna(float(flag)) == 1.0
-    inside = opens | after.shift(fill_value=flag)
-    left = sides.str[0]
-    return pd.DataFrame({
-        "thinking_delta": left.where(closes | inside, ""),
-        "final_delta": sides.str[1].where(closes, left.where(~inside, "")),
-        "is_thinking": after,
-    })
+#: Early tokens that are read together, besides as many as the batch has tokens.
+READ_AT_ONCE = 64
 
 
 def rows_of(response_id, ready: dict[int, str], flag: bool, n_think: int, n_final: int, tags: tuple[str, str]) -> pd.DataFrame:
-    out = added_pieces(pd.Series(list(ready.values()), dtype=object), flag, tags)
-    out.insert(0, "response_id", response_id)
-    out.insert(1, "seq", list(ready))
-    out["thinking_len"] = n_think + out.thinking_delta.str.len().cumsum()
-    out["final_len"] = n_final + out.final_delta.str.len().cumsum()
-    return out[["response_id", "seq", "thinking_delta", "final_delta", "thinking_len", "final_len", "is_thinking"]]
+    """What each of the ordered chunks adds to either part, the running lengths
+    and the flag after it, given those before the first: W3's columns. Plain
+    loops: a response has few tokens in a batch."""
+    thinking, final, n_thinking, n_finals, flags = [], [], [], [], []
+    for chunk in ready.values():
+        sides = chunk.replace(tags[0], "").split(tags[1])
+        inside = flag or tags[0] in chunk
+        think, last = (sides[0], sides[1]) if len(sides) > 1 else (sides[0], "") if inside else ("", sides[0])
+        flag = inside and len(sides) == 1
+        n_think, n_final = n_think + len(think), n_final + len(last)
+        for column, value in zip((thinking, final, n_thinking, n_finals, flags), (think, last, n_think, n_final, flag)):
+            column.append(value)
+    return pd.DataFrame({"response_id": response_id, "seq": list(ready), "thinking_delta": thinking, "final_delta": final,
+                         "thinking_len": n_thinking, "final_len": n_finals, "is_thinking": flags})
 
 
 class Reasoning(StatefulProcessor):
@@ -66,16 +58,29 @@ class Reasoning(StatefulProcessor):
             pdf = pdf[pdf.seq >= following]
             new.update(zip(pdf.seq.tolist(), pdf.chunk.fillna("").tolist()))
         ready: dict[int, str] = {}
+        # a call to the state is a round trip: early tokens that are few beside the batch are read in one
+        known = {s[0]: c[0] for s, c in self.early.iterator()} if 0 < n_early <= len(new) + READ_AT_ONCE else None
+        is_early = known.__contains__ if known is not None else lambda seq: self.early.containsKey((seq,))
+        taken = []
         while True:
-            waits = n_early > 0 and self.early.containsKey((following,))
+            waits = n_early > 0 and is_early(following)
             if not waits and following not in new:
                 break
-            waiting = self._take(following) if waits else None
-            n_early -= waits
+            waiting = None
+            if waits:
+                n_early -= 1
+                waiting = self._take(following) if known is None else known.pop(following)
+                taken.append(following)
             ready[following] = new.pop(following, waiting)
             following += 1
+        if known is not None and taken:
+            if n_early:
+                for seq in taken:
+                    self.early.removeKey((seq,))
+            else:
+                self.early.clear()
         for seq, chunk in new.items():
-            n_early += n_early == 0 or not self.early.containsKey((seq,))
+            n_early += n_early == 0 or not is_early(seq)
             self.early.updateValue((seq,), (chunk,))
         if ready:
             out = rows_of(key[0], ready, flag, n_think, n_final, self.tags)

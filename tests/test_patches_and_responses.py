@@ -315,6 +315,28 @@ def test_a_batch_touches_only_its_own_tokens():
     assert out.seq.tolist() == list(range(2, 1100)) and not step.early and step.head.get()[0] == 1100
 
 
+def test_few_early_tokens_are_read_in_one_call():
+    """A gap that closes costs no call for each token that waited."""
+    import pandas as pd
+
+    from quarry.streaming import reasoning as XR
+    handle, step = Handle(), XR.processor(None)
+    step.init(handle)
+    touched = []
+    for name in ("containsKey", "getValue", "updateValue", "removeKey", "iterator", "clear"):
+        plain = getattr(Handle.Map, name)
+        setattr(step.early, name, lambda *a, plain=plain: (touched.append(a), plain(step.early, *a))[1])
+    send = lambda seqs: list(step.handleInputRows((1,), iter([pd.DataFrame({"seq": list(seqs), "chunk": [f"<{s}>" for s in seqs]})]), Clock(0)))
+    assert send([*range(10, 30), 40]) == []
+    touched.clear()
+    (out,) = send([0, 12, *range(1, 10)])  # 40 goes on waiting
+    assert out.seq.tolist() == list(range(30)) and set(step.early) == {(40,)} and len(touched) <= 1 + 20
+    touched.clear()
+    (out,) = send(range(30, 40))
+    assert out.seq.tolist() == list(range(30, 41)) and out.final_delta.tolist() == [f"<{s}>" for s in range(30, 41)]
+    assert not step.early and len(touched) == 2
+
+
 def test_lines_into_reasoning(spark, tmpdir_fresh):
     """X2 feeds X1: lines without a token close their gap and add nothing."""
     from quarry.streaming import reasoning as XR
