@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from quarry.llm.common import materialize, quoted, slices, texts
 
@@ -47,7 +47,7 @@ STEMS, LONG = range(4, 9), 8
 #: Words on each side of a match that make its context.
 CONTEXT = 6
 #: Memory bounds of a task, without effect on results.
-TOKENS_KEPT, COUNTS_KEPT, SLICE_BYTES = 250_000, 200_000, 8 << 20
+TOKENS_KEPT, STATES_KEPT, COUNTS_KEPT, SLICE_BYTES = 100_000, 20_000, 200_000, 2 << 20
 
 #: Words that report what others say, and quotation marks.
 REPORTING = frozenset("said says say word words term called quote quoted quotes wrote means insult slur mot terme dit wort begriff sagte palabra dijo".split())
@@ -88,6 +88,11 @@ class Lexicon:
                     self.open.append(None)
                 at = self.next[at][c]
             (self.open if t.endswith("*") else self.term)[at] = t
+        self._begin()
+
+    def _begin(self) -> None:
+        """An automaton of its first state only; the others are built again as
+        they are needed."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -143,6 +148,8 @@ class Lexicon:
         """Kind and weight of the best match of a token."""
         if not word:
             return None
+        if len(self.sets) > STATES_KEPT:
+            self._begin()
         state = self.start
         for c in word:
             state = self.steps[state].get(c) if c in self.steps[state] else self._step(state, c)
@@ -319,14 +326,18 @@ def _batch_features(column: pa.Array, seen: _Seen) -> list[list[float]]:
     ]
 
 
-def _features(rows: DataFrame, terms: dict[str, float], extra: list[str]) -> DataFrame:
-    """``extra`` columns, then the features of column ``text``."""
+def _features(rows: DataFrame, terms: dict[str, float], extra: list[str], inside: int | None = None) -> DataFrame:
+    """``extra`` columns, then the features of column ``text`` or, so that no
+    text goes to the task twice, of that field of the struct ``kept``."""
     shared = rows.sparkSession.sparkContext.broadcast(terms)
-    src = rows.select(F.lit(0).alias("_"), "text", *extra)
+    src = rows.select(F.lit(0).alias("_"), F.col("text") if inside is None else F.lit("").alias("text"), *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen(Lexicon(shared.value))
         for whole in batches:
+            if inside is not None:
+                text = pc.struct_field(whole.column(whole.schema.get_field_index("kept")), [inside])
+                whole = whole.set_column(1, "text", pc.fill_null(text, "") if text.null_count else text)
             for batch in slices(whole, SLICE_BYTES):
                 f = _batch_features(batch.column(1), seen)
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(2, batch.num_columns)] + [pa.array(f, pa.list_(pa.float64()))],
@@ -380,5 +391,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     whatever their name."""
     src = texts(docs, id_col, text_col, keep)
     extra = [c for c in src.columns if c != "text"]
+    inside = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType == StringType() else None
     total = sum((F.col("f")[i] * F.lit(w) for i, w in enumerate(model.weights)), F.lit(0.0))
-    return _features(src, model.terms, extra).select(*extra, (1 / (1 + F.exp(-total))).alias("score"))
+    return _features(src, model.terms, extra, inside).select(*extra, (1 / (1 + F.exp(-total))).alias("score"))

@@ -145,3 +145,26 @@ def test_held_out_accuracy(spark):
     right = sum((r.score >= 0.5) == bool(r.toxic) for r in out)
     assert right >= 0.93 * len(out)
     assert not [r for r in out if r.score >= 0.5 and not r.toxic]
+
+
+def test_automaton_is_bounded_without_effect(monkeypatch):
+    words = [f"{c}orm{i}{c}en" for i in range(40) for c in "abcxz"] + ["zankers", "z4nker", "zanker", "vorpal"]
+    terms = {"zanker": 1.0, "vorp*": 0.5, "normaen": 0.7}
+    plain = [tox.Lexicon(terms).match(w) for w in words]
+    monkeypatch.setattr(tox, "STATES_KEPT", 10, raising=False)
+    small, most = tox.Lexicon(terms), 0
+    assert [small.match(w) for w in words] == plain and any(plain)
+    for w in words:
+        small.match(w)
+        most = max(most, len(small.sets))
+    assert most <= 10 + max(map(len, words)) + 1
+
+
+def test_kept_text_goes_to_the_task_once(spark):
+    docs = spark.createDataFrame([(1, "you zanker", "x"), (2, None, "y"), (3, "", None)], "doc_id long, text string, lang string")
+    model = tox.Model({"zanker": 1.0}, tuple(tox.PRIOR))
+    out = tox.score(docs, model, keep=("lang", "text", "doc_id"))
+    assert "coalesce(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.doc_id: r for r in out.collect()}
+    plain = {r.doc_id: r.score for r in tox.score(docs, model).collect()}
+    assert {k: r.score for k, r in rows.items()} == plain and rows[1].kept.text == "you zanker" and rows[2].kept.text is None and rows[3].kept.text == ""
